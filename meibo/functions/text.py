@@ -34,19 +34,24 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(trim_spaces(c), F.lit(""))
 
 
+def _translate(c: Column, old: str, new: str) -> Column:
+    """``translate`` for signs outside ASCII; plain ASCII cells, told by their length, skip it."""
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.translate(c, old, new))
+
+
 def narrow_digits(c: Column) -> Column:
     """Full-width digits to ASCII digits."""
-    return F.translate(c, WIDE_DIGITS, "0123456789")
+    return _translate(c, WIDE_DIGITS, "0123456789")
 
 
 def narrow_ascii(c: Column) -> Column:
     """Full-width letters, digits and signs to ASCII, and the full-width space to a space."""
-    return F.translate(c, WIDE_ASCII + "\u3000", NARROW_ASCII + " ")
+    return _translate(c, WIDE_ASCII + "\u3000", NARROW_ASCII + " ")
 
 
 def unify_hyphens(c: Column) -> Column:
     """Every kind of hyphen and dash to ``-``."""
-    return F.translate(c, HYPHENS, "-" * len(HYPHENS))
+    return _translate(c, HYPHENS, "-" * len(HYPHENS))
 
 
 def squeeze_spaces(c: Column) -> Column:
@@ -68,7 +73,7 @@ def match_text(c: Column) -> Column:
     """The spelling used to compare names and addresses; null for a blank cell."""
     wide = WIDE_ASCII + "\u3000" + HYPHENS
     narrow = NARROW_ASCII + " " + "-" * len(HYPHENS)
-    return blank_to_null(F.translate(c, wide, narrow))
+    return blank_to_null(_translate(c, wide, narrow))
 
 
 def hyphenate_postal(c: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meibo.functions.text import digits, match_text
 from meibo.operators.fill import prefix_lengths, prefixes
-from meibo.operators.lookup import BROADCAST_MAX_BYTES, first_match, lookup_join
+from meibo.operators.lookup import BROADCAST_MAX_BYTES, first_match, lookup_join, sized
 
 
 def check_area_code(
@@ -28,12 +28,15 @@ def check_area_code(
         .where(F.col("_code").isNotNull())
         .distinct()
     )
-    codes = listed.select(F.col("_code").alias("key"), F.col("_code")).distinct()
+    codes, small = sized(
+        listed.select(F.col("_code").alias("key"), F.col("_code")).distinct(), max_bytes
+    )
     coded = first_match(
         rows.withColumns({"_tel": digits(F.col(tel)), "_area": match_text(F.col(area))}),
         ["_tel"],
         prefixes(F.col("_tel"), prefix_lengths(codes)),
         codes,
+        small,
         max_bytes,
     )
     pairs = listed.where(F.col("_area").isNotNull()).withColumn("_served", F.lit(True))

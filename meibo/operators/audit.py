@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,9 @@ from meibo.functions.checks import Check
 
 Fix = Callable[[Column], Column]
 
+LOG_COLUMNS = ["column_name", "before_value", "after_value"]
+FINDING_COLUMNS = ["column_name", "check_name", "value"]
+
 
 def remember(rows: DataFrame, cols: list[str], before_col: str = "before") -> DataFrame:
     """Keep the present values of ``cols`` beside the row, for :func:`fix_log`."""
@@ -35,6 +40,9 @@ def fix_log(
     rows: DataFrame, key: list[str], cols: list[str], before_col: str = "before"
 ) -> DataFrame:
     """One row per changed cell: ``key``, ``column_name``, ``before_value``, ``after_value``."""
+    if not cols:
+        return rows.select(*key, *[F.lit("").alias(c) for c in LOG_COLUMNS]).limit(0)
+    changed = [~F.col(before_col)[c].eqNullSafe(F.col(c)) for c in cols]
     cells = [
         F.struct(
             F.lit(c).alias("column_name"),
@@ -43,27 +51,22 @@ def fix_log(
         )
         for c in cols
     ]
-    changed = F.filter(
-        F.array(*cells), lambda cell: ~cell["before_value"].eqNullSafe(cell["after_value"])
-    )
-    return rows.select(*key, F.inline(changed))
+    # Most rows have no change, so they are dropped before they become one row per column.
+    log = rows.where(reduce(or_, changed)).select(*key, F.inline(F.array(*cells)))
+    return log.where("not before_value <=> after_value")
 
 
-def findings(checks: list[Check]) -> Column:
-    """The broken checks of a row as an array of (``column_name``, ``check_name``, ``value``)."""
+def check(rows: DataFrame, key: list[str], checks: list[Check]) -> DataFrame:
+    """One row per broken check: ``key``, ``column_name``, ``check_name``, ``value``."""
+    if not checks:
+        return rows.select(*key, *[F.lit("").alias(c) for c in FINDING_COLUMNS]).limit(0)
     found = [
         F.struct(
-            F.lit(check.column).alias("column_name"),
-            F.lit(check.name).alias("check_name"),
-            F.col(check.column).cast("string").alias("value"),
-            F.coalesce(check.broken(F.col(check.column)), F.lit(False)).alias("broken"),
+            F.lit(test.column).alias("column_name"),
+            F.lit(test.name).alias("check_name"),
+            F.col(test.column).cast("string").alias("value"),
+            F.coalesce(test.broken(F.col(test.column)), F.lit(False)).alias("_broken"),
         )
-        for check in checks
+        for test in checks
     ]
-    broken = F.filter(F.array(*found), lambda f: f["broken"])
-    return F.transform(broken, lambda f: f.dropFields("broken"))
-
-
-def check(rows: DataFrame, key: list[str], checks: list[Check]) -> DataFrame:
-    """One row per broken check: ``key``, ``column_name``, ``check_name``, ``value``."""
-    return rows.select(*key, F.inline(findings(checks)))
+    return rows.select(*key, F.inline(F.array(*found))).where("_broken").drop("_broken")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meibo.functions.text import match_text, trim_spaces
-from meibo.operators.lookup import BROADCAST_MAX_BYTES, fits_broadcast, lookup_join
-from meibo.operators.staging import stage
+from meibo.operators.lookup import BROADCAST_MAX_BYTES, lookup_join
 
-# A name list of at most this many names goes into the plan as literals.
-MAX_LITERALS = 1000
+# A name list of at most this many names goes into the plan as one pattern.
+MAX_IN_PATTERN = 500
 
 
 def exclude_suffix(
@@ -29,7 +30,7 @@ def exclude_names(
     match: str = "contains",
     reason_col: str = "reason",
     reason: str = "chain",
-    max_literals: int = MAX_LITERALS,
+    max_in_pattern: int = MAX_IN_PATTERN,
     max_bytes: int = BROADCAST_MAX_BYTES,
 ) -> DataFrame:
     """Mark rows whose name is, or contains, a name on the list ``names`` (column ``name``).
@@ -47,18 +48,42 @@ def exclude_names(
         table = listed.select(F.col("_listed").alias("_name"), F.lit(True).alias("_hit"))
         hits = lookup_join(keyed, ["_name"], table, "left", max_bytes)
     elif match == "contains":
-        few = listed.limit(max_literals + 1).collect()
-        if len(few) <= max_literals:
+        few = listed.limit(max_in_pattern + 1).collect()
+        if len(few) <= max_in_pattern:
             hit = holds_any(F.col("_name"), [r["_listed"] for r in few])
             hits = keyed.withColumn("_hit", hit)
         else:
-            table = stage(_names_holding(keyed, listed, max_bytes), "names-holding")
+            table = _names_holding(keyed, listed, max_bytes)
             hits = lookup_join(keyed, ["_name"], table, "left", max_bytes)
     else:
         raise ValueError(f"match must be 'exact' or 'contains', not {match!r}")
     return hits.select(*rows.columns, F.when(F.col("_hit"), reason).alias(reason_col))
 
 
+def any_of_pattern(needles: list[str]) -> str:
+    """A regular expression that finds any of ``needles``. Common beginnings are shared, so a
+    position of the text is given up at the first character that no name continues with."""
+    tree: dict = {}
+    for needle in needles:
+        node = tree
+        for ch in needle:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        if "" in node:  # a name ends here, whatever follows
+            return ""
+        branches = [re.escape(ch) + pattern(rest) for ch, rest in sorted(node.items())]
+        return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+
+    return pattern(tree)
+
+
+def holds_any(text: Column, needles: list[str]) -> Column:
+    """True when ``text`` contains one of ``needles``, else false or null."""
+    return text.rlike(any_of_pattern(needles)) if needles else F.lit(False)
+
+
 def _pieces(text: Column, n) -> Column:
     """All pieces of ``text`` with ``n`` characters."""
     last = F.length(text) - n + 1
@@ -67,18 +92,6 @@ def _pieces(text: Column, n) -> Column:
     )
 
 
-def holds_any(text: Column, needles: list[str]) -> Column:
-    """True when ``text`` contains one of ``needles``. One expression per length: the pieces of
-    that length are looked up in a hash set, so the cost does not grow with the number of names."""
-    by_length: dict[int, list[str]] = {}
-    for needle in needles:
-        by_length.setdefault(len(needle), []).append(needle)
-    out = F.lit(False)
-    for n, group in sorted(by_length.items()):
-        out = out | F.exists(_pieces(text, n), lambda piece: piece.isin(group))
-    return F.coalesce(out, F.lit(False))
-
-
 def _names_holding(keyed: DataFrame, listed: DataFrame, max_bytes: int) -> DataFrame:
     """Distinct names that contain a listed name: pieces of every name, joined by equality."""
     lengths = listed.select(F.collect_set(F.length("_listed"))).first()[0]

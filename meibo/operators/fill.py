@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meibo.functions.text import blank_to_null, digits, is_blank, match_text
-from meibo.operators.lookup import BROADCAST_MAX_BYTES, first_match
+from meibo.operators.lookup import BROADCAST_MAX_BYTES, first_match, sized
 
 # Between the parts of a composite key; no cell holds it after ``strip_controls``.
 SEPARATOR = "\u0001"
@@ -77,15 +77,15 @@ def fill_by_prefix(
     wanted = is_blank(F.col(blank_col))
     if only is not None:
         wanted = wanted & only
-    table = distinct_values(
-        ref.select(match_text(F.col("prefix")).alias("key"), F.trim("code").alias("value"))
-    )
+    pairs = ref.select(match_text(F.col("prefix")).alias("key"), F.trim("code").alias("value"))
+    table, small = sized(distinct_values(pairs), max_bytes)
     text = F.when(wanted, match_text(F.col(text_col)))
     found = first_match(
         rows.withColumn("_text", text),
         ["_text"],
         prefixes(F.col("_text"), prefix_lengths(table)),
         table,
+        small,
         max_bytes,
     )
     return _filled(found, blank_col, status_col, rows.columns)
@@ -134,5 +134,6 @@ def fill_by_key(
     parts = {c: F.when(wanted, F.coalesce(f(F.col(c)), F.lit(""))) for c, f in norms.items()}
     keyed = rows.withColumns({f"_part_{c}": part for c, part in parts.items()})
     keys = _tier_keys([[F.nullif(F.col(f"_part_{c}"), F.lit("")) for c in tier] for tier in tiers])
-    found = first_match(keyed, [f"_part_{c}" for c in parts], keys, index, max_bytes)
+    table, small = sized(index, max_bytes)
+    found = first_match(keyed, [f"_part_{c}" for c in parts], keys, table, small, max_bytes)
     return _filled(found, blank_col, status_col, rows.columns)

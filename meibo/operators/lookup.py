@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from meibo.operators.staging import stage
@@ -29,15 +29,15 @@ HOT_KEYS = 512
 MAX_PROBES = 48
 
 
-def table_bytes(table: DataFrame) -> int:
-    """Size of ``table`` as JSON text plus a fixed overhead per row; one aggregate, one row back."""
-    width = F.octet_length(F.to_json(F.struct("*"))) + 32
-    return table.select(F.sum(width.cast("long"))).first()[0] or 0
-
+def sized(table: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> tuple[DataFrame, bool]:
+    """The table, computed once into a staged copy, and whether it may be broadcast.
 
-def fits_broadcast(table: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
-    """True when the measured size of ``table`` is within ``max_bytes``."""
-    return max_bytes > 0 and table_bytes(table) <= max_bytes
+    The size is taken while writing: JSON text of every row plus a fixed overhead.
+    """
+    width = F.octet_length(F.to_json(F.struct("*"))) + 32
+    size = Observation()
+    staged = stage(table.observe(size, F.sum(width.cast("long")).alias("bytes")), "table")
+    return staged, (size.get["bytes"] or 0) <= max_bytes
 
 
 def _all_present(columns: list[str]) -> Column:
@@ -55,7 +55,8 @@ def lookup_join(
 
     ``how`` is ``left`` or ``inner``. Rows with a null in ``on`` match nothing.
     """
-    if fits_broadcast(table, max_bytes):
+    table, small = sized(table, max_bytes)
+    if small:
         return rows.join(F.broadcast(table), on, how)
 
     # Written once, then read column-wise by the three steps below.
@@ -81,16 +82,19 @@ def first_match(
     subject: list[str],
     candidates: list[Column],
     table: DataFrame,
+    small: bool,
     max_bytes: int = BROADCAST_MAX_BYTES,
 ) -> DataFrame:
     """Add the columns of ``table`` for the first candidate key that ``table`` holds.
 
     ``candidates`` are string expressions over the ``subject`` columns, best first; a null
-    candidate is skipped. ``table`` has a unique column ``key`` and at least one more column.
-    A row with a null subject column gets nulls.
+    candidate is skipped. ``table`` comes from :func:`sized`, as does ``small``, and has a unique
+    column ``key`` and at least one more column. A row with a null subject column gets nulls.
     """
     payload = [c for c in table.columns if c != "key"]
-    if len(candidates) <= MAX_PROBES and fits_broadcast(table, max_bytes):
+    if not candidates:
+        return rows.withColumns({c: F.lit(None).cast(table.schema[c].dataType) for c in payload})
+    if small and len(candidates) <= MAX_PROBES:
         return _probe(rows, candidates, table, payload)
     return _explode(rows, subject, candidates, table, payload, max_bytes)
 
@@ -107,11 +111,11 @@ def _probe(rows, candidates, table, payload):
 
 
 def _explode(rows, subject, candidates, table, payload, max_bytes):
-    """Candidates of every distinct subject, joined by shuffle; the best one is joined back."""
+    """Candidates of every distinct subject, joined by equality; the best one is joined back."""
     wanted = rows.select(*subject).where(_all_present(subject)).distinct()
     tries = wanted.select(*subject, F.posexplode(F.array(*candidates)).alias("_rank", "key"))
     tries = tries.where(F.col("key").isNotNull())
     found = lookup_join(tries, ["key"], table, "inner", max_bytes)
     best = found.groupBy(*subject).agg(F.min(F.struct("_rank", *payload)).alias("_best"))
     best = best.select(*subject, *[F.col("_best")[c].alias(c) for c in payload])
-    return lookup_join(rows, subject, stage(best, "lookup-best"), "left", max_bytes)
+    return lookup_join(rows, subject, best, "left", max_bytes)

@@ -39,22 +39,23 @@ OPS = {
 RULES_PER_ARRAY = 256
 
 
-def _violated(rule: Column, columns: list[str]) -> Column:
-    """Whether the row breaks ``rule``; an unknown op or column stops the job."""
+def _violated(rule: Column, kinds: list[tuple[str, str]]) -> Column:
+    """Whether the row breaks ``rule``, whose kind is one of the (op, column) pairs."""
+    cases = F.when(F.lit(False), F.lit(False))
+    for op, column in kinds:
+        broken = OPS[op](F.col(column).cast("string"), rule["arg"])
+        cases = cases.when((rule["op"] == op) & (rule["column"] == column), broken)
+    return F.coalesce(cases, F.lit(False))
 
-    def by_column(op) -> Column:
-        cases = F.when(F.lit(False), F.lit(False))
-        for c in columns:
-            broken = F.coalesce(op(F.col(c).cast("string"), rule["arg"]), F.lit(False))
-            cases = cases.when(rule["column"] == c, broken)
-        message = F.concat(F.lit("rule names an unknown column: "), rule["column"])
-        return cases.otherwise(F.raise_error(message).cast("boolean"))
 
-    cases = F.when(F.lit(False), F.lit(False))
-    for name, op in OPS.items():
-        cases = cases.when(rule["op"] == name, by_column(op))
-    message = F.concat(F.lit("unknown rule op: "), F.coalesce(rule["op"], F.lit("null")))
-    return cases.otherwise(F.raise_error(message).cast("boolean"))
+def _kinds(rules: DataFrame, columns: list[str]) -> list[tuple[str, str]]:
+    """The (op, column) pairs that occur. An unknown op or column is an error."""
+    known = F.col("op").isin(list(OPS)) & F.col("column").isin(columns)
+    odd = rules.where(~F.coalesce(known, F.lit(False))).first()
+    if odd:
+        raise ValueError(f"unknown op or column in the rule {odd.asDict()}")
+    # At most one row per op and column.
+    return sorted(tuple(r) for r in rules.select("op", "column").distinct().collect())
 
 
 def apply_rules(
@@ -72,6 +73,7 @@ def apply_rules(
     """
     columns = columns or rows.columns
     rules = rules.select("customer", "column", "op", "arg").distinct()
+    kinds = _kinds(rules, columns)
     most = rules.groupBy("customer").count().agg(F.max("count")).first()[0] or 0
     arrays = -(-most // RULES_PER_ARRAY)
     rule = F.struct("op", "column", "arg")
@@ -85,7 +87,7 @@ def apply_rules(
         out = lookup_join(
             out.withColumn("_customer", F.col(customer)), ["_customer"], table, "left", max_bytes
         )
-        broken = F.filter(F.col(f"_rules{i}"), lambda r: _violated(r, columns))
+        broken = F.filter(F.col(f"_rules{i}"), lambda r: _violated(r, kinds))
         out = out.withColumn(f"_hit{i}", F.try_element_at(broken, F.lit(1))).drop(f"_rules{i}")
         hits.append(F.col(f"_hit{i}"))
     first = reduce(lambda a, b: F.least(a, b), hits) if hits else F.lit(None)

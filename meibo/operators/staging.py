@@ -31,7 +31,7 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str = "stage", partition_by: list[str] | None = None) -> DataFrame:
+def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once as Parquet and read it back.
 
     Lineage ends at the written files, so later steps read columns instead of computing the
@@ -39,6 +39,6 @@ def stage(df: DataFrame, label: str = "stage", partition_by: list[str] | None =
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.partitionBy(*(partition_by or [])).parquet(path)
+    df.write.parquet(path)
     # The schema is known; giving it saves the footer job of schema inference.
     return spark.read.schema(df.schema).parquet(path)

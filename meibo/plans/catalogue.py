@@ -217,12 +217,12 @@ def chain_exclude_contains(spark, sf_dir):
 
 @query
 def chain_exclude_contains_joined(spark, sf_dir):
-    return _chain_exclude_contains(spark, sf_dir, max_literals=0)
+    return _chain_exclude_contains(spark, sf_dir, max_in_pattern=0)
 
 
 @query
 def chain_exclude_contains_shuffled(spark, sf_dir):
-    return _chain_exclude_contains(spark, sf_dir, max_literals=0, max_bytes=0)
+    return _chain_exclude_contains(spark, sf_dir, max_in_pattern=0, max_bytes=0)
 
 
 def _chain_exclude_exact(spark, sf_dir, max_bytes):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meibo.functions.checks import Check
 from meibo.operators.area import check_area_code, corroborate
-from meibo.operators.audit import Fix, auto_fix, findings, fix_log, remember
+from meibo.operators.audit import Fix, auto_fix, check, fix_log, remember
 from meibo.operators.exclude import exclude_names, exclude_suffix, first_reason
 from meibo.operators.fill import fill_by_prefix
 from meibo.operators.lookup import BROADCAST_MAX_BYTES
@@ -18,7 +18,6 @@ from meibo.operators.rules import apply_rules
 from meibo.operators.staging import stage
 from meibo.sources.csv import write_csv, write_delivery, write_logs
 
-
 @dataclass
 class DeliveryConfig:
     """What to do with ``rows``. A step whose reference data is missing is left out."""
@@ -54,6 +53,12 @@ class Delivery(NamedTuple):
     findings: DataFrame
 
 
+def touched(cfg: DeliveryConfig) -> list[str]:
+    """The columns that the job may change."""
+    changed = set(cfg.fixes) | ({cfg.postal} if cfg.postal_ref is not None else set())
+    return [c for c in cfg.rows.columns if c in changed]
+
+
 def judge(cfg: DeliveryConfig) -> DataFrame:
     """Every input row with its cells before and after, its reason and its findings.
 
@@ -61,7 +66,8 @@ def judge(cfg: DeliveryConfig) -> DataFrame:
     the rows.
     """
     columns = cfg.rows.columns
-    rows = remember(cfg.rows, columns).withColumn("row_id", F.monotonically_increasing_id())
+    rows = remember(cfg.rows, touched(cfg)) if touched(cfg) else cfg.rows
+    rows = rows.withColumn("row_id", F.monotonically_increasing_id())
     rows = auto_fix(rows, cfg.fixes)
     reasons = []
     if cfg.rules is not None:
@@ -86,37 +92,33 @@ def judge(cfg: DeliveryConfig) -> DataFrame:
         rows = fill_by_prefix(
             rows, cfg.postal, cfg.address, cfg.postal_ref, only=kept, max_bytes=cfg.max_bytes
         ).drop("fill_status")
-    found = findings(cfg.checks) if cfg.checks else None
     if cfg.area_ref is not None:
         rows = check_area_code(rows, cfg.tel, cfg.area, cfg.area_ref, max_bytes=cfg.max_bytes)
-        verdict = F.struct(
-            F.lit(cfg.tel).alias("column_name"),
-            F.concat(F.lit("area_code_"), "verdict").alias("check_name"),
-            F.col(cfg.tel).cast("string").alias("value"),
-        )
-        wrong = F.filter(F.array(verdict), lambda v: ~v["check_name"].endswith("_ok"))
-        found = wrong if found is None else F.concat(found, wrong)
     if cfg.jobs is not None:
         rows = corroborate(rows, cfg.tel, cfg.jobs, cfg.jobs_tel, max_bytes=cfg.max_bytes)
-    if found is None:
-        found = F.filter(findings([Check("none", columns[0], lambda c: F.lit(False))]), lambda f: F.lit(False))
-    evidence = ["seen_in_jobs"] if cfg.jobs is not None else []
-    return rows.select(
-        "row_id", "before", *columns, "reason", found.alias("found"), *evidence, kept.alias("kept")
-    )
+    extra = [c for c in ("verdict", "seen_in_jobs") if c in rows.columns]
+    before = ["before"] if touched(cfg) else []
+    return rows.select("row_id", *before, *columns, "reason", *extra)
 
 
 def run_delivery(cfg: DeliveryConfig) -> Delivery:
-    """Judge all rows once, into a staged table split by ``kept``; the outputs read from it."""
-    columns = cfg.rows.columns
-    judged = stage(judge(cfg), "delivery", partition_by=["kept"])
-    kept = judged.where("kept")
+    """Judge all rows once, into a staged table; the outputs read from it."""
+    columns, changed = cfg.rows.columns, touched(cfg)
+    judged = stage(judge(cfg), "delivery")
+    kept = judged.where(F.col("reason").isNull())
+    excluded = judged.where(F.col("reason").isNotNull())
+    came_in = [F.col("before")[c].alias(c) if c in changed else F.col(c) for c in columns]
+    checks = list(cfg.checks)
+    if cfg.area_ref is not None:
+        for verdict in ("mismatch", "unknown_code"):
+            wrong = F.col("verdict") == verdict
+            checks.append(Check(f"area_code_{verdict}", cfg.tel, lambda c, wrong=wrong: wrong))
     evidence = ["seen_in_jobs"] if cfg.jobs is not None else []
     return Delivery(
         delivered=kept.select(*columns),
-        log=fix_log(kept, ["row_id"], columns),
-        excluded=judged.where("not kept").select("row_id", "before.*", "reason"),
-        findings=kept.select("row_id", *evidence, F.inline("found")),
+        log=fix_log(kept, ["row_id"], changed),
+        excluded=excluded.select("row_id", *came_in, "reason"),
+        findings=check(kept, ["row_id", *evidence], checks),
     )
 
 
