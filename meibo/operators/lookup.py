@@ -100,14 +100,20 @@ def first_match(
 
 
 def _probe(rows, candidates, table, payload):
-    """One broadcast of the table, probed once per candidate: no shuffle, no row identity."""
+    """One broadcast of the table, probed once per candidate: no shuffle, no row identity.
+
+    A row that has its answer probes no further, as its next keys are null.
+    """
     packed = table.select("key", F.struct(*payload).alias("hit"))
     out = rows
     for i, candidate in enumerate(candidates):
-        side = packed.select(F.col("key").alias(f"_key{i}"), F.col("hit").alias(f"_hit{i}"))
-        out = out.join(F.broadcast(side), candidate == F.col(f"_key{i}"), "left")
-    hit = F.coalesce(*[F.col(f"_hit{i}") for i in range(len(candidates))])
-    return out.select(*rows.columns, *[hit[c].alias(c) for c in payload])
+        if i:
+            candidate = F.when(F.col("_hit").isNull(), candidate)
+        side = packed.select(F.col("key").alias("_key"), F.col("hit").alias("_new"))
+        out = out.join(F.broadcast(side), candidate == F.col("_key"), "left")
+        hit = F.coalesce("_hit", "_new") if i else F.col("_new")
+        out = out.select(*rows.columns, hit.alias("_hit"))
+    return out.select(*rows.columns, *[F.col("_hit")[c].alias(c) for c in payload])
 
 
 def _explode(rows, subject, candidates, table, payload, max_bytes):
