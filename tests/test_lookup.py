@@ -1,0 +1,50 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from meibo.operators import lookup
+from meibo.operators.lookup import lookup_join
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+@pytest.mark.parametrize("hot_keys", [1, 3, 100])
+def test_shuffled_form_equals_plain_join(spark, monkeypatch, how, hot_keys):
+    """A third of the rows share one key, a third have none."""
+    monkeypatch.setattr(lookup, "HOT_KEYS", hot_keys)
+    dice = random.Random(7)
+    keys = ["hot"] * 300 + [None] * 300 + [f"k{dice.randrange(40)}" for _ in range(300)]
+    rows = spark.createDataFrame([(i, k, "x") for i, k in enumerate(keys)], "id int, k string, x string")
+    answers = [("hot", 1)] + [(f"k{i}", i) for i in range(0, 40, 2)]
+    table = spark.createDataFrame(answers, "k string, v int")
+    known = dict(answers)
+    want = sorted(
+        (i, k or "", known.get(k, -1)) for i, k in enumerate(keys) if how == "left" or k in known
+    )
+    out = lookup_join(rows, ["k"], table, how, max_bytes=0)
+    assert out.columns == ["id", "k", "x", "v"]
+    assert sorted((r["id"], r["k"] or "", -1 if r["v"] is None else r["v"]) for r in out.collect()) == want
+
+
+def test_hot_keys_without_an_answer(spark):
+    rows = spark.createDataFrame([("a",)] * 5 + [("b",)], "k string")
+    table = spark.createDataFrame([("b", 1)], "k string, v int")
+    out = lookup_join(rows, ["k"], table, max_bytes=0)
+    assert out.where("k = 'a' and v is null").count() == 5
+    assert out.where("k = 'b' and v = 1").count() == 1
+
+
+def test_two_key_columns_with_nulls(spark):
+    rows = spark.createDataFrame([("a", "1"), ("a", None), (None, None)], "k string, l string")
+    table = spark.createDataFrame([("a", "1", "yes"), ("a", "2", "no")], "k string, l string, v string")
+    for max_bytes in (0, lookup.BROADCAST_MAX_BYTES):
+        out = lookup_join(rows, ["k", "l"], table, max_bytes=max_bytes)
+        assert sorted(r["v"] or "" for r in out.collect()) == ["", "", "yes"]
+
+
+def test_size_is_measured(spark):
+    table = spark.range(1000).select(F.col("id").cast("string").alias("key"), F.lit("v" * 100).alias("v"))
+    copy, small = lookup.sized(table, 100_000)
+    assert not small and copy.count() == 1000
+    assert lookup.sized(table, 1_000_000)[1]
+    assert lookup.sized(table.limit(0), 1)[1]
