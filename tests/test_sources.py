@@ -1,0 +1,188 @@
+import pytest
+from conftest import rows_of
+
+from meibo.operators.merge import merge
+from meibo.plans.folder import process_folder
+from meibo.sources import csv as S
+from meibo.sources.reference import read_name_list, read_postal_ref, read_prefix_ref, read_rules
+from meibo.streaming.intake import process_new_files
+
+HEADER = "customer,name,address,postal,tel,area,contact\n"
+DELIVERY = HEADER + (
+    'A社,"渋谷""本""店",東京都渋谷区１−２,,0312345678,東京,\n'
+    'A社, 空白 ,東京都,"",090,"　",佐藤\n'
+    "B社,同じ,大阪府,0010000,06,大阪,甲\n"
+    "B社,同じ,大阪府,0010000,06,大阪,甲\n"
+)
+
+
+@pytest.fixture
+def files(tmp_path):
+    def write(**texts):
+        for name, text in texts.items():
+            data = text if isinstance(text, bytes) else text.encode()
+            (tmp_path / f"{name}.csv").write_bytes(data)
+        return str(tmp_path)
+
+    return write
+
+
+def test_cells_stay_strings(spark, files):
+    rows = rows_of(S.read_csv(spark, files(delivery=DELIVERY)).select("name", "postal", "tel", "area"))
+    assert rows == sorted([
+        ('渋谷"本"店', None, "0312345678", "東京"),
+        (" 空白 ", None, "090", "　"),  # a quoted empty cell is read as null; both are blank
+        ("同じ", "0010000", "06", "大阪"),
+        ("同じ", "0010000", "06", "大阪"),
+    ], key=repr)
+
+
+def test_byte_order_mark(spark, files):
+    df = S.read_csv(spark, files(a="﻿" + DELIVERY))
+    assert df.columns[0] == "customer" and df.where("customer = 'A社'").count() == 2
+
+
+def test_reordered_columns_are_matched_by_name(spark, files):
+    df = S.read_csv(spark, files(a="x,y\n1,2\n", b="y,x\n4,3\n"), source_col="src")
+    assert df.columns == ["x", "y", "src"]
+    assert [r[:2] for r in rows_of(df)] == [("1", "2"), ("3", "4")]
+    assert sorted(r["src"].rsplit("/", 1)[1] for r in df.collect()) == ["a.csv", "b.csv"]
+
+
+def test_other_columns_name_the_file(spark, files):
+    with pytest.raises(ValueError, match="b.csv.*extra"):
+        S.read_csv(spark, files(a="x,y\n1,2\n", b="x,y,extra\n1,2,3\n"))
+
+
+def test_repeated_header_is_refused(spark, files):
+    with pytest.raises(ValueError, match="a.csv.*twice.*x"):
+        S.read_csv(spark, files(a="x,y,x\n1,2,3\n"))
+
+
+def test_header_with_line_break_is_refused(spark, files):
+    with pytest.raises(ValueError, match="line break"):
+        S.read_csv(spark, files(a='x,"y\nz"\n1,2\n'))
+
+
+def test_line_break_in_a_cell(spark, files):
+    df = S.read_csv(spark, files(a='x,y\n"1\n2",3\n'), multi_line=True)
+    assert rows_of(df) == [("1\n2", "3")]
+
+
+def test_rows_that_do_not_fit_are_kept(spark, files):
+    df = S.read_csv(spark, files(a="x,y\n1,2\n1,2,3\n"), bad_rows="raw")
+    assert sorted(r["raw"] or "" for r in df.collect()) == ["", "1,2,3"]
+
+
+def test_odd_file_names(spark, files):
+    path = files(**{"東京 a%20+b[1]{x}": "x,y\n1,2\n", "b": "y,x\n4,3\n"})
+    df = S.read_csv(spark, path, source_col="src")
+    assert rows_of(df.select("x", "y")) == [("1", "2"), ("3", "4")]
+    assert any(r["src"].endswith("/東京 a%20+b[1]{x}.csv") for r in df.collect())
+
+
+def test_large_file_header_and_rows(spark, files):
+    path = files(a="x,y\n" + "1,2\n" * 200_000)
+    assert list(S.headers(spark, [path]).values()) == [["x", "y"]]
+    assert S.read_csv(spark, path).count() == 200_000
+
+
+def test_job_files(spark, files):
+    path = files(
+        a="名称,TEL,担当者\n山田,03,佐藤\n,04,\n",
+        b="職種,担当者,名称,TEL\n販売,鈴木,田中,05\n",
+    )
+    df = S.read_csv_set(spark, [path], ["名称", "TEL", "担当者"])
+    assert df.columns == ["名称", "TEL", "担当者"]
+    assert rows_of(df) == sorted([("山田", "03", "佐藤"), (None, "04", None), ("田中", "05", "鈴木")], key=repr)
+
+
+def test_missing_job_column_is_named(spark, files):
+    with pytest.raises(ValueError, match="jobs_missing.csv.*担当者"):
+        S.read_csv_set(spark, files(jobs_missing="名称,TEL\nx,1\n"), ["名称", "TEL", "担当者"])
+
+
+def test_japanese_encoding(spark, files):
+    path = files(a="名称,住所\n髙島屋,東京\n".encode("cp932"))
+    key = "spark.sql.legacy.javaCharsets"
+    spark.conf.set(key, "true")
+    try:
+        assert rows_of(S.read_csv(spark, path, encoding="MS932")) == [("髙島屋", "東京")]
+    finally:
+        spark.conf.unset(key)
+
+
+def test_written_cells_come_back(spark, table, tmp_path):
+    rows = [(" a ", 'b "x"', "　", "0010"), ("", "c,d", None, "髙")]
+    S.write_csv(table("p q r s", rows), str(tmp_path / "out"))
+    back = S.read_csv(spark, str(tmp_path / "out"))
+    assert rows_of(back) == sorted([(" a ", 'b "x"', "　", "0010"), (None, "c,d", None, "髙")], key=repr)
+    with pytest.raises(Exception, match="(?i)already.?exists"):
+        S.write_csv(back, str(tmp_path / "out"))
+
+
+def test_prefix_reference(spark, files):
+    path = files(postal="県,市,番号\n東京都,港区 ,105\n東京都,港区,105\n大阪府,,530\n,,1\n京都府,x,\n")
+    df = read_prefix_ref(spark, path, ["県", "市"], "番号")
+    assert rows_of(df) == [("大阪府", "530"), ("東京都港区", "105")]
+
+
+def test_postal_reference(spark, files):
+    def line(code, town):
+        return f'13101,"100  ","{code}","ﾄｳｷｮｳﾄ","ﾁﾖﾀﾞｸ","ｶﾅ","東京都","千代田区","{town}",0,0,0,0,0,0\n'
+
+    path = files(ken=line("1000000", "以下に掲載がない場合") + line("1020072", "飯田橋") + line("1006890", "大手町（地階・階層不明）"))
+    assert rows_of(read_postal_ref(spark, path)) == [
+        ("東京都千代田区", "1000000"), ("東京都千代田区大手町", "1006890"), ("東京都千代田区飯田橋", "1020072"),
+    ]
+
+
+def test_name_list(spark, tmp_path):
+    (tmp_path / "chains.txt").write_text("すきや\n\n   \n 松(+) \nすきや\n　\n")
+    (tmp_path / "more.txt").write_text("松(+)\n王将\n")
+    paths = [str(tmp_path / "chains.txt"), str(tmp_path / "more.txt")]
+    assert rows_of(read_name_list(spark, paths)) == [("すきや",), ("松(+)",), ("王将",)]
+
+
+def test_rules_file(spark, tmp_path):
+    path = tmp_path / "rules.json"
+    path.write_text('[{"customer": "A社", "column": "name", "op": "exclude_suffix", "arg": "本店"},\n'
+                    ' {"customer": "A社", "column": "age", "op": "min", "arg": "3"}]')
+    assert rows_of(read_rules(spark, str(path))) == [
+        ("A社", "age", "min", "3"), ("A社", "name", "exclude_suffix", "本店"),
+    ]
+    path.write_text('[{"customer": "A社", "column": "name", "op": "guess", "arg": "x"}]')
+    with pytest.raises(Exception, match="guess"):
+        read_rules(spark, str(path)).collect()
+
+
+def test_merge(table):
+    a, b = table("x y", [("1", "2"), ("1", "2")]), table("y x", [("4", "3")])
+    assert rows_of(merge({"a": a, "b": b})) == [("1", "2"), ("1", "2"), ("3", "4")]
+    assert rows_of(merge({"b": b, "a": a}).select("x", "y")) == rows_of(merge({"a": a, "b": b}))
+    assert rows_of(merge({"a": a, "b": b}, "src"))[0] == ("1", "2", "a")
+    with pytest.raises(ValueError, match="odd.*z"):
+        merge({"a": a, "odd": table("x y z", [])})
+
+
+def test_folder(spark, files, tmp_path):
+    path = files(東京="x,y\n1,2\n", 大阪="y,x\n4,3\n5,6\n")
+    out = str(tmp_path / "out")
+    process_folder(spark, path, lambda rows: rows.where("x <> '6'"), out)
+    back = spark.read.option("header", True).csv(out)
+    assert rows_of(back.select("x", "y", "source_file")) == [("1", "2", "東京.csv"), ("3", "4", "大阪.csv")]
+
+
+def test_only_new_files_are_processed(spark, files, tmp_path):
+    (tmp_path / "in").mkdir()
+    out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
+
+    def run():
+        process_new_files(spark, str(tmp_path / "in"), out, ["x"], lambda rows: rows.where("x <> '0'"), progress)
+        return rows_of(S.read_csv(spark, out))
+
+    (tmp_path / "in" / "a.csv").write_text("x\n1\n0\n")
+    assert run() == [("1",)]
+    (tmp_path / "in" / "b.csv").write_text("x\n2\n2\n")
+    assert run() == [("1",), ("2",), ("2",)]
+    assert run() == [("1",), ("2",), ("2",)]
