@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meibo.functions.names import col, cols
 from meibo.functions.text import digits, match_text
 from meibo.operators.fill import prefix_lengths, prefixes
 from meibo.operators.lookup import BROADCAST_MAX_BYTES, first_match, lookup_join, sized
@@ -32,7 +33,7 @@ def check_area_code(
         listed.select(F.col("_code").alias("key"), F.col("_code")).distinct(), max_bytes
     )
     coded = first_match(
-        rows.withColumns({"_tel": digits(F.col(tel)), "_area": match_text(F.col(area))}),
+        rows.withColumns({"_tel": digits(col(tel)), "_area": match_text(col(area))}),
         ["_tel"],
         prefixes(F.col("_tel"), prefix_lengths(codes)),
         codes,
@@ -47,7 +48,7 @@ def check_area_code(
         .when(F.col("_served"), "ok")
         .otherwise("mismatch")
     )
-    return judged.select(*rows.columns, verdict.alias(verdict_col))
+    return judged.select(*cols(rows.columns), verdict.alias(verdict_col))
 
 
 def corroborate(
@@ -60,11 +61,11 @@ def corroborate(
 ) -> DataFrame:
     """Add whether the phone number also stands in the job data. Evidence beside the verdict."""
     phones = (
-        jobs.select(digits(F.col(jobs_tel)).alias("_tel"))
+        jobs.select(digits(col(jobs_tel)).alias("_tel"))
         .where(F.col("_tel").isNotNull())
         .distinct()
         .withColumn("_seen", F.lit(True))
     )
-    keyed = rows.withColumn("_tel", digits(F.col(tel)))
+    keyed = rows.withColumn("_tel", digits(col(tel)))
     seen = lookup_join(keyed, ["_tel"], phones, "left", max_bytes)
-    return seen.select(*rows.columns, F.col("_seen").isNotNull().alias(seen_col))
+    return seen.select(*cols(rows.columns), F.col("_seen").isNotNull().alias(seen_col))

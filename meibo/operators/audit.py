@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meibo.functions.checks import Check
+from meibo.functions import names as N
 
 Fix = Callable[[Column], Column]
 
@@ -19,7 +20,7 @@ FINDING_COLUMNS = ["column_name", "check_name", "value"]
 
 def remember(rows: DataFrame, cols: list[str], before_col: str = "before") -> DataFrame:
     """Keep the present values of ``cols`` beside the row, for :func:`fix_log`."""
-    return rows.withColumn(before_col, F.struct(*cols))
+    return rows.withColumn(before_col, F.struct(*N.cols(cols)))
 
 
 def auto_fix(rows: DataFrame, fixes: dict[str, list[Fix]]) -> DataFrame:
@@ -29,11 +30,11 @@ def auto_fix(rows: DataFrame, fixes: dict[str, list[Fix]]) -> DataFrame:
         raise ValueError(f"no such column: {', '.join(unknown)}")
     fixed = {}
     for column, steps in fixes.items():
-        cell = F.col(column)
+        cell = N.col(column)
         for step in steps:
             cell = step(cell)
         fixed[column] = cell
-    return rows.select(*[fixed[c].alias(c) if c in fixed else F.col(c) for c in rows.columns])
+    return rows.select(*[fixed[c].alias(c) if c in fixed else N.col(c) for c in rows.columns])
 
 
 def fix_log(
@@ -41,32 +42,32 @@ def fix_log(
 ) -> DataFrame:
     """One row per changed cell: ``key``, ``column_name``, ``before_value``, ``after_value``."""
     if not cols:
-        return rows.select(*key, *[F.lit("").alias(c) for c in LOG_COLUMNS]).limit(0)
-    changed = [~F.col(before_col)[c].eqNullSafe(F.col(c)) for c in cols]
+        return rows.select(*N.cols(key), *[F.lit("").alias(c) for c in LOG_COLUMNS]).limit(0)
+    changed = [~F.col(before_col)[c].eqNullSafe(N.col(c)) for c in cols]
     cells = [
         F.struct(
             F.lit(c).alias("column_name"),
             F.col(before_col)[c].cast("string").alias("before_value"),
-            F.col(c).cast("string").alias("after_value"),
+            N.col(c).cast("string").alias("after_value"),
         )
         for c in cols
     ]
     # Most rows have no change, so they are dropped before they become one row per column.
-    log = rows.where(reduce(or_, changed)).select(*key, F.inline(F.array(*cells)))
+    log = rows.where(reduce(or_, changed)).select(*N.cols(key), F.inline(F.array(*cells)))
     return log.where("not before_value <=> after_value")
 
 
 def check(rows: DataFrame, key: list[str], checks: list[Check]) -> DataFrame:
     """One row per broken check: ``key``, ``column_name``, ``check_name``, ``value``."""
     if not checks:
-        return rows.select(*key, *[F.lit("").alias(c) for c in FINDING_COLUMNS]).limit(0)
+        return rows.select(*N.cols(key), *[F.lit("").alias(c) for c in FINDING_COLUMNS]).limit(0)
     found = [
         F.struct(
             F.lit(test.column).alias("column_name"),
             F.lit(test.name).alias("check_name"),
-            F.col(test.column).cast("string").alias("value"),
-            F.coalesce(test.broken(F.col(test.column)), F.lit(False)).alias("_broken"),
+            N.col(test.column).cast("string").alias("value"),
+            F.coalesce(test.broken(N.col(test.column)), F.lit(False)).alias("_broken"),
         )
         for test in checks
     ]
-    return rows.select(*key, F.inline(F.array(*found))).where("_broken").drop("_broken")
+    return rows.select(*N.cols(key), F.inline(F.array(*found))).where("_broken").drop("_broken")

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meibo.functions.names import col, cols
 from meibo.functions.text import match_text, trim_spaces
 from meibo.operators.lookup import BROADCAST_MAX_BYTES, lookup_join
 
@@ -18,7 +19,7 @@ def exclude_suffix(
     rows: DataFrame, name: str, suffix: str = "店", reason_col: str = "reason", reason: str = "branch"
 ) -> DataFrame:
     """Mark names that end in ``suffix`` with something before it."""
-    c = trim_spaces(F.col(name))
+    c = trim_spaces(col(name))
     hit = c.endswith(suffix) & (F.length(c) > len(suffix))
     return rows.withColumn(reason_col, F.when(hit, reason))
 
@@ -43,7 +44,7 @@ def exclude_names(
         .where(F.col("_listed").isNotNull())
         .distinct()
     )
-    keyed = rows.withColumn("_name", match_text(F.col(name)))
+    keyed = rows.withColumn("_name", match_text(col(name)))
     if match == "exact":
         table = listed.select(F.col("_listed").alias("_name"), F.lit(True).alias("_hit"))
         hits = lookup_join(keyed, ["_name"], table, "left", max_bytes)
@@ -57,7 +58,7 @@ def exclude_names(
             hits = lookup_join(keyed, ["_name"], table, "left", max_bytes)
     else:
         raise ValueError(f"match must be 'exact' or 'contains', not {match!r}")
-    return hits.select(*rows.columns, F.when(F.col("_hit"), reason).alias(reason_col))
+    return hits.select(*cols(rows.columns), F.when(F.col("_hit"), reason).alias(reason_col))
 
 
 def any_of_pattern(needles: list[str]) -> str:
@@ -96,11 +97,11 @@ def _names_holding(keyed: DataFrame, listed: DataFrame, max_bytes: int) -> DataF
     """Distinct names that contain a listed name: pieces of every name, joined by equality."""
     lengths = listed.select(F.collect_set(F.length("_listed"))).first()[0]
     distinct = keyed.select("_name").where(F.col("_name").isNotNull()).distinct()
-    pieces = F.transform(
-        F.array(*[F.lit(n) for n in sorted(lengths)]),
-        lambda n: F.coalesce(_pieces(F.col("_name"), n), F.array().cast("array<string>")),
-    )
-    tries = distinct.select("_name", F.explode(F.array_distinct(F.flatten(pieces))).alias("_listed"))
+    # One length at a time, so that no row holds the pieces of all lengths at once.
+    sizes = F.array(*[F.lit(n) for n in sorted(lengths)])
+    by_size = distinct.select("_name", F.explode(sizes).alias("_size"))
+    pieces = _pieces(F.col("_name"), F.col("_size"))
+    tries = by_size.select("_name", F.explode(pieces).alias("_listed"))
     table = listed.withColumn("_hit", F.lit(True))
     found = lookup_join(tries, ["_listed"], table, "inner", max_bytes)
     return found.select("_name", "_hit").distinct()
@@ -109,12 +110,12 @@ def _names_holding(keyed: DataFrame, listed: DataFrame, max_bytes: int) -> DataF
 def first_reason(rows: DataFrame, reason_cols: list[str], reason_col: str = "reason") -> DataFrame:
     """Replace several reason columns by the first one that is set."""
     return rows.select(
-        *[c for c in rows.columns if c not in reason_cols],
-        F.coalesce(*[F.col(c) for c in reason_cols]).alias(reason_col),
+        *cols(c for c in rows.columns if c not in reason_cols),
+        F.coalesce(*cols(reason_cols)).alias(reason_col),
     )
 
 
 def split(rows: DataFrame, reason_col: str = "reason") -> tuple[DataFrame, DataFrame]:
     """(kept, excluded). ``rows`` is read once per side, so pass a staged table when it is costly."""
-    kept = rows.where(F.col(reason_col).isNull()).drop(reason_col)
-    return kept, rows.where(F.col(reason_col).isNotNull())
+    kept = rows.where(col(reason_col).isNull()).drop(reason_col)
+    return kept, rows.where(col(reason_col).isNotNull())

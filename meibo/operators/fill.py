@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meibo.functions.names import col
 from meibo.functions.text import blank_to_null, digits, is_blank, match_text
 from meibo.operators.lookup import BROADCAST_MAX_BYTES, first_match, sized
 
@@ -46,16 +47,16 @@ def prefixes(text: Column, lengths: list[int]) -> list[Column]:
 
 
 def _filled(rows: DataFrame, blank_col: str, status_col: str, columns: list[str]) -> DataFrame:
-    blank = is_blank(F.col(blank_col))
+    blank = is_blank(col(blank_col))
     status = (
         F.when(~blank, "kept")
         .when(F.col("n_values") == 1, "filled")
         .when(F.col("n_values") > 1, "ambiguous")
         .otherwise("no_match")
     )
-    value = F.when(blank & (F.col("n_values") == 1), F.col("value")).otherwise(F.col(blank_col))
+    value = F.when(blank & (F.col("n_values") == 1), F.col("value")).otherwise(col(blank_col))
     return rows.select(
-        *[value.alias(c) if c == blank_col else F.col(c) for c in columns],
+        *[value.alias(c) if c == blank_col else col(c) for c in columns],
         status.alias(status_col),
     )
 
@@ -74,12 +75,12 @@ def fill_by_prefix(
     ``ref`` has ``prefix`` and ``code``. A longest prefix with several codes is ambiguous; shorter
     ones are not tried then. Rows outside ``only`` are not looked up.
     """
-    wanted = is_blank(F.col(blank_col))
+    wanted = is_blank(col(blank_col))
     if only is not None:
         wanted = wanted & only
     pairs = ref.select(match_text(F.col("prefix")).alias("key"), F.trim("code").alias("value"))
     table, small = sized(distinct_values(pairs), max_bytes)
-    text = F.when(wanted, match_text(F.col(text_col)))
+    text = F.when(wanted, match_text(col(text_col)))
     found = first_match(
         rows.withColumn("_text", text),
         ["_text"],
@@ -105,11 +106,10 @@ def build_index(jobs: DataFrame, tiers: list[dict], value: str) -> DataFrame:
     A tier maps the columns of its key to the function that normalises them, such as
     ``{"name": AS_NAME, "tel": AS_PHONE}``. All tiers share one shuffle.
     """
-    keys = _tier_keys([[norm(F.col(c)) for c, norm in tier.items()] for tier in tiers])
-    pairs = jobs.select(
-        F.explode(F.array(*keys)).alias("key"), blank_to_null(F.col(value)).alias("value")
-    )
-    return distinct_values(pairs)
+    keys = _tier_keys([[norm(col(c)) for c, norm in tier.items()] for tier in tiers])
+    known = jobs.select(F.array(*keys).alias("keys"), blank_to_null(col(value)).alias("value"))
+    known = known.where(F.col("value").isNotNull())
+    return distinct_values(known.select(F.explode("keys").alias("key"), "value"))
 
 
 def fill_by_key(
@@ -126,14 +126,14 @@ def fill_by_key(
     ``tiers`` is as in :func:`build_index` with the column names of ``rows``. An ambiguous tier
     ends the search.
     """
-    wanted = is_blank(F.col(blank_col))
+    wanted = is_blank(col(blank_col))
     if only is not None:
         wanted = wanted & only
     norms = {c: norm for tier in tiers for c, norm in tier.items()}
     # Blank parts become '' so that the parts together still identify a row's key.
-    parts = {c: F.when(wanted, F.coalesce(f(F.col(c)), F.lit(""))) for c, f in norms.items()}
+    parts = {c: F.when(wanted, F.coalesce(f(col(c)), F.lit(""))) for c, f in norms.items()}
     keyed = rows.withColumns({f"_part_{c}": part for c, part in parts.items()})
-    keys = _tier_keys([[F.nullif(F.col(f"_part_{c}"), F.lit("")) for c in tier] for tier in tiers])
+    keys = _tier_keys([[F.nullif(col(f"_part_{c}"), F.lit("")) for c in tier] for tier in tiers])
     table, small = sized(index, max_bytes)
     found = first_match(keyed, [f"_part_{c}" for c in parts], keys, table, small, max_bytes)
     return _filled(found, blank_col, status_col, rows.columns)

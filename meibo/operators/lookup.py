@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from meibo.functions.names import cols
 from meibo.operators.staging import stage
 
 # A table is broadcast only when its measured size is at most this.
@@ -41,7 +42,7 @@ def sized(table: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> tuple[DataF
 
 
 def _all_present(columns: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+    return reduce(lambda a, b: a & b, [c.isNotNull() for c in cols(columns)])
 
 
 def lookup_join(
@@ -50,20 +51,23 @@ def lookup_join(
     table: DataFrame,
     how: str = "left",
     max_bytes: int = BROADCAST_MAX_BYTES,
+    small: bool | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``table`` on the columns ``on``, which are unique in ``table``.
 
-    ``how`` is ``left`` or ``inner``. Rows with a null in ``on`` match nothing.
+    ``how`` is ``left`` or ``inner``. Rows with a null in ``on`` match nothing. ``small`` is
+    given when ``table`` comes from :func:`sized`.
     """
-    table, small = sized(table, max_bytes)
+    if small is None:
+        table, small = sized(table, max_bytes)
     if small:
         return rows.join(F.broadcast(table), on, how)
 
     # Written once, then read column-wise by the three steps below.
     rows = stage(rows, "lookup-rows")
     present = _all_present(on)
-    counts = rows.where(present).groupBy(*on).count()
-    hot = stage(counts.orderBy(F.desc("count"), *on).limit(HOT_KEYS).select(*on), "lookup-hot")
+    counts = rows.where(present).groupBy(*cols(on)).count()
+    hot = stage(counts.orderBy(F.desc("count"), *cols(on)).limit(HOT_KEYS).select(*cols(on)), "lookup-hot")
     # HOT_KEYS rows at most, the table being unique in ``on``.
     answers = table.join(F.broadcast(hot), on, "inner")
     rest = rows.where(present).join(F.broadcast(hot), on, "left_anti")
@@ -73,7 +77,7 @@ def lookup_join(
         hot = hot.join(F.broadcast(answers), on, "left").withColumn("_hot", F.lit(True))
         near = rows.join(F.broadcast(hot), on, "left").where(F.col("_hot") | ~present).drop("_hot")
     return near.unionByName(rest.join(table, on, how)).select(
-        *rows.columns, *[c for c in table.columns if c not in on]
+        *cols(rows.columns), *cols(c for c in table.columns if c not in on)
     )
 
 
@@ -96,7 +100,7 @@ def first_match(
         return rows.withColumns({c: F.lit(None).cast(table.schema[c].dataType) for c in payload})
     if small and len(candidates) <= MAX_PROBES:
         return _probe(rows, candidates, table, payload)
-    return _explode(rows, subject, candidates, table, payload, max_bytes)
+    return _explode(rows, subject, candidates, table, payload, small, max_bytes)
 
 
 def _probe(rows, candidates, table, payload):
@@ -112,16 +116,16 @@ def _probe(rows, candidates, table, payload):
         side = packed.select(F.col("key").alias("_key"), F.col("hit").alias("_new"))
         out = out.join(F.broadcast(side), candidate == F.col("_key"), "left")
         hit = F.coalesce("_hit", "_new") if i else F.col("_new")
-        out = out.select(*rows.columns, hit.alias("_hit"))
-    return out.select(*rows.columns, *[F.col("_hit")[c].alias(c) for c in payload])
+        out = out.select(*cols(rows.columns), hit.alias("_hit"))
+    return out.select(*cols(rows.columns), *[F.col("_hit")[c].alias(c) for c in payload])
 
 
-def _explode(rows, subject, candidates, table, payload, max_bytes):
+def _explode(rows, subject, candidates, table, payload, small, max_bytes):
     """Candidates of every distinct subject, joined by equality; the best one is joined back."""
-    wanted = rows.select(*subject).where(_all_present(subject)).distinct()
-    tries = wanted.select(*subject, F.posexplode(F.array(*candidates)).alias("_rank", "key"))
+    wanted = rows.select(*cols(subject)).where(_all_present(subject)).distinct()
+    tries = wanted.select(*cols(subject), F.posexplode(F.array(*candidates)).alias("_rank", "key"))
     tries = tries.where(F.col("key").isNotNull())
-    found = lookup_join(tries, ["key"], table, "inner", max_bytes)
-    best = found.groupBy(*subject).agg(F.min(F.struct("_rank", *payload)).alias("_best"))
-    best = best.select(*subject, *[F.col("_best")[c].alias(c) for c in payload])
+    found = lookup_join(tries, ["key"], table, "inner", small=small)
+    best = found.groupBy(*cols(subject)).agg(F.min(F.struct("_rank", *payload)).alias("_best"))
+    best = best.select(*cols(subject), *[F.col("_best")[c].alias(c) for c in payload])
     return lookup_join(rows, subject, best, "left", max_bytes)

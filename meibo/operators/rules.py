@@ -20,6 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meibo.functions.names import col, cols
 from meibo.functions.text import is_blank
 from meibo.operators.lookup import BROADCAST_MAX_BYTES, lookup_join
 
@@ -43,19 +44,20 @@ def _violated(rule: Column, kinds: list[tuple[str, str]]) -> Column:
     """Whether the row breaks ``rule``, whose kind is one of the (op, column) pairs."""
     cases = F.when(F.lit(False), F.lit(False))
     for op, column in kinds:
-        broken = OPS[op](F.col(column).cast("string"), rule["arg"])
+        broken = OPS[op](col(column).cast("string"), rule["arg"])
         cases = cases.when((rule["op"] == op) & (rule["column"] == column), broken)
     return F.coalesce(cases, F.lit(False))
 
 
 def _kinds(rules: DataFrame, columns: list[str]) -> list[tuple[str, str]]:
     """The (op, column) pairs that occur. An unknown op or column is an error."""
-    known = F.col("op").isin(list(OPS)) & F.col("column").isin(columns)
-    odd = rules.where(~F.coalesce(known, F.lit(False))).first()
+    most = len(OPS) * len(columns)
+    # With more pairs than these there must be an unknown one among them.
+    pairs = rules.select("op", "column").distinct().limit(most + 1).collect()
+    odd = [tuple(p) for p in pairs if p["op"] not in OPS or p["column"] not in columns]
     if odd:
-        raise ValueError(f"unknown op or column in the rule {odd.asDict()}")
-    # At most one row per op and column.
-    return sorted(tuple(r) for r in rules.select("op", "column").distinct().collect())
+        raise ValueError(f"unknown op or column in the rules: {odd[:5]}")
+    return sorted(tuple(p) for p in pairs)
 
 
 def apply_rules(
@@ -85,11 +87,11 @@ def apply_rules(
             F.sort_array(F.collect_list(rule)).alias(f"_rules{i}")
         )
         out = lookup_join(
-            out.withColumn("_customer", F.col(customer)), ["_customer"], table, "left", max_bytes
+            out.withColumn("_customer", col(customer)), ["_customer"], table, "left", max_bytes
         )
         broken = F.filter(F.col(f"_rules{i}"), lambda r: _violated(r, kinds))
         out = out.withColumn(f"_hit{i}", F.try_element_at(broken, F.lit(1))).drop(f"_rules{i}")
         hits.append(F.col(f"_hit{i}"))
     first = reduce(lambda a, b: F.least(a, b), hits) if hits else F.lit(None)
     reason = first["op"] if hits else first.cast("string")
-    return out.select(*rows.columns, reason.alias(reason_col))
+    return out.select(*cols(rows.columns), reason.alias(reason_col))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meibo.functions.checks import Check
+from meibo.functions.names import col, cols
 from meibo.operators.area import check_area_code, corroborate
 from meibo.operators.audit import Fix, auto_fix, check, fix_log, remember
 from meibo.operators.exclude import exclude_names, exclude_suffix, first_reason
@@ -98,7 +99,7 @@ def judge(cfg: DeliveryConfig) -> DataFrame:
         rows = corroborate(rows, cfg.tel, cfg.jobs, cfg.jobs_tel, max_bytes=cfg.max_bytes)
     extra = [c for c in ("verdict", "seen_in_jobs") if c in rows.columns]
     before = ["before"] if touched(cfg) else []
-    return rows.select("row_id", *before, *columns, "reason", *extra)
+    return rows.select("row_id", *before, *cols(columns), "reason", *extra)
 
 
 def run_delivery(cfg: DeliveryConfig) -> Delivery:
@@ -107,7 +108,7 @@ def run_delivery(cfg: DeliveryConfig) -> Delivery:
     judged = stage(judge(cfg), "delivery")
     kept = judged.where(F.col("reason").isNull())
     excluded = judged.where(F.col("reason").isNotNull())
-    came_in = [F.col("before")[c].alias(c) if c in changed else F.col(c) for c in columns]
+    came_in = [F.col("before")[c].alias(c) if c in changed else col(c) for c in columns]
     checks = list(cfg.checks)
     if cfg.area_ref is not None:
         for verdict in ("mismatch", "unknown_code"):
@@ -115,7 +116,7 @@ def run_delivery(cfg: DeliveryConfig) -> Delivery:
             checks.append(Check(f"area_code_{verdict}", cfg.tel, lambda c, wrong=wrong: wrong))
     evidence = ["seen_in_jobs"] if cfg.jobs is not None else []
     return Delivery(
-        delivered=kept.select(*columns),
+        delivered=kept.select(*cols(columns)),
         log=fix_log(kept, ["row_id"], changed),
         excluded=excluded.select("row_id", *came_in, "reason"),
         findings=check(kept, ["row_id", *evidence], checks),

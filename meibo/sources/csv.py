@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meibo.functions.names import cols
+
 # A file of any size becomes one split, so that one task sees its first line.
 ONE_SPLIT = str(1 << 50)
 
@@ -101,7 +103,7 @@ def _scan_groups(spark, paths, found, encoding, multi_line, bad_rows, source_col
         scan = _scan(spark, where, names, encoding, multi_line, bad_rows)
         columns = list(keep or names) + ([bad_rows] if bad_rows else [])
         extra = [_file_path().alias(source_col)] if source_col else []
-        scans.append(scan.select(*[f"`{c}`" for c in columns], *extra))
+        scans.append(scan.select(*cols(columns), *extra))
     return reduce(lambda a, b: a.unionByName(b), scans)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meibo.functions.names import col
 from meibo.functions.text import is_blank, trim_spaces
 from meibo.operators.rules import OPS
 from meibo.sources.csv import read_csv_set
@@ -38,8 +39,8 @@ def read_prefix_ref(
     With ``names=("code", "area")`` it reads an area-code list.
     """
     raw = read_csv_set(spark, paths, [*dict.fromkeys([*prefix_cols, value_col])], encoding)
-    prefix = F.concat(*[F.coalesce(trim_spaces(F.col(f"`{c}`")), F.lit("")) for c in prefix_cols])
-    pairs = raw.select(prefix.alias(names[0]), trim_spaces(F.col(f"`{value_col}`")).alias(names[1]))
+    prefix = F.concat(*[F.coalesce(trim_spaces(col(c)), F.lit("")) for c in prefix_cols])
+    pairs = raw.select(prefix.alias(names[0]), trim_spaces(col(value_col)).alias(names[1]))
     return pairs.where(~is_blank(F.col(names[0])) & ~is_blank(F.col(names[1]))).distinct()
 
 

@@ -158,3 +158,23 @@ def test_export(spark, table, tmp_path):
     assert read_csv(spark, str(day / "log" / "excluded")).count() == 3
     assert read_csv(spark, str(day / "log" / "fixes")).count() == 5
     assert read_csv(spark, str(day / "log" / "findings")).count() == 3
+
+
+def test_odd_column_names(table, max_bytes):
+    """Headers with dots, spaces, brackets and backticks reach every operator."""
+    columns = ["No.", "会社 (名)", "住.所", "郵`便", "T.EL", "地 域"]
+    spark = table("x", []).sparkSession
+    schema = ", ".join("`" + c.replace("`", "``") + "` string" for c in columns)
+    rows = spark.createDataFrame([("1", " 本屋", "東京都", None, "03", "東京"), ("2", "y店", "x", "1", "03", "z")], schema)
+    cfg = DeliveryConfig(
+        rows=rows, fixes={"会社 (名)": [X.trim_spaces]}, customer="No.",
+        rules=table("customer column op arg", [("9", "住.所", "required", "")]),
+        name="会社 (名)", chains=table("name", [("z",)]), postal="郵`便", address="住.所",
+        postal_ref=table("prefix code", [("東京", "1")]), tel="T.EL", area="地 域",
+        area_ref=table("code area", [("03", "大阪")]), jobs=table("TEL", [("03",)]),
+        checks=[C.max_length("住.所", 1)], max_bytes=max_bytes,
+    )
+    done = run_delivery(cfg)
+    assert rows_of(done.delivered) == [("1", "本屋", "東京都", "1", "03", "東京")]
+    assert rows_of(done.excluded.drop("row_id")) == [("2", "y店", "x", "1", "03", "z", "branch")]
+    assert done.log.count() == 2 and done.findings.count() == 2

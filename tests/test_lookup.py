@@ -48,3 +48,18 @@ def test_size_is_measured(spark):
     assert not small and copy.count() == 1000
     assert lookup.sized(table, 1_000_000)[1]
     assert lookup.sized(table.limit(0), 1)[1]
+
+
+def test_large_tables_are_joined_by_shuffle(spark):
+    """Without Spark's own broadcast of small tables, only the hot keys are broadcast."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "-1")
+    try:
+        rows = spark.range(1000).select(F.expr("if(id < 400, 'hot', concat('k', id))").alias("k"))
+        table = spark.range(1000).select(F.concat(F.lit("k"), "id").alias("k"), F.col("id").alias("v"))
+        out = lookup_join(rows, ["k"], table, max_bytes=0)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+        assert out.count() == 1000 and out.where("v is null").count() == 400
+    finally:
+        spark.conf.unset(key)
