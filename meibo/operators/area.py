@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meibo.functions.names import col, cols
 from meibo.functions.text import digits, match_text
-from meibo.operators.fill import prefix_lengths, prefixes
+from meibo.operators.fill import prefixes
 from meibo.operators.lookup import BROADCAST_MAX_BYTES, first_match, lookup_join, sized
 
 
@@ -29,19 +29,17 @@ def check_area_code(
         .where(F.col("_code").isNotNull())
         .distinct()
     )
-    codes, small = sized(
-        listed.select(F.col("_code").alias("key"), F.col("_code")).distinct(), max_bytes
-    )
+    listed = sized(listed, max_bytes, "_code")
+    codes = listed.rows.select(F.col("_code").alias("key"), F.col("_code")).distinct()
     coded = first_match(
         rows.withColumns({"_tel": digits(col(tel)), "_area": match_text(col(area))}),
         ["_tel"],
-        prefixes(F.col("_tel"), prefix_lengths(codes)),
-        codes,
-        small,
+        prefixes(F.col("_tel"), listed.lengths),
+        listed._replace(rows=codes),
         max_bytes,
     )
-    pairs = listed.where(F.col("_area").isNotNull()).withColumn("_served", F.lit(True))
-    judged = lookup_join(coded, ["_code", "_area"], pairs, "left", max_bytes)
+    pairs = listed.rows.where(F.col("_area").isNotNull()).withColumn("_served", F.lit(True))
+    judged = lookup_join(coded, ["_code", "_area"], listed._replace(rows=pairs))
     verdict = (
         F.when(F.col("_tel").isNull(), None)
         .when(F.col("_code").isNull(), "unknown_code")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from meibo.functions.names import col, cols
 from meibo.functions.text import match_text, trim_spaces
-from meibo.operators.lookup import BROADCAST_MAX_BYTES, lookup_join
+from meibo.operators.lookup import BROADCAST_MAX_BYTES, lookup_join, sized
+from meibo.operators.staging import stage
 
 # A name list of at most this many names goes into the plan as one pattern.
 MAX_IN_PATTERN = 500
@@ -95,15 +96,15 @@ def _pieces(text: Column, n) -> Column:
 
 def _names_holding(keyed: DataFrame, listed: DataFrame, max_bytes: int) -> DataFrame:
     """Distinct names that contain a listed name: pieces of every name, joined by equality."""
-    lengths = listed.select(F.collect_set(F.length("_listed"))).first()[0]
+    listed = sized(listed.withColumn("_hit", F.lit(True)), max_bytes, "_listed")
     distinct = keyed.select("_name").where(F.col("_name").isNotNull()).distinct()
+    distinct = stage(distinct, "names")
     # One length at a time, so that no row holds the pieces of all lengths at once.
-    sizes = F.array(*[F.lit(n) for n in sorted(lengths)])
+    sizes = F.array(*[F.lit(n) for n in listed.lengths])
     by_size = distinct.select("_name", F.explode(sizes).alias("_size"))
     pieces = _pieces(F.col("_name"), F.col("_size"))
     tries = by_size.select("_name", F.explode(pieces).alias("_listed"))
-    table = listed.withColumn("_hit", F.lit(True))
-    found = lookup_join(tries, ["_listed"], table, "inner", max_bytes)
+    found = lookup_join(tries, ["_listed"], listed, "inner", staged=True)
     return found.select("_name", "_hit").distinct()
 
 

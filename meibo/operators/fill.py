@@ -35,12 +35,6 @@ def distinct_values(pairs: DataFrame) -> DataFrame:
     )
 
 
-def prefix_lengths(table: DataFrame) -> list[int]:
-    """The different lengths of ``key``, longest first; a handful of integers."""
-    lengths = table.select(F.collect_set(F.length("key"))).first()[0]
-    return sorted(lengths, reverse=True)
-
-
 def prefixes(text: Column, lengths: list[int]) -> list[Column]:
     """The beginnings of ``text`` that have one of ``lengths``; null where ``text`` is shorter."""
     return [F.when(F.length(text) >= n, F.substring(text, 1, n)) for n in lengths]
@@ -79,14 +73,13 @@ def fill_by_prefix(
     if only is not None:
         wanted = wanted & only
     pairs = ref.select(match_text(F.col("prefix")).alias("key"), F.trim("code").alias("value"))
-    table, small = sized(distinct_values(pairs), max_bytes)
+    table = sized(distinct_values(pairs), max_bytes, "key")
     text = F.when(wanted, match_text(col(text_col)))
     found = first_match(
         rows.withColumn("_text", text),
         ["_text"],
-        prefixes(F.col("_text"), prefix_lengths(table)),
+        prefixes(F.col("_text"), table.lengths),
         table,
-        small,
         max_bytes,
     )
     return _filled(found, blank_col, status_col, rows.columns)
@@ -134,6 +127,6 @@ def fill_by_key(
     parts = {c: F.when(wanted, F.coalesce(f(col(c)), F.lit(""))) for c, f in norms.items()}
     keyed = rows.withColumns({f"_part_{c}": part for c, part in parts.items()})
     keys = _tier_keys([[F.nullif(col(f"_part_{c}"), F.lit("")) for c in tier] for tier in tiers])
-    table, small = sized(index, max_bytes)
-    found = first_match(keyed, [f"_part_{c}" for c in parts], keys, table, small, max_bytes)
+    table = sized(index, max_bytes)
+    found = first_match(keyed, [f"_part_{c}" for c in parts], keys, table, max_bytes)
     return _filled(found, blank_col, status_col, rows.columns)

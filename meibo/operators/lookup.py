@@ -12,11 +12,12 @@ most frequent keys of the row side taken out first and joined map-side.
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from meibo.functions.names import cols
+from meibo.functions.names import col, cols
 from meibo.operators.staging import stage
 
 # A table is broadcast only when its measured size is at most this.
@@ -30,15 +31,32 @@ HOT_KEYS = 512
 MAX_PROBES = 48
 
 
-def sized(table: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> tuple[DataFrame, bool]:
-    """The table, computed once into a staged copy, and whether it may be broadcast.
+class Sized(NamedTuple):
+    """A staged table, whether it may be broadcast, and the different lengths of its key texts,
+    longest first."""
 
-    The size is taken while writing: JSON text of every row plus a fixed overhead.
+    rows: DataFrame
+    small: bool
+    lengths: list[int]
+
+
+def sized(table: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES, key: str | None = None) -> Sized:
+    """Compute ``table`` once into a staged copy, and take its size while writing.
+
+    The size is the JSON text of every row plus a fixed overhead, an upper bound of the bytes.
+    With ``key`` the lengths of that column are taken too.
     """
     width = F.octet_length(F.to_json(F.struct("*"))) + 32
-    size = Observation()
-    staged = stage(table.observe(size, F.sum(width.cast("long")).alias("bytes")), "table")
-    return staged, (size.get["bytes"] or 0) <= max_bytes
+    lengths = F.length(col(key)) if key else F.lit(None).cast("int")
+    seen = Observation()
+    observed = table.observe(
+        seen,
+        F.sum(width.cast("long")).alias("bytes"),
+        F.collect_set(lengths).alias("lengths"),
+    )
+    copy = stage(observed, "table")
+    small = (seen.get["bytes"] or 0) <= max_bytes
+    return Sized(copy, small, sorted(seen.get["lengths"], reverse=True))
 
 
 def _all_present(columns: list[str]) -> Column:
@@ -48,23 +66,22 @@ def _all_present(columns: list[str]) -> Column:
 def lookup_join(
     rows: DataFrame,
     on: list[str],
-    table: DataFrame,
+    table: DataFrame | Sized,
     how: str = "left",
     max_bytes: int = BROADCAST_MAX_BYTES,
-    small: bool | None = None,
+    staged: bool = False,
 ) -> DataFrame:
     """Join ``rows`` to ``table`` on the columns ``on``, which are unique in ``table``.
 
-    ``how`` is ``left`` or ``inner``. Rows with a null in ``on`` match nothing. ``small`` is
-    given when ``table`` comes from :func:`sized`.
+    ``how`` is ``left`` or ``inner``. Rows with a null in ``on`` match nothing. ``staged`` says
+    that ``rows`` are cheap to read more than once.
     """
-    if small is None:
-        table, small = sized(table, max_bytes)
+    table, small, _ = table if isinstance(table, Sized) else sized(table, max_bytes)
     if small:
         return rows.join(F.broadcast(table), on, how)
 
-    # Written once, then read column-wise by the three steps below.
-    rows = stage(rows, "lookup-rows")
+    if not staged:  # the three steps below each read the rows
+        rows = stage(rows, "lookup-rows")
     present = _all_present(on)
     counts = rows.where(present).groupBy(*cols(on)).count()
     hot = stage(counts.orderBy(F.desc("count"), *cols(on)).limit(HOT_KEYS).select(*cols(on)), "lookup-hot")
@@ -85,22 +102,22 @@ def first_match(
     rows: DataFrame,
     subject: list[str],
     candidates: list[Column],
-    table: DataFrame,
-    small: bool,
+    table: Sized,
     max_bytes: int = BROADCAST_MAX_BYTES,
 ) -> DataFrame:
     """Add the columns of ``table`` for the first candidate key that ``table`` holds.
 
     ``candidates`` are string expressions over the ``subject`` columns, best first; a null
-    candidate is skipped. ``table`` comes from :func:`sized`, as does ``small``, and has a unique
-    column ``key`` and at least one more column. A row with a null subject column gets nulls.
+    candidate is skipped. ``table`` has a unique column ``key`` and at least one more column. A row
+    with a null subject column gets nulls.
     """
-    payload = [c for c in table.columns if c != "key"]
+    schema = table.rows.schema
+    payload = [c for c in schema.names if c != "key"]
     if not candidates:
-        return rows.withColumns({c: F.lit(None).cast(table.schema[c].dataType) for c in payload})
-    if small and len(candidates) <= MAX_PROBES:
-        return _probe(rows, candidates, table, payload)
-    return _explode(rows, subject, candidates, table, payload, small, max_bytes)
+        return rows.withColumns({c: F.lit(None).cast(schema[c].dataType) for c in payload})
+    if table.small and len(candidates) <= MAX_PROBES:
+        return _probe(rows, candidates, table.rows, payload)
+    return _explode(rows, subject, candidates, table, payload, max_bytes)
 
 
 def _probe(rows, candidates, table, payload):
@@ -120,12 +137,16 @@ def _probe(rows, candidates, table, payload):
     return out.select(*cols(rows.columns), *[F.col("_hit")[c].alias(c) for c in payload])
 
 
-def _explode(rows, subject, candidates, table, payload, small, max_bytes):
+def _explode(rows, subject, candidates, table, payload, max_bytes):
     """Candidates of every distinct subject, joined by equality; the best one is joined back."""
+    if not table.small:
+        rows = stage(rows, "lookup-rows")
     wanted = rows.select(*cols(subject)).where(_all_present(subject)).distinct()
+    if not table.small:
+        wanted = stage(wanted, "lookup-subjects")
     tries = wanted.select(*cols(subject), F.posexplode(F.array(*candidates)).alias("_rank", "key"))
     tries = tries.where(F.col("key").isNotNull())
-    found = lookup_join(tries, ["key"], table, "inner", small=small)
+    found = lookup_join(tries, ["key"], table, "inner", staged=True)
     best = found.groupBy(*cols(subject)).agg(F.min(F.struct("_rank", *payload)).alias("_best"))
     best = best.select(*cols(subject), *[F.col("_best")[c].alias(c) for c in payload])
-    return lookup_join(rows, subject, best, "left", max_bytes)
+    return lookup_join(rows, subject, best, "left", max_bytes, staged=not table.small)

@@ -76,7 +76,7 @@ def apply_rules(
     columns = columns or rows.columns
     rules = rules.select("customer", "column", "op", "arg").distinct()
     kinds = _kinds(rules, columns)
-    most = rules.groupBy("customer").count().agg(F.max("count")).first()[0] or 0
+    most = rules.groupBy("customer").count().agg(F.max("count")).collect()[0][0] or 0
     arrays = -(-most // RULES_PER_ARRAY)
     rule = F.struct("op", "column", "arg")
     hits = []

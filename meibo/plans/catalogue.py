@@ -21,7 +21,7 @@ from meibo.operators.merge import merge
 from meibo.operators.rules import apply_rules
 from meibo.operators.staging import new_path
 from meibo.plans.delivery import Delivery, DeliveryConfig, export, run_delivery
-from meibo.plans.folder import SOURCE, process_folder
+from meibo.plans.folder import process_folder
 from meibo.sources.csv import read_csv, read_csv_set, write_csv
 from meibo.sources.reference import read_name_list, read_postal_ref, read_prefix_ref, read_rules
 from meibo.streaming.intake import process_new_files
@@ -302,7 +302,9 @@ def cell_fixes(spark, sf_dir):
         "o_orderkey",
         F.translate("o_orderpriority", "12345-", "１２３４５−").alias("wide"),
         F.concat(F.lit(" 　"), "o_orderstatus", F.lit("　　"), "o_orderstatus", F.lit(" ")).alias("spaced"),
-        F.concat_ws("－", F.substring("o_orderdate", 1, 4), F.lit("〒００"), F.substring("o_orderdate", 9, 2)).alias("dashed"),
+        F.concat_ws(
+            "－", F.substring("o_orderdate", 1, 4), F.lit("〒００"), F.substring("o_orderdate", 9, 2)
+        ).alias("dashed"),
         F.lpad(F.col("o_custkey").cast("string"), 7, "0").alias("postal"),
     )
     return auto_fix(

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from meibo.operators.area import check_area_code, corroborate
 from meibo.operators.exclude import any_of_pattern, exclude_names, exclude_suffix, first_reason, split
@@ -118,14 +117,15 @@ def test_lookups_never_use_a_nested_loop(table):
     from meibo.operators.fill import fill_by_prefix
 
     rows = table("name tel area postal", [("a", "03", "x", None)])
+    prefixes = table("prefix code", [("a", "1"), ("ab", "2")])
     for max_bytes in (0, 1 << 20):
         plans = [
             exclude_names(rows, "name", table("name", CHAINS), max_in_pattern=0, max_bytes=max_bytes),
             check_area_code(rows, "tel", "area", table("code area", AREAS), max_bytes=max_bytes),
-            fill_by_prefix(rows, "postal", "name", table("prefix code", [("a", "1"), ("ab", "2")]), max_bytes=max_bytes),
+            fill_by_prefix(rows, "postal", "name", prefixes, max_bytes=max_bytes),
         ]
         for plan in plans:
             text = plan._jdf.queryExecution().toString()
             assert "NestedLoop" not in text and "Cartesian" not in text
-    small = fill_by_prefix(rows, "postal", "name", table("prefix code", [("a", "1"), ("ab", "2")]))
+    small = fill_by_prefix(rows, "postal", "name", prefixes)
     assert "Exchange hashpartitioning" not in small._jdf.queryExecution().executedPlan().toString()

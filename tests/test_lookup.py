@@ -44,10 +44,10 @@ def test_two_key_columns_with_nulls(spark):
 
 def test_size_is_measured(spark):
     table = spark.range(1000).select(F.col("id").cast("string").alias("key"), F.lit("v" * 100).alias("v"))
-    copy, small = lookup.sized(table, 100_000)
-    assert not small and copy.count() == 1000
-    assert lookup.sized(table, 1_000_000)[1]
-    assert lookup.sized(table.limit(0), 1)[1]
+    big = lookup.sized(table, 100_000, "key")
+    assert not big.small and big.rows.count() == 1000 and big.lengths == [3, 2, 1]
+    assert lookup.sized(table, 1_000_000).small
+    assert lookup.sized(table.limit(0), 0, "key")[1:] == (True, [])
 
 
 def test_large_tables_are_joined_by_shuffle(spark):
