@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,17 @@ WIDE_ASCII = "".join(chr(code) for code in range(0xFF01, 0xFF5F))
 NARROW_ASCII = "".join(chr(ord(ch) - 0xFEE0) for ch in WIDE_ASCII)
 WIDE_DIGITS = "".join(chr(code) for code in range(0xFF10, 0xFF1A))
 
+# Half-width katakana U+FF61..U+FF9F and their full forms, by the Unicode compatibility mapping.
+HALF_KANA = "".join(chr(code) for code in range(0xFF61, 0xFFA0))
+FULL_KANA = unicodedata.normalize("NFKC", "\0".join(HALF_KANA)).replace("\0", "")
+# (letter, sound mark, letter with its mark) for every pair that Unicode composes.
+VOICED_KANA = [
+    (letter, mark, unicodedata.normalize("NFC", letter + mark))
+    for letter in FULL_KANA
+    for mark in "\u3099\u309a"
+    if len(unicodedata.normalize("NFC", letter + mark)) == 1
+]
+
 
 def trim_spaces(c: Column) -> Column:
     """Remove ASCII and full-width space at both ends."""
@@ -86,6 +99,14 @@ def hyphenate_postal(c: Column) -> Column:
     ).otherwise(c)
 
 
+def widen_kana(c: Column) -> Column:
+    """Half-width katakana to full-width; a sound mark joins the letter before it."""
+    wide = F.translate(c, HALF_KANA, FULL_KANA)
+    for letter, mark, joined in VOICED_KANA:
+        wide = F.replace(wide, F.lit(letter + mark), F.lit(joined))
+    return F.when(c.rlike("[\uff61-\uff9f]"), wide).otherwise(c)
+
+
 def replace(old: str, new: str):
     """A fix that puts ``new`` for every ``old``."""
     return lambda c: F.replace(c, F.lit(old), F.lit(new))

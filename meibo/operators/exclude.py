@@ -13,7 +13,7 @@ from meibo.operators.lookup import BROADCAST_MAX_BYTES, lookup_join, sized
 from meibo.operators.staging import stage
 
 # A name list of at most this many names goes into the plan as one pattern.
-MAX_IN_PATTERN = 500
+MAX_IN_PATTERN = 1000
 
 
 def exclude_suffix(

@@ -22,6 +22,7 @@ from meibo.operators.rules import apply_rules
 from meibo.operators.staging import new_path
 from meibo.plans.delivery import Delivery, DeliveryConfig, export, run_delivery
 from meibo.plans.folder import process_folder
+from meibo.plans.tools import exclude_chains, fill_postal_codes, fill_recruiters, merge_files
 from meibo.sources.csv import read_csv, read_csv_set, write_csv
 from meibo.sources.reference import read_name_list, read_postal_ref, read_prefix_ref, read_rules
 from meibo.streaming.intake import process_new_files
@@ -147,13 +148,17 @@ JOB_TIERS = [{"名称": AS_NAME, "TEL": AS_PHONE}, {"TEL": AS_PHONE}, {"名称":
 ROW_TIERS = [{"c_name": AS_NAME, "tel": AS_PHONE}, {"tel": AS_PHONE}, {"c_name": AS_NAME}]
 
 
-def _recruiter_index_fill(spark, sf_dir, max_bytes):
-    rows = table(spark, sf_dir, "customer").select(
+def customer_contacts(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(
         "c_custkey",
         "c_name",
         F.concat_ws("-", F.lit("０"), _number("c_custkey", 9)).alias("tel"),
         F.when(F.col("c_mktsegment") == "BUILDING", "known").alias("contact"),
     )
+
+
+def _recruiter_index_fill(spark, sf_dir, max_bytes):
+    rows = customer_contacts(spark, sf_dir)
     index = build_index(order_jobs(spark, sf_dir), JOB_TIERS, "担当者")
     return fill_by_key(rows, "contact", ROW_TIERS, index, max_bytes=max_bytes)
 
@@ -381,7 +386,9 @@ def csv_merge_files(spark, sf_dir):
     for side in _two_sides(spark, sf_dir):
         paths.append(new_path(spark, "merge"))
         write_csv(side, paths[-1])
-    return _typed_customer(read_csv(spark, paths))
+    out = new_path(spark, "merged")
+    merge_files(spark, paths, out)
+    return _typed_customer(read_csv(spark, out))
 
 
 @query
@@ -487,7 +494,42 @@ def folder_stream(spark, sf_dir):
     return _per_status(read_csv(spark, out))
 
 
-# ---- recruiter and delivery jobs -----------------------------------------------------------
+def _folder_of(spark, rows: DataFrame) -> str:
+    """``rows`` as CSV files in a new folder."""
+    path = new_path(spark, "in")
+    write_csv(rows, path)
+    return path
+
+
+@query
+def postal_fill_folder(spark, sf_dir):
+    source = _folder_of(spark, part_addresses(spark, sf_dir))
+    out = new_path(spark, "out")
+    ref = part_postal_ref(spark, sf_dir)
+    fill_postal_codes(spark, source, out, ref, "postal", "address")
+    return read_csv(spark, out).withColumn("p_partkey", F.col("p_partkey").cast("bigint"))
+
+
+@query
+def recruiter_fill_folder(spark, sf_dir):
+    source = _folder_of(spark, customer_contacts(spark, sf_dir))
+    jobs = _folder_of(spark, order_jobs(spark, sf_dir))
+    out = new_path(spark, "out")
+    fill_recruiters(spark, source, out, [jobs], "c_name", "tel", "contact")
+    return read_csv(spark, out).withColumn("c_custkey", F.col("c_custkey").cast("bigint"))
+
+
+@query
+def chain_exclude_folder(spark, sf_dir):
+    source = _folder_of(spark, part_shops(spark, sf_dir))
+    out = new_path(spark, "out")
+    exclude_chains(spark, source, out, part_chains(spark, sf_dir), "name", suffix="SMALL")
+    kept, excluded = read_csv(spark, f"{out}/kept"), read_csv(spark, f"{out}/excluded")
+    both = kept.withColumn("reason", F.lit("kept")).unionByName(excluded)
+    return both.withColumn("p_partkey", F.col("p_partkey").cast("bigint"))
+
+
+# ---- the delivery job -----------------------------------------------------------------------
 
 LINE_RULES = [
     ("R", "quantity", "max", "45"),

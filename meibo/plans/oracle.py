@@ -24,8 +24,7 @@ ref as (
 codes as (
   select prefix, count(distinct code) as n, min(code) as code from ref group by prefix)"""
 
-sql(
-    f"""
+POSTAL_FILL = f"""
 with {PART_POSTAL},
 best as (
   select a.p_partkey, max(length(c.prefix)) as len
@@ -38,10 +37,10 @@ select a.p_partkey, a.address,
             else 'no_match' end as fill_status
 from addr a
 left join best b on a.p_partkey = b.p_partkey
-left join codes c on length(c.prefix) = b.len and starts_with(a.address, c.prefix)""",
-    "postal_fill",
-    "postal_fill_shuffled",
-)
+left join codes c on length(c.prefix) = b.len and starts_with(a.address, c.prefix)"""
+
+sql(POSTAL_FILL, "postal_fill", "postal_fill_shuffled")
+sql(f"select p_partkey, address, postal from ({POSTAL_FILL})", "postal_fill_folder")
 
 sql(
     """
@@ -94,8 +93,7 @@ select key, count(distinct contact) as n_values, min(contact) as value from pair
     "recruiter_index",
 )
 
-sql(
-    f"""
+RECRUITER_FILL = f"""
 with {JOBS},
 rows_ as (
   select c_custkey, c_name, concat('０-', lpad(cast(c_custkey as varchar), 9, '0')) as tel,
@@ -118,10 +116,10 @@ select c_custkey, c_name, tel,
        case when contact is null and n = 1 then v else contact end as contact,
        case when contact is not null then 'kept' when n = 1 then 'filled'
             when n > 1 then 'ambiguous' else 'no_match' end as fill_status
-from found""",
-    "recruiter_index_fill",
-    "recruiter_index_fill_shuffled",
-)
+from found"""
+
+sql(RECRUITER_FILL, "recruiter_index_fill", "recruiter_index_fill_shuffled")
+sql(f"select c_custkey, c_name, tel, contact from ({RECRUITER_FILL})", "recruiter_fill_folder")
 
 sql(
     """
@@ -171,6 +169,7 @@ select p_partkey, name,
             when name like '_%SMALL' then 'branch' else 'kept' end as reason
 from shops""",
     "kept_and_excluded",
+    "chain_exclude_folder",
 )
 
 sql(

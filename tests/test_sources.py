@@ -186,3 +186,31 @@ def test_only_new_files_are_processed(spark, files, tmp_path):
     (tmp_path / "in" / "b.csv").write_text("x\n2\n2\n")
     assert run() == [("1",), ("2",), ("2",)]
     assert run() == [("1",), ("2",), ("2",)]
+
+
+def test_tools_keep_rows_by_file(spark, files, table, tmp_path):
+    from meibo.plans import tools
+
+    path = files(
+        a="店名,電話,担当,〒,住所\n松屋,03-1,,,東京都港区\n竹店,03-2,既存,9,東京都\n",
+        b="電話,店名,担当,住所,〒\n04-1,梅チェーン,,大阪府,\n",
+    )
+    (tmp_path / "jobs").mkdir()
+    (tmp_path / "jobs" / "j.csv").write_text("名称,TEL,担当者\n松屋,０３−１,佐藤\n別,04-1,鈴木\n")
+    ref = table("prefix code", [("東京都港区", "105"), ("大阪", "530")])
+
+    def column(where, name):
+        rows = S.read_csv(spark, str(tmp_path / where), source_col="src").select("店名", name, "src").collect()
+        return sorted((r[0], r[1], r[2].split("source_file=")[1].split("/")[0]) for r in rows)
+
+    tools.fill_postal_codes(spark, f"{path}/*.csv", str(tmp_path / "p"), ref, "〒", "住所")
+    assert column("p", "〒") == [("松屋", "105", "a.csv"), ("梅チェーン", "530", "b.csv"), ("竹店", "9", "a.csv")]
+    tools.fill_recruiters(
+        spark, f"{path}/*.csv", str(tmp_path / "r"), [str(tmp_path / "jobs")], "店名", "電話", "担当"
+    )
+    assert column("r", "担当") == [("松屋", "佐藤", "a.csv"), ("梅チェーン", "鈴木", "b.csv"), ("竹店", "既存", "a.csv")]
+    tools.exclude_chains(spark, f"{path}/*.csv", str(tmp_path / "e"), table("name", [("梅",)]), "店名")
+    assert column("e/kept", "〒") == [("松屋", None, "a.csv")]
+    assert column("e/excluded", "reason") == [("梅チェーン", "chain", "b.csv"), ("竹店", "branch", "a.csv")]
+    tools.merge_files(spark, [f"{path}/a.csv", f"{path}/b.csv"], str(tmp_path / "m"))
+    assert S.read_csv(spark, str(tmp_path / "m")).count() == 3

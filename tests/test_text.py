@@ -52,3 +52,9 @@ def test_hyphenate_postal(spark):
 
 def test_controls(spark):
     assert value(spark, "﻿渋​谷\u0007", X.strip_controls) == "渋谷"
+
+
+def test_half_width_kana(spark):
+    assert value(spark, "ﾔﾏﾀﾞ商店ﾊﾟﾝ･ｺｰﾋｰ", X.widen_kana) == "ヤマダ商店パン・コーヒー"
+    assert value(spark, "ヤマダ abc", X.widen_kana) == "ヤマダ abc"
+    assert value(spark, None, X.widen_kana) is None
