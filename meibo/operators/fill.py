@@ -72,7 +72,9 @@ def fill_by_prefix(
     wanted = is_blank(col(blank_col))
     if only is not None:
         wanted = wanted & only
-    pairs = ref.select(match_text(F.col("prefix")).alias("key"), F.trim("code").alias("value"))
+    pairs = ref.select(
+        match_text(F.col("prefix")).alias("key"), blank_to_null(F.col("code")).alias("value")
+    )
     table = sized(distinct_values(pairs), max_bytes, "key")
     text = F.when(wanted, match_text(col(text_col)))
     found = first_match(

@@ -16,16 +16,14 @@ def process_folder(
     spark: SparkSession,
     in_dir: str,
     op: Callable[[DataFrame], DataFrame],
-    out_dir: str | None = None,
     encoding: str = "UTF-8",
     multi_line: bool = False,
 ) -> DataFrame:
-    """Apply ``op`` once to the rows of all files, which carry their file in ``source_file``.
-
-    With ``out_dir`` the result is written too, one folder per input file.
-    """
+    """Apply ``op`` once to the rows of all files, which carry their file in ``source_file``."""
     rows = read_csv(spark, in_dir, encoding, multi_line, source_col=SOURCE)
-    out = op(rows.withColumn(SOURCE, F.substring_index(SOURCE, "/", -1)))
-    if out_dir:
-        write_csv(out, out_dir, encoding, by=[SOURCE])
-    return out
+    return op(rows.withColumn(SOURCE, F.substring_index(SOURCE, "/", -1)))
+
+
+def write_by_file(rows: DataFrame, out_dir: str, encoding: str = "UTF-8") -> None:
+    """Write the rows of each input file to a folder of their own."""
+    write_csv(rows, out_dir, encoding, by=[SOURCE])

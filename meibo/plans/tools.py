@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from meibo.operators.exclude import exclude_names, exclude_suffix, first_reason, split
 from meibo.operators.fill import AS_NAME, AS_PHONE, build_index, fill_by_key, fill_by_prefix
 from meibo.operators.staging import stage
-from meibo.plans.folder import SOURCE, process_folder
+from meibo.plans.folder import process_folder, write_by_file
 from meibo.sources.csv import read_csv, read_csv_set, write_csv
 
 # The columns that job data must have (name, phone, contact).
@@ -16,13 +16,13 @@ JOB_NAME, JOB_TEL, JOB_CONTACT = "名称", "TEL", "担当者"
 
 def fill_postal_codes(
     spark: SparkSession, in_dir: str, out_dir: str, ref: DataFrame, postal: str, address: str
-) -> DataFrame:
+) -> None:
     """Fill blank postal codes in all files of a folder."""
 
     def op(rows: DataFrame) -> DataFrame:
         return fill_by_prefix(rows, postal, address, ref).drop("fill_status")
 
-    return process_folder(spark, in_dir, op, out_dir)
+    write_by_file(process_folder(spark, in_dir, op), out_dir)
 
 
 def fill_recruiters(
@@ -34,7 +34,7 @@ def fill_recruiters(
     tel: str,
     contact: str,
     encoding: str = "UTF-8",
-) -> DataFrame:
+) -> None:
     """Fill blank contact names in all files of a folder, from all job files.
 
     Name and phone together are tried first, then the phone, then the name.
@@ -47,7 +47,7 @@ def fill_recruiters(
     def op(rows: DataFrame) -> DataFrame:
         return fill_by_key(rows, contact, tiers, index).drop("fill_status")
 
-    return process_folder(spark, in_dir, op, out_dir)
+    write_by_file(process_folder(spark, in_dir, op), out_dir)
 
 
 def exclude_chains(
@@ -58,7 +58,7 @@ def exclude_chains(
     name: str,
     match: str = "contains",
     suffix: str = "店",
-) -> tuple[DataFrame, DataFrame]:
+) -> None:
     """Write the rows of all files to ``kept`` and ``excluded`` below ``out_dir``."""
 
     def op(rows: DataFrame) -> DataFrame:
@@ -66,9 +66,8 @@ def exclude_chains(
         return first_reason(exclude_suffix(rows, name, suffix, "_branch"), ["_chain", "_branch"])
 
     kept, excluded = split(stage(process_folder(spark, in_dir, op), "chains"))
-    write_csv(kept, f"{out_dir}/kept", by=[SOURCE])
-    write_csv(excluded, f"{out_dir}/excluded", by=[SOURCE])
-    return kept, excluded
+    write_by_file(kept, f"{out_dir}/kept")
+    write_by_file(excluded, f"{out_dir}/excluded")
 
 
 def merge_files(spark: SparkSession, paths: list[str], out_dir: str, encoding: str = "UTF-8") -> None:

@@ -6,7 +6,7 @@ from meibo.functions import checks as C
 from meibo.functions import text as X
 from meibo.operators.audit import auto_fix, check, fix_log, remember
 from meibo.operators.rules import apply_rules
-from meibo.plans.delivery import DeliveryConfig, export, run_delivery
+from meibo.plans.delivery import DeliveryConfig, export, judge, run_delivery
 from meibo.sources.csv import read_csv
 
 RULES = [
@@ -178,3 +178,13 @@ def test_odd_column_names(table, max_bytes):
     assert rows_of(done.delivered) == [("1", "本屋", "東京都", "1", "03", "東京")]
     assert rows_of(done.excluded.drop("row_id")) == [("2", "y店", "x", "1", "03", "z", "branch")]
     assert done.log.count() == 2 and done.findings.count() == 2
+
+
+def test_small_references_leave_the_rows_where_they_are(table):
+    """The job is one chain of map-side joins; its only exchanges are broadcasts of references."""
+    plan = judge(config(table, 1 << 20))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    for shape in ("SortMergeJoin", "ShuffledHashJoin", "NestedLoop", "Cartesian", "SinglePartition"):
+        assert shape not in plan
+    # The distinct area codes are the one aggregate, below a broadcast.
+    assert plan.count("Exchange hashpartitioning") <= 1

@@ -22,6 +22,8 @@ POSTAL = [
     ("東京都", "100"),
     ("東京都", "100"),
     ("", "000"),
+    ("東京都渋谷区神南", " "),
+    ("東京都渋谷区神南", None),
 ]
 
 

@@ -2,7 +2,7 @@ import pytest
 from conftest import rows_of
 
 from meibo.operators.merge import merge
-from meibo.plans.folder import process_folder
+from meibo.plans.folder import process_folder, write_by_file
 from meibo.sources import csv as S
 from meibo.sources.reference import read_name_list, read_postal_ref, read_prefix_ref, read_rules
 from meibo.streaming.intake import process_new_files
@@ -168,7 +168,7 @@ def test_merge(table):
 def test_folder(spark, files, tmp_path):
     path = files(東京="x,y\n1,2\n", 大阪="y,x\n4,3\n5,6\n")
     out = str(tmp_path / "out")
-    process_folder(spark, path, lambda rows: rows.where("x <> '6'"), out)
+    write_by_file(process_folder(spark, path, lambda rows: rows.where("x <> '6'")), out)
     back = spark.read.option("header", True).csv(out)
     assert rows_of(back.select("x", "y", "source_file")) == [("1", "2", "東京.csv"), ("3", "4", "大阪.csv")]
 
@@ -214,3 +214,21 @@ def test_tools_keep_rows_by_file(spark, files, table, tmp_path):
     assert column("e/excluded", "reason") == [("梅チェーン", "chain", "b.csv"), ("竹店", "branch", "a.csv")]
     tools.merge_files(spark, [f"{path}/a.csv", f"{path}/b.csv"], str(tmp_path / "m"))
     assert S.read_csv(spark, str(tmp_path / "m")).count() == 3
+
+
+def test_lookups_in_the_stream(spark, table, tmp_path):
+    from meibo.operators.exclude import exclude_names
+    from meibo.operators.fill import fill_by_prefix
+
+    ref, chains = table("prefix code", [("東京", "1"), ("東京都港区", "2")]), table("name", [("松",)])
+
+    def op(rows):
+        return exclude_names(fill_by_prefix(rows, "postal", "address", ref), "address", chains)
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("postal,address\n,東京都港区\n9,東京松\n,東京\n")
+    out = str(tmp_path / "out")
+    process_new_files(spark, str(tmp_path / "in"), out, ["postal", "address"], op, str(tmp_path / "progress"))
+    assert rows_of(S.read_csv(spark, out).select("postal", "fill_status", "reason")) == sorted(
+        [("2", "filled", None), ("9", "kept", "chain"), ("1", "filled", None)], key=repr
+    )
