@@ -43,10 +43,11 @@ class Sized(NamedTuple):
 def sized(table: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES, key: str | None = None) -> Sized:
     """Compute ``table`` once into a staged copy, and take its size while writing.
 
-    The size is the JSON text of every row plus a fixed overhead, an upper bound of the bytes.
-    With ``key`` the lengths of that column are taken too.
+    The size is the JSON text of every row plus 16 bytes for the row and for each column, which
+    covers the words that Spark's row format adds. With ``key`` the lengths of that column are
+    taken too.
     """
-    width = F.octet_length(F.to_json(F.struct("*"))) + 32
+    width = F.octet_length(F.to_json(F.struct("*"))) + 16 * (len(table.columns) + 1)
     lengths = F.length(col(key)) if key else F.lit(None).cast("int")
     seen = Observation()
     observed = table.observe(
@@ -84,7 +85,8 @@ def lookup_join(
         rows = stage(rows, "lookup-rows")
     present = _all_present(on)
     counts = rows.where(present).groupBy(*cols(on)).count()
-    hot = stage(counts.orderBy(F.desc("count"), *cols(on)).limit(HOT_KEYS).select(*cols(on)), "lookup-hot")
+    hot = counts.orderBy(F.desc("count"), *cols(on)).limit(HOT_KEYS).select(*cols(on))
+    hot = stage(hot, "lookup-hot")
     # HOT_KEYS rows at most, the table being unique in ``on``.
     answers = table.join(F.broadcast(hot), on, "inner")
     rest = rows.where(present).join(F.broadcast(hot), on, "left_anti")

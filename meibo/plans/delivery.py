@@ -54,6 +54,10 @@ class Delivery(NamedTuple):
     findings: DataFrame
 
 
+# Names of the columns that the job adds beside those of the input.
+ADDED = {"row_id", "before", "reason", "verdict", "seen_in_jobs"}
+
+
 def touched(cfg: DeliveryConfig) -> list[str]:
     """The columns that the job may change."""
     changed = set(cfg.fixes) | ({cfg.postal} if cfg.postal_ref is not None else set())
@@ -67,6 +71,9 @@ def judge(cfg: DeliveryConfig) -> DataFrame:
     the rows.
     """
     columns = cfg.rows.columns
+    taken = [c for c in columns if c.lower() in ADDED]
+    if taken:
+        raise ValueError(f"rename the input column {', '.join(taken)}; the job adds one of that name")
     rows = remember(cfg.rows, touched(cfg)) if touched(cfg) else cfg.rows
     rows = rows.withColumn("row_id", F.monotonically_increasing_id())
     rows = auto_fix(rows, cfg.fixes)

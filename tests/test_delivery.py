@@ -188,3 +188,8 @@ def test_small_references_leave_the_rows_where_they_are(table):
         assert shape not in plan
     # The distinct area codes are the one aggregate, below a broadcast.
     assert plan.count("Exchange hashpartitioning") <= 1
+
+
+def test_names_of_added_columns_are_refused(table):
+    with pytest.raises(ValueError, match="Reason"):
+        run_delivery(DeliveryConfig(rows=table("name Reason", [("a", "b")])))
