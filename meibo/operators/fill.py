@@ -76,7 +76,7 @@ def fill_by_prefix(
         match_text(F.col("prefix")).alias("key"), blank_to_null(F.col("code")).alias("value")
     )
     table = sized(distinct_values(pairs), max_bytes, "key")
-    text = F.when(wanted, match_text(col(text_col)))
+    text = match_text(F.when(wanted, col(text_col)))
     found = first_match(
         rows.withColumn("_text", text),
         ["_text"],
@@ -101,10 +101,13 @@ def build_index(jobs: DataFrame, tiers: list[dict], value: str) -> DataFrame:
     A tier maps the columns of its key to the function that normalises them, such as
     ``{"name": AS_NAME, "tel": AS_PHONE}``. All tiers share one shuffle.
     """
-    keys = _tier_keys([[norm(col(c)) for c, norm in tier.items()] for tier in tiers])
-    known = jobs.select(F.array(*keys).alias("keys"), blank_to_null(col(value)).alias("value"))
+    # Each column is normalised once, whatever the number of tiers that use it.
+    norms = {c: norm for tier in tiers for c, norm in tier.items()}
+    parts = [norm(col(c)).alias(f"_part_{c}") for c, norm in norms.items()]
+    known = jobs.select(*parts, blank_to_null(col(value)).alias("value"))
     known = known.where(F.col("value").isNotNull())
-    return distinct_values(known.select(F.explode("keys").alias("key"), "value"))
+    keys = F.array(*_tier_keys([[col(f"_part_{c}") for c in tier] for tier in tiers]))
+    return distinct_values(known.select(F.explode(keys).alias("key"), "value"))
 
 
 def fill_by_key(
@@ -126,7 +129,8 @@ def fill_by_key(
         wanted = wanted & only
     norms = {c: norm for tier in tiers for c, norm in tier.items()}
     # Blank parts become '' so that the parts together still identify a row's key.
-    parts = {c: F.when(wanted, F.coalesce(f(col(c)), F.lit(""))) for c, f in norms.items()}
+    empty = F.when(wanted, F.lit(""))
+    parts = {c: F.coalesce(f(F.when(wanted, col(c))), empty) for c, f in norms.items()}
     keyed = rows.withColumns({f"_part_{c}": part for c, part in parts.items()})
     keys = _tier_keys([[F.nullif(col(f"_part_{c}"), F.lit("")) for c in tier] for tier in tiers])
     table = sized(index, max_bytes)
