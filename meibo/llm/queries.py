@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meibo.llm import exact_dedup, line_dedup
+from meibo.llm import exact_dedup, line_dedup, toxicity
+from meibo.llm.ship import ship
 
 QUERIES = {}
 ORACLE_SQL = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark, sf_dir):
+        ship(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,3 +82,12 @@ select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
   row_number() over (partition by text_sha256 order by doc_id desc nulls last) = 1 as kept, text_sha256
 from rows window g as (partition by text_sha256)
 """
+
+
+@query
+def op10_toxicity(spark, sf_dir):
+    """Score and offending sentences of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.model_for(docs, table(spark, sf_dir, "labels"))
+    done = toxicity.score_documents(docs, model)
+    return done.select("doc_id", "held_out", "score", "predicted", "offending")
