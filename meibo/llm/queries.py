@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meibo.llm import exact_dedup, line_dedup, toxicity
+from meibo.llm import exact_dedup, line_dedup, ngram_join, toxicity
 from meibo.llm.ship import ship
 
 QUERIES = {}
@@ -91,3 +91,9 @@ def op10_toxicity(spark, sf_dir):
     model = toxicity.model_for(docs, table(spark, sf_dir, "labels"))
     done = toxicity.score_documents(docs, model)
     return done.select("doc_id", "held_out", "score", "predicted", "offending")
+
+
+@query
+def op5_ngram_jaccard_join(spark, sf_dir):
+    """Every document with its class of copies, its links and its group of near copies."""
+    return ngram_join.near_copies(table(spark, sf_dir, "documents"))
