@@ -57,15 +57,16 @@ def drop_site_lines(
     pages: DataFrame,
     host: Column,
     lines: Column,
+    carry: list[str],
     max_ratio: float = MAX_RATIO,
     min_pages: int = MIN_PAGES,
 ) -> DataFrame:
-    """``page`` (a struct of all columns), ``host``, ``n_lines``, ``n_dropped``, ``clean_text``.
+    """``page`` (a struct of the columns to carry), ``host``, ``n_lines``, ``n_dropped``, ``clean_text``.
 
     ``lines`` is an array of strings. The content key joins a page with its dropped places; pages
     of one host with the same lines share them.
     """
-    columns = F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("page")
+    columns = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("page")
     rows = stage(
         pages.select(columns, host.alias("host"), lines.alias("lines")).withColumn(
             "key", F.unhex(F.md5(F.concat_ws("\n", "host", "lines")))
@@ -104,8 +105,12 @@ def drop_site_lines(
     )
 
 
-def drop_site_lines_of_html(pages: DataFrame, url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
-    """The same for raw pages."""
+def drop_site_lines_of_html(
+    pages: DataFrame, url_col: str = "url", html_col: str = "html", carry: list[str] | None = None, **options
+) -> DataFrame:
+    """The same for raw pages; all columns but the raw page are carried, unless ``carry`` names them."""
+    if carry is None:
+        carry = [c for c in pages.columns if c != html_col]
     return drop_site_lines(
-        pages, host_of(F.col(f"`{url_col}`")), text_lines(html_text(F.col(f"`{html_col}`"))), **options
+        pages, host_of(F.col(f"`{url_col}`")), text_lines(html_text(F.col(f"`{html_col}`"))), carry, **options
     )
