@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meibo.llm import exact_dedup, line_dedup, ngram_join, toxicity
+from meibo.llm import decontaminate, exact_dedup, line_dedup, ngram_join, toxicity
 from meibo.llm.ship import ship
 
 QUERIES = {}
@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op1_line_dedup(spark, sf_dir):
     """Every page without the boilerplate lines of its host."""
-    done = line_dedup.drop_site_lines_of_html(table(spark, sf_dir, "pages"))
+    done = line_dedup.drop_site_lines_of_html(table(spark, sf_dir, "pages"), carry=["page_id"])
     return done.select("page.page_id", "host", "n_lines", "n_dropped", "clean_text")
 
 
@@ -97,3 +97,9 @@ def op10_toxicity(spark, sf_dir):
 def op5_ngram_jaccard_join(spark, sf_dir):
     """Every document with its class of copies, its links and its group of near copies."""
     return ngram_join.near_copies(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_benchmark_decontamination(spark, sf_dir):
+    """Every document with the benchmark items that it contains."""
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
