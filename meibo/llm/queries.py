@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meibo.llm import decontaminate, exact_dedup, line_dedup, ngram_join, toxicity
+from meibo.llm import decontaminate, exact_dedup, line_dedup, ngram_join, pii, toxicity
 from meibo.llm.ship import ship
 
 QUERIES = {}
@@ -103,3 +103,18 @@ def op5_ngram_jaccard_join(spark, sf_dir):
 def op6_benchmark_decontamination(spark, sf_dir):
     """Every document with the benchmark items that it contains."""
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op4_pii(spark, sf_dir):
+    """Every document with its counts of personal data and the digests of their places."""
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+    base = F.filter("spans", lambda s: s.kind.isin(*pii.BASE_KINDS))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
+    )
