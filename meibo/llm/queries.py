@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meibo.llm import decontaminate, exact_dedup, line_dedup, ngram_join, pii, toxicity
+from meibo.llm import decontaminate, exact_dedup, language, line_dedup, ngram_join, pii, toxicity
 from meibo.llm.ship import ship
 
 QUERIES = {}
@@ -118,3 +118,10 @@ def op4_pii(spark, sf_dir):
     return found.select(
         "doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
     )
+
+
+@query
+def op2_language_id(spark, sf_dir):
+    """Language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.model_for(docs))
