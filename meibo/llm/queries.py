@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meibo.llm import decontaminate, exact_dedup, language, line_dedup, ngram_join, pii, toxicity
+from meibo.llm import decontaminate, exact_dedup, language, line_dedup, ngram_join, pii, sentencepiece_viterbi, toxicity
 from meibo.llm.ship import ship
 
 QUERIES = {}
@@ -125,3 +125,9 @@ def op2_language_id(spark, sf_dir):
     """Language of every document."""
     docs = table(spark, sf_dir, "documents")
     return language.predict(docs, language.model_for(docs))
+
+
+@query
+def op9_sentencepiece(spark, sf_dir):
+    """Ids of every document, and whether decoding gives its text back."""
+    return sentencepiece_viterbi.encode_documents(table(spark, sf_dir, "documents"))
