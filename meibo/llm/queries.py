@@ -7,8 +7,20 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meibo.llm import decontaminate, exact_dedup, language, line_dedup, ngram_join, pii, sentencepiece_viterbi, toxicity
+from meibo.llm (
+    decontaminate,
+    exact_dedup,
+    language,
+    line_dedup,
+    ngram_join,
+    pii,
+    sentencepiece_viterbi,
+    token_counts,
+    token_store,
+    toxicity,
+)
 from meibo.llm.ship import ship
+from meibo.operators.staging import new_path
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -131,3 +143,23 @@ def op2_language_id(spark, sf_dir):
 def op9_sentencepiece(spark, sf_dir):
     """Ids of every document, and whether decoding gives its text back."""
     return sentencepiece_viterbi.encode_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_token_ids(spark, sf_dir):
+    """Where every document's ids lie in the token store, read back from it."""
+    return token_store.read_token_store(token_store.write_token_store(table(spark, sf_dir, "documents")))
+
+
+@query
+def op8_token_counts(spark, sf_dir):
+    """Totals after estimates were inserted, revised to exact counts, and exact copies deleted."""
+    docs, version = table(spark, sf_dir, "documents"), "byte_bpe_50k"
+    rollup = token_counts.TokenRollup(spark, new_path(spark, "token-rollup"))
+    rollup.commit("1-estimate", token_counts.insert_of(docs, version, F.ceil(F.col("n_chars") / 4)))
+    exact = token_counts.insert_of(docs, version, token_counts.token_count(F.col("text")))
+    rollup.commit("2-count", exact)
+    copies = exact_dedup.mark_exact_copies(docs).where("not kept")
+    rollup.commit("3-dedup", token_counts.delete_of(copies, version))
+    rollup.commit("2-count", exact)
+    return rollup.totals()
