@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meibo.llm (
+from meibo.llm import (
     decontaminate,
     exact_dedup,
     language,
