@@ -17,6 +17,7 @@ id are ordered by a hash of the text; repeated rows are stored each. Other colum
 from __future__ import annotations
 
 import os
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -36,11 +37,14 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 SHARD_IDS = 1 << 20
 #: Rounds of pair replacement at most, pairs replaced in one, and how often a pair must occur.
-ROUNDS = 8
+ROUNDS = 6
 PAIRS = 1024
 MIN_COUNT = 16
 #: Words that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
+#: How the tokenizer marks the last piece of a word, and a bound below which letters stay single letters.
+WORD_END = "</w>"
+PLAIN_BELOW = "\u0130"
 MAGIC = b"IDRP"
 
 
@@ -61,18 +65,29 @@ class Shard:
     nulls: np.ndarray
 
 
-def _frequent_pairs(left: np.ndarray, right: np.ndarray, pairs: int, min_count: int) -> np.ndarray:
-    """The most frequent (left << 32 | right), counted exactly among pairs whose hash bucket is frequent."""
-    bucket = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(14)
-    size = np.bincount(bucket, minlength=1 << 18)
+#: Buckets that pairs are hashed to for a first count.
+PAIR_BITS = 18
+
+
+def _bucket(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - PAIR_BITS)
+
+
+def _frequent_pairs(left, right, bucket, inner, pairs: int, min_count: int) -> np.ndarray:
+    """The most frequent (left << 32 | right), counted exactly among pairs whose hash bucket is frequent.
+
+    Of pairs in one bucket the most frequent is taken; another waits for a later round.
+    """
+    size = np.bincount(bucket[inner], minlength=1 << PAIR_BITS)
     hot = size >= min_count
-    if hot.sum() > 4 * pairs:
-        hot &= size >= np.partition(size, -4 * pairs)[-4 * pairs]
-    mine = hot[bucket]
-    keys, counts = np.unique(left[mine].astype(np.uint64) << np.uint64(32) | right[mine], return_counts=True)
+    if hot.sum() > 2 * pairs:
+        hot &= size >= np.partition(size, -2 * pairs)[-2 * pairs]
+    at = np.flatnonzero(hot[bucket] & inner)
+    keys, counts = np.unique(left[at].astype(np.uint64) << np.uint64(32) | right[at], return_counts=True)
     keys, counts = keys[counts >= min_count], counts[counts >= min_count]
-    best = np.lexsort((keys, -counts))[:pairs]
-    return np.sort(keys[best])
+    best = keys[np.lexsort((keys, -counts))]
+    mine = _bucket((best >> np.uint64(32)).astype(np.uint32), best.astype(np.uint32))
+    return best[np.sort(np.unique(mine, return_index=True)[1])][:pairs]
 
 
 def compress(ids: np.ndarray, offsets: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS, min_count: int = MIN_COUNT):
@@ -87,16 +102,16 @@ def compress(ids: np.ndarray, offsets: np.ndarray, rounds: int = ROUNDS, pairs:
             break
         inner = ~last[:-1]
         left, right = symbols[:-1], symbols[1:]
-        keys = _frequent_pairs(left[inner], right[inner], pairs, min_count)
+        bucket = _bucket(left, right)
+        keys = _frequent_pairs(left, right, bucket, inner, pairs, min_count)
         if not len(keys):
             break
-        # Only symbols that begin a chosen pair need the full comparison.
-        begins = np.zeros(first + len(rules), dtype=bool)
-        begins[(keys >> np.uint64(32)).astype(np.int64)] = True
-        at = np.flatnonzero(begins[left] & inner)
-        pair = left[at].astype(np.uint64) << np.uint64(32) | right[at]
-        rule = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-        hit = keys[rule] == pair
+        rule_of = np.full(1 << PAIR_BITS, -1, dtype=np.int16)
+        rule_of[_bucket((keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32))] = np.arange(len(keys))
+        rule = rule_of[bucket]
+        at = np.flatnonzero((rule >= 0) & inner)
+        rule = rule[at].astype(np.int64)
+        hit = keys[rule] == left[at].astype(np.uint64) << np.uint64(32) | right[at]
         at, rule = at[hit], rule[hit]
         # In a run of overlapping pairs every other one is replaced.
         start = np.concatenate(([True], np.diff(at) != 1))
@@ -227,22 +242,50 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+
+    def _learn(self, parts: list[str]) -> None:
+        """Ask the library for the ids of parts.
+
+        A part of Latin letters is a word by itself, and the last id of a word tells that it ends, so
+        all of them are encoded as one text. Other parts are encoded one by one.
+        """
+        words = [w for w in parts if w.isalpha() and max(w) < PLAIN_BELOW]
+        (got,) = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(got.ids, dtype="<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) == len(words):
+            data, at = ids.tobytes(), 0
+            for word, stop in zip(words, (4 * stops).tolist(), strict=True):
+                self.known[word] = data[at:stop]
+                at = stop
+            rest = [w for w in parts if not (w.isalpha() and max(w) < PLAIN_BELOW)]
+        else:
+            rest = parts
+        for part, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[part] = np.array(found.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = {"": b""}
         known = self.known
-        new = {w for words in split for w in words if w not in known}
-        # A plain word before full stops and commas is a part by itself.
-        cut = {w: b for w in new if (b := w.rstrip(".,")) != w and b.isascii() and b.isalpha()}
-        ask = [w for w in new if w not in cut]
-        ask += {p for w, b in cut.items() for p in (b, w[len(b) :]) if p not in known and p not in new}
-        for word, got in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False), strict=True):
-            known[word] = np.array(got.ids, dtype="<u4").tobytes()
+        found = [list(map(known.get, words)) for words in split]
+        new = {w for words, ids in zip(split, found, strict=True) for w, i in zip(words, ids, strict=True) if i is None}
+        # A plain word before punctuation is a part by itself.
+        cut = {w: b for w in new if (b := w.rstrip(string.punctuation)) != w and b.isalpha() and max(b) < PLAIN_BELOW}
+        ask = new.difference(cut)
+        for w, b in cut.items():
+            ask.update(p for p in (b, w[len(b) :]) if p not in known)
+        self._learn(list(ask))
         for word, base in cut.items():
             known[word] = known[base] + known[word[len(base) :]]
-        return [np.frombuffer(b"".join([known[w] for w in words]), dtype="<u4") for words in split]
+        return [
+            np.frombuffer(b"".join([known[w] if i is None else i for w, i in zip(words, ids, strict=True)]), dtype="<u4")
+            for words, ids in zip(split, found, strict=True)
+        ]
 
 
 @cache
@@ -275,8 +318,8 @@ def write_token_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             ids = batch["id"].astype("Int64").tolist()
             texts = [t or "" for t in batch["text"]]
-            for start in range(0, len(texts), 256):
-                for name, found in zip(ids[start : start + 256], encoder(path).encode(texts[start : start + 256]), strict=True):
+            for start in range(0, len(texts), 512):
+                for name, found in zip(ids[start : start + 512], encoder(path).encode(texts[start : start + 512]), strict=True):
                     held.append(np.concatenate((found, end)))
                     names.append(None if name is pd.NA else name)
                     size += len(found) + 1
