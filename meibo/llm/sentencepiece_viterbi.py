@@ -93,7 +93,7 @@ def segment(pieces: Pieces, text: str, window: int = WINDOW) -> list[int]:
     base = 0  # the committed place; index 0 of the lists
     best: list[float | None] = [0.0]
     back: list[tuple | None] = [None]
-    reach = 0
+    reach, look = 0, window
     size = len(text)
 
     def commit(place: int) -> None:
@@ -112,10 +112,13 @@ def segment(pieces: Pieces, text: str, window: int = WINDOW) -> list[int]:
     for at in range(size):
         if reach <= at and at > base:
             commit(at)
-        if at - base > window:
+            look = at + window
+        if at >= look:
             place = _meeting(best, back, base, at, pieces.longest)
             if place > base:
                 commit(place)
+            # Where paths do not meet for long, looking twice as late each time keeps the work linear.
+            look = at + max(window, at - base)
         score = best[at - base]
         if score is None:
             continue
