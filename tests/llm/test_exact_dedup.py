@@ -1,0 +1,66 @@
+import hashlib
+from collections import Counter, defaultdict
+
+from meibo.llm import exact_dedup as E
+
+ROWS = [
+    (1, "Same Text"), (5, "same text"), (3, "SAME TEXT"), (2, "Ünique"), (4, "ünique"),
+    (6, None), (7, ""), (None, "same text"), (8, "twice"), (8, "twice"), (9, "x" * 200_000), (None, "lost"),
+]
+
+
+def lower(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+def brute(rows):
+    groups = defaultdict(list)
+    for doc, text in rows:
+        groups[lower(text)].append(doc)
+    out = Counter()
+    for text, ids in groups.items():
+        ids.sort(key=lambda x: -1 if x is None else x)
+        for i, doc in enumerate(ids):
+            digest = hashlib.sha256(text.encode()).hexdigest()
+            out[doc, ids[-1], len(ids), i == len(ids) - 1, digest] += 1
+    return out
+
+
+def marked(docs):
+    return Counter(map(tuple, E.mark_exact_copies(docs).collect()))
+
+
+def test_matches_brute_force(documents):
+    assert marked(documents(ROWS)) == brute(ROWS)
+
+
+def test_few_winners_give_the_same(documents, monkeypatch):
+    rows = ROWS + [(100 + i, "hot") for i in range(300)] + [(999, f"t{i}") for i in range(40)]
+    monkeypatch.setattr(E, "HEAVY_MAX", 1)
+    monkeypatch.setattr(E, "SUMMARY_SIZE", 8)
+    assert marked(documents(rows)) == brute(rows)
+
+
+def test_hot_text_does_not_reach_the_window(documents, spark):
+    docs = documents([(i, "hot") for i in range(500)] + [(1000 + i, f"t{i}") for i in range(20)])
+    winners = E.heavy_winners(docs.select(E.text_digest(docs.text).alias("d"), "doc_id"), "d", docs.doc_id).collect()
+    assert [(w["best"], w["size"]) for w in winners] == [(499, 500)]
+
+
+def test_no_rows(documents):
+    assert not marked(documents([])) and not E.drop_exact_copies(documents([])).collect()
+
+
+def test_drop_keeps_one_whole_row_of_each_text(documents):
+    docs = documents(ROWS)
+    kept = E.drop_exact_copies(docs)
+    assert kept.columns == docs.columns
+    want = Counter((d, lower(t)) for (d, best, _, keep, _), n in brute(ROWS).items() if keep for t in [None])
+    texts = Counter(lower(r["text"]) for r in kept.collect())
+    assert set(texts) == {lower(t) for _, t in ROWS} and set(texts.values()) == {1}
+    assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(map(str, (d for d, _ in want.elements())))
+
+
+def test_no_python_in_the_plan(documents):
+    plan = E.mark_exact_copies(documents(ROWS))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan

@@ -1,0 +1,83 @@
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from meibo.llm import token_store as S
+
+PATH = public_tokenizers.path(S.TOKENIZER)
+PARTS = ["the", "ing ", "  ", "\n", "Er,", "ution.", "é", "é", " ́", "漢", "𝕏", "\t", "2024", " of", "'s", "don't ", "...", "<|endoftext|>", "Σ", "İ", "\x1c", " ", '."', ".,"]
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(PATH)
+
+
+@settings(max_examples=400, deadline=None)
+@given(texts=st.lists(st.lists(st.sampled_from(PARTS), max_size=15).map("".join), max_size=4))
+def test_ids_are_the_librarys(tokenizer, texts):
+    got = S.Encoder(PATH).encode(texts) if len(texts) == 1 else S.encoder(PATH).encode(texts)
+    assert [g.tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def cut(documents):
+    ids = np.concatenate([*documents, np.zeros(0, np.uint32)]).astype(np.uint32)
+    return ids, np.concatenate(([0], np.cumsum([len(d) for d in documents]))).astype(np.int64)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), max_size=30).map(lambda x: np.array(x, dtype=np.uint32)), max_size=5), st.integers(1, 6))
+def test_grammar_round_trip(documents, rounds):
+    ids, offsets = cut(documents)
+    first, rules, symbols, at = S.compress(ids, offsets, rounds=rounds, min_count=2)
+    flat, starts = S.expansions(first, rules)
+    for i, d in enumerate(documents):
+        assert S.expand(symbols[at[i] : at[i + 1]], first, flat, starts).tolist() == d.tolist()
+
+
+def test_frequent_pairs_become_rules():
+    ids, offsets = cut([np.array([7, 8, 9] * 200, dtype=np.uint32)])
+    first, rules, symbols, _ = S.compress(ids, offsets, min_count=2)
+    assert len(symbols) < 20 and rules[0].tolist() in ([7, 8], [8, 9], [9, 7])
+    assert (rules.astype(np.int64) < first + np.arange(len(rules))[:, None]).all()
+
+
+def test_shard_format_and_random_access():
+    pick = random.Random(1)
+    documents = [np.array([pick.randrange(70_000 if wide else 4) for _ in range(n)], dtype=np.uint32) for wide, n in ((0, 5000), (0, 0), (1, 300), (0, 9000))]
+    for some in (documents, documents[:2], []):
+        shard = S.read_shard(S.write_shard(S.make_shard(some, list(range(len(some))))))
+        for i, d in enumerate(some):
+            assert S.document_slice(shard, i).tolist() == d.tolist()
+            assert S.document_slice(shard, i, 10, 50).tolist() == d[10:50].tolist()
+    with pytest.raises(ValueError):
+        S.read_shard(b"x" * 40)
+
+
+def brute(tokenizer, rows):
+    out, start = [], 0
+    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, S.END_ID]
+        out.append((doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return out
+
+
+@pytest.mark.parametrize("shard_ids", [None, 50])
+def test_store_matches_brute_force(documents, tokenizer, monkeypatch, shard_ids):
+    if shard_ids:
+        monkeypatch.setattr(S, "SHARD_IDS", shard_ids)
+    rows = [(i * 7 % 101, f"text number {i} " * (i % 9)) for i in range(101)]
+    rows += [(500, None), (501, ""), (502, "twice"), (502, "twice"), (None, "no id"), (503, "long text " * 30_000)]
+    got = sorted((tuple(r) for r in S.read_token_store(S.write_token_store(documents(rows))).collect()), key=lambda r: r[1])
+    assert got == brute(tokenizer, rows)
+
+
+def test_empty_table(documents):
+    assert not S.read_token_store(S.write_token_store(documents([]))).collect()
