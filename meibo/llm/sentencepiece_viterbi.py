@@ -17,6 +17,8 @@ ids, and other columns may have any name.
 
 from __future__ import annotations
 
+import string
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -31,10 +33,16 @@ SPACE = "▁"
 #: Open places after which the backpointers are compared.
 WINDOW = 64
 #: Words that a worker remembers, and the longest one.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 REMEMBERED_LENGTH = 48
-#: Keys of a tree node beside its characters.
-_SCORE, _ID = 0, 1
+UNREACHED = float("-inf")
+#: Rows that a worker hands back at once.
+ROWS_OUT = 512
+
+
+def _packed(ids) -> bytes:
+    return np.array(ids, dtype="<i4").tobytes()
+
 
 
 class Pieces:
@@ -44,19 +52,24 @@ class Pieces:
         self.text = [p for p, _ in pieces]
         self.byte_ids = byte_ids
         self.byte_of = {i: b for b, i in enumerate(byte_ids)}
-        self.tree: dict = {}
+        # By character: the nodes that follow, and score and ids of the piece that ends here.
+        self.tree: dict[str, list] = {}
         self.longest = 1
         usable = [(i, p, s) for i, (p, s) in enumerate(pieces) if i not in special and i not in self.byte_of and p]
         for i, piece, score in usable:
             node = self.tree
-            for char in piece:
-                node = node.setdefault(char, {})
-            node[_SCORE], node[_ID] = score, i
+            for char in piece[:-1]:
+                entry = node.setdefault(char, [None, None, None])
+                if entry[0] is None:
+                    entry[0] = {}
+                node = entry[0]
+            node.setdefault(piece[-1], [None, None, None])[1:] = score, (i,)
             self.longest = max(self.longest, len(piece))
+        #: Neighbours inside pieces. No piece crosses the place between any other two characters.
+        self.inside = {pair for _, p, _ in usable for pair in zip(p, p[1:], strict=False)}
         self.unknown = min((s for _, _, s in usable), default=0.0) - 10.0
-        #: No piece crosses these: the place before a space mark, both sides of a line break.
-        self.cut_space = not any(SPACE in p.lstrip(SPACE) for _, p, _ in usable)
-        self.cut_line = not any("\n" in p for _, p, _ in usable)
+        self.cut_space = not any(b == SPACE != a for a, b in self.inside)
+        self.cut_line = not any("\n" in pair for pair in self.inside)
         # What a piece decodes to by itself; bytes above ASCII only do together.
         self.plain = [p.replace(SPACE, " ") for p in self.text]
         self.joined = set()
@@ -89,127 +102,153 @@ def segment(pieces: Pieces, text: str, window: int = WINDOW) -> list[int]:
     ``best`` and ``back`` hold the places since the last committed one only.
     """
     out: list[int] = []
-    tree, unknown = pieces.tree, pieces.unknown
-    base = 0  # the committed place; index 0 of the lists
-    best: list[float | None] = [0.0]
-    back: list[tuple | None] = [None]
-    reach, look = 0, window
+    tree, unknown, longest = pieces.tree, pieces.unknown, pieces.longest
     size = len(text)
-
-    def commit(place: int) -> None:
-        """Write the ids up to ``place`` and forget what lies before it."""
-        nonlocal base, best, back
-        found, at = [], place - base
-        while at > 0:
-            start, ids = back[at]
+    base = 0  # the committed place; index 0 of the lists
+    best: list[float] = [0.0]
+    back: list = [None]
+    reach, look = 0, window  # how far pieces reach so far; where backpointers are compared next
+
+    def write(place: int) -> None:
+        """Write the ids from the committed place to ``place``, counted from there."""
+        found = []
+        while place > 0:
+            place, ids = back[place]
             found.append(ids)
-            at = start - base
         for ids in reversed(found):
             out.extend(ids)
-        best, back = best[place - base :], back[place - base :]
-        base = place
 
     for at in range(size):
-        if reach <= at and at > base:
-            commit(at)
-            look = at + window
-        if at >= look:
-            place = _meeting(best, back, base, at, pieces.longest)
-            if place > base:
-                commit(place)
+        if reach <= at:
+            # No piece crosses this place, so all paths run through it.
+            if at > base:
+                write(at - base)
+                base, look = at, at + window
+            best, back = [0.0], [None]
+        elif at >= look:
+            place = _meeting(best, back, at - base, longest)
+            if place > 0:
+                write(place)
+                base += place
+                best = best[place:]
+                back = [x and (x[0] - place, x[1]) for x in back[place:]]
             # Where paths do not meet for long, looking twice as late each time keeps the work linear.
             look = at + max(window, at - base)
-        score = best[at - base]
-        if score is None:
+        here = at - base
+        if len(best) <= here + longest:
+            best += [UNREACHED] * longest
+            back += [None] * longest
+        score = best[here]
+        if score == UNREACHED:
             continue
-        node, end, single = tree, at, False
-        while end < size:
-            node = node.get(text[end])
-            if node is None:
+        place, single = here, False
+        entry = tree.get(text[at])
+        while entry is not None:
+            node, gain, ids = entry
+            place += 1
+            if gain is not None:
+                single |= place == here + 1
+                if score + gain > best[place]:
+                    best[place] = score + gain
+                    back[place] = here, ids
+                if base + place > reach:
+                    reach = base + place
+            if node is None or base + place == size:
                 break
-            end += 1
-            if _ID in node:
-                single |= end == at + 1
-                _relax(best, back, end - base, score + node[_SCORE], at, (node[_ID],))
-                reach = max(reach, end)
+            entry = node.get(text[base + place])
         if not single:
-            _relax(best, back, at + 1 - base, score + unknown, at, pieces.of_char(text[at]))
+            if score + unknown > best[here + 1]:
+                best[here + 1] = score + unknown
+                back[here + 1] = here, pieces.of_char(text[at])
             reach = max(reach, at + 1)
-    if size > base:
-        commit(size)
+    write(size - base)
     return out
 
 
-def _relax(best: list, back: list, at: int, score: float, start: int, ids: tuple) -> None:
-    while len(best) <= at:
-        best.append(None)
-        back.append(None)
-    if best[at] is None or score > best[at]:
-        best[at], back[at] = score, (start, ids)
-
-
-def _meeting(best: list, back: list, base: int, at: int, longest: int) -> int:
+def _meeting(best: list, back: list, here: int, longest: int) -> int:
     """The last place that the paths to all open places share; only the last ``longest`` can go on."""
-    low = max(base, at - longest + 1)
-    open_places = {p for p in range(low, base + len(best)) if best[p - base] is not None}
+    low = max(0, here - longest + 1)
+    open_places = {p for p in range(low, len(best)) if best[p] != UNREACHED}
     while len(open_places) > 1:
         last = max(open_places)
         open_places.discard(last)
-        open_places.add(back[last - base][0] if last > base else base)
+        open_places.add(back[last][0] if last else 0)
     return open_places.pop()
 
 
 class Encoder:
-    """Encodes texts, remembering the ids of short words."""
+    """Encodes texts, remembering the ids of short words as bytes."""
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.mark = pieces.of_char(SPACE)
-
-    def _part(self, part: str) -> tuple[int, ...] | list[int]:
-        found = self.known.get(part)
+        self.spaced: dict[str, bytes] = {}  # words after one space mark
+        self.bare: dict[str, bytes] = {}  # words at the start of a line, and after several marks
+        self.newline = _packed(pieces.of_char("\n"))
+        self.mark = _packed(pieces.of_char(SPACE))
+
+    def _part(self, known: dict[str, bytes], part: str, text: str) -> bytes:
+        """The ids of ``text``, remembered under ``part``."""
+        found = known.get(part)
         if found is None:
-            found = tuple(segment(self.pieces, part))
+            word = part.rstrip(string.punctuation)
+            end = part[len(word) :]
+            if word and end and (word[-1], end[0]) not in self.pieces.inside:
+                found = self._part(known, word, text[: -len(end)]) + self._part(self.bare, end, end)
+            else:
+                found = _packed(segment(self.pieces, text))
             if len(part) <= REMEMBERED_LENGTH:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[part] = found
+                if len(self.spaced) + len(self.bare) >= REMEMBERED:
+                    self.spaced.clear()
+                    self.bare.clear()
+                known[part] = found
         return found
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         """Ids of the whole text. A literal mark cuts the text, being bytes of its own."""
         if not text:
-            return []
-        out: list[int] = []
+            return np.zeros(0, dtype=np.int32)
+        out: list[bytes] = []
         for i, run in enumerate(text.split(SPACE)):
             if i:
-                out += self.mark
-            self._run(run.replace(" ", SPACE) if i else SPACE + run.replace(" ", SPACE), out)
-        return out
+                out.append(self.mark)
+            self._run(run, out, not i)
+        return np.frombuffer(b"".join(out), dtype="<i4")
 
-    def _run(self, run: str, out: list[int]) -> None:
+    def _run(self, run: str, out: list[bytes], first: bool) -> None:
+        """``first``: a space mark goes in front."""
         if not (self.pieces.cut_space and self.pieces.cut_line):
-            out += segment(self.pieces, run)
+            out.append(_packed(segment(self.pieces, SPACE * first + run.replace(" ", SPACE))))
             return
-        newline = self.pieces.of_char("\n")
         for i, line in enumerate(run.split("\n")):
             if i:
-                out += newline
-            if not line:
+                out.append(self.newline)
+            words = line.split(" ")
+            marked = first and not i
+            if "" in words:
+                self._spaces(SPACE * marked + line.replace(" ", SPACE), out)
                 continue
-            first, *rest = line.split(SPACE)
-            if first:
-                out += self._part(first)
-            marks = SPACE
-            for word in rest[:-1]:
-                if word:
-                    out += self._part(marks + word)
-                    marks = SPACE
-                else:
-                    marks += SPACE
-            if rest:
-                out += self._part(marks + rest[-1])
+            if not marked:
+                out.append(self._part(self.bare, words[0], words[0]))
+                del words[0]
+            found = list(map(self.spaced.get, words))
+            if None in found:
+                found = [self._part(self.spaced, w, SPACE + w) if f is None else f for w, f in zip(words, found, strict=True)]
+            out += found
+
+    def _spaces(self, line: str, out: list[bytes]) -> None:
+        """A line with spaces at its ends or next to each other: every part begins with its marks."""
+        words = line.split(SPACE)
+        if words[0]:
+            out.append(self._part(self.bare, words[0], words[0]))
+        marks = SPACE
+        for word in words[1:-1]:
+            if word:
+                out.append(self._part(self.bare, marks + word, marks + word))
+                marks = SPACE
+            else:
+                marks += SPACE
+        if len(words) > 1:
+            out.append(self._part(self.bare, marks + words[-1], marks + words[-1]))
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids, without the space put in front."""
@@ -237,18 +276,25 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per row of ``docs``: id, ``ids``, ``n_ids`` and ``round_trip`` (decoding gave the text back)."""
     path = path or public_tokenizers.path(MODEL)
 
-    def encode(texts: pd.Series) -> pd.DataFrame:
-        coder, rows = encoder(path), []
-        for text in texts:
-            if text is None:
-                rows.append((None, 0, True))
-                continue
-            ids = coder.encode(text)
-            rows.append((np.array(ids, dtype=np.int32), len(ids), coder.decode(ids) == text))
-        return pd.DataFrame(rows, columns=["ids", "n_ids", "round_trip"])
-
-    coded = F.pandas_udf(encode, "ids array<int>, n_ids long, round_trip boolean")
-    return docs.select(F.col(f"`{id_col}`"), coded(F.col(f"`{text_col}`")).alias("coded")).select(F.col(f"`{id_col}`"), "coded.*")
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = encoder(path)
+        for batch in batches:
+            # Ids take more room than their text, so they leave in small parts.
+            for start in range(0, len(batch), ROWS_OUT):
+                part = batch.iloc[start : start + ROWS_OUT]
+                rows = []
+                for text in part["text"]:
+                    ids = None if text is None else coder.encode(text)
+                    whole = ids is None or coder.decode(ids.tolist()) == text
+                    rows.append((ids, 0 if ids is None else len(ids), whole))
+                made = pd.DataFrame(rows, columns=["ids", "n_ids", "round_trip"], index=part.index)
+                yield pd.concat([part[["id"]], made], axis=1)
+
+    # The id travels as text, since pandas would make a float of a number that may be null.
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    sent = rows.select(F.col("id").cast("string").alias("id"), "text")
+    coded = sent.mapInPandas(encode, "id string, ids array<int>, n_ids long, round_trip boolean")
+    return coded.select(F.col("id").cast(rows.schema["id"].dataType).alias(id_col), "ids", "n_ids", "round_trip")
 
 
 def decode_documents(coded: DataFrame, ids_col: str = "ids", text_col: str = "text", path: str | None = None) -> DataFrame:

@@ -52,7 +52,7 @@ def plain(pieces, usable, text):
 @given(text=texts)
 def test_ids_and_round_trip(pieces, usable, text):
     coder = V.Encoder(pieces)
-    ids = coder.encode(text)
+    ids = coder.encode(text).tolist()
     assert coder.decode(ids) == text
     if text and V.SPACE not in text:
         assert ids == plain(pieces, usable, V.SPACE + text.replace(" ", V.SPACE))
@@ -82,19 +82,19 @@ def test_pieces_across_words_and_lines():
     own = V.Pieces([("a", -1.0), ("b", -1.0), (V.SPACE, -1.0), (f"a{V.SPACE}b", -1.5), ("b\n", -1.0), *[(f"<{i}>", 0.0) for i in range(256)]], list(range(5, 261)), set())
     coder = V.Encoder(own)
     assert not own.cut_space and not own.cut_line
-    assert coder.encode("a b\na") == [2, 0, 2, 4, 0] and coder.decode([2, 0, 2, 4, 0]) == "a b\na"
-    assert coder.encode("a b") == [2, 3] and coder.decode([2, 3]) == "a b"
+    assert coder.encode("a b\na").tolist() == [2, 0, 2, 4, 0] and coder.decode([2, 0, 2, 4, 0]) == "a b\na"
+    assert coder.encode("a b").tolist() == [2, 3] and coder.decode([2, 3]) == "a b"
 
 
 def test_a_full_memory_is_emptied(monkeypatch, pieces):
     monkeypatch.setattr(V, "REMEMBERED", 3)
     coder = V.Encoder(pieces)
     text = "one two three four five six seven one two"
-    assert coder.encode(text) == V.Encoder(pieces).encode(text) and len(coder.known) <= 3
+    assert (coder.encode(text) == V.Encoder(pieces).encode(text)).all() and len(coder.spaced) <= 3
 
 
 def test_table(documents):
-    rows = [(1, None), (2, ""), (3, " "), (4, "a  b\n▁ é𝕏"), (4, "a  b\n▁ é𝕏"), (None, "x"), (5, "long " * 50_000), (6, "y" * 100_000)]
+    rows = [(1, None), (2, ""), (3, " "), (4, "a  b\n▁ é𝕏"), (4, "a  b\n▁ é𝕏"), (None, "x"), (2**60 + 1, "large id"), (5, "long " * 50_000), (6, "y" * 100_000)]
     docs = documents(rows)
     coded = V.encode_documents(docs)
     got = coded.collect()
