@@ -316,12 +316,12 @@ def write_token_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             return pd.DataFrame([row], columns=["part", "number", "first_token", "n_tokens", "payload"])
 
         for batch in batches:
-            ids = batch["id"].astype("Int64").tolist()
+            ids = batch["id"].tolist()
             texts = [t or "" for t in batch["text"]]
             for start in range(0, len(texts), 512):
                 for name, found in zip(ids[start : start + 512], encoder(path).encode(texts[start : start + 512]), strict=True):
                     held.append(np.concatenate((found, end)))
-                    names.append(None if name is pd.NA else name)
+                    names.append(None if name is None else int(name))
                     size += len(found) + 1
                     if size >= SHARD_IDS:
                         yield flush()
@@ -330,7 +330,9 @@ def write_token_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
-    return stage(ordered.mapInPandas(encode, SHARD_SCHEMA), "token-shards")
+    # The id travels as text, since pandas would make a float of a number that may be null.
+    sent = ordered.select(F.col("id").cast("string").alias("id"), "text")
+    return stage(sent.mapInPandas(encode, SHARD_SCHEMA), "token-shards")
 
 
 def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -344,7 +346,7 @@ def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
             yield pd.DataFrame(
                 {
-                    "id": pd.array(shard.doc_ids, dtype="Int64").copy() if not shard.nulls.any() else pd.array([None if n else i for i, n in zip(shard.doc_ids.tolist(), shard.nulls.tolist(), strict=True)], dtype="Int64"),
+                    "id": pd.arrays.IntegerArray(shard.doc_ids.copy(), shard.nulls.copy()),
                     "part": row.part,
                     "first_token": row.first_token + begin[:-1],
                     "n_tokens": shard.counts.astype(np.int64),

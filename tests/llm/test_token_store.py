@@ -74,7 +74,7 @@ def test_store_matches_brute_force(documents, tokenizer, monkeypatch, shard_ids)
     if shard_ids:
         monkeypatch.setattr(S, "SHARD_IDS", shard_ids)
     rows = [(i * 7 % 101, f"text number {i} " * (i % 9)) for i in range(101)]
-    rows += [(500, None), (501, ""), (502, "twice"), (502, "twice"), (None, "no id"), (503, "long text " * 30_000)]
+    rows += [(500, None), (501, ""), (502, "twice"), (502, "twice"), (None, "no id"), (2**60 + 1, "large id"), (503, "long text " * 30_000)]
     got = sorted((tuple(r) for r in S.read_token_store(S.write_token_store(documents(rows))).collect()), key=lambda r: r[1])
     assert got == brute(tokenizer, rows)
 
