@@ -78,15 +78,31 @@ def strip_controls(c: Column) -> Column:
 
 
 def digits(c: Column) -> Column:
-    """The ASCII digits of a cell, null when it has none. Used as the key of a phone number."""
-    return F.nullif(F.regexp_replace(narrow_digits(c), "[^0-9]", ""), F.lit(""))
+    """The ASCII digits of a cell, null when it has none. Used as the key of a phone number.
 
+    ``+81`` before a number becomes its leading 0. Of several numbers in a cell, with a
+    sign between them that no number holds, the first counts.
+    """
+    narrow = narrow_ascii(c)
+    first = F.regexp_extract(narrow, "^[^0-9+]*([^/,;、・\n]*)", 1)
+    home = F.regexp_replace(first, r"^\+\s*81[\s().-]*(\(0\)|0)?", "0")
+    return F.nullif(F.regexp_replace(home, "[^0-9]", ""), F.lit(""))
 
-def match_text(c: Column) -> Column:
-    """The spelling used to compare names and addresses; null for a blank cell."""
+
+def spelling(c: Column) -> Column:
+    """Narrow letters and signs, wide katakana, lower case, one space between words, no controls.
+
+    A space at an end stays one.
+    """
     wide = WIDE_ASCII + "\u3000" + HYPHENS
     narrow = NARROW_ASCII + " " + "-" * len(HYPHENS)
-    return blank_to_null(_translate(c, wide, narrow))
+    plain = _translate(widen_kana(strip_controls(F.translate(c, "\t\r\n", "   "))), wide, narrow)
+    return F.regexp_replace(F.lower(plain), "[ \u00a0]+", " ")
+
+
+def match_text(c: Column) -> Column:
+    """The spelling used to compare names and addresses; null for a blank cell."""
+    return blank_to_null(spelling(c))
 
 
 def hyphenate_postal(c: Column) -> Column:

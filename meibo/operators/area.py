@@ -10,6 +10,10 @@ from meibo.functions.text import digits, match_text
 from meibo.operators.fill import prefixes
 from meibo.operators.lookup import BROADCAST_MAX_BYTES, first_match, lookup_join, sized
 
+# Japanese number ranges without a place (mobile, data, internet and pager numbers,
+# toll-free, shared-cost, mass-call and premium services).
+NO_AREA = "^(0[26789]0|050|0120|0800|0570|0180|0990)"
+
 
 def check_area_code(
     rows: DataFrame,
@@ -19,8 +23,10 @@ def check_area_code(
     verdict_col: str = "verdict",
     max_bytes: int = BROADCAST_MAX_BYTES,
 ) -> DataFrame:
-    """Add a verdict: ``ok``, ``mismatch`` or ``unknown_code``; null for a blank phone.
+    """Add a verdict: ``ok``, ``mismatch``, ``unknown_code`` or ``no_area``; null for a blank phone.
 
+    ``no_area`` is a number of a range that belongs to no place, such as mobile phones, unless the
+    list holds its code.
     ``ref`` has ``code`` and ``area``; a code may serve several areas, and the longest code the
     phone begins with counts. A blank area never equals a listed one, so it is a mismatch.
     """
@@ -42,6 +48,7 @@ def check_area_code(
     judged = lookup_join(coded, ["_code", "_area"], listed._replace(rows=pairs))
     verdict = (
         F.when(F.col("_tel").isNull(), None)
+        .when(F.col("_code").isNull() & F.col("_tel").rlike(NO_AREA), "no_area")
         .when(F.col("_code").isNull(), "unknown_code")
         .when(F.col("_served"), "ok")
         .otherwise("mismatch")

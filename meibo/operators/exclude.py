@@ -63,22 +63,29 @@ def exclude_names(
 
 
 def any_of_pattern(needles: list[str]) -> str:
-    """A regular expression that finds any of ``needles``. Common beginnings are shared, so a
-    position of the text is given up at the first character that no name continues with."""
+    """A regular expression that finds any of ``needles``. Names that begin alike share that part."""
     tree: dict = {}
     for needle in needles:
         node = tree
         for ch in needle:
             node = node.setdefault(ch, {})
         node[""] = {}
-
-    def pattern(node: dict) -> str:
-        if "" in node:  # a name ends here, whatever follows
-            return ""
-        branches = [re.escape(ch) + pattern(rest) for ch, rest in sorted(node.items())]
-        return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
-
-    return pattern(tree)
+    out: list[str] = []
+    todo: list = [tree]  # nodes to write out and text between them, the next one last
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str):
+            out.append(node)
+        elif "" not in node:  # else a name ends here, whatever follows
+            branches = [[rest, re.escape(ch)] for ch, rest in sorted(node.items(), reverse=True)]
+            if len(branches) == 1:
+                todo += branches[0]
+                continue
+            todo.append(")")
+            for i, branch in enumerate(branches):
+                todo += ["|", *branch] if i else branch
+            todo.append("(?:")
+    return "".join(out)
 
 
 def holds_any(text: Column, needles: list[str]) -> Column:

@@ -11,42 +11,86 @@ A rule is (``customer``, ``column``, ``op``, ``arg``). The ops:
 ``min``, ``max``       the cell, read as a number, is below / above ``arg``
 ``max_length``         the cell has more than ``arg`` characters
 =====================  ===================================================
+
+Texts are compared in their normalised spelling and numbers in narrow digits. A space that ``arg``
+has on its inner side counts: the prefix ``A `` is the word A. A cell that is not
+blank and no number breaks ``min`` and ``max``. A blank cell breaks ``required`` only.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meibo.functions.names import col, cols
-from meibo.functions.text import is_blank
+from meibo.functions.text import is_blank, match_text, narrow_ascii, spelling, trim_spaces
 from meibo.operators.lookup import BROADCAST_MAX_BYTES, lookup_join
 
-OPS = {
-    "required": lambda cell, arg: is_blank(cell),
-    "exclude_value": lambda cell, arg: cell == arg,
-    "exclude_prefix": lambda cell, arg: cell.startswith(arg),
-    "exclude_suffix": lambda cell, arg: cell.endswith(arg),
-    "exclude_contains": lambda cell, arg: cell.contains(arg),
-    "min": lambda cell, arg: cell.try_cast("double") < arg.cast("double"),
-    "max": lambda cell, arg: cell.try_cast("double") > arg.cast("double"),
-    "max_length": lambda cell, arg: F.length(cell) > arg.cast("int"),
-}
+TEXT_OPS = ["exclude_value", "exclude_prefix", "exclude_suffix", "exclude_contains"]
+NUMBER_OPS = ["min", "max", "max_length"]
+OPS = ["required", *TEXT_OPS, *NUMBER_OPS]
+
+
+def _number(text: Column) -> Column:
+    return trim_spaces(narrow_ascii(text)).try_cast("double")
+
+
+def _needle(op: str, arg: Column) -> Column:
+    """The spelling of a text argument; cells have no spaces at their ends."""
+    if op == "exclude_prefix":
+        return F.ltrim(spelling(arg))
+    if op == "exclude_suffix":
+        return F.rtrim(spelling(arg))
+    return spelling(arg) if op == "exclude_contains" else match_text(arg)
 
-# Rules of one customer are spread over arrays of about this many, so that an array stays small
-# whatever the number of rules.
-RULES_PER_ARRAY = 256
+
+def checked(rules: DataFrame) -> DataFrame:
+    """``rules``, stopping the job at an unknown op, a blank text or an argument that is no number."""
+    op, arg = F.col("op"), F.col("arg")
+    shown = F.concat_ws(" ", F.coalesce("customer", F.lit("")), F.coalesce("column", F.lit("")), op, arg)
+    text, number = match_text(arg), _number(arg)
+    fault = (
+        F.when(op.isNull() | ~op.isin(OPS), "unknown rule op: ")
+        .when(op.isin(TEXT_OPS) & text.isNull(), "a rule needs a text: ")
+        .when(op.isin(NUMBER_OPS) & number.isNull(), "a rule needs a number: ")
+    )
+    known = F.when(fault.isNull(), op).otherwise(F.raise_error(F.concat(fault, shown)))
+    return rules.withColumn("op", known)
+
+
+def _held(kind: tuple[str, str], name: str) -> Column:
+    """What a customer's rules of one (op, column) come down to.
+
+    Only whether one of them is broken matters, so numbers become the strictest one.
+    """
+    op, column = kind
+    mine = (F.col("op") == op) & (F.col("column") == column)
+    if op == "required":
+        held = F.max(F.when(mine, True))
+    elif op in TEXT_OPS:
+        held = F.collect_set(F.when(mine, _needle(op, F.col("arg"))))
+    else:
+        held = (F.max if op == "min" else F.min)(F.when(mine, _number(F.col("arg"))))
+    return held.alias(name)
 
 
-def _violated(rule: Column, kinds: list[tuple[str, str]]) -> Column:
-    """Whether the row breaks ``rule``, whose kind is one of the (op, column) pairs."""
-    cases = F.when(F.lit(False), F.lit(False))
-    for op, column in kinds:
-        broken = OPS[op](col(column).cast("string"), rule["arg"])
-        cases = cases.when((rule["op"] == op) & (rule["column"] == column), broken)
-    return F.coalesce(cases, F.lit(False))
+def _broken(kind: tuple[str, str], held: Column) -> Column:
+    """Whether the row breaks a rule of the kind; false or null when it does not."""
+    op, column = kind
+    cell = col(column).cast("string")
+    if op == "required":
+        return held & is_blank(cell)
+    if op == "max_length":
+        return F.length(cell) > held
+    if op in NUMBER_OPS:
+        number = _number(cell)
+        out = (number < held) if op == "min" else (number > held)
+        return held.isNotNull() & ~is_blank(cell) & F.coalesce(out, F.lit(True))
+    text = match_text(cell)
+    if op == "exclude_value":
+        return F.array_contains(held, text)
+    test = {"exclude_prefix": "startswith", "exclude_suffix": "endswith", "exclude_contains": "contains"}[op]
+    return F.exists(held, lambda arg: getattr(text, test)(arg))
 
 
 def _kinds(rules: DataFrame, columns: list[str]) -> list[tuple[str, str]]:
@@ -68,30 +112,24 @@ def apply_rules(
     reason_col: str = "reason",
     max_bytes: int = BROADCAST_MAX_BYTES,
 ) -> DataFrame:
-    """Add the op of the first rule a row breaks, in the order of (op, column, arg), else null.
+    """Add the op of the first rule a row breaks, in the order of (op, column), else null.
 
-    ``columns`` are those that rules may name; all columns by default. The rules become one row
-    per customer before the join, so several rules never multiply a row.
+    ``columns`` are those that rules may name; all columns by default. All rules of a customer
+    become one row before the one join, so their number neither multiplies rows nor joins.
     """
     columns = columns or rows.columns
     rules = rules.select("customer", "column", "op", "arg").distinct()
     kinds = _kinds(rules, columns)
-    most = rules.groupBy("customer").count().agg(F.max("count")).collect()[0][0] or 0
-    arrays = -(-most // RULES_PER_ARRAY)
-    rule = F.struct("op", "column", "arg")
-    hits = []
-    out = rows
-    for i in range(arrays):
-        part = rules.where(F.pmod(F.xxhash64("op", "column", "arg"), F.lit(arrays)) == i)
-        table = part.groupBy(F.col("customer").alias("_customer")).agg(
-            F.sort_array(F.collect_list(rule)).alias(f"_rules{i}")
-        )
-        out = lookup_join(
-            out.withColumn("_customer", col(customer)), ["_customer"], table, "left", max_bytes
-        )
-        broken = F.filter(F.col(f"_rules{i}"), lambda r: _violated(r, kinds))
-        out = out.withColumn(f"_hit{i}", F.try_element_at(broken, F.lit(1))).drop(f"_rules{i}")
-        hits.append(F.col(f"_hit{i}"))
-    first = reduce(lambda a, b: F.least(a, b), hits) if hits else F.lit(None)
-    reason = first["op"] if hits else first.cast("string")
-    return out.select(*cols(rows.columns), reason.alias(reason_col))
+    if not kinds:
+        return rows.withColumn(reason_col, F.lit(None).cast("string"))
+    names = [f"_held{i}" for i in range(len(kinds))]
+    table = (
+        checked(rules)
+        .groupBy(F.col("customer").alias("_customer"))
+        .agg(*map(_held, kinds, names))
+    )
+    met = lookup_join(
+        rows.withColumn("_customer", col(customer)), ["_customer"], table, "left", max_bytes
+    )
+    reasons = [F.when(_broken(kind, F.col(name)), kind[0]) for kind, name in zip(kinds, names, strict=True)]
+    return met.select(*cols(rows.columns), F.coalesce(*reasons).alias(reason_col))

@@ -40,13 +40,15 @@ class DeliveryConfig:
     jobs: DataFrame | None = None
     jobs_tel: str = "TEL"
     checks: list[Check] = field(default_factory=list)
+    # Columns of ``rows`` that tell its rows apart; without them the job numbers the rows.
+    key: list[str] = field(default_factory=list)
     max_bytes: int = BROADCAST_MAX_BYTES
 
 
 class Delivery(NamedTuple):
     """``delivered``: the kept rows. ``log``: their changed cells. ``excluded``: the other rows as
-    they came in, with ``reason``. ``findings``: broken checks of the kept rows. The last three
-    carry ``row_id``."""
+    they came in, with ``reason``. ``findings``: broken checks of the kept rows. All four carry the
+    key columns, or ``row_id`` when the job has numbered the rows itself."""
 
     delivered: DataFrame
     log: DataFrame
@@ -58,6 +60,11 @@ class Delivery(NamedTuple):
 ADDED = {"row_id", "before", "reason", "verdict", "seen_in_jobs"}
 
 
+def key_of(cfg: DeliveryConfig) -> list[str]:
+    """The columns by which the outputs are joined."""
+    return cfg.key or ["row_id"]
+
+
 def touched(cfg: DeliveryConfig) -> list[str]:
     """The columns that the job may change."""
     changed = set(cfg.fixes) | ({cfg.postal} if cfg.postal_ref is not None else set())
@@ -74,6 +81,9 @@ def judge(cfg: DeliveryConfig) -> DataFrame:
     taken = [c for c in columns if c.lower() in ADDED]
     if taken:
         raise ValueError(f"rename the input column {', '.join(taken)}; the job adds one of that name")
+    moved = [c for c in cfg.key if c in touched(cfg) or c not in columns]
+    if moved:
+        raise ValueError(f"no stable key column: {', '.join(moved)}")
     rows = remember(cfg.rows, touched(cfg)) if touched(cfg) else cfg.rows
     rows = rows.withColumn("row_id", F.monotonically_increasing_id())
     rows = auto_fix(rows, cfg.fixes)
@@ -122,11 +132,12 @@ def run_delivery(cfg: DeliveryConfig) -> Delivery:
             wrong = F.col("verdict") == verdict
             checks.append(Check(f"area_code_{verdict}", cfg.tel, lambda c, wrong=wrong: wrong))
     evidence = ["seen_in_jobs"] if cfg.jobs is not None else []
+    key, number = key_of(cfg), [] if cfg.key else ["row_id"]
     return Delivery(
-        delivered=kept.select(*cols(columns)),
-        log=fix_log(kept, ["row_id"], changed),
-        excluded=excluded.select("row_id", *came_in, "reason"),
-        findings=check(kept, ["row_id", *evidence], checks),
+        delivered=kept.select(*number, *cols(columns)),
+        log=fix_log(kept, key, changed),
+        excluded=excluded.select(*number, *came_in, "reason"),
+        findings=check(kept, [*key, *evidence], checks),
     )
 
 

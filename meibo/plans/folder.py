@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +19,27 @@ def process_folder(
     op: Callable[[DataFrame], DataFrame],
     encoding: str = "UTF-8",
     multi_line: bool = False,
+    bad_rows: str | None = None,
 ) -> DataFrame:
-    """Apply ``op`` once to the rows of all files, which carry their file in ``source_file``."""
-    rows = read_csv(spark, in_dir, encoding, multi_line, source_col=SOURCE)
-    return op(rows.withColumn(SOURCE, F.substring_index(SOURCE, "/", -1)))
+    """Apply ``op`` once to the rows of all files, which carry their file in ``source_file``.
+
+    A file is named by its path below ``in_dir``; below the part without wildcards, if there are
+    any.
+    """
+    rows = read_csv(spark, in_dir, encoding, multi_line, source_col="_path", bad_rows=bad_rows)
+    if SOURCE in (c.lower() for c in rows.columns):
+        raise ValueError(f"rename the input column {SOURCE}; the job adds one of that name")
+    fixed = re.split(r"[][{}*?]", in_dir)[0]
+    root = (fixed if fixed == in_dir else fixed.rpartition("/")[0]).rstrip("/")
+    below = F.regexp_replace("_path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    bare = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root)
+    name = F.when(below.startswith(f"{bare}/"), F.substring(below, len(bare) + 2, 1 << 30)).otherwise(below)
+    return op(rows.withColumn(SOURCE, name).drop("_path"))
 
 
 def write_by_file(rows: DataFrame, out_dir: str, encoding: str = "UTF-8") -> None:
-    """Write the rows of each input file to a folder of their own."""
-    write_csv(rows, out_dir, encoding, by=[SOURCE])
+    """Write the rows of each input file to a folder of their own.
+
+    The rows of a file are brought together first; Spark splits those of a large one again.
+    """
+    write_csv(rows.hint("rebalance", SOURCE), out_dir, encoding, by=[SOURCE])

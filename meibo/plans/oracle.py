@@ -48,7 +48,7 @@ with phones as (
   select c_custkey,
          case when c_acctbal >= -500 then
            concat('0', lpad(cast(c_nationkey + case c_mktsegment when 'BUILDING' then 1
-                   when 'FURNITURE' then 2 else 0 end as varchar), 2, '0'),
+                   when 'FURNITURE' then 2 when 'MACHINERY' then 50 else 0 end as varchar), 2, '0'),
                   '-', lpad(cast(c_custkey as varchar), 7, '0')) end as tel,
          concat('A', c_nationkey) as area
   from customer),
@@ -56,7 +56,7 @@ named as (
   select n_nationkey as n, r_name, concat('0', lpad(cast(n_nationkey as varchar), 2, '0')) as code
   from nation join region on n_regionkey = r_regionkey),
 ref as (
-  select code, concat('A', n) as area from named where r_name <> 'EUROPE'
+  select code, concat('A', n) as area from named
   union all select code, concat('A', n - 1) from named where r_name = 'ASIA'
   union all select concat(code, '000'), concat('A', n - 1) from named where r_name = 'AFRICA'),
 best as (
@@ -64,6 +64,7 @@ best as (
   from phones p join ref r on starts_with(replace(p.tel, '-', ''), r.code) group by p.c_custkey)
 select p.c_custkey, p.tel, p.area,
        case when p.tel is null then null
+            when b.len is null and regexp_matches(p.tel, '^(0[26789]0|050)') then 'no_area'
             when b.len is null then 'unknown_code'
             when exists (select 1 from ref r where length(r.code) = b.len
                          and starts_with(replace(p.tel, '-', ''), r.code) and r.area = p.area) then 'ok'
@@ -85,10 +86,10 @@ sql(
 with {JOBS},
 known as (select * from jobs where contact is not null),
 pairs as (
-  select concat('0', chr(1), name, chr(1), tel, chr(1)) as key, contact from known
+  select concat('0', chr(1), lower(name), chr(1), tel, chr(1)) as key, contact from known
     where name is not null and tel is not null
   union all select concat('1', chr(1), tel, chr(1)), contact from known where tel is not null
-  union all select concat('2', chr(1), name, chr(1)), contact from known where name is not null)
+  union all select concat('2', chr(1), lower(name), chr(1)), contact from known where name is not null)
 select key, count(distinct contact) as n_values, min(contact) as value from pairs group by key""",
     "recruiter_index",
 )
@@ -123,9 +124,10 @@ sql(f"select c_custkey, c_name, tel, contact from ({RECRUITER_FILL})", "recruite
 
 sql(
     """
-select c_custkey, concat('0', lpad(cast(c_custkey as varchar), 9, '0')) as tel,
-       exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 400000
-               and o_orderstatus <> 'O') as seen_in_jobs
+select c_custkey, concat(case when c_mktsegment = 'BUILDING' then '1' else '0' end,
+                         lpad(cast(c_custkey as varchar), 9, '0')) as tel,
+       c_mktsegment <> 'BUILDING' and exists (
+         select 1 from orders where o_custkey = c_custkey and o_orderstatus <> 'O') as seen_in_jobs
 from customer""",
     "job_evidence",
     "job_evidence_shuffled",
@@ -239,7 +241,8 @@ sql("select distinct p_name as name from part", "name_list")
 sql(
     """
 select p_brand as customer, 'name' as "column",
-       case when p_size > 25 then 'min' else 'exclude_suffix' end as op, p_name as arg
+       case when p_size > 25 then 'min' else 'exclude_suffix' end as op,
+       case when p_size > 25 then cast(p_size as varchar) else p_name end as arg
 from part""",
     "rules_json",
 )
@@ -249,9 +252,12 @@ sql(
 )
 sql(
     """
-select distinct concat(p_type, p_brand, case when p_size <= 10 then '' else p_name end) as prefix,
-       lpad(cast(p_size as varchar), 7, '0') as code
-from part""",
+with towns as (
+  select p_type, concat(p_brand, case when p_size <= 10 or p_size between 21 and 30 then ''
+                                      when p_size between 31 and 35 then concat(p_name, '一円')
+                                      else p_name end) as local_, lpad(cast(p_size as varchar), 7, '0') as code
+  from part)
+select concat(p_type, local_) as prefix, code from towns union select local_, code from towns""",
     "postal_ref",
 )
 sql(
@@ -273,7 +279,8 @@ lines as (
          concat(p_brand, '　', p_name) as name_in, concat(p_name, ' ', p_type) as address,
          case when l_discount <= 0.02 then null when l_discount <= 0.04 then ' '
               else p_brand end as postal_in,
-         lpad(cast(l_suppkey as varchar), 8, '0') as number_, concat('A', l_linenumber) as area,
+         lpad(cast(l_suppkey + case l_linenumber when 7 then 30000000 when 6 then 50000000 else 0 end
+              as varchar), 8, '0') as number_, l_linenumber, concat('A', l_linenumber) as area,
          cast(floor(l_quantity) as integer) as quantity, l_suppkey
   from lineitem join part on l_partkey = p_partkey),
 listed_names as (
@@ -308,6 +315,13 @@ union all
 select order_no, line_no, customer, name_in, postal_in, concat('０', number_), reason
 from done where reason is not null""",
     "delivery_job",
+    "delivery_export",
+)
+sql(
+    f"""
+with {DELIVERY}
+select order_no, line_no, name, postal_out as postal, tel from done where reason is null""",
+    "delivery_export_replay",
 )
 
 sql(
@@ -326,25 +340,57 @@ sql(
     f"""
 with {DELIVERY},
 kept as (
-  select d.*, s.s_acctbal > 0 as listed, concat('A', s.s_nationkey) as real_area,
-         coalesce(s.s_acctbal < 5000, false) as seen_in_jobs
-  from done d left join supplier s on s.s_suppkey = d.l_suppkey where reason is null),
+  select d.*, concat('A', s.s_nationkey) as real_area, l_linenumber < 6 as seen_in_jobs
+  from done d join supplier s on s.s_suppkey = d.l_suppkey where reason is null),
 found as (
   select 'postal' as column_name, 'required' as check_name, postal_out as value, seen_in_jobs
   from kept where postal_out is null
   union all
   select 'quantity', 'range', cast(quantity as varchar), seen_in_jobs from kept where quantity > 40
   union all
-  select 'tel', case when coalesce(listed, false) then 'area_code_mismatch' else 'area_code_unknown_code' end,
+  select 'tel', case when l_linenumber < 6 then 'area_code_mismatch' else 'area_code_unknown_code' end,
          tel, seen_in_jobs
-  from kept where not coalesce(listed, false) or real_area <> area)
+  from kept where l_linenumber = 7 or l_linenumber < 6 and real_area <> area)
 select column_name, check_name, value, seen_in_jobs, count(*) as n_rows from found group by all""",
     "delivery_job_findings",
 )
 
 sql(
-    f"""
-with {DELIVERY}
-select customer, coalesce(reason, 'delivered') as reason, count(*) as n_rows from done group by all""",
-    "delivery_export",
+    """
+select o_orderkey, case when o_orderpriority like '_%LOW' then 'low' end as reason,
+       case when o_orderstatus = 'F' then 'a' else 'b' end as side
+from orders""",
+    "folder_sources",
+)
+sql(
+    """
+select o_orderkey, case when o_orderpriority like '%LOW' then 'chain' end as reason,
+       substring(o_orderpriority, 1, 1) as level, 'filled' as fill_status
+from orders""",
+    "folder_stream_long_list",
+)
+sql(
+    """
+select case when o_orderstatus not in ('F', 'P') then cast(o_orderkey as varchar) end as key,
+       case when o_orderstatus not in ('F', 'P') then o_orderstatus end as status,
+       case o_orderstatus when 'F' then concat(o_orderkey, ',F,surplus')
+                          when 'P' then cast(o_orderkey as varchar) end as raw
+from orders""",
+    "csv_odd_rows",
+)
+sql(
+    """
+with low as (select * from orders where o_orderpriority = '5-LOW')
+select c_custkey,
+       case when c_mktsegment <> 'BUILDING' then 'pass'
+            when c_custkey in (select o_custkey from low) then 'exclude_value'
+            when c_acctbal < (select max(o_orderkey % 500) from low) then 'min' else 'pass' end as outcome
+from customer""",
+    "customer_rules_many",
+)
+sql(
+    """
+select p_partkey, case when p_name in (select p_name from part where p_size <= 10) then 'chain' end as reason
+from part""",
+    "matching_spelling",
 )

@@ -15,14 +15,22 @@ JOB_NAME, JOB_TEL, JOB_CONTACT = "名称", "TEL", "担当者"
 
 
 def fill_postal_codes(
-    spark: SparkSession, in_dir: str, out_dir: str, ref: DataFrame, postal: str, address: str
+    spark: SparkSession,
+    in_dir: str,
+    out_dir: str,
+    ref: DataFrame,
+    postal: str,
+    address: str,
+    encoding: str = "UTF-8",
+    multi_line: bool = False,
+    bad_rows: str | None = None,
 ) -> None:
-    """Fill blank postal codes in all files of a folder."""
+    """Fill blank postal codes in all files of a folder. The last three are as in ``read_csv``."""
 
     def op(rows: DataFrame) -> DataFrame:
         return fill_by_prefix(rows, postal, address, ref).drop("fill_status")
 
-    write_by_file(process_folder(spark, in_dir, op), out_dir)
+    write_by_file(process_folder(spark, in_dir, op, encoding, multi_line, bad_rows), out_dir, encoding)
 
 
 def fill_recruiters(
@@ -34,12 +42,14 @@ def fill_recruiters(
     tel: str,
     contact: str,
     encoding: str = "UTF-8",
+    multi_line: bool = False,
+    bad_rows: str | None = None,
 ) -> None:
     """Fill blank contact names in all files of a folder, from all job files.
 
     Name and phone together are tried first, then the phone, then the name.
     """
-    jobs = read_csv_set(spark, job_paths, [JOB_NAME, JOB_TEL, JOB_CONTACT], encoding)
+    jobs = read_csv_set(spark, job_paths, [JOB_NAME, JOB_TEL, JOB_CONTACT], encoding, multi_line)
     job_tiers = [{JOB_NAME: AS_NAME, JOB_TEL: AS_PHONE}, {JOB_TEL: AS_PHONE}, {JOB_NAME: AS_NAME}]
     tiers = [{name: AS_NAME, tel: AS_PHONE}, {tel: AS_PHONE}, {name: AS_NAME}]
     index = build_index(jobs, job_tiers, JOB_CONTACT)
@@ -47,7 +57,7 @@ def fill_recruiters(
     def op(rows: DataFrame) -> DataFrame:
         return fill_by_key(rows, contact, tiers, index).drop("fill_status")
 
-    write_by_file(process_folder(spark, in_dir, op), out_dir)
+    write_by_file(process_folder(spark, in_dir, op, encoding, multi_line, bad_rows), out_dir, encoding)
 
 
 def exclude_chains(
@@ -58,6 +68,9 @@ def exclude_chains(
     name: str,
     match: str = "contains",
     suffix: str = "店",
+    encoding: str = "UTF-8",
+    multi_line: bool = False,
+    bad_rows: str | None = None,
 ) -> None:
     """Write the rows of all files to ``kept`` and ``excluded`` below ``out_dir``."""
 
@@ -65,11 +78,19 @@ def exclude_chains(
         rows = exclude_names(rows, name, chains, match, reason_col="_chain")
         return first_reason(exclude_suffix(rows, name, suffix, "_branch"), ["_chain", "_branch"])
 
-    kept, excluded = split(stage(process_folder(spark, in_dir, op), "chains"))
-    write_by_file(kept, f"{out_dir}/kept")
-    write_by_file(excluded, f"{out_dir}/excluded")
+    rows = process_folder(spark, in_dir, op, encoding, multi_line, bad_rows)
+    kept, excluded = split(stage(rows, "chains"))
+    write_by_file(kept, f"{out_dir}/kept", encoding)
+    write_by_file(excluded, f"{out_dir}/excluded", encoding)
 
 
-def merge_files(spark: SparkSession, paths: list[str], out_dir: str, encoding: str = "UTF-8") -> None:
+def merge_files(
+    spark: SparkSession,
+    paths: list[str],
+    out_dir: str,
+    encoding: str = "UTF-8",
+    multi_line: bool = False,
+    bad_rows: str | None = None,
+) -> None:
     """Write CSV files that have the same columns as one table."""
-    write_csv(read_csv(spark, paths, encoding), out_dir, encoding)
+    write_csv(read_csv(spark, paths, encoding, multi_line, bad_rows=bad_rows), out_dir, encoding)

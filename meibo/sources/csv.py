@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meibo.functions.names import cols
+from meibo.functions.names import col, cols
 
 # A file of any size becomes one split, so that one task sees its first line.
 ONE_SPLIT = str(1 << 50)
@@ -60,9 +60,19 @@ def _names(path: str, line: bytes, encoding: str) -> list[str]:
     return names
 
 
+# Beside the columns of a file: the raw text of a row that does not fit them.
+_CORRUPT = "_corrupt_row"
+
+
 def reader_options(encoding: str = "UTF-8", multi_line: bool = False) -> dict:
-    """Options of every CSV scan. A file whose header is not the schema's stops the job."""
+    """Options of every CSV scan. A file whose header is not the schema's stops the job.
+
+    Whole rows are parsed, whatever columns are asked for: only then are missing and surplus cells
+    seen.
+    """
     return {
+        "columnPruning": False,
+        "columnNameOfCorruptRecord": _CORRUPT,
         "header": True,
         "escape": '"',
         "encoding": encoding,
@@ -83,13 +93,18 @@ def writer_options(encoding: str = "UTF-8") -> dict:
     }
 
 
-def _scan(spark, paths, names, encoding, multi_line, bad_rows):
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    options = reader_options(encoding, multi_line)
+def _scan(spark, paths, names, encoding, multi_line, bad_rows, source_col):
+    """One scan. A row with missing or surplus cells stops the job, or is kept whole in ``bad_rows``."""
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _CORRUPT]])
+    raw = spark.read.schema(schema).options(**reader_options(encoding, multi_line)).csv(paths)
+    origin = [_file_path().alias(source_col)] if source_col else []
+    # Spark refuses a query of the raw text alone, so a part of the first cell, without a character, goes along.
+    corrupt = F.concat(_CORRUPT, F.coalesce(F.substring(col(names[0]), 1, 0), F.lit("")))
     if bad_rows:
-        schema = schema.add(bad_rows, T.StringType())
-        options["columnNameOfCorruptRecord"] = bad_rows
-    return spark.read.schema(schema).options(**options).csv(paths)
+        return raw.select(*cols(names), corrupt.alias(bad_rows), *origin)
+    message = F.concat(_file_path(), F.lit(": a row does not fit the header: "), corrupt)
+    fits = F.when(corrupt.isNotNull(), F.raise_error(message).cast("boolean")).otherwise(True)
+    return raw.where(fits).select(*cols(names), *origin)
 
 
 def _scan_groups(spark, paths, found, encoding, multi_line, bad_rows, source_col, keep):
@@ -100,10 +115,8 @@ def _scan_groups(spark, paths, found, encoding, multi_line, bad_rows, source_col
     scans = []
     for names, files in groups.items():
         where = paths if len(groups) == 1 else files
-        scan = _scan(spark, where, names, encoding, multi_line, bad_rows)
-        columns = list(keep or names) + ([bad_rows] if bad_rows else [])
-        extra = [_file_path().alias(source_col)] if source_col else []
-        scans.append(scan.select(*cols(columns), *extra))
+        scan = _scan(spark, where, names, encoding, multi_line, bad_rows, source_col)
+        scans.append(scan.select(*cols([*(keep or names), *filter(None, (bad_rows, source_col))])))
     return reduce(lambda a, b: a.unionByName(b), scans)
 
 
@@ -118,8 +131,9 @@ def read_csv(
     """Read CSV files that have the same columns, in any order, as one table of strings.
 
     A file with other columns is an error that names it. ``multi_line`` allows line breaks in
-    quoted cells, at the price of one task per file. ``bad_rows`` names a column for the raw text
-    of rows that do not fit the header.
+    quoted cells, at the price of one task per file. A row with missing or surplus cells stops the
+    job and names its file; with ``bad_rows`` it is kept, its raw text in a column of that name,
+    which is null for other rows.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     found = headers(spark, paths, encoding)
@@ -140,16 +154,18 @@ def read_csv_set(
     encoding: str = "UTF-8",
     multi_line: bool = False,
     source_col: str | None = None,
+    bad_rows: str | None = None,
 ) -> DataFrame:
     """Read only the ``required`` columns of all listed files and folders; the files may have
-    further columns. A file that lacks one is an error that names file and column."""
+    further columns. A file that lacks one is an error that names file and column. Rows that do
+    not fit their header are treated as in :func:`read_csv`."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     found = headers(spark, paths, encoding)
     for path, names in sorted(found.items()):
         missing = [c for c in required if c not in names]
         if missing:
             raise ValueError(f"{path} lacks the column {', '.join(missing)}")
-    return _scan_groups(spark, paths, found, encoding, multi_line, None, source_col, required)
+    return _scan_groups(spark, paths, found, encoding, multi_line, bad_rows, source_col, required)
 
 
 def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8", by: list[str] | None = None) -> None:

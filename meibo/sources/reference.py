@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from meibo.functions.names import col
 from meibo.functions.text import is_blank, trim_spaces
-from meibo.operators.rules import OPS
+from meibo.operators.rules import checked
 from meibo.sources.csv import read_csv_set
 
 # The columns of the public Japanese postal-code file, which has no header row.
@@ -18,8 +18,11 @@ POSTAL_COLUMNS = [
     "several_codes_per_town", "numbered_by_block", "has_blocks", "several_towns_per_code",
     "updated", "update_reason",
 ]
-# Fixed value: the town cell of a code that stands for the rest of a municipality.
+# The town cells that name no town. A code for the rest of a municipality; house
+# numbers that follow the municipality at once; the whole of a municipality, its name before the mark.
 REST_OF_CITY = "以下に掲載がない場合"
+NUMBERS_FOLLOW = "の次に番地がくる場合"
+WHOLE_OF_CITY = "一円"
 
 RULE_SCHEMA = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("customer", "column", "op", "arg")]
@@ -47,33 +50,45 @@ def read_prefix_ref(
 def read_postal_ref(spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8") -> DataFrame:
     """(``prefix``, ``code``) from the public Japanese postal-code file.
 
-    Remarks in brackets are cut off a town name. The code for the rest of a municipality belongs
-    to the municipality itself.
+    Remarks in brackets are cut off a town name. The three special kinds of town cell stand for
+    the municipality itself: the rest of it, house numbers that follow it at once, and the whole of
+    it. A town that is only called like the last kind keeps its name. Every prefix is given with
+    and without the prefecture; one that then has several codes is ambiguous when it is looked up.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in POSTAL_COLUMNS])
     paths = [paths] if isinstance(paths, str) else list(paths)
     raw = spark.read.schema(schema).option("escape", '"').option("encoding", encoding).csv(paths)
-    town = F.when(F.col("town") == REST_OF_CITY, "").otherwise(
-        F.regexp_replace("town", "（.*$", "")
-    )
-    pairs = raw.select(F.concat("prefecture", "city", town).alias("prefix"), "code")
-    return pairs.where(F.col("code").isNotNull()).distinct()
-
-
-def read_name_list(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    town = F.regexp_replace(F.coalesce("town", F.lit("")), "（.*$", "")
+    # The name before the mark is the municipality's, without the district it belongs to.
+    place = F.substring_index(town, WHOLE_OF_CITY, 1)
+    whole = town.endswith(WHOLE_OF_CITY) & (place != "") & F.col("city").endswith(place)
+    special = (town == REST_OF_CITY) | town.endswith(NUMBERS_FOLLOW) | whole
+    local = F.concat("city", F.when(special, "").otherwise(town))
+    prefix = F.explode(F.array(F.concat("prefecture", local), local)).alias("prefix")
+    return raw.select(prefix, "code").where("code is not null and prefix <> ''").distinct()
+
+
+def read_name_list(
+    spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8"
+) -> DataFrame:
     """Column ``name``: the lines of text files, trimmed, without blank lines and repeats."""
-    lines = spark.read.text(paths).select(trim_spaces(F.col("value")).alias("name"))
+    raw = spark.read.text(paths).select(F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    if encoding.upper() != "UTF-8":
+        # The text source knows UTF-8 only. A separator that no line holds makes each line one cell.
+        raw = spark.read.schema("value string").csv(paths, sep="\u0001", quote="", encoding=encoding)
+    lines = raw.select(trim_spaces(F.col("value")).alias("name"))
     return lines.where(F.col("name") != "").distinct()
 
 
-def read_rules(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_rules(
+    spark: SparkSession, path: str, multi_line: bool = True, encoding: str = "UTF-8"
+) -> DataFrame:
     """Customer rules: JSON objects with ``customer``, ``column``, ``op`` and ``arg``.
 
     The file holds an array of them, or, without ``multi_line``, one object per line. An op that
-    no rule kind knows stops the job.
+    no rule kind knows, or an argument that its op cannot use, stops the job.
     """
-    rules = spark.read.schema(RULE_SCHEMA).option("multiLine", multi_line).json(path)
-    op = F.col("op")
-    message = F.concat(F.lit("unknown rule op: "), F.coalesce(op, F.lit("null")))
-    known = F.when(op.isin(list(OPS)), op).otherwise(F.raise_error(message))
-    return rules.withColumn("op", known)
+    reader = spark.read.schema(RULE_SCHEMA).option("multiLine", multi_line).option("encoding", encoding)
+    if not multi_line:
+        reader = reader.option("lineSep", "\n")
+    return checked(reader.json(path))

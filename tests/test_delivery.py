@@ -24,7 +24,7 @@ PEOPLE = [
     ("1", "A", "ax", "10", "exclude_suffix"),
     ("2", "A", "a", "10", "min"),
     ("3", "A", "a", "18", None),
-    ("4", "A", "a", "none", None),
+    ("4", "A", "a", "none", "min"),  # no number at all breaks a bound
     ("5", "B", " 　", "99", "max"),
     ("6", "B", "", "20", "required"),
     ("7", "B", "xbadx", "20", "exclude_contains"),
@@ -37,15 +37,38 @@ PEOPLE = [
 ]
 
 
-@pytest.mark.parametrize("per_array", [256, 1])
-def test_rules(table, max_bytes, per_array, monkeypatch):
-    monkeypatch.setattr("meibo.operators.rules.RULES_PER_ARRAY", per_array)
+def test_rules(table, max_bytes):
     rows = table("id customer name age want", PEOPLE)
     out = apply_rules(rows, "customer", table("customer column op arg", RULES), max_bytes=max_bytes)
     assert out.count() == len(PEOPLE)
     assert [(r["id"], r["reason"]) for r in out.collect() if r["reason"] != r["want"]] == []
 
 
+def test_rules_compare_normalised_cells_and_numbers(table):
+    rules = [("A", "age", "min", "１８"), ("A", "name", "exclude_suffix", "店"), ("B", "name", "exclude_value", "ﾏｸﾄﾞ")]
+    people = [
+        ("A", "x", "１０", "min"), ("A", "x", "20", None), ("A", "x", "old", "min"), ("A", "x", " ", None),
+        ("A", "渋谷店　", "20", "exclude_suffix"), ("B", "マクド", None, "exclude_value"),
+    ]
+    rows = table("customer name age want", people)
+    out = apply_rules(rows, "customer", table("customer column op arg", rules)).collect()
+    assert len(out) == len(people) and all(r["reason"] == r["want"] for r in out)
+
+
+@pytest.mark.parametrize("op, arg", [("exclude_contains", ""), ("exclude_prefix", "　"), ("exclude_suffix", None), ("min", "x"), ("max_length", "")])
+def test_rules_that_cannot_be_meant_are_refused(table, op, arg):
+    rows = table("customer name", [("A", "x")])
+    with pytest.raises(Exception, match="a rule needs a"):
+        apply_rules(rows, "customer", table("customer column op arg", [("A", "name", op, arg)])).collect()
+
+
+def test_thousands_of_rules_are_one_join(table):
+    rules = table("customer column op arg", [("A", "name", "exclude_contains", f"n{i}") for i in range(3000)])
+    out = apply_rules(table("customer name", [("A", "xn2999"), ("A", "y")]), "customer", rules)
+    assert rows_of(out) == sorted([("A", "xn2999", "exclude_contains"), ("A", "y", None)], key=repr)
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Join") == 1
+
+
 def test_no_rules(table):
     rows = table("customer", [("A",)])
     assert rows_of(apply_rules(rows, "customer", table("customer column op arg", []))) == [("A", None)]
@@ -119,7 +142,7 @@ def test_delivery(table, max_bytes):
     assert rows_of(done.excluded.select("name", "postal", "reason")) == sorted([
         ("渋谷店", "100", "branch"), ("すきや大阪", "", "chain"), ("禁止店", "", "exclude_prefix"),
     ], key=repr)
-    assert done.delivered.columns == COLUMNS.split()
+    assert done.delivered.columns == ["row_id", *COLUMNS.split()]
     assert rows_of(done.log.drop("row_id")) == sorted([
         ("name", " 本屋　", "本屋"), ("postal", None, "151"), ("tel", "０３-1111", "03-1111"),
         ("postal", "　", "150"), ("postal", "　", "150"),
@@ -141,12 +164,24 @@ def test_replaying_the_log_on_the_input_gives_the_output(table):
         by_id[change["row_id"]][change["column_name"]] = change["after_value"]
     for row in done.excluded.collect():
         assert by_id.pop(row["row_id"]) == {c: row[c] for c in COLUMNS.split()}
-    assert sorted((tuple(r.values()) for r in by_id.values()), key=repr) == rows_of(done.delivered)
+    assert {i: tuple(r.values()) for i, r in by_id.items()} == {r[0]: tuple(r[1:]) for r in done.delivered.collect()}
+
+
+def test_outputs_carry_the_key_that_the_caller_names(table):
+    cfg = config(table, 1 << 20)
+    rows = [(str(i), *row) for i, row in enumerate(ROWS)]
+    cfg.rows, cfg.key = table(f"no {COLUMNS}", rows), ["no"]
+    done = run_delivery(cfg)
+    assert done.log.columns[0] == done.findings.columns[0] == done.excluded.columns[0] == done.delivered.columns[0] == "no"
+    assert {r["no"] for r in done.excluded.collect()} == {"1", "2", "3"}
+    cfg.key = ["name"]
+    with pytest.raises(ValueError, match="no stable key"):
+        run_delivery(cfg)
 
 
 def test_steps_without_reference_data_are_left_out(table):
     done = run_delivery(DeliveryConfig(rows=table(COLUMNS, ROWS), branch_suffix=None))
-    assert rows_of(done.delivered) == sorted(ROWS, key=repr)
+    assert rows_of(done.delivered.drop("row_id")) == sorted(ROWS, key=repr)
     assert done.excluded.count() == done.log.count() == done.findings.count() == 0
 
 
@@ -175,7 +210,7 @@ def test_odd_column_names(table, max_bytes):
         checks=[C.max_length("住.所", 1)], max_bytes=max_bytes,
     )
     done = run_delivery(cfg)
-    assert rows_of(done.delivered) == [("1", "本屋", "東京都", "1", "03", "東京")]
+    assert rows_of(done.delivered.drop("row_id")) == [("1", "本屋", "東京都", "1", "03", "東京")]
     assert rows_of(done.excluded.drop("row_id")) == [("2", "y店", "x", "1", "03", "z", "branch")]
     assert done.log.count() == 2 and done.findings.count() == 2
 

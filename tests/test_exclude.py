@@ -129,3 +129,11 @@ def test_lookups_never_use_a_nested_loop(table):
             assert "NestedLoop" not in text and "Cartesian" not in text
     small = fill_by_prefix(rows, "postal", "name", prefixes)
     assert "Exchange hashpartitioning" not in small._jdf.queryExecution().executedPlan().toString()
+
+
+def test_very_long_and_many_names(table):
+    long = "".join(chr(0x4E00 + i % 3000) for i in range(5000))
+    rows = table("id name", [("1", f"a{long}b"), ("2", long[:-1]), ("3", "n77 x")])
+    names = table("name", [(long,), *[(f"n{i}",) for i in range(1, 1002, 4)]])
+    got = {r["id"]: r["reason"] for r in exclude_names(rows, "name", names).collect()}
+    assert got == {"1": "chain", "2": None, "3": "chain"}

@@ -72,6 +72,17 @@ def test_line_break_in_a_cell(spark, files):
 def test_rows_that_do_not_fit_are_kept(spark, files):
     df = S.read_csv(spark, files(a="x,y\n1,2\n1,2,3\n"), bad_rows="raw")
     assert sorted(r["raw"] or "" for r in df.collect()) == ["", "1,2,3"]
+    assert [r[0] for r in df.select("raw").where("raw is not null").collect()] == ["1,2,3"]
+    jobs = S.read_csv_set(spark, files(b="x,y\n1,2\n5\n"), ["y"], bad_rows="raw")
+    assert jobs.columns == ["y", "raw"] and {r["raw"] for r in jobs.collect()} >= {None, "5"}
+
+
+@pytest.mark.parametrize("line", ["1,2,LOST", "5", '1,"q\nr"'])
+def test_rows_that_do_not_fit_stop_the_job(spark, files, line):
+    path = files(odd=f"x,y\n1,2\n{line}\n")
+    for act in (lambda: S.read_csv(spark, path).count(), lambda: S.read_csv(spark, path).select("y").collect(), lambda: S.read_csv_set(spark, [path], ["x"]).collect()):
+        with pytest.raises(Exception, match="odd.csv.*does not fit the header"):
+            act()
 
 
 def test_odd_file_names(spark, files):
@@ -131,10 +142,19 @@ def test_postal_reference(spark, files):
     def line(code, town):
         return f'13101,"100  ","{code}","ﾄｳｷｮｳﾄ","ﾁﾖﾀﾞｸ","ｶﾅ","東京都","千代田区","{town}",0,0,0,0,0,0\n'
 
-    path = files(ken=line("1000000", "以下に掲載がない場合") + line("1020072", "飯田橋") + line("1006890", "大手町（地階・階層不明）"))
-    assert rows_of(read_postal_ref(spark, path)) == [
-        ("東京都千代田区", "1000000"), ("東京都千代田区大手町", "1006890"), ("東京都千代田区飯田橋", "1020072"),
-    ]
+    path = files(ken=line("1000000", "以下に掲載がない場合") + line("1020072", "飯田橋") + line("1006890", "大手町（地階・階層不明）")
+                 + line("1", "千代田区一円") + line("2", "千代田区の次に番地がくる場合") + line("3", "一円"))
+    pairs = [("千代田区", "1000000"), ("千代田区大手町", "1006890"), ("千代田区飯田橋", "1020072"),
+             ("千代田区", "1"), ("千代田区", "2"), ("千代田区一円", "3")]
+    assert rows_of(read_postal_ref(spark, path)) == sorted(
+        [*pairs, *[("東京都" + p, c) for p, c in pairs]], key=repr
+    )
+
+
+def test_whole_municipality_inside_a_district(spark, files):
+    path = files(ken='13362,"1","1000301","ｶﾅ","ｶﾅ","ｶﾅ","東京都","利島村","利島村一円",0,0,0,0,0,0\n'
+                     '08546,"1","3060400","ｶﾅ","ｶﾅ","ｶﾅ","茨城県","猿島郡境町","境町の次に番地がくる場合",0,0,0,0,0,0\n')
+    assert {p for p, _ in rows_of(read_postal_ref(spark, path))} == {"利島村", "東京都利島村", "猿島郡境町", "茨城県猿島郡境町"}
 
 
 def test_name_list(spark, tmp_path):
@@ -173,19 +193,32 @@ def test_folder(spark, files, tmp_path):
     assert rows_of(back.select("x", "y", "source_file")) == [("1", "2", "東京.csv"), ("3", "4", "大阪.csv")]
 
 
+def test_folder_names_files_by_their_path(spark, files, tmp_path):
+    for side in "ab":
+        (tmp_path / "in" / side).mkdir(parents=True)
+        (tmp_path / "in" / side / "list.csv").write_text(f"x\n{side}\n")
+    rows = process_folder(spark, f"{tmp_path}/in/*", lambda rows: rows)
+    assert rows_of(rows) == [("a", "a/list.csv"), ("b", "b/list.csv")]
+    with pytest.raises(ValueError, match="rename the input column"):
+        process_folder(spark, files(z="x,source_file\n1,2\n"), lambda rows: rows)
+
+
 def test_only_new_files_are_processed(spark, files, tmp_path):
     (tmp_path / "in").mkdir()
     out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
 
     def run():
         process_new_files(spark, str(tmp_path / "in"), out, ["x"], lambda rows: rows.where("x <> '0'"), progress)
-        return rows_of(S.read_csv(spark, out))
+        return rows_of(S.read_csv(spark, f"{out}/*"))
 
     (tmp_path / "in" / "a.csv").write_text("x\n1\n0\n")
     assert run() == [("1",)]
     (tmp_path / "in" / "b.csv").write_text("x\n2\n2\n")
     assert run() == [("1",), ("2",), ("2",)]
     assert run() == [("1",), ("2",), ("2",)]
+    (tmp_path / "in" / "c.csv").write_text("x,y\n1,2\n")
+    with pytest.raises(Exception, match="other columns: y"):
+        run()
 
 
 def test_tools_keep_rows_by_file(spark, files, table, tmp_path):
@@ -229,6 +262,6 @@ def test_lookups_in_the_stream(spark, table, tmp_path):
     (tmp_path / "in" / "a.csv").write_text("postal,address\n,東京都港区\n9,東京松\n,東京\n")
     out = str(tmp_path / "out")
     process_new_files(spark, str(tmp_path / "in"), out, ["postal", "address"], op, str(tmp_path / "progress"))
-    assert rows_of(S.read_csv(spark, out).select("postal", "fill_status", "reason")) == sorted(
+    assert rows_of(S.read_csv(spark, f"{out}/*").select("postal", "fill_status", "reason")) == sorted(
         [("2", "filled", None), ("9", "kept", "chain"), ("1", "filled", None)], key=repr
     )

@@ -58,3 +58,15 @@ def test_half_width_kana(spark):
     assert value(spark, "ﾔﾏﾀﾞ商店ﾊﾟﾝ･ｺｰﾋｰ", X.widen_kana) == "ヤマダ商店パン・コーヒー"
     assert value(spark, "ヤマダ abc", X.widen_kana) == "ヤマダ abc"
     assert value(spark, None, X.widen_kana) is None
+
+
+def test_spellings_for_matching(table):
+    cells = [("ﾏｸﾄﾞﾅﾙﾄﾞ", "マクドナルド"), ("STAR　 Bucks", "star bucks"), ("a\u0001b", "ab"), ("Ａ－１", "a-1"), (" \u0001", None)]
+    rows = table("c want", cells)
+    assert all(r[0] == r[1] for r in rows.select(X.match_text(F.col("c")), "want").collect())
+
+
+def test_phones(table):
+    cells = [("+81-3-1234-5678", "0312345678"), ("＋８１ (0)3 1234", "031234"), ("03-1/06-2", "031"), ("tel. 03-1、06-2", "031"), ("なし", None)]
+    rows = table("c want", cells)
+    assert all(r[0] == r[1] for r in rows.select(X.digits(F.col("c")), "want").collect())
