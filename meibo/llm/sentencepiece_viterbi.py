@@ -32,10 +32,11 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Open places after which the backpointers are compared.
 WINDOW = 64
-#: Words that a worker remembers, and the longest one.
-REMEMBERED = 300_000
+#: Words that a worker remembers beside as many older ones, and the longest one.
+REMEMBERED = 250_000
 REMEMBERED_LENGTH = 48
 UNREACHED = float("-inf")
+SPACED, BARE = 0, 1
 #: Rows that a worker hands back at once.
 ROWS_OUT = 512
 
@@ -181,26 +182,32 @@ class Encoder:
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
-        self.spaced: dict[str, bytes] = {}  # words after one space mark
-        self.bare: dict[str, bytes] = {}  # words at the start of a line, and after several marks
+        # Words after one space mark; words at the start of a line, and after several marks.
+        self.known: tuple[dict[str, bytes], ...] = ({}, {})
+        self.older: tuple[dict[str, bytes], ...] = ({}, {})
         self.newline = _packed(pieces.of_char("\n"))
         self.mark = _packed(pieces.of_char(SPACE))
 
-    def _part(self, known: dict[str, bytes], part: str, text: str) -> bytes:
-        """The ids of ``text``, remembered under ``part``."""
-        found = known.get(part)
+    def _part(self, kind: int, part: str, text: str) -> bytes:
+        """The ids of ``text``, remembered under ``part``.
+
+        When the table is full it becomes the older one, whose words move back when they are met.
+        """
+        found = self.known[kind].get(part)
+        if found is not None:
+            return found
+        found = self.older[kind].get(part)
         if found is None:
             word = part.rstrip(string.punctuation)
             end = part[len(word) :]
             if word and end and (word[-1], end[0]) not in self.pieces.inside:
-                found = self._part(known, word, text[: -len(end)]) + self._part(self.bare, end, end)
+                found = self._part(kind, word, text[: -len(end)]) + self._part(BARE, end, end)
             else:
                 found = _packed(segment(self.pieces, text))
-            if len(part) <= REMEMBERED_LENGTH:
-                if len(self.spaced) + len(self.bare) >= REMEMBERED:
-                    self.spaced.clear()
-                    self.bare.clear()
-                known[part] = found
+        if len(part) <= REMEMBERED_LENGTH:
+            if sum(map(len, self.known)) >= REMEMBERED:
+                self.older, self.known = self.known, ({}, {})
+            self.known[kind][part] = found
         return found
 
     def encode(self, text: str) -> np.ndarray:
@@ -228,27 +235,27 @@ class Encoder:
                 self._spaces(SPACE * marked + line.replace(" ", SPACE), out)
                 continue
             if not marked:
-                out.append(self._part(self.bare, words[0], words[0]))
+                out.append(self._part(BARE, words[0], words[0]))
                 del words[0]
-            found = list(map(self.spaced.get, words))
+            found = list(map(self.known[SPACED].get, words))
             if None in found:
-                found = [self._part(self.spaced, w, SPACE + w) if f is None else f for w, f in zip(words, found, strict=True)]
+                found = [self._part(SPACED, w, SPACE + w) if f is None else f for w, f in zip(words, found, strict=True)]
             out += found
 
     def _spaces(self, line: str, out: list[bytes]) -> None:
         """A line with spaces at its ends or next to each other: every part begins with its marks."""
         words = line.split(SPACE)
         if words[0]:
-            out.append(self._part(self.bare, words[0], words[0]))
+            out.append(self._part(BARE, words[0], words[0]))
         marks = SPACE
         for word in words[1:-1]:
             if word:
-                out.append(self._part(self.bare, marks + word, marks + word))
+                out.append(self._part(BARE, marks + word, marks + word))
                 marks = SPACE
             else:
                 marks += SPACE
         if len(words) > 1:
-            out.append(self._part(self.bare, marks + words[-1], marks + words[-1]))
+            out.append(self._part(BARE, marks + words[-1], marks + words[-1]))
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids, without the space put in front."""
