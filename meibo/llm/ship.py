@@ -1,4 +1,4 @@
-"""Bring this package to the executors."""
+"""Bring this package to the executors, and texts to it in parts that fit a worker's memory."""
 
 from __future__ import annotations
 
@@ -8,11 +8,15 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows that a Python worker gets at once; a text may be long, and results add to it.
+BATCH_ROWS = 1000
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Send the package once for each application, so that tasks can import it wherever they run."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
