@@ -137,7 +137,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, clusters: int = CENTROIDS) -> Mod
     for bucket, n in counted.items():
         idf[bucket] = np.log((total + 1.0) / (n + 1.0)) + 1.0
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    picked = known.join(sizes, "lang").where(
+    # One row for each language, of which the model holds whole vectors.
+    picked = known.join(F.broadcast(sizes), "lang").where(
         F.pmod(F.xxhash64("id"), F.lit(1_000_000)) * F.col("n") < F.lit(1_000_000 * sample)
     )
     rows = sorted(picked.mapInPandas(_sparse, "id string, lang string, used binary, counts binary").collect())
