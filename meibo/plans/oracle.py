@@ -64,7 +64,7 @@ best as (
   from phones p join ref r on starts_with(replace(p.tel, '-', ''), r.code) group by p.c_custkey)
 select p.c_custkey, p.tel, p.area,
        case when p.tel is null then null
-            when b.len is null and regexp_matches(p.tel, '^(0[26789]0|050|0120|0800|0570|0180|0990)') then 'no_area'
+            when b.len is null and regexp_matches(replace(p.tel, '-', ''), '^(0[26789]0|050|0120|0800|0570|0180|0990)') then 'no_area'
             when b.len is null then 'unknown_code'
             when exists (select 1 from ref r where length(r.code) = b.len
                          and starts_with(replace(p.tel, '-', ''), r.code) and r.area = p.area) then 'ok'
