@@ -13,6 +13,7 @@ one stays. An empty table gives an empty result. Other columns play no part and
 from __future__ import annotations
 
 import string
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,8 +46,10 @@ def heavy_winners(rows: DataFrame, digest: str, best: Column) -> DataFrame:
     )
 
 
-def mark_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+def mark_exact_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[Column] = ()
+) -> DataFrame:
+    """One row per row of ``docs``: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256`` and ``carry``.
 
     ``row`` numbers the rows of the staged copy, so that of fully equal rows one can be told apart.
     """
@@ -55,9 +58,11 @@ def mark_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             F.col(f"`{id_col}`").alias("id"),
             F.monotonically_increasing_id().alias("row"),
             text_digest(F.col(f"`{text_col}`")).alias("digest"),
+            *([F.struct(*carry).alias("carried")] if carry else []),
         ),
         "digests",
     )
+    carried = ["carried"] if carry else []
     winners = heavy_winners(rows, "digest", F.struct("id", "row"))
     split = rows.join(F.broadcast(winners), F.col("digest") == F.col("heavy_digest"), "left")
     heavy = split.where("heavy_digest is not null").select(
@@ -66,6 +71,7 @@ def mark_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.col("size").alias("group_size"),
         (F.col("row") == F.col("best.row")).alias("kept"),
         "digest",
+        *carried,
     )
     group = Window.partitionBy("digest")
     order = group.orderBy(F.col("id").desc_nulls_last(), F.col("row").desc())
@@ -75,9 +81,11 @@ def mark_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.count(F.lit(1)).over(group).alias("group_size"),
         (F.row_number().over(order) == 1).alias("kept"),
         "digest",
+        *carried,
     )
     out = heavy.unionAll(rest)
-    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+    shown = [f"{c}.*" for c in carried]
+    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"), *shown)
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -159,11 +159,12 @@ def op7_token_ids(spark, sf_dir):
 def op8_token_counts(spark, sf_dir):
     """Totals after estimates were inserted, revised to exact counts, and exact copies deleted."""
     docs, version = table(spark, sf_dir, "documents"), "byte_bpe_50k"
+    row = token_counts.row_digest(F.col("text"), F.col("source"), F.col("lang"), F.col("n_chars"))
     rollup = token_counts.TokenRollup(spark, new_path(spark, "token-rollup"))
-    rollup.commit("1-estimate", token_counts.insert_of(docs, version, F.ceil(F.col("n_chars") / 4)))
-    exact = token_counts.insert_of(docs, version, token_counts.token_count(F.col("text")))
-    rollup.commit("2-count", exact)
-    copies = exact_dedup.mark_exact_copies(docs).where("not kept")
-    rollup.commit("3-dedup", token_counts.delete_of(copies, version))
-    rollup.commit("2-count", exact)
+    rollup.commit("1-estimate", token_counts.insert_of(docs, version, F.ceil(F.col("n_chars") / 4), row), "row")
+    exact = token_counts.insert_of(docs, version, token_counts.token_count(F.col("text")), row)
+    rollup.commit("2-count", exact, "row")
+    copies = exact_dedup.mark_exact_copies(docs, carry=[row.alias("row")]).where("not kept")
+    rollup.commit("3-dedup", token_counts.delete_of(copies, version, F.col("row")), "row")
+    rollup.commit("2-count", exact, "row")
     return rollup.totals()

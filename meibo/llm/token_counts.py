@@ -11,6 +11,12 @@ it again changes nothing; a batch that broke off is written anew from the start.
 A document is known by its id and the tokenizer version. A change without id cannot be found again
 and is left out. Of several changes of one document in a batch a count wins over a delete, and of
 counts the largest. Deleting an unknown document changes nothing, inserting a known one revises it.
+
+Where ids are null or repeat, a batch names the column that tells the rows apart (``row_digest``),
+and the key is the id, that column and the version. Null ids then count like others, and rows that
+are equal in the whole key count as often as they occur: a batch with counts sets how many there
+are, a delete takes away one. Such rows must have equal counts.
+
 Null sources and languages are groups of their own. A document without count holds no tokens. An
 empty batch is committed and adds nothing. Other columns may have any name.
 """
@@ -18,6 +24,8 @@ empty batch is committed and adds nothing. Other columns may have any name.
 from __future__ import annotations
 
 import base64
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 import public_tokenizers
@@ -25,9 +33,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
-KEY = ["doc_id", "version"]
+KEY = ["doc_id", "row", "version"]
 GROUP = ["source", "lang", "version"]
-RECORD = "doc_id long, version string, source string, lang string, docs long, tokens long"
+RECORD = "doc_id long, row string, version string, source string, lang string, docs long, tokens long"
 
 _encodings: dict[str, object] = {}
 
@@ -87,22 +95,37 @@ class TokenRollup:
         sums = records.groupBy(*KEY, "source", "lang").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return sums.where("docs <> 0")
 
-    def commit(self, batch: str, changes: DataFrame) -> bool:
+    def commit(self, batch: str, changes: DataFrame, row_col: str | None = None) -> bool:
         """Apply ``changes`` (op, doc_id, source, lang, version, tokens) once; False if it already was.
 
-        ``op`` is ``insert``, ``revise`` or ``delete``.
+        ``op`` is ``insert``, ``revise`` or ``delete``. ``row_col`` tells rows of one id apart.
         """
         if batch in self.committed():
             return False
+        given = changes if row_col else changes.where("doc_id is not null")
+        row = F.col(f"`{row_col}`") if row_col else F.lit(None)
+        stays = F.col("op") != "delete"
+        put = F.count_if(stays)
         wanted = (
-            changes.where("doc_id is not null")
+            given.select("op", "doc_id", row.cast("string").alias("row"), "version", "source", "lang", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
             .groupBy(*KEY)
-            .agg(F.max(F.struct((F.col("op") != "delete").alias("stays"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), "source", "lang")).alias("new"))
+            .agg(
+                F.max(F.struct(stays.alias("stays"), "tokens", "source", "lang")).alias("new"),
+                (put if row_col else F.least(put, F.lit(1))).alias("put"),
+                F.count_if(~stays).alias("cut"),
+            )
         )
-        old = self.known().select(*KEY, F.struct("source", "lang", "docs", "tokens").alias("old"))
-        met = wanted.join(old, KEY, "left")
-        plus = F.when(F.col("new.stays"), F.struct(F.col("new.source").alias("source"), F.col("new.lang").alias("lang"), F.lit(1).cast("long").alias("docs"), F.col("new.tokens").alias("tokens")))
-        minus = F.when(F.col("old").isNotNull(), F.struct(F.col("old.source").alias("source"), F.col("old.lang").alias("lang"), (-F.col("old.docs")).alias("docs"), (-F.col("old.tokens")).alias("tokens")))
+        old = self.known().select(*[F.col(k).alias(f"old_{k}") for k in KEY], F.struct("source", "lang", "docs", "tokens").alias("old"))
+        met = wanted.join(old, reduce(and_, [F.col(k).eqNullSafe(F.col(f"old_{k}")) for k in KEY]), "left")
+        left = F.col("old.docs") - F.col("cut")
+
+        def record(of: str, docs: Column, tokens: Column) -> Column:
+            return F.struct(F.col(f"{of}.source").alias("source"), F.col(f"{of}.lang").alias("lang"), docs.alias("docs"), tokens.alias("tokens"))
+
+        plus = F.when(F.col("new.stays"), record("new", F.col("put"), F.col("put") * F.col("new.tokens"))).when(
+            left > 0, record("old", left, left * F.expr("old.tokens div old.docs"))
+        )
+        minus = F.when(F.col("old").isNotNull(), record("old", -F.col("old.docs"), -F.col("old.tokens")))
         signed = met.select(*KEY, F.explode(F.array(plus, minus)).alias("r")).where("r is not null").select(*KEY, "r.*")
         signed.write.mode("overwrite").parquet(self._path("records", batch))
         written = self.spark.read.schema(RECORD).parquet(self._path("records", batch))
@@ -123,12 +146,20 @@ class TokenRollup:
         )
 
 
-def insert_of(docs: DataFrame, version: str, tokens: Column) -> DataFrame:
-    """Changes that insert or revise the counts of ``docs`` (doc_id, source, lang)."""
-    return docs.select(F.lit("insert").alias("op"), "doc_id", "source", "lang", F.lit(version).alias("version"), tokens.alias("tokens"))
+def row_digest(text: Column, *others: Column) -> Column:
+    """Tells rows of one id apart by their text as it is and ``others``; rows equal in all of them have one digest."""
+    parts = [F.sha2(text.cast("binary"), 256), *others]
+    return F.sha2(F.to_json(F.struct(*[p.alias(f"p{i}") for i, p in enumerate(parts)])).cast("binary"), 256)
+
+
+def insert_of(docs: DataFrame, version: str, tokens: Column, row: Column | None = None) -> DataFrame:
+    """Changes that insert or revise the counts of ``docs`` (doc_id, source, lang), with ``row`` if given."""
+    rows = [] if row is None else [row.alias("row")]
+    return docs.select(F.lit("insert").alias("op"), "doc_id", "source", "lang", F.lit(version).alias("version"), tokens.alias("tokens"), *rows)
 
 
-def delete_of(docs: DataFrame, version: str) -> DataFrame:
-    """Changes that delete the counts of ``docs`` (doc_id)."""
+def delete_of(docs: DataFrame, version: str, row: Column | None = None) -> DataFrame:
+    """Changes that delete the counts of ``docs`` (doc_id), with ``row`` if given."""
     none = F.lit(None)
-    return docs.select(F.lit("delete").alias("op"), "doc_id", none.cast("string").alias("source"), none.cast("string").alias("lang"), F.lit(version).alias("version"), none.cast("long").alias("tokens"))
+    rows = [] if row is None else [row.alias("row")]
+    return docs.select(F.lit("delete").alias("op"), "doc_id", none.cast("string").alias("source"), none.cast("string").alias("lang"), F.lit(version).alias("version"), none.cast("long").alias("tokens"), *rows)

@@ -87,3 +87,29 @@ def test_query_counts_the_documents_that_dedup_keeps(spark):
     for r in QUERIES["op8_token_counts"](spark, sf).where("level = 0").collect():
         got[r["source"], r["lang"], "n"], got[r["source"], r["lang"], "tokens"] = r["n_docs"], r["n_tokens"]
     assert got == want
+
+
+def test_rows_of_one_id_are_told_apart(spark, rollup):
+    rows = [("insert", None, "a", "en", "v", 10, "x"), ("insert", None, "a", "en", "v", 4, "y"), ("insert", 1, "a", "en", "v", 3, "x"), ("insert", 1, "a", "en", "v", 3, "x"), ("insert", 1, "b", "en", "v", 5, "y")]
+    schema = "op string, doc_id long, source string, lang string, version string, tokens long, `row of` string"
+    rollup.commit("1", spark.createDataFrame(rows, schema), "row of")
+    assert groups(rollup) == {("a", "en", "v"): (4, 20), ("b", "en", "v"): (1, 5)}
+    gone = [("delete", None, None, None, "v", None, "x"), ("delete", 1, None, None, "v", None, "x"), ("delete", 1, None, None, "v", None, "z")]
+    rollup.commit("2", spark.createDataFrame(gone, schema), "row of")
+    assert groups(rollup) == {("a", "en", "v"): (2, 7), ("b", "en", "v"): (1, 5)}
+    rollup.commit("3", spark.createDataFrame([gone[1], ("delete", 1, None, None, "v", None, "y"), rows[0]], schema), "row of")
+    assert groups(rollup) == {("a", "en", "v"): (2, 14)}
+
+
+def test_query_counts_what_dedup_keeps_of_repeated_and_null_ids(spark, documents, tmp_path):
+    from meibo.llm.queries import QUERIES
+
+    # (1, p) twice and a row of its own under id 1; 2 is a copy of 3 and has another text too; null ids repeat.
+    rows = [(1, "one two"), (1, "one two"), (1, "other words here"), (2, "same text"), (3, "Same text"), (2, "third of two"), (None, "no id at all"), (None, "no id at all"), (None, "lone"), (None, "one two"), (4, None), (4, "")]
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    kept = ["one two", "other words here", "Same text", "third of two", "no id at all", "lone", ""]
+    with open(public_tokenizers.path(C.TOKENIZER), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    (total,) = QUERIES["op8_token_counts"](spark, str(tmp_path)).where("level = 7").collect()
+    assert (total["n_docs"], total["n_tokens"]) == (len(kept), sum(len(plain.encode_ordinary(t)) for t in kept))
