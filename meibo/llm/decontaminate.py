@@ -10,7 +10,9 @@ The benchmark is handled in blocks of bounded size. Each block is broadcast and
 searched in one map; a larger benchmark means more blocks, never a larger broadcast.
 
 A null or empty document contains nothing. A benchmark item with fewer than five words, null or
-empty, is contained in nothing. Repeated benchmark rows count once; a null item id is left out.
+empty, is contained in nothing. Repeated benchmark rows count once; different texts under one id are
+searched and reported each. A text without item id is reported with a null id, or under the ids
+that have the same words if there are any.
 Among matches of equal length the first in the item, then the first in the document, is marked.
 Repeated documents get equal results; other columns may have any name.
 """
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
@@ -26,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meibo.llm.words import grams, words
+from meibo.operators.staging import stage
 
 SEED = 5
 COVERAGE = 0.8
@@ -132,13 +136,32 @@ def _finder(block: Block, coverage: float):
     return F.pandas_udf(find, FOUND)
 
 
+def _wording(text: Column) -> Column:
+    """A digest of the words of a text; null when they are too few to be found."""
+
+    def digest(texts: pd.Series) -> pd.Series:
+        found = [words(t)[0] for t in texts]
+        return pd.Series([sha256(x.tobytes()).digest() if len(x) >= SEED else None for x in found], dtype=object)
+
+    return F.pandas_udf(digest, "binary")(text)
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """Every (id, text) that can be found, once. A text without id stays unless an id has the same words."""
+    rows = benchmark.select("id", "text").where("text is not null").distinct()
+    rows = stage(rows.withColumn("wording", _wording(F.col("text"))).where("wording is not null"), "benchmark")
+    named = rows.where("id is not null")
+    unnamed = rows.where("id is null").join(named.select("wording").distinct(), "wording", "left_anti")
+    return stage(named.unionByName(unnamed).select("id", "text"), "benchmark")
+
+
 def _blocks(benchmark: DataFrame, block_chars: int) -> list[Block]:
-    """The benchmark in blocks by a hash of the item id; one block at a time is read to the driver."""
-    items = benchmark.where("id is not null and text is not null").groupBy("id").agg(F.min("text").alias("text"))
+    """The benchmark in blocks by a hash of the item; one block at a time is read to the driver."""
+    items = _items(benchmark)
     chars = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     count = -(-chars // block_chars)
-    part = items.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, count))))
-    return [block_of([(r["id"], r["text"]) for r in part.where(F.col("block") == k).sort("id").collect()]) for k in range(count)]
+    part = items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(max(1, count))))
+    return [block_of([(r["id"], r["text"]) for r in part.where(F.col("block") == k).sort("id", "text").collect()]) for k in range(count)]
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, text: Column, coverage: float, block_chars: int) -> Column:

@@ -89,3 +89,13 @@ def test_odd_benchmarks(spark, documents):
     assert found(docs, items(spark, [])) == {1: []}
     assert found(documents([]), items(spark)) == {}
     assert D.drop_contaminated(docs, items(spark, [])).count() == 2
+
+
+def test_every_text_of_the_benchmark_is_searched(spark, documents):
+    one, two, lone, many = (text(s, 30) for s in (70, 71, 72, 73))
+    bench = items(spark, [(1, one), (1, two), (1, two), (2, many), (None, lone), (None, lone), (None, many.upper()), (None, None)])
+    docs = documents([(1, one), (2, two), (3, lone), (4, many), (5, one + " " + lone + " " + two), (6, text(74, 30))])
+    want = {1: [(1, 1.0)], 2: [(1, 1.0)], 3: [(None, 1.0)], 4: [(2, 1.0)], 5: [(None, 1.0), (1, 1.0), (1, 1.0)], 6: []}
+    assert found(docs, bench) == want
+    assert found(docs, bench, block_chars=100) == want
+    assert {r["doc_id"] for r in D.drop_contaminated(docs, bench).collect()} == {6}
