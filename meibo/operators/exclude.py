@@ -93,7 +93,7 @@ def holds_any(text: Column, needles: list[str]) -> Column:
     return text.rlike(any_of_pattern(needles)) if needles else F.lit(False)
 
 
-def _pieces(text: Column, n) -> Column:
+def pieces(text: Column, n) -> Column:
     """All pieces of ``text`` with ``n`` characters."""
     last = F.length(text) - n + 1
     return F.when(
@@ -109,8 +109,8 @@ def _names_holding(keyed: DataFrame, listed: DataFrame, max_bytes: int) -> DataF
     # One length at a time, so that no row holds the pieces of all lengths at once.
     sizes = F.array(*[F.lit(n) for n in listed.lengths])
     by_size = distinct.select("_name", F.explode(sizes).alias("_size"))
-    pieces = _pieces(F.col("_name"), F.col("_size"))
-    tries = by_size.select("_name", F.explode(pieces).alias("_listed"))
+    parts = pieces(F.col("_name"), F.col("_size"))
+    tries = by_size.select("_name", F.explode(parts).alias("_listed"))
     found = lookup_join(tries, ["_listed"], listed, "inner", staged=True)
     return found.select("_name", "_hit").distinct()
 

@@ -24,12 +24,19 @@ from pyspark.sql import functions as F
 
 from meibo.functions.names import col, cols
 from meibo.functions.text import is_blank, match_text, narrow_ascii, spelling, trim_spaces
-from meibo.operators.lookup import BROADCAST_MAX_BYTES, lookup_join
+from meibo.operators.exclude import pieces
+from meibo.operators.lookup import BROADCAST_MAX_BYTES, lookup_join, sized
+from meibo.operators.staging import stage
 
 TEXT_OPS = ["exclude_value", "exclude_prefix", "exclude_suffix", "exclude_contains"]
 NUMBER_OPS = ["min", "max", "max_length"]
 OPS = ["required", *TEXT_OPS, *NUMBER_OPS]
 
+# A customer's row holds at most so many texts of one (op, column), and so many bytes of texts in
+# all; the texts of every other (op, column) are joined by equality.
+FEW_TEXTS = 64
+HELD_BYTES = 64 * 1024
+
 
 def _number(text: Column) -> Column:
     return trim_spaces(narrow_ascii(text)).try_cast("double")
@@ -93,15 +100,62 @@ def _broken(kind: tuple[str, str], held: Column) -> Column:
     return F.exists(held, lambda arg: getattr(text, test)(arg))
 
 
-def _kinds(rules: DataFrame, columns: list[str]) -> list[tuple[str, str]]:
-    """The (op, column) pairs that occur. An unknown op or column is an error."""
+def _kinds(rules: DataFrame, columns: list[str]) -> tuple[list[tuple[str, str]], set[tuple[str, str]]]:
+    """The (op, column) pairs that occur, and those with too many texts for a customer's row.
+
+    An unknown op or column is an error.
+    """
     most = len(OPS) * len(columns)
+    size = F.sum(F.coalesce(F.octet_length("arg"), F.lit(0)) + 16).alias("bytes")
+    each = rules.groupBy("op", "column", "customer").agg(F.count("*").alias("n"), size)
     # With more pairs than these there must be an unknown one among them.
-    pairs = rules.select("op", "column").distinct().limit(most + 1).collect()
-    odd = [tuple(p) for p in pairs if p["op"] not in OPS or p["column"] not in columns]
+    pairs = each.groupBy("op", "column").agg(F.max("n").alias("n"), F.max("bytes").alias("bytes")).limit(most + 1).collect()
+    odd = [tuple(p)[:2] for p in pairs if p["op"] not in OPS or p["column"] not in columns]
     if odd:
         raise ValueError(f"unknown op or column in the rules: {odd[:5]}")
-    return sorted(tuple(p) for p in pairs)
+    many, held = set(), 0
+    for p in sorted(pairs, key=lambda p: p["bytes"]):
+        if p["op"] in TEXT_OPS:
+            held += p["bytes"]
+            if p["n"] > FEW_TEXTS or held > HELD_BYTES:
+                many.add((p["op"], p["column"]))
+                held -= p["bytes"]
+    return sorted((p["op"], p["column"]) for p in pairs), many
+
+
+def _part(op: str, text: Column, n: Column) -> Column:
+    """The pieces of ``text`` with ``n`` characters that a rule's text may be equal to."""
+    if op == "exclude_contains":
+        return pieces(text, n)
+    part = F.substring(text, F.lit(1), n) if op == "exclude_prefix" else F.right(text, n)
+    return F.when(F.length(text) >= n, F.array(part))
+
+
+def _joined(rows: DataFrame, kind: tuple[str, str], rules: DataFrame, name: str, max_bytes: int) -> DataFrame:
+    """Add ``name``, true for rows that break one of the many rules of the kind, else null.
+
+    The join is by (customer, text), so the rules of one customer lie in many tasks.
+    """
+    op, column = kind
+    mine = checked(rules).where((F.col("op") == op) & (F.col("column") == column))
+    listed = mine.select(F.col("customer").alias("_customer"), _needle(op, F.col("arg")).alias("_piece")).distinct()
+    keyed = rows.withColumn("_text", match_text(col(column).cast("string")))
+    if op == "exclude_value":
+        table = listed.select("_customer", F.col("_piece").alias("_text"), F.lit(True).alias(name))
+        return lookup_join(keyed, ["_customer", "_text"], table, "left", max_bytes).drop("_text")
+    keyed = stage(keyed, "rule-rows")
+    listed = sized(listed.withColumn(name, F.lit(True)), max_bytes)
+    sizes = listed.rows.groupBy("_customer").agg(F.collect_set(F.length("_piece")).alias("_sizes"))
+    distinct = keyed.select("_customer", "_text").where("_customer is not null and _text is not null").distinct()
+    # One length at a time, so that no row holds the pieces of all lengths at once.
+    by_size = lookup_join(stage(distinct, "rule-texts"), ["_customer"], sizes, "inner", max_bytes, staged=True).select(
+        "_customer", "_text", F.explode("_sizes").alias("_size")
+    )
+    parts = _part(op, F.col("_text"), F.col("_size"))
+    tries = by_size.select("_customer", "_text", F.explode(parts).alias("_piece"))
+    found = lookup_join(tries, ["_customer", "_piece"], listed, "inner", max_bytes, staged=True)
+    hits = found.select("_customer", "_text", name).distinct()
+    return lookup_join(keyed, ["_customer", "_text"], hits, "left", max_bytes, staged=True).drop("_text")
 
 
 def apply_rules(
@@ -115,21 +169,31 @@ def apply_rules(
     """Add the op of the first rule a row breaks, in the order of (op, column), else null.
 
     ``columns`` are those that rules may name; all columns by default. All rules of a customer
-    become one row before the one join, so their number neither multiplies rows nor joins.
+    become one row before the one join, so their number neither multiplies rows nor joins. Only an
+    (op, column) with more texts than that row may hold has a join of its own.
     """
     columns = columns or rows.columns
     rules = rules.select("customer", "column", "op", "arg").distinct()
-    kinds = _kinds(rules, columns)
+    kinds, many = _kinds(rules, columns)
     if not kinds:
         return rows.withColumn(reason_col, F.lit(None).cast("string"))
     names = [f"_held{i}" for i in range(len(kinds))]
-    table = (
-        checked(rules)
-        .groupBy(F.col("customer").alias("_customer"))
-        .agg(*map(_held, kinds, names))
-    )
-    met = lookup_join(
-        rows.withColumn("_customer", col(customer)), ["_customer"], table, "left", max_bytes
-    )
-    reasons = [F.when(_broken(kind, F.col(name)), kind[0]) for kind, name in zip(kinds, names, strict=True)]
+    met = rows.withColumn("_customer", col(customer))
+    if many:
+        rules = stage(rules, "rules")
+    few = [(kind, name) for kind, name in zip(kinds, names, strict=True) if kind not in many]
+    if few:
+        table = (
+            checked(rules)
+            .groupBy(F.col("customer").alias("_customer"))
+            .agg(*[_held(kind, name) for kind, name in few])
+        )
+        met = lookup_join(met, ["_customer"], table, "left", max_bytes)
+    for kind, name in zip(kinds, names, strict=True):
+        if kind in many:
+            met = _joined(met, kind, rules, name, max_bytes)
+    reasons = [
+        F.when(F.col(name) if kind in many else _broken(kind, F.col(name)), kind[0])
+        for kind, name in zip(kinds, names, strict=True)
+    ]
     return met.select(*cols(rows.columns), F.coalesce(*reasons).alias(reason_col))

@@ -228,3 +228,27 @@ def test_small_references_leave_the_rows_where_they_are(table):
 def test_names_of_added_columns_are_refused(table):
     with pytest.raises(ValueError, match="Reason"):
         run_delivery(DeliveryConfig(rows=table("name Reason", [("a", "b")])))
+
+
+@pytest.mark.parametrize("max_bytes", [0, 2**26])
+@pytest.mark.parametrize("op", ["exclude_value", "exclude_prefix", "exclude_suffix", "exclude_contains"])
+def test_many_texts_of_a_customer_are_joined(table, op, max_bytes):
+    texts = [f"T{i}Ｂ" if i % 2 else f"é{i}" for i in range(300)]
+    rules = [("A", "name", op, t) for t in texts] + [("C", "name", op, "c1"), ("A", "tel", "required", ""), (None, "name", op, "x")]
+    cells = ["t7b", "Ｔ７Ｂ", "é8", "t7", "t7b x", "x t7b", "x t9b x", "é", "x", "c1", " ", None, "t999b"]
+    rows = table("customer name tel", [(c, x, t) for c in ("A", "B", "C", None) for x in cells for t in ("1", None)])
+    test = {"exclude_value": str.__eq__, "exclude_prefix": str.startswith, "exclude_suffix": str.endswith, "exclude_contains": str.__contains__}[op]
+
+    def want(customer, cell, tel):
+        mine = {"A": [t.lower().replace("ｂ", "b") for t in texts], "C": ["c1"]}.get(customer, [])
+        plain = (cell or "").strip().lower().replace("Ｔ７Ｂ".lower(), "t7b")
+        if plain and any(test(plain, t) for t in mine):
+            return op
+        return "required" if customer == "A" and tel is None else None
+
+    out = apply_rules(rows, "customer", table("customer column op arg", rules), max_bytes=max_bytes)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "array_contains" not in plan and "exists(" not in plan and "collect_set" not in plan
+    got = [(r["customer"], r["name"], r["tel"], r["reason"]) for r in out.collect()]
+    assert len(got) == 4 * len(cells) * 2
+    assert [g for g in got if g[3] != want(*g[:3])] == []
