@@ -34,7 +34,7 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ADDRESS = re.compile(r"[^\s<>\"'`{}|\\^]+")
-_IDENTIFIER = re.compile(r"[ \t]*(?:no\.?|nr\.?|number|#)?[ \t]*[:=#]?[ \t]*([A-Za-z]{0,4}[0-9][A-Za-z0-9]*(?:[ -][A-Za-z0-9]{2,})*)", re.IGNORECASE)
+_IDENTIFIER = re.compile(r"[ \t]*(?:no\.?|nr\.?|number|#)?[ \t]*[:=#]?[ \t]*([A-Za-z]{0,4}[0-9][A-Za-z0-9]*(?:[ -][A-Za-z0-9]{2,})*)([ -][A-Za-z0-9](?![A-Za-z0-9]))?", re.IGNORECASE)
 
 
 @cache
@@ -46,12 +46,16 @@ def _anchors() -> ahocorasick.Automaton:
     found.add_word("+", ("phone", 1))
     for kind, names in (("url", SCHEMES), ("account", CUES)):
         for name in names:
-            for spelling in {name, name.upper(), name.title(), name.capitalize()}:
-                found.add_word(spelling, (kind, len(name)))
+            found.add_word(name, (kind, len(name)))
     found.make_automaton()
     return found
 
 
+def _lower(text: str) -> str:
+    """A-Z in lower case; every character keeps its place."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for place, char in enumerate(reversed(digits)):
@@ -84,7 +88,10 @@ def _account(text: str, cue: str, start: int) -> tuple[int, int] | None:
     if not found:
         return None
     value, begin = found[1], found.start(1)
-    if cue == "iban":
+    # An IBAN printed in fours may end in a group of one.
+    whole = value + (found[2] or "")
+    if cue == "iban" or _iban(whole):
+        value = whole
         while value and not _iban(value):
             value = value[: max(value.rfind(" "), value.rfind("-"), 0)]
         return (begin, begin + len(value)) if value else None
@@ -102,7 +109,8 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
         return []
     spans: list[tuple[str, int, int]] = []
     end = dict.fromkeys(KINDS, 0)
-    for at, (anchor, size) in _anchors().iter(text):
+    lower = _lower(text)
+    for at, (anchor, size) in _anchors().iter(lower):
         if anchor == "digit":
             if at >= end["card"] and (m := _CARD.match(text, at)):
                 end["card"] = m.end()
@@ -143,7 +151,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
         else:
             start = at - size + 1
             alone = (start == 0 or not text[start - 1].isalnum()) and not text[at + 1 : at + 2].isalpha()
-            if alone and (got := _account(text, text[start : at + 1].lower(), at + 1)) and got[0] >= end["account"]:
+            if alone and (got := _account(text, lower[start : at + 1], at + 1)) and got[0] >= end["account"]:
                 spans.append(("account", *got))
                 end["account"] = got[1]
     spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))

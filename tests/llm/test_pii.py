@@ -68,6 +68,27 @@ def test_added_spans():
     ]
 
 
+def accounts(text):
+    return [text[a:b] for k, a, b in P.find_spans(text) if k == "account"]
+
+
+@pytest.mark.parametrize("cue", ["Tax ID", "Customer ID", "User ID", "Member ID", "tAx iD", "SSN", "Konto", "aCCount"])
+def test_cues_in_any_case(cue):
+    assert accounts(f"İ é𝕏 {cue}: 123-45-6789.") == ["123-45-6789"]
+    assert [k for k, *_ in P.find_spans("see hTTps://a.example.com/x")] == ["url"]
+
+
+@pytest.mark.parametrize("iban", ["CH93 0076 2011 6238 5295 7", "LI21 0881 0000 2324 013A A", "LV80 BANK 0000 4351 9500 1", "HR12 1001 0051 8630 0016 0", "PT50 0002 0123 1234 5678 9015 4"])
+def test_ibans_that_end_in_a_group_of_one(iban):
+    for cue in ("IBAN ", "iban: ", "Account no. "):
+        for after in ("", ".", " paid", " 3 times"):
+            assert accounts(cue + iban + after) == [iban]
+
+
+def test_a_single_sign_after_an_identifier_is_not_part_of_it():
+    assert accounts("Account 12345678 9 items; IBAN DE89 3704 0044 0532 0130 00 a b") == ["12345678", "DE89 3704 0044 0532 0130 00"]
+
+
 def test_table(spark, documents):
     rows = [(1, "mail a@b.co now"), (1, "mail a@b.co now"), (2, None), (3, ""), (None, "1.2.3.4")]
     docs = documents(rows)
