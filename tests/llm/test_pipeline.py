@@ -1,5 +1,10 @@
+import random
+import re
+
 import corpus_pipeline
 from compare import TESTDATA, connect, difference
+from test_decontaminate import plain_tiles
+from test_toxicity import BAD, GOOD, corpus
 
 from meibo.llm.queries import ORACLE_SQL, QUERIES
 
@@ -22,3 +27,61 @@ def test_queries_with_sql_agree(spark):
     con = connect("0.001")
     for name, text in ORACLE_SQL.items():
         assert not difference(QUERIES[name](spark, f"{TESTDATA}/sf0.001"), con, text), name
+
+
+def planted():
+    """(id, text) rows, labels and a benchmark with something for every stage, and cases that just stay."""
+    rows, labels = corpus(600)
+    pick = random.Random(5)
+
+    def text(n):
+        return [pick.choice(GOOD) for _ in range(n)]
+
+    rows += [(1000 + i, " ".join(x)) for i, x in enumerate([text(60)] * 3)]
+    rows += [(1010, rows[-1][1].upper()), (1011, rows[1][1]), (1012, rows[0][1]), (1013, None), (1014, "")]
+    base = text(60)
+    for i, places in enumerate([(), (30,), (10,), (20, 30, 40, 50)]):
+        rows.append((2000 + i, " ".join("changed" if k in places else w for k, w in enumerate(base))))
+    bench = [(1, text(30)), (1, text(30)), (None, text(30)), (2, text(30))]
+    for i, (_, x) in enumerate(bench):
+        rows.append((3000 + i, " ".join(text(20) + x + text(20))))
+        rows.append((3010 + i, " ".join(text(20) + x[:20] + text(20))))
+        rows.append((3020 + i, " ".join(text(20) + x[15:] + text(9) + x[:15])))
+    return rows, labels, [(i, " ".join(x)) for i, x in bench]
+
+
+def plain(rows, bench):
+    """The rows that the pipeline keeps, every pair compared."""
+    rows = [r for r in rows if not any(bad in (r[1] or "").lower() for bad in BAD)]
+    latest = {}
+    for i, text in rows:
+        key = (text or "").lower()
+        latest[key] = max(latest.get(key, (i, text)), (i, text), key=lambda r: r[0])
+    rows = sorted(latest.values())
+    said = [re.findall(r"\w+", (t or "").lower()) for _, t in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in said]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * max(1, len(sets[a] | sets[b])):
+                group = [group[b] if g == group[a] else g for g in group]
+    firsts = {g: min(k for k, x in enumerate(group) if x == g) for g in group}
+    items = [t.lower().split() for _, t in bench]
+
+    def holds(words, item):
+        return sum(n for _, _, n in plain_tiles(words, item)) >= 0.8 * len(item)
+
+    return {rows[k][0]: rows[k][1] for k in firsts.values() if not any(holds(said[k], x) for x in items)}
+
+
+def test_run_keeps_what_plain_python_keeps(spark, documents, tmp_path):
+    rows, labels, bench = planted()
+    documents(rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, t) for i, t in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = plain(rows, bench)
+    # Something is left out by every stage, and the cases below the thresholds stay.
+    assert {1010, 1011, 1014, 2000, 2003, 3010, 3011, 3012, 3013} <= set(want)
+    assert not {0, 1, 1000, 1012, 1013, 2001, 2002, 3000, 3001, 3002, 3003, 3020, 3023} & set(want)
+    done = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in done) == sorted(want) and all(r["round_trip"] for r in done)
