@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from meibo.llm import (
     decontaminate,
     exact_dedup,
+    fill_middle,
     language,
     line_dedup,
     ngram_join,
     pii,
     sentencepiece_viterbi,
+    simhash_join,
     token_counts,
     token_store,
     toxicity,
+    vector_codes,
 )
 from meibo.llm.ship import ship
 from meibo.operators.staging import new_path
@@ -168,3 +171,95 @@ def op8_token_counts(spark, sf_dir):
     rollup.commit("3-dedup", token_counts.delete_of(copies, version, F.col("row")), "row")
     rollup.commit("2-count", exact, "row")
     return rollup.totals()
+
+
+@query
+def op11_simhash(spark, sf_dir):
+    """Fingerprint of every document, and the smallest id that links of near fingerprints reach."""
+    return simhash_join.near_copies(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_vector_codes(spark, sf_dir):
+    """Code of every vector, its error and its label's, and the digest of the codebooks."""
+    vectors = table(spark, sf_dir, "embeddings")
+    books = vector_codes.fit(vectors)
+    done = vector_codes.with_label_error(vector_codes.encode(vectors, books))
+    digest = F.lit(books.sha256() if books else None).cast("string")
+    return done.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def _codes_sql(k: int) -> str:
+    """The nearest entry of codebook ``k`` for every part."""
+    return f"""
+codes{k} as (
+  select r, part, arg_min(entry, (d, entry)) as entry, min(d) as d from (
+    select x.r, x.part, b.entry, sum((x.v - b.v) * (x.v - b.v)) as d
+    from cells x join book{k} b using (part, pos) group by all)
+  group by all
+)"""
+
+
+def _book_sql(k: int) -> str:
+    """Codebook ``k``, from the codes of the one before."""
+    return f"""
+book{k} as (
+  select b.part, b.entry, b.pos, coalesce(m.v, b.v) as v from book{k - 1} b left join (
+    select c.part, c.entry, x.pos, cast(floor(sum(x.v) / count(*)) as bigint) as v
+    from codes{k - 1} c join cells x using (r, part) group by all) m using (part, entry, pos)
+)"""
+
+
+ORACLE_SQL["op12_vector_codes"] = f"""
+with kept as (
+  select row_number() over (order by vec_id, embedding) as r, vec_id, label, embedding from embeddings
+  where embedding is not null and list_bool_and([x is not null and isfinite(x) for x in embedding])
+), numbers as (
+  select r, unnest(embedding) as x, generate_subscripts(embedding, 1) - 1 as i, len(embedding) // {vector_codes.PARTS} as size from kept
+), cells as (
+  select r, i // size as part, i % size as pos, cast(floor({vector_codes.SCALE} * cast(x as double)) as bigint) as v from numbers
+), book0 as (
+  select part, r - 1 as entry, pos, v from cells where r <= {vector_codes.ENTRIES}
+),{_codes_sql(0)},{_book_sql(1)},{_codes_sql(1)},{_book_sql(2)},{_codes_sql(2)}, coded as (
+  select r, string_agg(format('{{:02x}}', entry), '' order by part) as code, cast(sum(d) as bigint) as error from codes2 group by r
+), books as (
+  select sha256(string_agg(cast(v as varchar), ',' order by part, entry, pos)) as digest from book2
+)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, digest as codebooks_sha256
+from kept join coded using (r), books
+"""
+
+
+@query
+def op13_fill_in_middle(spark, sf_dir):
+    """Every document with its parts moved, and the digests of the moved and of the rebuilt text."""
+    moved = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    rebuilt = fill_middle.restore(moved.withColumn("output_sha256", F.sha2(F.col("output").cast("binary"), 256)))
+    return rebuilt.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("restored_sha256")
+    )
+
+
+ORACLE_SQL["op13_fill_in_middle"] = f"""
+with cut as (
+  select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(cast(doc_id as varchar), 'null')) as h,
+    regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as units
+  from documents
+), numbered as (
+  select *, len(units) as n, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2,
+    cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4
+  from cut
+), placed as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= {fill_middle.RATE}
+      then 'plain' when h4 % 100 < {fill_middle.SPM_RATE} then 'spm' else 'psm' end as form
+  from numbered
+), parts as (
+  select *, array_to_string(units[1:a], '') as p, array_to_string(units[a + 1:b], '') as m, array_to_string(units[b + 1:], '') as s
+  from placed
+)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(case when form = 'plain' then text else p || m || s end) as restored_sha256
+from parts
+"""
