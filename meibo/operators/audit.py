@@ -24,17 +24,18 @@ def remember(rows: DataFrame, cols: list[str], before_col: str = "before") -> Da
 
 
 def auto_fix(rows: DataFrame, fixes: dict[str, list[Fix]]) -> DataFrame:
-    """Apply the fixes of each column in order, all columns in one projection."""
+    """Apply the fixes of each column in order, the first ones of all columns in one projection, then the second.
+
+    A fix may name its cell several times; the cell it gets is a column, so the work of a chain of
+    fixes adds up and does not multiply.
+    """
     unknown = [c for c in fixes if c not in rows.columns]
     if unknown:
         raise ValueError(f"no such column: {', '.join(unknown)}")
-    fixed = {}
-    for column, steps in fixes.items():
-        cell = N.col(column)
-        for step in steps:
-            cell = step(cell)
-        fixed[column] = cell
-    return rows.select(*[fixed[c].alias(c) if c in fixed else N.col(c) for c in rows.columns])
+    for i in range(max(map(len, fixes.values()), default=0)):
+        now = {c: steps[i] for c, steps in fixes.items() if i < len(steps)}
+        rows = rows.select(*[now[c](N.col(c)).alias(c) if c in now else N.col(c) for c in rows.columns])
+    return rows
 
 
 def fix_log(

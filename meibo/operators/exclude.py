@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meibo.functions.names import col, cols
 from meibo.functions.text import match_text, trim_spaces
-from meibo.operators.lookup import BROADCAST_MAX_BYTES, lookup_join, sized
+from meibo.operators.lookup import BROADCAST_MAX_BYTES, OWN, Sized, lookup_join, sized
 from meibo.operators.staging import stage
 
 # A name list of at most this many names goes into the plan as one pattern.
 MAX_IN_PATTERN = 1000
 
+# Characters of the pieces by which names of a longer list are found.
+PIECE = 4
+
+NAME, HIT, LISTED, PART = OWN + "name", OWN + "hit", OWN + "listed", OWN + "piece"
+
 
 def exclude_suffix(
     rows: DataFrame, name: str, suffix: str = "店", reason_col: str = "reason", reason: str = "branch"
@@ -25,10 +31,42 @@ def exclude_suffix(
     return rows.withColumn(reason_col, F.when(hit, reason))
 
 
+class NameList(NamedTuple):
+    """A list of names as it is matched: a few ``needles``, or a table of the ``listed`` names."""
+
+    match: str
+    needles: list[str] | None
+    listed: Sized | None
+
+    @property
+    def small(self) -> bool:
+        """Whether rows are marked where they lie."""
+        return self.listed is None or (self.match == "exact" and self.listed.small)
+
+
+def name_table(
+    names: DataFrame,
+    match: str = "contains",
+    max_in_pattern: int = MAX_IN_PATTERN,
+    max_bytes: int = BROADCAST_MAX_BYTES,
+) -> NameList:
+    """The list ``names`` (column ``name``) in its normalised spelling. Blank lines are dropped,
+    since an empty name would be part of every name."""
+    listed = names.select(match_text(F.col("name")).alias(LISTED)).where(col(LISTED).isNotNull()).distinct()
+    if match == "exact":
+        return NameList(match, None, sized(listed.select(col(LISTED).alias(NAME), F.lit(True).alias(HIT)), max_bytes))
+    if match != "contains":
+        raise ValueError(f"match must be 'exact' or 'contains', not {match!r}")
+    few = listed.limit(max_in_pattern + 1).collect()
+    if len(few) <= max_in_pattern:
+        return NameList(match, [r[LISTED] for r in few], None)
+    return NameList(match, None, sized(listed, max_bytes))
+
+
 def exclude_names(
     rows: DataFrame,
     name: str,
-    names: DataFrame,
+    names: DataFrame | NameList,
     match: str = "contains",
     reason_col: str = "reason",
     reason: str = "chain",
@@ -37,29 +75,20 @@ def exclude_names(
 ) -> DataFrame:
     """Mark rows whose name is, or contains, a name on the list ``names`` (column ``name``).
 
-    Both sides are compared in their normalised spelling. Blank lines of the list are dropped,
-    since an empty name would be part of every name.
+    Both sides are compared in their normalised spelling.
     """
-    listed = (
-        names.select(match_text(F.col("name")).alias("_listed"))
-        .where(F.col("_listed").isNotNull())
-        .distinct()
-    )
-    keyed = rows.withColumn("_name", match_text(col(name)))
-    if match == "exact":
-        table = listed.select(F.col("_listed").alias("_name"), F.lit(True).alias("_hit"))
-        hits = lookup_join(keyed, ["_name"], table, "left", max_bytes)
-    elif match == "contains":
-        few = listed.limit(max_in_pattern + 1).collect()
-        if len(few) <= max_in_pattern:
-            hit = holds_any(F.col("_name"), [r["_listed"] for r in few])
-            hits = keyed.withColumn("_hit", hit)
-        else:
-            table = _names_holding(keyed, listed, max_bytes)
-            hits = lookup_join(keyed, ["_name"], table, "left", max_bytes)
+    table = names if isinstance(names, NameList) else name_table(names, match, max_in_pattern, max_bytes)
+    keyed = rows.withColumn(NAME, match_text(col(name)))
+    if table.match == "exact":
+        hits = lookup_join(keyed, [NAME], table.listed, "left", max_bytes)
+    elif table.needles is not None:
+        hits = keyed.withColumn(HIT, holds_any(col(NAME), table.needles))
     else:
-        raise ValueError(f"match must be 'exact' or 'contains', not {match!r}")
-    return hits.select(*cols(rows.columns), F.when(F.col("_hit"), reason).alias(reason_col))
+        # The rows are read for their names and again for the answers.
+        keyed = stage(keyed, "named-rows")
+        held = _names_holding(keyed, table.listed, max_bytes)
+        hits = lookup_join(keyed, [NAME], held, "left", max_bytes, staged=True)
+    return hits.select(*cols(rows.columns), F.when(col(HIT), reason).alias(reason_col))
 
 
 def any_of_pattern(needles: list[str]) -> str:
@@ -101,18 +130,48 @@ def pieces(text: Column, n) -> Column:
     )
 
 
-def _names_holding(keyed: DataFrame, listed: DataFrame, max_bytes: int) -> DataFrame:
-    """Distinct names that contain a listed name: pieces of every name, joined by equality."""
-    listed = sized(listed.withColumn("_hit", F.lit(True)), max_bytes, "_listed")
-    distinct = keyed.select("_name").where(F.col("_name").isNotNull()).distinct()
-    distinct = stage(distinct, "names")
-    # One length at a time, so that no row holds the pieces of all lengths at once.
-    sizes = F.array(*[F.lit(n) for n in listed.lengths])
-    by_size = distinct.select("_name", F.explode(sizes).alias("_size"))
-    parts = pieces(F.col("_name"), F.col("_size"))
-    tries = by_size.select("_name", F.explode(parts).alias("_listed"))
-    found = lookup_join(tries, ["_listed"], listed, "inner", staged=True)
-    return found.select("_name", "_hit").distinct()
+def rare_pieces(tries: DataFrame, listed: Sized, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """(listed name, piece): of every listed name that piece that the fewest names hold.
+
+    ``tries`` has a row for every different piece of every name. A listed name with a piece that no name
+    holds is left out, since no name can contain it.
+    """
+    size = F.least(F.length(col(LISTED)), F.lit(PIECE))
+    wanted = stage(listed.rows.select(LISTED, _each_piece(LISTED, size).alias(PART)), "listed-pieces")
+    # Only pieces of the list are counted.
+    known = sized(wanted.select(PART).distinct().withColumn(OWN + "known", F.lit(True)), max_bytes)
+    counts = lookup_join(tries.select(PART), [PART], known, "inner", max_bytes, staged=True).groupBy(PART).count()
+    rated = lookup_join(wanted, [PART], counts, "left", max_bytes, staged=True)
+    least = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), col(PART).alias("piece"))).alias("least")
+    return rated.groupBy(LISTED).agg(least).where("least.n > 0").select(LISTED, F.col("least.piece").alias(PART))
+
+
+def _each_piece(column: str, size: Column) -> Column:
+    """A row for every different piece of a text."""
+    return F.explode(F.array_distinct(pieces(col(column), size)))
+
+
+def name_pieces(names: DataFrame, sizes: list[int]) -> DataFrame:
+    """(name, piece): the different pieces of every name, one size at a time."""
+    by_size = names.select(NAME, F.explode(F.array(*[F.lit(n) for n in sizes])).alias(OWN + "size"))
+    return by_size.select(NAME, _each_piece(NAME, col(OWN + "size")).alias(PART))
+
+
+def _names_holding(keyed: DataFrame, listed: Sized, max_bytes: int) -> DataFrame:
+    """Distinct names that contain a listed name, found by the listed name's rarest piece.
+
+    A name is looked up by its pieces of one size, about as many as it has characters, whatever
+    lengths the list has. A listed name is a candidate only where its rarest piece occurs, and the
+    candidates are then searched for the whole of it.
+    """
+    distinct = stage(keyed.select(NAME).where(col(NAME).isNotNull()).distinct(), "names")
+    size = F.least(F.length(col(LISTED)), F.lit(PIECE))
+    sizes = sorted(r[0] for r in listed.rows.select(size).distinct().collect())  # PIECE rows at most
+    tries = name_pieces(distinct, sizes)
+    rare = rare_pieces(tries, listed, max_bytes)
+    # Several listed names may share a piece; the salts of a hot piece hold for all of them.
+    found = lookup_join(tries, [PART], rare, "inner", max_bytes, staged=True).where(col(NAME).contains(col(LISTED)))
+    return found.select(NAME, F.lit(True).alias(HIT)).distinct()
 
 
 def first_reason(rows: DataFrame, reason_cols: list[str], reason_col: str = "reason") -> DataFrame:

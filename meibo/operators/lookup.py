@@ -5,8 +5,9 @@ Two joins cover every lookup in this package:
 * :func:`lookup_join` matches one key per row.
 * :func:`first_match` tries several keys per row, best first.
 
-Both broadcast the table only after measuring it. A larger table is joined by shuffle, with the
-most frequent keys of the row side taken out first and joined map-side.
+Both broadcast the table only after measuring it. A larger table is joined by shuffle, with the rows
+of keys that hold more than one task's share salted. Columns that a step adds for itself
+begin with ``OWN``, so that they meet no column of the rows.
 """
 
 from __future__ import annotations
@@ -23,9 +24,14 @@ from meibo.operators.staging import stage
 # A table is broadcast only when its measured size is at most this.
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
-# So many of the most frequent keys are joined map-side when the table is not broadcast. Every
-# other key then holds at most 1/HOT_KEYS of the rows.
-HOT_KEYS = 512
+# A key is hot when it holds more than half of a task's mean share of the rows, and at least so many.
+HOT_ROWS = 1000
+
+# Tasks over which rows without a key are spread.
+NO_KEY_SALTS = 1 << 16
+
+# What the names of added columns begin with.
+OWN = "meibo:"
 
 # Longest chain of broadcast probes; with more candidates per row the shuffle form is used.
 MAX_PROBES = 48
@@ -81,25 +87,47 @@ def lookup_join(
     if small:
         return rows.join(F.broadcast(table), on, how)
 
-    if not staged:  # the three steps below each read the rows
+    if not staged:  # the rows are read twice below
         rows = stage(rows, "lookup-rows")
-    present = _all_present(on)
-    counts = rows.where(present).groupBy(*cols(on)).count()
-    hot = counts.orderBy(F.desc("count"), *cols(on)).limit(HOT_KEYS).select(*cols(on))
-    hot = stage(hot, "lookup-hot")
-    # HOT_KEYS rows at most, the table being unique in ``on``.
-    answers = table.join(F.broadcast(hot), on, "inner")
-    rest = rows.where(present).join(F.broadcast(hot), on, "left_anti")
-    if how == "inner":
-        near = rows.join(F.broadcast(answers), on, "inner")
-    else:
-        hot = hot.join(F.broadcast(answers), on, "left").withColumn("_hot", F.lit(True))
-        near = rows.join(F.broadcast(hot), on, "left").where(F.col("_hot") | ~present).drop("_hot")
-    return near.unionByName(rest.join(table, on, how)).select(
+    hot = stage(hot_keys(rows, on), "lookup-hot")
+    salt = OWN + "salt"
+    salted = _with_salts(rows, on, hot)
+    salts = F.coalesce(col(OWN + "salts"), F.lit(1).cast("long"))
+    # The same salts in every attempt of a task: they come from the place of the row in its files.
+    dice = F.xxhash64(F.monotonically_increasing_id())
+    spread = F.when(_all_present(on), F.pmod(dice, salts)).otherwise(F.pmod(dice, F.lit(NO_KEY_SALTS)))
+    left = salted.select(*cols(rows.columns), spread.alias(salt))
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias(salt)
+    right = _with_salts(table, on, hot).select(*cols(table.columns), copies)
+    return left.join(right, [*on, salt], how).select(
         *cols(rows.columns), *cols(c for c in table.columns if c not in on)
     )
 
 
+def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame:
+    """(hash, salts) of the keys whose rows are too many for a task, and over how many tasks they go.
+
+    A frequency sketch names them, so no key is counted exactly and nothing is shuffled. A key is hot
+    by its share of the rows, whatever its rank. There are at most twice as many as shuffle
+    partitions, and the copies of table rows that the salts make are at most as many again.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = 2 * tasks
+    # The sketch errs by less than a quarter of the share that makes a key hot.
+    tracked = min(1 << max(12, (16 * most - 1).bit_length()), 1 << 19)
+    keys = rows.where(_all_present(on)).select(F.xxhash64(*cols(on)).alias("hash"))
+    seen = keys.agg(F.expr(f"approx_top_k(hash, {min(most, tracked)}, {tracked})").alias("top"), F.count(F.lit(1)).alias("total"))
+    fair = F.greatest(F.col("total") / most, F.lit(float(HOT_ROWS)))
+    each = seen.select(fair.alias("fair"), F.inline("top"))
+    return each.where("count > fair").select(
+        F.col("item").alias(OWN + "hash"), F.ceil(F.col("count") / F.col("fair")).alias(OWN + "salts")
+    )
+
+
+def _with_salts(rows: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
+    return rows.withColumn(OWN + "hash", F.xxhash64(*cols(on))).join(F.broadcast(hot), [OWN + "hash"], "left")
+
+
 def first_match(
     rows: DataFrame,
     subject: list[str],
@@ -131,12 +159,12 @@ def _probe(rows, candidates, table, payload):
     out = rows
     for i, candidate in enumerate(candidates):
         if i:
-            candidate = F.when(F.col("_hit").isNull(), candidate)
-        side = packed.select(F.col("key").alias("_key"), F.col("hit").alias("_new"))
-        out = out.join(F.broadcast(side), candidate == F.col("_key"), "left")
-        hit = F.coalesce("_hit", "_new") if i else F.col("_new")
-        out = out.select(*cols(rows.columns), hit.alias("_hit"))
-    return out.select(*cols(rows.columns), *[F.col("_hit")[c].alias(c) for c in payload])
+            candidate = F.when(col(OWN + "hit").isNull(), candidate)
+        side = packed.select(F.col("key").alias(OWN + "key"), F.col("hit").alias(OWN + "new"))
+        out = out.join(F.broadcast(side), candidate == col(OWN + "key"), "left")
+        hit = F.coalesce(OWN + "hit", OWN + "new") if i else col(OWN + "new")
+        out = out.select(*cols(rows.columns), hit.alias(OWN + "hit"))
+    return out.select(*cols(rows.columns), *[col(OWN + "hit")[c].alias(c) for c in payload])
 
 
 def _explode(rows, subject, candidates, table, payload, max_bytes):
@@ -146,9 +174,9 @@ def _explode(rows, subject, candidates, table, payload, max_bytes):
     wanted = rows.select(*cols(subject)).where(_all_present(subject)).distinct()
     if not table.small:
         wanted = stage(wanted, "lookup-subjects")
-    tries = wanted.select(*cols(subject), F.posexplode(F.array(*candidates)).alias("_rank", "key"))
+    tries = wanted.select(*cols(subject), F.posexplode(F.array(*candidates)).alias(OWN + "rank", "key"))
     tries = tries.where(F.col("key").isNotNull())
     found = lookup_join(tries, ["key"], table, "inner", staged=True)
-    best = found.groupBy(*cols(subject)).agg(F.min(F.struct("_rank", *payload)).alias("_best"))
-    best = best.select(*cols(subject), *[F.col("_best")[c].alias(c) for c in payload])
+    best = found.groupBy(*cols(subject)).agg(F.min(F.struct(OWN + "rank", *payload)).alias(OWN + "best"))
+    best = best.select(*cols(subject), *[col(OWN + "best")[c].alias(c) for c in payload])
     return lookup_join(rows, subject, best, "left", max_bytes, staged=not table.small)

@@ -19,19 +19,23 @@ blank and no number breaks ``min`` and ``max``. A blank cell breaks ``required``
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meibo.functions.names import col, cols
 from meibo.functions.text import is_blank, match_text, narrow_ascii, spelling, trim_spaces
 from meibo.operators.exclude import pieces
-from meibo.operators.lookup import BROADCAST_MAX_BYTES, lookup_join, sized
+from meibo.operators.lookup import BROADCAST_MAX_BYTES, OWN, Sized, lookup_join, sized
 from meibo.operators.staging import stage
 
 TEXT_OPS = ["exclude_value", "exclude_prefix", "exclude_suffix", "exclude_contains"]
 NUMBER_OPS = ["min", "max", "max_length"]
 OPS = ["required", *TEXT_OPS, *NUMBER_OPS]
 
+CUSTOMER = OWN + "customer"
+
 # A customer's row holds at most so many texts of one (op, column), and so many bytes of texts in
 # all; the texts of every other (op, column) are joined by equality.
 FEW_TEXTS = 64
@@ -131,37 +135,67 @@ def _part(op: str, text: Column, n: Column) -> Column:
     return F.when(F.length(text) >= n, F.array(part))
 
 
-def _joined(rows: DataFrame, kind: tuple[str, str], rules: DataFrame, name: str, max_bytes: int) -> DataFrame:
+def _joined(rows: DataFrame, text: str, kind: tuple[str, str], rules: DataFrame, name: str, max_bytes: int) -> DataFrame:
     """Add ``name``, true for rows that break one of the many rules of the kind, else null.
 
-    The join is by (customer, text), so the rules of one customer lie in many tasks.
+    ``text`` is the column's spelling. The join is by (customer, text), so the rules of one customer lie
+    in many tasks. ``rows`` are cheap to read more than once, and stay so.
     """
     op, column = kind
+    piece, size = OWN + "piece", OWN + "size"
     mine = checked(rules).where((F.col("op") == op) & (F.col("column") == column))
-    listed = mine.select(F.col("customer").alias("_customer"), _needle(op, F.col("arg")).alias("_piece")).distinct()
-    keyed = rows.withColumn("_text", match_text(col(column).cast("string")))
+    listed = mine.select(F.col("customer").alias(CUSTOMER), _needle(op, F.col("arg")).alias(piece)).distinct()
     if op == "exclude_value":
-        table = listed.select("_customer", F.col("_piece").alias("_text"), F.lit(True).alias(name))
-        return lookup_join(keyed, ["_customer", "_text"], table, "left", max_bytes).drop("_text")
-    keyed = stage(keyed, "rule-rows")
+        table = listed.select(CUSTOMER, col(piece).alias(text), F.lit(True).alias(name))
+        return lookup_join(rows, [CUSTOMER, text], table, "left", max_bytes, staged=True)
     listed = sized(listed.withColumn(name, F.lit(True)), max_bytes)
-    sizes = listed.rows.groupBy("_customer").agg(F.collect_set(F.length("_piece")).alias("_sizes"))
-    distinct = keyed.select("_customer", "_text").where("_customer is not null and _text is not null").distinct()
+    sizes = listed.rows.groupBy(CUSTOMER).agg(F.collect_set(F.length(col(piece))).alias(size))
+    distinct = rows.select(CUSTOMER, text).where(col(CUSTOMER).isNotNull() & col(text).isNotNull()).distinct()
     # One length at a time, so that no row holds the pieces of all lengths at once.
-    by_size = lookup_join(stage(distinct, "rule-texts"), ["_customer"], sizes, "inner", max_bytes, staged=True).select(
-        "_customer", "_text", F.explode("_sizes").alias("_size")
+    by_size = lookup_join(stage(distinct, "rule-texts"), [CUSTOMER], sizes, "inner", max_bytes, staged=True).select(
+        CUSTOMER, text, F.explode(col(size)).alias(size)
     )
-    parts = _part(op, F.col("_text"), F.col("_size"))
-    tries = by_size.select("_customer", "_text", F.explode(parts).alias("_piece"))
-    found = lookup_join(tries, ["_customer", "_piece"], listed, "inner", max_bytes, staged=True)
-    hits = found.select("_customer", "_text", name).distinct()
-    return lookup_join(keyed, ["_customer", "_text"], hits, "left", max_bytes, staged=True).drop("_text")
+    tries = by_size.select(CUSTOMER, text, F.explode(_part(op, col(text), col(size))).alias(piece))
+    found = lookup_join(tries, [CUSTOMER, piece], listed, "inner", max_bytes, staged=True)
+    hits = found.select(CUSTOMER, text, name).distinct()
+    return lookup_join(rows, [CUSTOMER, text], hits, "left", max_bytes, staged=True)
+
+
+class RuleTable(NamedTuple):
+    """Rules as they are applied: the kinds that occur, one row per customer for the kinds with few
+    texts, and the rules of the kinds with many."""
+
+    kinds: list[tuple[str, str]]
+    held: Sized | None
+    many: set[tuple[str, str]]
+    rules: DataFrame
+
+    @property
+    def small(self) -> bool:
+        """Whether rows are judged where they lie."""
+        return not self.many and (self.held is None or self.held.small)
+
+
+def rule_table(rules: DataFrame, columns: list[str], max_bytes: int = BROADCAST_MAX_BYTES) -> RuleTable:
+    """Prepare ``rules`` for rows with ``columns``."""
+    rules = stage(rules.select("customer", "column", "op", "arg").distinct(), "rules")
+    kinds, many = _kinds(rules, columns)
+    few = [(kind, _name(i)) for i, kind in enumerate(kinds) if kind not in many]
+    held = None
+    if few:
+        by_customer = checked(rules).groupBy(F.col("customer").alias(CUSTOMER))
+        held = sized(by_customer.agg(*[_held(kind, name) for kind, name in few]), max_bytes)
+    return RuleTable(kinds, held, many, rules)
+
+
+def _name(i: int) -> str:
+    return f"{OWN}held{i}"
 
 
 def apply_rules(
     rows: DataFrame,
     customer: str,
-    rules: DataFrame,
+    rules: DataFrame | RuleTable,
     columns: list[str] | None = None,
     reason_col: str = "reason",
     max_bytes: int = BROADCAST_MAX_BYTES,
@@ -170,30 +204,23 @@ def apply_rules(
 
     ``columns`` are those that rules may name; all columns by default. All rules of a customer
     become one row before the one join, so their number neither multiplies rows nor joins. Only an
-    (op, column) with more texts than that row may hold has a join of its own.
+    (op, column) with more texts than that row may hold has a join of its own; the rows are staged once
+    for all of these.
     """
-    columns = columns or rows.columns
-    rules = rules.select("customer", "column", "op", "arg").distinct()
-    kinds, many = _kinds(rules, columns)
-    if not kinds:
+    table = rules if isinstance(rules, RuleTable) else rule_table(rules, columns or rows.columns, max_bytes)
+    if not table.kinds:
         return rows.withColumn(reason_col, F.lit(None).cast("string"))
-    names = [f"_held{i}" for i in range(len(kinds))]
-    met = rows.withColumn("_customer", col(customer))
+    met = rows.withColumn(CUSTOMER, col(customer))
+    if table.held:
+        met = lookup_join(met, [CUSTOMER], table.held, "left", max_bytes)
+    many = [(kind, _name(i)) for i, kind in enumerate(table.kinds) if kind in table.many]
     if many:
-        rules = stage(rules, "rules")
-    few = [(kind, name) for kind, name in zip(kinds, names, strict=True) if kind not in many]
-    if few:
-        table = (
-            checked(rules)
-            .groupBy(F.col("customer").alias("_customer"))
-            .agg(*[_held(kind, name) for kind, name in few])
-        )
-        met = lookup_join(met, ["_customer"], table, "left", max_bytes)
-    for kind, name in zip(kinds, names, strict=True):
-        if kind in many:
-            met = _joined(met, kind, rules, name, max_bytes)
+        texts = {column: f"{OWN}text{i}" for i, column in enumerate(sorted({column for (_, column), _ in many}))}
+        met = stage(met.withColumns({name: match_text(col(c).cast("string")) for c, name in texts.items()}), "rule-rows")
+        for kind, name in many:
+            met = _joined(met, texts[kind[1]], kind, table.rules, name, max_bytes)
     reasons = [
-        F.when(F.col(name) if kind in many else _broken(kind, F.col(name)), kind[0])
-        for kind, name in zip(kinds, names, strict=True)
+        F.when(col(_name(i)) if kind in table.many else _broken(kind, col(_name(i))), kind[0])
+        for i, kind in enumerate(table.kinds)
     ]
     return met.select(*cols(rows.columns), F.coalesce(*reasons).alias(reason_col))

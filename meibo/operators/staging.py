@@ -43,3 +43,29 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     df.write.parquet(path)
     # The schema is known; giving it saves the footer job of schema inference.
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path for it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _files(spark, path)
+    return files.exists(at)
+
+
+def children(spark: SparkSession, pattern: str) -> list[str]:
+    """The names of the files and folders that a path pattern matches."""
+    files, at = _files(spark, pattern)
+    return sorted(found.getPath().getName() for found in files.globStatus(at) or [])
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder. The target must not be there."""
+    files, at = _files(spark, source)
+    _, to = _files(spark, target)
+    # Onto a folder that is there, a rename would go inside.
+    if files.exists(to) or not files.rename(at, to):
+        raise ValueError(f"cannot move {source} to {target}")

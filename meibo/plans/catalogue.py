@@ -12,15 +12,25 @@ from pyspark.sql import functions as F
 
 from meibo.functions import checks as C
 from meibo.functions import text as X
-from meibo.operators.area import check_area_code, corroborate
+from meibo.operators.area import check_area_code, check_area_of_address, corroborate
 from meibo.operators.audit import auto_fix, check, fix_log, remember
 from meibo.operators.exclude import exclude_names, exclude_suffix, first_reason, split
-from meibo.operators.fill import AS_NAME, AS_PHONE, build_index, fill_by_key, fill_by_prefix
+from meibo.operators.fill import (
+    AS_COMPANY,
+    AS_NAME,
+    AS_PHONE,
+    build_index,
+    fill_by_key,
+    fill_by_near_name,
+    fill_by_prefix,
+    near_index,
+)
+from meibo.operators.kept_index import KeptIndex
 from meibo.operators.lookup import BROADCAST_MAX_BYTES
 from meibo.operators.merge import merge
 from meibo.operators.rules import apply_rules
 from meibo.operators.staging import new_path
-from meibo.plans.delivery import Delivery, DeliveryConfig, export, run_delivery
+from meibo.plans.delivery import Delivery, DeliveryConfig, export, exported, run_delivery
 from meibo.plans.folder import process_folder, write_by_file
 from meibo.plans.tools import exclude_chains, fill_postal_codes, fill_recruiters, merge_files
 from meibo.sources.csv import read_csv, read_csv_set, write_csv
@@ -46,25 +56,33 @@ def _number(column: str, width: int) -> Column:
 # ---- postal codes (longest prefix) ---------------------------------------------------------
 
 
+def part_address() -> Column:
+    """Most parts have an address that is listed in full; of some only the beginning is listed, of some nothing."""
+    kind = F.col("p_type")
+    word = F.substring_index("p_name", " ", 1)
+    return (
+        F.when(kind == "ECONOMY", F.concat(F.lit("x "), "p_name"))
+        .when(kind.isin("LARGE", "SMALL"), F.concat_ws(" ", word, kind))
+        .otherwise(F.concat_ws(" ", "p_name", kind))
+    )
+
+
 def part_addresses(spark, sf_dir) -> DataFrame:
     blank = F.when(F.col("p_size") <= 15, None).when(F.col("p_size") <= 30, "　")
     return table(spark, sf_dir, "part").select(
         "p_partkey",
-        F.concat_ws(" ", "p_name", "p_type").alias("address"),
+        part_address().alias("address"),
         blank.when(F.col("p_size") > 30, F.col("p_brand")).alias("postal"),
     )
 
 
 def part_postal_ref(spark, sf_dir) -> DataFrame:
+    """Two prefixes of every part: the first word of its name, and name and type, which may have two codes."""
     part = table(spark, sf_dir, "part")
     word = F.substring_index("p_name", " ", 1)
-    wide = part.where(word != "old").select(
-        word.alias("prefix"), F.concat(F.lit("W"), word).alias("code")
-    )
-    narrow = part.where((F.substring_index("p_name", " ", -1) == "ring") & (F.col("p_size") <= 2))
-    narrow = narrow.select(
-        F.col("p_name").alias("prefix"), F.concat(F.lit("N"), "p_size").alias("code")
-    )
+    wide = part.select(word.alias("prefix"), F.concat(F.lit("W"), word).alias("code"))
+    large = (F.col("p_size") == 50).cast("int")
+    narrow = part.select(F.concat_ws(" ", "p_name", "p_type").alias("prefix"), F.concat(F.lit("N"), large).alias("code"))
     return wide.union(narrow)
 
 
@@ -84,6 +102,75 @@ def postal_fill_shuffled(spark, sf_dir):
     return _postal_fill(spark, sf_dir, 0)
 
 
+# Numbers from 1 to 50 as they are written in addresses.
+TENS, ONES = ["", "十", "二十", "三十", "四十", "五十"], ["", "一", "二", "三", "四", "五", "六", "七", "八", "九"]
+
+
+def _kanji(number: Column) -> Column:
+    tens, ones = (F.element_at(F.array(*[F.lit(x) for x in side]), at + 1) for side, at in ((TENS, F.floor(number / 10).cast("int")), (ONES, number % 10)))
+    return F.concat(tens, ones)
+
+
+def town_file(spark, sf_dir) -> str:
+    """Towns of all parts in the layout of the public postal-code file.
+
+    A town is a brand. Towns of an even number have a code for their lower blocks, one for the next and one
+    for the rest, those of an odd number one for the lower lots and one for the higher ones; the
+    bounds come from the sizes of the parts.
+    """
+    part = table(spark, sf_dir, "part").withColumn("no", F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("int"))
+    towns = part.groupBy("p_brand", "no").agg(F.floor(F.avg("p_size")).cast("int").alias("mid"), F.max("p_size").alias("top"))
+    mid = F.col("mid")
+    wide = F.translate(mid.cast("string"), "0123456789", X.WIDE_DIGITS)
+
+    def remarks(*texts: list) -> Column:
+        parts = [F.concat(F.lit("（"), *[t if isinstance(t, Column) else F.lit(t) for t in text], F.lit("）")) for text in texts]
+        return F.array(*[F.struct(part.alias("remark"), F.lit(i + 1).alias("part")) for i, part in enumerate(parts)])
+
+    after, then, end, last = ((x).cast("string") for x in (mid + 1, mid + 2, F.col("top") - 1, F.col("top")))
+    blocks = remarks(["１～", wide, "丁目"], [after, "、", then, "～", end, "丁目"], ["その他"])
+    lots = remarks([wide, "番地以下"], [after, "～", last, "番地"])
+    rows = F.explode(F.when(F.col("no") % 2 == 0, blocks).otherwise(lots)).alias("row")
+    empty = [F.lit("").alias(f"c{i}") for i in range(12)]
+    code = F.concat(F.lit("9"), F.lpad(F.col("no").cast("string"), 5, "0"), F.col("row.part").cast("string"))
+    raw = towns.select("no", "p_brand", rows).select(
+        *empty[:2], code.alias("code"), *empty[2:5], F.lit("東京都").alias("prefecture"), F.lit("港区").alias("city"),
+        F.concat("p_brand", F.lit("町"), "row.remark").alias("town"), *empty[5:11],
+    )
+    path = new_path(spark, "towns")
+    raw.write.csv(path)
+    return path
+
+
+def _postal_fill_ranges(spark, sf_dir, max_bytes):
+    ref = read_postal_ref(spark, town_file(spark, sf_dir), ranges=True)
+    number = F.col("p_size")
+    digits = number.cast("string")
+    kind = F.col("p_type")
+    even = F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("int") % 2 == 0
+    written = (
+        F.when(kind == "ECONOMY", F.concat(_kanji(number), F.when(even, "丁目二番").otherwise("番地の二")))
+        .when(kind == "SMALL", F.concat(F.translate(digits, "0123456789", X.WIDE_DIGITS), F.lit("－１"), F.lit("－７")))
+        .when(kind == "PROMO", "")
+        .otherwise(F.concat(digits, F.when(even, "丁目").otherwise("番")))
+    )
+    rows = table(spark, sf_dir, "part").select(
+        "p_partkey", F.concat(F.when(kind == "LARGE", "").otherwise("東京都"), F.lit("港区大字"), "p_brand", F.lit("町"), written).alias("address"), F.lit("").alias("postal")
+    )
+    return fill_by_prefix(rows, "postal", "address", ref, max_bytes=max_bytes)
+
+
+@query
+def postal_fill_ranges(spark, sf_dir):
+    """Towns with several codes, decided by the block or lot number of the address in any spelling."""
+    return _postal_fill_ranges(spark, sf_dir, BROADCAST_MAX_BYTES)
+
+
+@query
+def postal_fill_ranges_shuffled(spark, sf_dir):
+    return _postal_fill_ranges(spark, sf_dir, 0)
+
+
 # ---- area codes ----------------------------------------------------------------------------
 
 
@@ -130,13 +217,36 @@ def area_code_check_shuffled(spark, sf_dir):
     return _area_code_check(spark, sf_dir, 0)
 
 
+def _area_code_address(spark, sf_dir, max_bytes):
+    """Customers with an address and no area column, against a list of codes and places."""
+    customer = customer_phones(spark, sf_dir).drop("area").join(table(spark, sf_dir, "customer"), "c_custkey")
+    nation = F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string"), F.lit(" "))
+    segment = F.col("c_mktsegment")
+    address = F.when(segment == "AUTOMOBILE", F.concat(F.lit("c/o "), nation)).when(segment != "HOUSEHOLD", nation).otherwise("NATION_1 ")
+    rows = customer.select("c_custkey", "tel", F.concat(address, F.lit("1-2-3")).alias("address"))
+    codes = nation_area_codes(spark, sf_dir)
+    place = F.concat(F.lit("NATION_"), F.substring("area", 2, 9), F.lit(" "))
+    ref = codes.select("code", place.alias("place")).union(codes.select("code", F.lit("NATION_").alias("place")).where("code = '003'"))
+    return check_area_of_address(rows, "tel", "address", ref, max_bytes=max_bytes)
+
+
+@query
+def area_code_address(spark, sf_dir):
+    return _area_code_address(spark, sf_dir, BROADCAST_MAX_BYTES)
+
+
+@query
+def area_code_address_shuffled(spark, sf_dir):
+    return _area_code_address(spark, sf_dir, 0)
+
+
 # ---- job data ------------------------------------------------------------------------------
 
 
-def order_jobs(spark, sf_dir) -> DataFrame:
+def order_jobs(spark, sf_dir, only: str = "true") -> DataFrame:
     """Orders as job postings: name, phone or both are known, and some carry a contact."""
     status = F.col("o_orderstatus")
-    return table(spark, sf_dir, "orders").select(
+    return table(spark, sf_dir, "orders").where(only).select(
         F.when(status != "F", F.concat(F.lit("Customer#"), _number("o_custkey", 9))).alias("名称"),
         F.when(status != "O", F.concat(F.lit("0"), _number("o_custkey", 9))).alias("TEL"),
         F.when(F.col("o_totalprice") > 400000, F.col("o_orderpriority")).otherwise("").alias("担当者"),
@@ -177,6 +287,54 @@ def recruiter_index_fill_shuffled(spark, sf_dir):
     return _recruiter_index_fill(spark, sf_dir, 0)
 
 
+@query
+def recruiter_index_kept(spark, sf_dir):
+    """The index from three batches of job data: two compacted, one more, and one taken back."""
+    index = KeptIndex(spark, new_path(spark, "kept-index"), JOB_TIERS, "担当者", buckets=4)
+    index.add("final", order_jobs(spark, sf_dir, "o_orderstatus <=> 'F'"))
+    index.add("mistake", order_jobs(spark, sf_dir).withColumn("担当者", F.lit("nobody")))
+    index.add("open", order_jobs(spark, sf_dir, "o_orderstatus <=> 'O'"))
+    index.compact()
+    index.add("other", order_jobs(spark, sf_dir, "o_orderstatus is null or o_orderstatus not in ('F', 'O')"))
+    index.take_back("mistake")
+    index.add("final", order_jobs(spark, sf_dir))
+    index.compact()
+    return index.table()
+
+
+def _recruiter_near_fill(spark, sf_dir, max_bytes):
+    """Contacts by part names that have another legal form, a character changed, or one left out."""
+    part = table(spark, sf_dir, "part")
+    jobs = part.select(
+        F.concat(F.lit("株式会社"), "p_name").alias("名称"),
+        F.when(F.length("p_name") % 3 > 0, F.concat(F.lit("C"), "p_name")).otherwise(F.col("p_type")).alias("担当者"),
+    )
+    size, name = F.col("p_size"), F.col("p_name")
+    at = size % 5 + 1
+    head, tail = F.substring(name, F.lit(1), at - 1), F.substr(name, at + 1)
+    written = (
+        F.when(size % 4 == 0, F.concat(name, F.lit("（有）")))
+        .when(size % 4 == 1, F.concat(head, F.lit("ｚ"), tail))
+        .when(size % 4 == 2, F.concat(head, tail))
+        .otherwise(F.concat(F.lit("qq"), name))
+    )
+    rows = part.select("p_partkey", written.alias("name"), F.when(F.col("p_type") == "PROMO", "known").alias("contact"))
+    tiers = [{"name": AS_NAME}]
+    exact = fill_by_key(rows, "contact", tiers, build_index(jobs, [{"名称": AS_NAME}], "担当者"), max_bytes=max_bytes)
+    index = near_index(jobs, "名称", "担当者", AS_COMPANY)
+    return fill_by_near_name(exact, "contact", "name", index, AS_COMPANY, max_bytes=max_bytes)
+
+
+@query
+def recruiter_near_fill(spark, sf_dir):
+    return _recruiter_near_fill(spark, sf_dir, BROADCAST_MAX_BYTES)
+
+
+@query
+def recruiter_near_fill_shuffled(spark, sf_dir):
+    return _recruiter_near_fill(spark, sf_dir, 0)
+
+
 def _job_evidence(spark, sf_dir, max_bytes):
     rows = table(spark, sf_dir, "customer")
     # Numbers that begin with 1 stand in no posting.
@@ -632,7 +790,7 @@ def line_config(spark, sf_dir, max_bytes: int = BROADCAST_MAX_BYTES) -> Delivery
         F.concat_ws("-", *[f"l_{c}" for c in ("orderkey", "linenumber", "partkey", "suppkey", "quantity", "extendedprice")]).alias("line_id"),
         F.col("l_returnflag").alias("customer"),
         F.concat_ws("　", "p_brand", "p_name").alias("name"),
-        F.concat_ws(" ", "p_name", "p_type").alias("address"),
+        part_address().alias("address"),
         postal.otherwise(F.col("p_brand")).alias("postal"),
         F.concat(F.lit("０"), F.lpad((F.col("l_suppkey") + shift.otherwise(0)).cast("string"), 8, "0")).alias("tel"),
         F.concat(F.lit("A"), "l_linenumber").alias("area"),
@@ -664,12 +822,23 @@ def line_delivery(spark, sf_dir) -> Delivery:
     return run_delivery(line_config(spark, sf_dir))
 
 
+def _delivery_job(done: Delivery) -> DataFrame:
+    kept = done.delivered.withColumn("reason", F.lit("delivered"))
+    return kept.select(DELIVERED).unionByName(done.excluded.select(DELIVERED))
+
+
+DELIVERED = ["order_no", "line_no", "customer", "name", "postal", "tel", "reason"]
+
+
 @query
 def delivery_job(spark, sf_dir):
-    done = line_delivery(spark, sf_dir)
-    kept = done.delivered.withColumn("reason", F.lit("delivered"))
-    cols = ["order_no", "line_no", "customer", "name", "postal", "tel", "reason"]
-    return kept.select(cols).unionByName(done.excluded.select(cols))
+    return _delivery_job(line_delivery(spark, sf_dir))
+
+
+@query
+def delivery_job_shuffled(spark, sf_dir):
+    """No reference table is broadcast: the lookups work on narrow rows."""
+    return _delivery_job(run_delivery(line_config(spark, sf_dir, max_bytes=0)))
 
 
 @query
@@ -690,18 +859,14 @@ def _exported(spark, cfg: DeliveryConfig) -> dict[str, DataFrame]:
     """The written outputs, read back."""
     root = new_path(spark, "export")
     export(run_delivery(cfg), root, "2026-01-01")
-    parts = {"result": "result", "fixes": "log/fixes", "excluded": "log/excluded"}
-    return {name: read_csv(spark, f"{root}/2026-01-01/{path}") for name, path in parts.items()}
-
-
-DELIVERED = ["order_no", "line_no", "customer", "name", "postal", "tel", "reason"]
+    return exported(spark, root, "2026-01-01")
 
 
 @query
 def delivery_export(spark, sf_dir):
     out = _exported(spark, line_config(spark, sf_dir))
     kept = out["result"].withColumn("reason", F.lit("delivered"))
-    return kept.select(DELIVERED).unionByName(out["excluded"].select(DELIVERED))
+    return kept.select(DELIVERED).unionByName(out["log/excluded"].select(DELIVERED))
 
 
 @query
@@ -712,11 +877,31 @@ def delivery_export_replay(spark, sf_dir):
     cfg.rows = read_csv(spark, source)
     out, key = _exported(spark, cfg), cfg.key
     cell = F.struct("column_name", "after_value")
-    changes = out["fixes"].groupBy(*key).agg(F.map_from_entries(F.collect_list(cell)).alias("changes"))
-    rows = cfg.rows.join(out["excluded"].select(*key), key, "left_anti").join(changes, key, "left")
+    changes = out["log/fixes"].groupBy(*key).agg(F.map_from_entries(F.collect_list(cell)).alias("changes"))
+    rows = cfg.rows.join(out["log/excluded"].select(*key), key, "left_anti").join(changes, key, "left")
 
     def replayed(column):
         changed = F.coalesce(F.map_contains_key("changes", column), F.lit(False))
         return F.when(changed, F.col("changes")[column]).otherwise(F.col(column)).alias(column)
 
     return rows.select("order_no", "line_no", *[replayed(c) for c in ("name", "postal", "tel")])
+
+
+@query
+def delivery_export_findings(spark, sf_dir):
+    """The written findings of the day, counted."""
+    found = _exported(spark, line_config(spark, sf_dir))["log/findings"]
+    seen = F.col("seen_in_jobs").cast("boolean").alias("seen_in_jobs")
+    return found.groupBy("column_name", "check_name", "value", seen).agg(F.count("*").alias("n_rows"))
+
+
+@query
+def csv_row_key(spark, sf_dir):
+    """The key of a row is the same in two readings of a folder, in whatever order the columns lie."""
+    path = new_path(spark, "keyed")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    write_csv(orders.where("o_orderstatus <=> 'F'"), f"{path}/a")
+    write_csv(orders.where("not o_orderstatus <=> 'F'").select("o_orderpriority", "o_orderkey", "o_orderstatus"), f"{path}/b")
+    one, two = (read_csv(spark, f"{path}/*", row_key="row_key") for _ in range(2))
+    both = one.join(two.select("row_key", F.col("o_orderkey").alias("again")), "row_key", "full_outer")
+    return both.select(F.col("o_orderkey").cast("bigint"), (F.col("o_orderkey") == F.col("again")).alias("same"))

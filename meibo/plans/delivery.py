@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from meibo.functions.checks import Check
 from meibo.functions.names import col, cols
-from meibo.operators.area import check_area_code, corroborate
+from meibo.operators.area import check_area_code, check_area_of_address, code_table, corroborate, phone_table
 from meibo.operators.audit import Fix, auto_fix, check, fix_log, remember
-from meibo.operators.exclude import exclude_names, exclude_suffix, first_reason
-from meibo.operators.fill import fill_by_prefix
-from meibo.operators.lookup import BROADCAST_MAX_BYTES
-from meibo.operators.rules import apply_rules
-from meibo.operators.staging import stage
-from meibo.sources.csv import write_csv, write_delivery, write_logs
+from meibo.operators.exclude import exclude_names, exclude_suffix, first_reason, name_table
+from meibo.operators.fill import fill_by_prefix, prefix_table
+from meibo.operators.lookup import BROADCAST_MAX_BYTES, OWN
+from meibo.operators.rules import apply_rules, rule_table
+from meibo.operators.staging import exists, move, stage
+from meibo.sources.csv import read_csv, write_csv, write_delivery, write_logs
 
 @dataclass
 class DeliveryConfig:
@@ -36,12 +39,15 @@ class DeliveryConfig:
     postal_ref: DataFrame | None = None
     tel: str = "tel"
     area: str = "area"
+    # (code, area) to compare with the area column, or (code, place) to compare with the address.
     area_ref: DataFrame | None = None
     jobs: DataFrame | None = None
     jobs_tel: str = "TEL"
     checks: list[Check] = field(default_factory=list)
     # Columns of ``rows`` that tell its rows apart; without them the job numbers the rows.
     key: list[str] = field(default_factory=list)
+    # No two rows share the key, and ``rows`` gives the same rows whenever it is read.
+    key_is_unique: bool = False
     max_bytes: int = BROADCAST_MAX_BYTES
 
 
@@ -71,11 +77,71 @@ def touched(cfg: DeliveryConfig) -> list[str]:
     return [c for c in cfg.rows.columns if c in changed]
 
 
+def prepared(cfg: DeliveryConfig) -> dict:
+    """The reference tables of the steps that the job takes, each measured once."""
+    limit = cfg.max_bytes
+    given = {
+        "rules": (cfg.rules, lambda x: rule_table(x, cfg.rows.columns, limit)),
+        "chains": (cfg.chains, lambda x: name_table(x, cfg.chain_match, max_bytes=limit)),
+        "postal": (cfg.postal_ref, lambda x: prefix_table(x, limit)),
+        "areas": (cfg.area_ref, lambda x: code_table(x, limit)),
+        "jobs": (cfg.jobs, lambda x: phone_table(x, cfg.jobs_tel, limit)),
+    }
+    return {name: make(ref) for name, (ref, make) in given.items() if ref is not None}
+
+
+def answers(rows: DataFrame, cfg: DeliveryConfig, tables: dict) -> DataFrame:
+    """``rows`` with what the steps find: the reason, the filled postal code, verdict and evidence."""
+    limit, reasons = cfg.max_bytes, []
+    if "rules" in tables:
+        rows = apply_rules(rows, cfg.customer, tables["rules"], reason_col=OWN + "rule", max_bytes=limit)
+        reasons.append(OWN + "rule")
+    if "chains" in tables:
+        rows = exclude_names(rows, cfg.name, tables["chains"], reason_col=OWN + "chain", max_bytes=limit)
+        reasons.append(OWN + "chain")
+    if cfg.branch_suffix:
+        rows = exclude_suffix(rows, cfg.name, cfg.branch_suffix, OWN + "branch")
+        reasons.append(OWN + "branch")
+    if reasons:
+        rows = first_reason(rows, reasons)
+    else:
+        rows = rows.withColumn("reason", F.lit(None).cast("string"))
+    if "postal" in tables:
+        kept = F.col("reason").isNull()
+        rows = fill_by_prefix(rows, cfg.postal, cfg.address, tables["postal"], only=kept, max_bytes=limit)
+        rows = rows.drop("fill_status")
+    if "areas" in tables:
+        if "area" in cfg.area_ref.columns:
+            rows = check_area_code(rows, cfg.tel, cfg.area, tables["areas"], max_bytes=limit)
+        else:
+            rows = check_area_of_address(rows, cfg.tel, cfg.address, tables["areas"], max_bytes=limit)
+    if "jobs" in tables:
+        rows = corroborate(rows, cfg.tel, tables["jobs"], max_bytes=limit)
+    return rows
+
+
+def _looked_up(cfg: DeliveryConfig, tables: dict) -> list[str]:
+    """The columns that the steps read."""
+    wanted = set()
+    if "rules" in tables:
+        wanted |= {cfg.customer} | {column for _, column in tables["rules"].kinds}
+    if "chains" in tables or cfg.branch_suffix:
+        wanted.add(cfg.name)
+    if "postal" in tables:
+        wanted |= {cfg.postal, cfg.address}
+    if "areas" in tables:
+        wanted |= {cfg.tel, cfg.area if "area" in cfg.area_ref.columns else cfg.address}
+    if "jobs" in tables:
+        wanted.add(cfg.tel)
+    return [c for c in cfg.rows.columns if c in wanted]
+
+
 def judge(cfg: DeliveryConfig) -> DataFrame:
     """Every input row with its cells before and after, its reason and its findings.
 
-    The steps add columns only; with reference tables small enough to broadcast, no step shuffles
-    the rows.
+    With reference tables small enough to broadcast, the steps add columns to the rows where they lie
+    and nothing is shuffled. With a larger one the steps work on the row's key and the cells they
+    read; their answers are joined to the whole rows once, at the end.
     """
     columns = cfg.rows.columns
     taken = [c for c in columns if c.lower() in ADDED]
@@ -85,38 +151,24 @@ def judge(cfg: DeliveryConfig) -> DataFrame:
     if moved:
         raise ValueError(f"no stable key column: {', '.join(moved)}")
     rows = remember(cfg.rows, touched(cfg)) if touched(cfg) else cfg.rows
-    rows = rows.withColumn("row_id", F.monotonically_increasing_id())
-    rows = auto_fix(rows, cfg.fixes)
-    reasons = []
-    if cfg.rules is not None:
-        rows = apply_rules(
-            rows, cfg.customer, cfg.rules, columns, reason_col="rule_reason", max_bytes=cfg.max_bytes
-        )
-        reasons.append("rule_reason")
-    if cfg.chains is not None:
-        rows = exclude_names(
-            rows, cfg.name, cfg.chains, cfg.chain_match, "chain_reason", max_bytes=cfg.max_bytes
-        )
-        reasons.append("chain_reason")
-    if cfg.branch_suffix:
-        rows = exclude_suffix(rows, cfg.name, cfg.branch_suffix, "branch_reason")
-        reasons.append("branch_reason")
-    if reasons:
-        rows = first_reason(rows, reasons)
-    else:
-        rows = rows.withColumn("reason", F.lit(None).cast("string"))
-    kept = F.col("reason").isNull()
-    if cfg.postal_ref is not None:
-        rows = fill_by_prefix(
-            rows, cfg.postal, cfg.address, cfg.postal_ref, only=kept, max_bytes=cfg.max_bytes
-        ).drop("fill_status")
-    if cfg.area_ref is not None:
-        rows = check_area_code(rows, cfg.tel, cfg.area, cfg.area_ref, max_bytes=cfg.max_bytes)
-    if cfg.jobs is not None:
-        rows = corroborate(rows, cfg.tel, cfg.jobs, cfg.jobs_tel, max_bytes=cfg.max_bytes)
-    extra = [c for c in ("verdict", "seen_in_jobs") if c in rows.columns]
+    rows = auto_fix(rows.withColumn("row_id", F.monotonically_increasing_id()), cfg.fixes)
+    tables = prepared(cfg)
     before = ["before"] if touched(cfg) else []
-    return rows.select("row_id", *before, *cols(columns), "reason", *extra)
+    found = [*(["verdict"] if "areas" in tables else []), *(["seen_in_jobs"] if "jobs" in tables else [])]
+    if all(t.small for t in tables.values()):
+        return answers(rows, cfg, tables).select("row_id", *before, *cols(columns), "reason", *found)
+    by = cfg.key if cfg.key and cfg.key_is_unique else ["row_id"]
+    if by == ["row_id"]:  # the number must be the same in both readings
+        rows = stage(rows, "delivery-rows")
+    read = _looked_up(cfg, tables)
+    narrow = stage(rows.select(*cols(dict.fromkeys([*by, *read]))), "delivery-cells")
+    filled = [cfg.postal] if "postal" in tables else []
+    # A key may hold nulls.
+    of = {c: OWN + c for c in by}
+    told = answers(narrow, cfg, tables).select(*[col(c).alias(o) for c, o in of.items()], *cols(filled), "reason", *found)
+    whole = rows.select(*cols(c for c in rows.columns if c not in filled))
+    same = reduce(and_, [col(c).eqNullSafe(col(o)) for c, o in of.items()])
+    return whole.join(told, same).select("row_id", *before, *cols(columns), "reason", *found)
 
 
 def run_delivery(cfg: DeliveryConfig) -> Delivery:
@@ -141,8 +193,42 @@ def run_delivery(cfg: DeliveryConfig) -> Delivery:
     )
 
 
+OUTPUTS = ["result", "log/fixes", "log/excluded", "log/findings"]
+MANIFEST = "manifest"
+
+
 def export(delivery: Delivery, root: str, day: str, encoding: str = "UTF-8") -> None:
-    """Write the result and the logs below ``<root>/<day>``."""
-    write_delivery(delivery.delivered, root, day, encoding)
-    write_logs(delivery.log, delivery.excluded, root, day, encoding)
-    write_csv(delivery.findings, f"{root}/{day}/log/findings", encoding)
+    """Write the result and the logs below ``<root>/<day>``, all of them or none.
+
+    The outputs are written to a folder of this run, and last its manifest, which has the number of rows
+    of every output. Then the folder becomes ``<root>/<day>`` by one rename. An export that breaks
+    off leaves nothing there and is simply repeated; a finished one is never written over. Where a
+    store renames file by file, ``<root>/<day>`` is whole once :func:`exported` finds all it lists.
+    """
+    spark = delivery.delivered.sparkSession
+    target = f"{root.rstrip('/')}/{day}"
+    if exists(spark, target):
+        raise ValueError(f"{target} is there already")
+    runs, run = f"{root.rstrip('/')}/_runs", f"{day}-{uuid.uuid4().hex}"
+    seen = [Observation() for _ in OUTPUTS]
+    parts = [delivery.delivered, delivery.log, delivery.excluded, delivery.findings]
+    result, log, excluded, findings = (
+        part.observe(count, F.count(F.lit(1)).alias("rows")) for part, count in zip(parts, seen, strict=True)
+    )
+    write_delivery(result, runs, run, encoding)
+    write_logs(log, excluded, runs, run, encoding)
+    write_csv(findings, f"{runs}/{run}/log/findings", encoding)
+    counts = [(name, count.get["rows"]) for name, count in zip(OUTPUTS, seen, strict=True)]
+    spark.createDataFrame(counts, "output string, rows long").coalesce(1).write.json(f"{runs}/{run}/{MANIFEST}")
+    move(spark, f"{runs}/{run}", target)
+
+
+def exported(spark: SparkSession, root: str, day: str, encoding: str = "UTF-8") -> dict[str, DataFrame]:
+    """The outputs of a finished export, by name. One whose rows are not all there is an error."""
+    target = f"{root.rstrip('/')}/{day}"
+    found = {}
+    for row in spark.read.schema("output string, rows long").json(f"{target}/{MANIFEST}").collect():
+        found[row["output"]] = read_csv(spark, f"{target}/{row['output']}", encoding, multi_line=True)
+        if found[row["output"]].count() != row["rows"]:
+            raise ValueError(f"{target}/{row['output']} has not the {row['rows']} rows of its manifest")
+    return found

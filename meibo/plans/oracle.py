@@ -10,17 +10,21 @@ def sql(text: str, *names: str) -> None:
         ORACLE_SQL[name] = text
 
 
+# The address of a part.
+ADDRESS = """case when p_type = 'ECONOMY' then concat('x ', p_name)
+                    when p_type in ('LARGE', 'SMALL') then concat(split_part(p_name, ' ', 1), ' ', p_type)
+                    else concat(p_name, ' ', p_type) end"""
+
 # Parts as addresses, and the prefix table made from them.
-PART_POSTAL = """
+PART_POSTAL = f"""
 addr as (
-  select p_partkey, concat(p_name, ' ', p_type) as address,
+  select p_partkey, {ADDRESS} as address,
          case when p_size <= 15 then null when p_size <= 30 then '　' else p_brand end as postal
   from part),
 ref as (
-  select distinct split_part(p_name, ' ', 1) as prefix, concat('W', split_part(p_name, ' ', 1)) as code
-  from part where split_part(p_name, ' ', 1) <> 'old'
+  select distinct split_part(p_name, ' ', 1) as prefix, concat('W', split_part(p_name, ' ', 1)) as code from part
   union
-  select distinct p_name, concat('N', p_size) from part where p_name like '% ring' and p_size <= 2),
+  select distinct concat(p_name, ' ', p_type), case when p_size = 50 then 'N1' else 'N0' end from part),
 codes as (
   select prefix, count(distinct code) as n, min(code) as code from ref group by prefix)"""
 
@@ -92,6 +96,7 @@ pairs as (
   union all select concat('2', chr(1), lower(name), chr(1)), contact from known where name is not null)
 select key, count(distinct contact) as n_values, min(contact) as value from pairs group by key""",
     "recruiter_index",
+    "recruiter_index_kept",
 )
 
 RECRUITER_FILL = f"""
@@ -276,7 +281,7 @@ chains as (select p_name as listed from part where p_name like 'hot%'
 lines as (
   select cast(l_orderkey as varchar) as order_no, cast(l_linenumber as varchar) as line_no,
          l_returnflag as customer, concat(p_brand, ' ', p_name) as name,
-         concat(p_brand, '　', p_name) as name_in, concat(p_name, ' ', p_type) as address,
+         concat(p_brand, '　', p_name) as name_in, {ADDRESS} as address,
          case when l_discount <= 0.02 then null when l_discount <= 0.04 then ' '
               else p_brand end as postal_in,
          lpad(cast(l_suppkey + case l_linenumber when 7 then 30000000 when 6 then 50000000 else 0 end
@@ -315,6 +320,7 @@ union all
 select order_no, line_no, customer, name_in, postal_in, concat('０', number_), reason
 from done where reason is not null""",
     "delivery_job",
+    "delivery_job_shuffled",
     "delivery_export",
 )
 sql(
@@ -353,6 +359,7 @@ found as (
   from kept where l_linenumber = 7 or l_linenumber < 6 and real_area <> area)
 select column_name, check_name, value, seen_in_jobs, count(*) as n_rows from found group by all""",
     "delivery_job_findings",
+    "delivery_export_findings",
 )
 
 sql(
@@ -394,3 +401,102 @@ select p_partkey, case when p_name in (select p_name from part where p_size <= 1
 from part""",
     "matching_spelling",
 )
+
+sql("select o_orderkey, true as same from orders", "csv_row_key")
+
+# Block and lot numbers lie in the ranges that the sizes of a brand's parts set.
+sql(
+    """
+with towns as (
+  select p_brand, cast(regexp_extract(p_brand, '[0-9]+$') as integer) as no, cast(floor(avg(p_size)) as integer) as mid, max(p_size) as top
+  from part group by p_brand),
+numbers as (
+  select p.*, no, mid, top, p_size // 10 as tens, p_size % 10 as ones from part p join towns using (p_brand)),
+kanji as (
+  select *, concat(case tens when 0 then '' when 1 then '十' else concat(substring('一二三四五', tens, 1), '十') end,
+                   case ones when 0 then '' else substring('一二三四五六七八九', ones, 1) end) as read from numbers),
+wide as (
+  select *, translate(cast(p_size as varchar), '0123456789', '０１２３４５６７８９') as broad from kanji),
+judged as (
+  select p_partkey, no,
+         concat(case when p_type = 'LARGE' then '' else '東京都' end, '港区大字', p_brand, '町',
+           case p_type when 'ECONOMY' then concat(read, case when no % 2 = 0 then '丁目二番' else '番地の二' end)
+                       when 'SMALL' then concat(broad, '－１－７') when 'PROMO' then ''
+                       else concat(p_size, case when no % 2 = 0 then '丁目' else '番' end) end) as address,
+         case when p_type = 'PROMO' then null
+              when p_size <= mid then 1
+              when no % 2 = 1 then case when p_size <= top then 2 end
+              when p_size = mid + 1 or p_size between mid + 2 and top - 1 then 2 else 3 end as part
+  from wide)
+select p_partkey, address, case when part is null then '' else concat('9', lpad(cast(no as varchar), 5, '0'), part) end as postal,
+       case when part is null then 'ambiguous' else 'filled' end as fill_status
+from judged""",
+    "postal_fill_ranges",
+    "postal_fill_ranges_shuffled",
+)
+
+sql(
+    """
+with named as (
+  select n_nationkey as n, r_name, concat('0', lpad(cast(n_nationkey as varchar), 2, '0')) as code
+  from nation join region on n_regionkey = r_regionkey),
+codes as (
+  select code, n as nation from named
+  union all select code, n - 1 from named where r_name = 'ASIA'
+  union all select concat(code, '000'), n - 1 from named where r_name = 'AFRICA'),
+ref as (
+  select code, concat('NATION_', nation, ' ') as place from codes
+  union all select code, 'NATION_' from codes where code = '003'),
+rows_ as (
+  select c_custkey,
+         case when c_acctbal >= -500 then
+           concat('0', lpad(cast(c_nationkey + case c_mktsegment when 'BUILDING' then 1
+                   when 'FURNITURE' then 2 when 'MACHINERY' then 50 else 0 end as varchar), 2, '0'),
+                  '-', lpad(cast(c_custkey as varchar), 7, '0')) end as tel,
+         concat(case c_mktsegment when 'AUTOMOBILE' then concat('c/o NATION_', c_nationkey, ' ')
+                when 'HOUSEHOLD' then 'NATION_1 ' else concat('NATION_', c_nationkey, ' ') end, '1-2-3') as address
+  from customer),
+code_of as (
+  select c_custkey, max(length(code)) as len from rows_ join (select distinct code from ref) c on starts_with(replace(tel, '-', ''), code) group by c_custkey),
+place_of as (
+  select c_custkey, max(length(place)) as len from rows_ join (select distinct place from ref) p on starts_with(address, place) group by c_custkey)
+select r.c_custkey, tel, address,
+       case when tel is null then null
+            when c.len is null and regexp_matches(replace(tel, '-', ''), '^(0[26789]0|050|0120|0800|0570|0180|0990)') then 'no_area'
+            when c.len is null then 'unknown_code'
+            when p.len is null then 'unknown_place'
+            when exists (select 1 from ref where code = substring(replace(tel, '-', ''), 1, c.len) and place = substring(address, 1, p.len)) then 'ok'
+            else 'mismatch' end as verdict
+from rows_ r left join code_of c on c.c_custkey = r.c_custkey left join place_of p on p.c_custkey = r.c_custkey""",
+    "area_code_address",
+    "area_code_address_shuffled",
+)
+
+sql(
+    """
+with known as (
+  select replace(p_name, ' ', '') as name, count(distinct contact) as n, min(contact) as contact
+  from (select p_name, case when length(p_name) % 3 > 0 then concat('C', p_name) else p_type end as contact from part)
+  group by 1),
+rows_ as (
+  select p_partkey, case when p_type = 'PROMO' then 'known' end as contact,
+         case p_size % 4 when 0 then concat(p_name, '（有）')
+              when 1 then concat(substring(p_name, 1, p_size % 5), 'ｚ', substring(p_name, p_size % 5 + 2))
+              when 2 then concat(substring(p_name, 1, p_size % 5), substring(p_name, p_size % 5 + 2))
+              else concat('qq', p_name) end as name
+  from part),
+asked as (
+  select distinct name, replace(replace(replace(name, '（有）', ''), 'ｚ', 'z'), ' ', '') as plain from rows_),
+near as (
+  select a.name, count(*) filter (k.name = plain) as same, min(k.n) filter (k.name = plain) as same_n, min(k.contact) filter (k.name = plain) as same_contact,
+         count(*) as names, max(k.n) as n, min(k.contact) as contact
+  from asked a join known k on levenshtein(a.plain, k.name) <= 1 group by a.name),
+answer as (
+  select name, case when same > 0 then case when same_n = 1 then same_contact end when names = 1 and n = 1 then contact end as contact from near)
+select p_partkey, r.name, coalesce(r.contact, a.contact) as contact,
+       case when r.contact is not null then 'kept' when a.contact is not null then 'filled_near'
+            when a.name is not null then 'ambiguous' else 'no_match' end as fill_status
+from rows_ r left join answer a on a.name = r.name""",
+    "recruiter_near_fill",
+    "recruiter_near_fill_shuffled",
+)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meibo.functions.names import col, cols
+from meibo.operators.lookup import OWN, lookup_join
 
 # A file of any size becomes one split, so that one task sees its first line.
 ONE_SPLIT = str(1 << 50)
@@ -36,6 +37,10 @@ def headers(spark: SparkSession, paths: list[str], encoding: str = "UTF-8") -> d
                 return
 
     own = spark.newSession()
+    # What was set on the caller's session, such as a store's credentials, holds here as well.
+    for name, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(name):
+            own.conf.set(name, value)
     own.conf.set("spark.sql.files.maxPartitionBytes", ONE_SPLIT)
     own.conf.set("spark.sql.files.openCostInBytes", ONE_SPLIT)
     own.conf.set("spark.sql.files.minPartitionNum", "1")
@@ -93,21 +98,59 @@ def writer_options(encoding: str = "UTF-8") -> dict:
     }
 
 
-def _scan(spark, paths, names, encoding, multi_line, bad_rows, source_col):
+# Where a row was read: its file, the place of its block, and a number that grows within a task.
+_FILE, _BLOCK, _NUMBER = (OWN + c for c in ("file", "block", "number"))
+
+
+def _scan(spark, paths, names, encoding, multi_line, bad_rows, source_col, placed):
     """One scan. A row with missing or surplus cells stops the job, or is kept whole in ``bad_rows``."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _CORRUPT]])
     raw = spark.read.schema(schema).options(**reader_options(encoding, multi_line)).csv(paths)
     origin = [_file_path().alias(source_col)] if source_col else []
-    # Spark refuses a query of the raw text alone, so a part of the first cell, without a character, goes along.
-    corrupt = F.concat(_CORRUPT, F.coalesce(F.substring(col(names[0]), 1, 0), F.lit("")))
+    if placed:
+        place = (_file_path(), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+        origin += [c.alias(name) for c, name in zip(place, (_FILE, _BLOCK, _NUMBER), strict=True)]
     if bad_rows:
-        return raw.select(*cols(names), corrupt.alias(bad_rows), *origin)
-    message = F.concat(_file_path(), F.lit(": a row does not fit the header: "), corrupt)
-    fits = F.when(corrupt.isNotNull(), F.raise_error(message).cast("boolean")).otherwise(True)
-    return raw.where(fits).select(*cols(names), *origin)
+        return raw.select(*cols(names), _corrupt_text(names).alias(bad_rows), *origin)
+    return raw.where(_fits(names, "the header")).select(*cols(names), *origin)
+
+
+def _with_row_key(rows: DataFrame, name: str) -> DataFrame:
+    """The key of a row, from the numbers that rows of a block have one after another.
+
+    The first number of every block is one row of a small table, measured and joined like any other
+    lookup table.
+    """
+    first = rows.groupBy(_FILE, _BLOCK).agg(F.min(_NUMBER).alias(OWN + "first"))
+    found = lookup_join(rows, [_FILE, _BLOCK], first, "inner", staged=True)
+    key = F.concat_ws(":", col(_FILE), col(_BLOCK), col(_NUMBER) - col(OWN + "first"))
+    return found.select(*cols(c for c in rows.columns if c not in (_FILE, _BLOCK, _NUMBER)), key.alias(name))
+
+
+def scan_without_header(spark: SparkSession, paths: str | list[str], names: list[str], encoding: str = "UTF-8") -> DataFrame:
+    """CSV files that have no header row, their cells named ``names`` in order.
 
+    A row with missing or surplus cells stops the job and names its file.
+    """
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _CORRUPT]])
+    options = reader_options(encoding) | {"header": False, "enforceSchema": True}
+    raw = spark.read.schema(schema).options(**options).csv([paths] if isinstance(paths, str) else list(paths))
+    return raw.where(_fits(names, f"{len(names)} cells")).select(*cols(names))
+
+
+def _corrupt_text(names: list[str]) -> Column:
+    # Spark refuses a query of the raw text alone, so a part of the first cell, without a character, goes along.
+    return F.concat(_CORRUPT, F.coalesce(F.substring(col(names[0]), 1, 0), F.lit("")))
 
-def _scan_groups(spark, paths, found, encoding, multi_line, bad_rows, source_col, keep):
+
+def _fits(names: list[str], what: str) -> Column:
+    """True for a row that has all its cells; any other one stops the job."""
+    corrupt = _corrupt_text(names)
+    message = F.concat(_file_path(), F.lit(f": a row does not fit {what}: "), corrupt)
+    return F.when(corrupt.isNotNull(), F.raise_error(message).cast("boolean")).otherwise(True)
+
+
+def _scan_groups(spark, paths, found, encoding, multi_line, bad_rows, source_col, keep, placed=False):
     """One scan per different header, columns matched by name."""
     groups: dict[tuple[str, ...], list[str]] = {}
     for path, names in found.items():
@@ -115,8 +158,9 @@ def _scan_groups(spark, paths, found, encoding, multi_line, bad_rows, source_col
     scans = []
     for names, files in groups.items():
         where = paths if len(groups) == 1 else files
-        scan = _scan(spark, where, names, encoding, multi_line, bad_rows, source_col)
-        scans.append(scan.select(*cols([*(keep or names), *filter(None, (bad_rows, source_col))])))
+        scan = _scan(spark, where, names, encoding, multi_line, bad_rows, source_col, placed)
+        extra = [*filter(None, (bad_rows, source_col)), *((_FILE, _BLOCK, _NUMBER) if placed else ())]
+        scans.append(scan.select(*cols([*(keep or names), *extra])))
     return reduce(lambda a, b: a.unionByName(b), scans)
 
 
@@ -127,13 +171,15 @@ def read_csv(
     multi_line: bool = False,
     source_col: str | None = None,
     bad_rows: str | None = None,
+    row_key: str | None = None,
 ) -> DataFrame:
     """Read CSV files that have the same columns, in any order, as one table of strings.
 
     A file with other columns is an error that names it. ``multi_line`` allows line breaks in
     quoted cells, at the price of one task per file. A row with missing or surplus cells stops the
     job and names its file; with ``bad_rows`` it is kept, its raw text in a column of that name,
-    which is null for other rows.
+    which is null for other rows. ``row_key`` names a column that tells the rows apart, the same in every
+    run over the same files: file, place of the block in it, and place of the row in the block.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     found = headers(spark, paths, encoding)
@@ -142,9 +188,10 @@ def read_csv(
         if set(names) != set(found[first]):
             odd = sorted(set(names) ^ set(found[first]))
             raise ValueError(f"{path} has other columns than {first}: {', '.join(odd)}")
-    return _scan_groups(
-        spark, paths, found, encoding, multi_line, bad_rows, source_col, found[first]
-    )
+    if not row_key:
+        return _scan_groups(spark, paths, found, encoding, multi_line, bad_rows, source_col, found[first])
+    placed = _scan_groups(spark, paths, found, encoding, multi_line, bad_rows, source_col, found[first], placed=True)
+    return _with_row_key(placed, row_key)
 
 
 def read_csv_set(

@@ -252,3 +252,81 @@ def test_many_texts_of_a_customer_are_joined(table, op, max_bytes):
     got = [(r["customer"], r["name"], r["tel"], r["reason"]) for r in out.collect()]
     assert len(got) == 4 * len(cells) * 2
     assert [g for g in got if g[3] != want(*g[:3])] == []
+
+
+def wide_config(table, **options):
+    rows = table(f"{COLUMNS} extra1 extra2 key", [(*r, "e", "f", str(i)) for i, r in enumerate(ROWS)])
+    return DeliveryConfig(
+        rows=rows,
+        fixes={"name": [X.squeeze_spaces], "tel": [X.narrow_digits, X.unify_hyphens]},
+        rules=table("customer column op arg", [("A", "name", "exclude_prefix", "禁")]),
+        chains=table("name", [("すきや",)]),
+        postal_ref=table("prefix code", [("東京都渋谷区", "1500000"), ("大阪府", "5300000")]),
+        area_ref=table("code area", [("03", "東京"), ("06", "大阪")]),
+        jobs=table("TEL", [("03-1111",)]),
+        **options,
+    )
+
+
+@pytest.mark.parametrize("unique", [True, False])
+def test_large_tables_are_answered_by_narrow_rows(table, monkeypatch, unique):
+    """Whatever the number of lookups, whole rows are joined once, and staged once where the key tells them apart."""
+    from meibo.operators import lookup
+    from meibo.plans import delivery as D
+
+    wide = []
+
+    def spy(module):
+        real = module.stage
+
+        def staged(df, label="stage"):
+            if "extra1" in df.columns:
+                wide.append(label)
+            return real(df, label)
+
+        monkeypatch.setattr(module, "stage", staged)
+
+    for module in (D, lookup):
+        spy(module)
+    options = {"key": ["key"], "key_is_unique": True} if unique else {}
+    small = [rows_of(x.drop("row_id")) for x in run_delivery(wide_config(table, **options))]
+    assert wide == ["delivery"]
+    large = [rows_of(x.drop("row_id")) for x in run_delivery(wide_config(table, max_bytes=0, **options))]
+    assert wide[1:] == (["delivery"] if unique else ["delivery-rows", "delivery"])
+    assert small == large
+
+
+def test_phones_are_checked_against_the_address(table, max_bytes):
+    cfg = wide_config(table, key=["key"], max_bytes=max_bytes)
+    cfg.area_ref = table("code place", [("03", "東京都"), ("06", "大阪府")])
+    found = run_delivery(cfg).findings
+    assert {r["value"] for r in found.where("check_name = 'area_code_mismatch'").collect()} == {"06-1"}
+
+
+def test_a_broken_export_is_repeated(spark, table, tmp_path, monkeypatch):
+    from meibo.plans import delivery as D
+
+    done = run_delivery(wide_config(table, key=["key"]))
+    export(done, str(tmp_path / "whole"), "2026-01-31")
+    want = {name: rows_of(df) for name, df in D.exported(spark, str(tmp_path / "whole"), "2026-01-31").items()}
+    assert set(want) == {"result", "log/fixes", "log/excluded", "log/findings"}
+    root = str(tmp_path / "out")
+
+    def broken(*_):
+        raise OSError("lost")
+
+    for name in ("write_logs", "write_csv", "move"):
+        with monkeypatch.context() as patch:
+            patch.setattr(D, name, broken)
+            with pytest.raises(OSError, match="lost"):
+                export(done, root, "2026-01-31")
+        assert not (tmp_path / "out" / "2026-01-31").exists()
+    export(done, root, "2026-01-31")
+    assert {name: rows_of(df) for name, df in D.exported(spark, root, "2026-01-31").items()} == want
+    with pytest.raises(ValueError, match="is there already"):
+        export(done, root, "2026-01-31")
+    assert sorted(p.name for p in (tmp_path / "out" / "2026-01-31").iterdir() if not p.name.startswith(".")) == ["log", "manifest", "result"]
+    part = next((tmp_path / "out" / "2026-01-31" / "result").glob("part-*"))
+    part.with_name("part-of-another-run.csv").write_bytes(part.read_bytes() + b",".join([b"x"] * len(want["result"][0])) + b"\n")
+    with pytest.raises(ValueError, match="rows of its manifest"):
+        D.exported(spark, root, "2026-01-31")

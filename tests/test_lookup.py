@@ -8,10 +8,10 @@ from meibo.operators.lookup import lookup_join
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
-@pytest.mark.parametrize("hot_keys", [1, 3, 100])
-def test_shuffled_form_equals_plain_join(spark, monkeypatch, how, hot_keys):
+@pytest.mark.parametrize("hot_rows", [1, 20, 1000])
+def test_shuffled_form_equals_plain_join(spark, monkeypatch, how, hot_rows):
     """A third of the rows share one key, a third have none."""
-    monkeypatch.setattr(lookup, "HOT_KEYS", hot_keys)
+    monkeypatch.setattr(lookup, "HOT_ROWS", hot_rows)
     dice = random.Random(7)
     keys = ["hot"] * 300 + [None] * 300 + [f"k{dice.randrange(40)}" for _ in range(300)]
     rows = spark.createDataFrame([(i, k, "x") for i, k in enumerate(keys)], "id int, k string, x string")
@@ -50,8 +50,58 @@ def test_size_is_measured(spark):
     assert lookup.sized(table.limit(0), 0, "key")[1:] == (True, [])
 
 
+def test_hot_keys_are_found_by_share_not_by_rank(spark, monkeypatch):
+    """600 keys of equal size, each more than a task should hold, are all salted."""
+    monkeypatch.setattr(lookup, "HOT_ROWS", 1)
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1200")
+    try:
+        rows = spark.range(24_600).select(F.when(F.col("id") < 24_000, F.col("id") % 600).otherwise(F.col("id")).alias("k"))
+        hot = lookup.hot_keys(rows, ["k"])
+        assert hot.count() == 600
+        # 40 rows of a key; 24,600 rows over 1200 tasks are 20.5, and half of that may be one key's.
+        assert hot.select(hot.columns[1]).distinct().collect() == [(4,)]
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        table = rows.distinct().withColumn("v", F.col("k") * 2)
+        out = lookup_join(rows, ["k"], table, "inner", max_bytes=0)
+        assert out.count() == 24_600 and out.where("v <> 2 * k").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+
+
+def test_salts_spread_a_hot_key_and_rows_without_one(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "HOT_ROWS", 10)
+    rows = spark.range(0, 3000, 1, 4).select(F.expr("case id % 3 when 0 then 'hot' when 1 then concat('k', id) end").alias("k"))
+    table = spark.createDataFrame([("hot", 1)], "k string, v int")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = lookup_join(rows, ["k"], table, max_bytes=0)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 3000 and max(sizes) < 800
+        assert out.where("v = 1").count() == 1000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_columns_of_the_rows_may_have_any_name(spark):
+    rows = spark.createDataFrame([("a", 1, 2, "x", "y")], "k string, n_values int, value int, _salt string, _hot string")
+    table = spark.createDataFrame([("a", "yes")], "k string, v string")
+    for max_bytes in (0, lookup.BROADCAST_MAX_BYTES):
+        assert lookup_join(rows, ["k"], table, max_bytes=max_bytes).collect() == [("a", 1, 2, "x", "y", "yes")]
+
+
+def test_no_rows(spark):
+    empty = spark.createDataFrame([], "k string")
+    table = spark.createDataFrame([("a", "yes")], "k string, v string")
+    assert lookup_join(empty, ["k"], table, max_bytes=0).count() == 0
+    assert lookup_join(spark.createDataFrame([(None,)], "k string"), ["k"], table, max_bytes=0).count() == 1
+
+
 def test_large_tables_are_joined_by_shuffle(spark):
-    """Without Spark's own broadcast of small tables, only the hot keys are broadcast."""
+    """Without Spark's own broadcast of small tables, only what is known of hot keys is broadcast."""
     key = "spark.sql.autoBroadcastJoinThreshold"
     spark.conf.set(key, "-1")
     try:

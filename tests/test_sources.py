@@ -265,3 +265,50 @@ def test_lookups_in_the_stream(spark, table, tmp_path):
     assert rows_of(S.read_csv(spark, f"{out}/*").select("postal", "fill_status", "reason")) == sorted(
         [("2", "filled", None), ("9", "kept", "chain"), ("1", "filled", None)], key=repr
     )
+
+
+def test_row_keys_are_the_same_in_every_run(spark, tmp_path):
+    for name in ("a", "b"):
+        lines = "\n".join(f"{name}{i},{i % 3}" for i in range(500))
+        (tmp_path / f"{name} 1.csv").write_text(f"x,y\n{lines}\n", encoding="utf-8")
+    limit = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "900")
+    try:
+        runs = [read_csv(spark, str(tmp_path), row_key="key") for _ in range(2)]
+        first, again = ({r["key"]: r["x"] for r in run.repartition(3).collect()} for run in runs)
+        assert first == again and len(first) == 1000
+        # Places count from 0 in every block, in the order of the file.
+        places = {}
+        for key, x in first.items():
+            path, block, place = key.rsplit(":", 2)
+            places.setdefault((path, int(block)), []).append((int(place), int(x[1:])))
+        assert len(places) > 4
+        for (_, _), found in places.items():
+            found.sort()
+            assert [p for p, _ in found] == list(range(len(found)))
+            assert [x for _, x in found] == list(range(found[0][1], found[0][1] + len(found)))
+        assert runs[0].columns == ["x", "y", "key"]
+    finally:
+        spark.conf.set(limit, before)
+
+
+def test_settings_of_the_session_reach_the_header_scan(spark, tmp_path):
+    from meibo.sources import csv as C
+
+    (tmp_path / "a.csv").write_bytes("名,値\n1,2\n".encode("cp932"))
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    seen = []
+    new_session = type(spark).newSession
+
+    def spy(self):
+        seen.append(new_session(self))
+        return seen[-1]
+
+    type(spark).newSession = spy
+    try:
+        assert C.headers(spark, [str(tmp_path)], "cp932")
+        assert seen[0].conf.get("spark.sql.legacy.javaCharsets") == "true"
+    finally:
+        type(spark).newSession = new_session
+        spark.conf.unset("spark.sql.legacy.javaCharsets")
