@@ -3,8 +3,8 @@
 Documents are sorted by id. Every task encodes its range of them and cuts it into shards of about
 ``SHARD_IDS`` ids. In a shard the frequent pairs of neighbouring symbols are replaced by new symbols
 (nonterminals), round after round: a round takes the most frequent pairs, replaces them from left to
-right where they do not overlap, and the next round may pair the new symbols. No pair crosses the end
-of a document. A shard holds its rules, the expansion length of each rule, and where each document
+right where they do not overlap, and the next round may pair the new symbols. The rounds end when no
+pair occurs ``MIN_COUNT`` times any more. No pair crosses the end of a document. A shard holds its rules, the expansion length of each rule, and where each document
 begins, so a document, or a slice of one, is decoded without the rest of the shard.
 
 Shards are rows of a Parquet table in the shared folder: a task that is lost is simply run again, and
@@ -36,8 +36,7 @@ from meibo.operators.staging import stage
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 SHARD_IDS = 1 << 20
-#: Rounds of pair replacement at most, pairs replaced in one, and how often a pair must occur.
-ROUNDS = 6
+#: Pairs replaced in a round, and how often a pair must occur in a shard to be replaced.
 PAIRS = 1024
 MIN_COUNT = 16
 #: Words that a worker remembers.
@@ -90,16 +89,14 @@ def _frequent_pairs(left, right, bucket, inner, pairs: int, min_count: int) -> n
     return best[np.sort(np.unique(mine, return_index=True)[1])][:pairs]
 
 
-def compress(ids: np.ndarray, offsets: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS, min_count: int = MIN_COUNT):
+def compress(ids: np.ndarray, offsets: np.ndarray, pairs: int = PAIRS, min_count: int = MIN_COUNT):
     """(first nonterminal, rules, symbols, offsets) of ids cut into documents at ``offsets``."""
     symbols = ids.astype(np.uint32)
     first = int(symbols.max(initial=0)) + 1
     last = np.zeros(len(symbols), dtype=bool)  # the last symbol of its document
     last[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = True
     rules = np.zeros((0, 2), dtype=np.uint32)
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:
         inner = ~last[:-1]
         left, right = symbols[:-1], symbols[1:]
         bucket = _bucket(left, right)
@@ -120,7 +117,11 @@ def compress(ids: np.ndarray, offsets: np.ndarray, rounds: int = ROUNDS, pairs:
         used = np.bincount(rule[chosen], minlength=len(keys)) >= 2
         chosen &= used[rule]
         if not used.any():
-            break
+            # Pairs that overlap stand in each other's way; one pair alone always has two places.
+            if pairs == 1:
+                break
+            pairs = 1
+            continue
         number = np.cumsum(used) - 1 + first + len(rules)
         at, rule = at[chosen], rule[chosen]
         symbols[at] = number[rule]

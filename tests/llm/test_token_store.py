@@ -33,9 +33,9 @@ def cut(documents):
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2), max_size=30).map(lambda x: np.array(x, dtype=np.uint32)), max_size=5), st.integers(1, 6))
-def test_grammar_round_trip(documents, rounds):
+def test_grammar_round_trip(documents, pairs):
     ids, offsets = cut(documents)
-    first, rules, symbols, at = S.compress(ids, offsets, rounds=rounds, min_count=2)
+    first, rules, symbols, at = S.compress(ids, offsets, pairs=pairs, min_count=2)
     flat, starts = S.expansions(first, rules)
     for i, d in enumerate(documents):
         assert S.expand(symbols[at[i] : at[i + 1]], first, flat, starts).tolist() == d.tolist()
@@ -48,6 +48,34 @@ def test_frequent_pairs_become_rules():
     assert (rules.astype(np.int64) < first + np.arange(len(rules))[:, None]).all()
 
 
+def most_frequent(symbols, offsets):
+    """How often the most frequent pair of neighbours in a document stands without overlap."""
+    places = {}
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        part = symbols[a:b].tolist()
+        for i in range(len(part) - 1):
+            places.setdefault((part[i], part[i + 1]), []).append(a + i)
+    most = 0
+    for found in places.values():
+        n, end = 0, -1
+        for at in found:
+            if at > end:
+                n, end = n + 1, at + 1
+        most = max(most, n)
+    return most
+
+
+@pytest.mark.parametrize("min_count", [2, 16])
+def test_no_frequent_pair_is_left(min_count):
+    pick = random.Random(min_count)
+    words = [[pick.randrange(400) for _ in range(pick.randrange(2, 9))] for _ in range(60)]
+    documents = [np.array(sum((pick.choice(words) for _ in range(200)), []), dtype=np.uint32) for _ in range(12)]
+    documents.append(np.array([5] * 1000, dtype=np.uint32))
+    ids, offsets = cut(documents)
+    _, _, symbols, at = S.compress(ids, offsets, min_count=min_count)
+    assert most_frequent(ids, offsets) > 100 and most_frequent(symbols, at) < min_count
+
+
 def test_shard_format_and_random_access():
     pick = random.Random(1)
     documents = [np.array([pick.randrange(70_000 if wide else 4) for _ in range(n)], dtype=np.uint32) for wide, n in ((0, 5000), (0, 0), (1, 300), (0, 9000))]
