@@ -1,9 +1,10 @@
 """Exact copies by digest, with the frequent digests taken out of the shuffle.
 
 A Misra-Gries summary (Spark's ``approx_top_k``) names the digests that may be frequent. An exact
-map-side aggregate verifies them; the verified winners, at most ``HEAVY_MAX`` rows, are broadcast
-and settle their rows where these lie. Every other digest is rare by the summary's guarantee (no
-more than about ``3.5 / SUMMARY_SIZE`` of the rows) and goes through an ordinary shuffle.
+map-side aggregate verifies them; the verified winners, at most ``HEAVY_MAX`` short rows, are broadcast
+and settle their rows where these lie. Every other digest is rare and goes through an ordinary
+shuffle: the summary errs by no more than ``3.5 / SUMMARY_SIZE`` of the rows, so fewer than ``HEAVY_MAX``
+digests can look as frequent as one that holds twice that share, which therefore is a winner.
 
 Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the
 row with the largest id stays, a null id being the smallest. Of rows equal in text and id exactly
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 
 from meibo.operators.staging import stage
 
-HEAVY_MAX = 512
 SUMMARY_SIZE = 16384
+#: More candidates than digests can hold the share that the summary errs by; about 1 MB when broadcast.
+HEAVY_MAX = SUMMARY_SIZE // 3
 
 
 def ascii_lower(text: Column) -> Column:

@@ -47,6 +47,14 @@ def test_hot_text_does_not_reach_the_window(documents, spark):
     assert [(w["best"], w["size"]) for w in winners] == [(499, 500)]
 
 
+def test_every_frequent_text_is_a_winner_whatever_its_rank(spark):
+    """600 texts of equal share; none of them goes through the shuffle."""
+    rows = spark.range(24_000).selectExpr("id as doc_id", "if(id < 12000, concat('hot ', id % 600), concat('lone ', id)) as d")
+    winners = E.heavy_winners(rows, "d", rows.doc_id)
+    assert E.HEAVY_MAX > E.SUMMARY_SIZE / 3.5
+    assert sorted(r["heavy_digest"] for r in winners.collect()) == sorted(f"hot {i}" for i in range(600))
+
+
 def test_no_rows(documents):
     assert not marked(documents([])) and not E.drop_exact_copies(documents([])).collect()
 
