@@ -5,9 +5,10 @@ hashed into ``BUCKETS`` places, weighted by TF-IDF and normalised. Each language
 centroids, found by spherical k-means. The language of the most similar centroid wins; a text
 farther from it than nearly all texts it was made from is marked as rejected.
 
-Document frequencies are counted over all labelled rows. The centroids are fitted on a sample,
-about ``SAMPLE`` rows of each language, chosen by a hash of the id. The driver holds that sample's
-counts and a few vectors for each language.
+Document frequencies are counted over all labelled rows. The centroids are fitted on a sample of at
+most ``SAMPLE`` documents of each language, the first in the order of a hash of the id; a repeated id is
+one document, its smallest text. The driver holds that sample's counts, one language's vectors at a
+time and a few centroids for each.
 
 A text that is null or has no letter is ``und`` with score 0, as is every text when nothing can be
 learned. Rows without language or id teach nothing. Between equally similar centroids the language
@@ -22,14 +23,16 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meibo.llm.words import _tables, code_points, pieces
 
 BUCKETS = 1 << 14
-#: Rows of each language that centroids are fitted on, about.
+#: Documents of each language that centroids are fitted on at most, and how many times as many may be
+#: looked at to find them.
 SAMPLE = 1000
+SPARE = 4
 CENTROIDS = 4
 #: Share of a centroid's own sample that may lie outside its radius, and the slack beyond it.
 OUTSIDE = 0.005
@@ -136,11 +139,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE, clusters: int = CENTROIDS) -> Mod
     idf = np.full(BUCKETS, np.log(total + 1.0) + 1.0, dtype=np.float32)
     for bucket, n in counted.items():
         idf[bucket] = np.log((total + 1.0) / (n + 1.0)) + 1.0
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # Ids, not rows: one id may hold a third of the rows.
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("id").alias("n"))
+    # Ids whose hash lies in the share of the language that holds some more than the sample.
+    at = F.pmod(F.xxhash64("id"), F.lit(1 << 62)) / F.lit(float(1 << 62))
     # One row for each language, of which the model holds whole vectors.
-    picked = known.join(F.broadcast(sizes), "lang").where(
-        F.pmod(F.xxhash64("id"), F.lit(1_000_000)) * F.col("n") < F.lit(1_000_000 * sample)
-    )
+    near = known.join(F.broadcast(sizes), "lang").where(at * F.col("n") < SPARE * sample)
+    once = near.groupBy("lang", "id").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    picked = once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
     rows = sorted(picked.mapInPandas(_sparse, "id string, lang string, used binary, counts binary").collect())
     centroids, langs, radius = [], [], []
     for lang in sorted({r["lang"] for r in rows}):

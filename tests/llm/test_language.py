@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from meibo.llm import language as L
 
@@ -47,6 +48,38 @@ def test_nothing_to_learn_from(documents):
     assert [(r["lang_pred"], r["score"]) for r in L.predict(documents([(1, "text")]), model).collect()] == [("und", 0.0)]
 
 
+def test_the_sample_is_bounded(rows, documents, monkeypatch):
+    """However many rows there are, and however often an id is repeated."""
+    seen = []
+    real = L._cluster
+    monkeypatch.setattr(L, "_cluster", lambda vectors, k: seen.append(len(vectors)) or real(vectors, k))
+    many = [(i, t, lang) for i, t, lang in rows if lang == "aa"] * 5 + [(7777, f"the sha {i}", "bb") for i in range(400)]
+    docs = documents(many).select(F.col("doc_id").cast("string").alias("id"), "text", "lang")
+    model = L.fit(docs, sample=20)
+    assert seen == [20, 1] and set(model.langs) == {"aa", "bb"}
+
+
+def brute_model(docs):
+    """Weights by plain counting, and the cosine of every text with every centroid of ``model``."""
+    counts = [L.ngram_counts(t) for _, t, _ in docs]
+    held = sum((c > 0).astype(int) for c in counts)
+    return np.log((len(docs) + 1.0) / (held + 1.0)) + 1.0
+
+
+def test_weights_and_nearest_centroid_match_brute_force(rows, documents):
+    learned = [(i, t, lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = documents(rows)
+    model = L.model_for(docs)
+    assert np.allclose(model.idf, brute_model(learned), atol=1e-5)
+    got = {r["doc_id"]: r for r in L.predict(docs, model).collect()}
+    for i, text, _ in rows:
+        weighed = L.ngram_counts(text) * model.idf.astype(float)
+        cosines = weighed / np.sqrt((weighed**2).sum()) @ model.centroids.astype(float)
+        best = int(cosines.argmax())
+        assert got[i]["lang_pred"] == model.langs[best] and abs(got[i]["score"] - cosines[best]) < 1e-4
+        assert got[i]["rejected"] == (cosines[best] < model.radius[best]) or abs(cosines[best] - model.radius[best]) < 1e-5
+
+
 def test_several_centroids_for_a_language(rows, documents):
     model = L.model_for(documents(rows))
     assert all(model.langs.count(x) > 1 for x in LANGS) and np.allclose(np.linalg.norm(model.centroids, axis=0), 1, atol=1e-3)
