@@ -6,6 +6,10 @@ ratio go. Lines travel as 128-bit digests, so no text is shuffled before the las
 A null URL belongs to the host ``''``; a null or empty page has no lines. Equal rows count as
 pages of their own and get equal results. A line counts once for a page however often it stands
 there, and all its places go. A page keeps its lines' order. An empty table gives an empty result.
+
+A script, style or comment that is not closed hides the rest of its page, as in a browser. A ``<`` begins a tag
+only when a ``>`` comes before the next ``<``. So every character is looked at a bounded number of times,
+however long and broken a page is.
 """
 
 from __future__ import annotations
@@ -16,14 +20,15 @@ from pyspark.sql import functions as F
 from meibo.operators.staging import stage
 
 MAX_RATIO = 0.3
-#: A line on fewer pages of a host is no boilerplate, however few pages the host has.
-MIN_PAGES = 3
+#: A line on one page repeats nothing. With 1 here, every page that is alone on its host would lose all its lines.
+MIN_PAGES = 2
 #: Parts of each frequent line in the join with its pages.
 SALTS = 16
 
-HIDDEN = r"(?is)<script[^>]*>.*?</script[^>]*>|<style[^>]*>.*?</style[^>]*>|<!--.*?-->"
-BLOCKS = r"(?i)</?(p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|nav|header|footer|article|section|aside|main|table|tr|td|th|title|head|body|html|form|blockquote|pre|hr)([\s/][^>]*)?>"
-TAGS = r"<[^>]*>"
+HIDDEN = r"(?is)<script(?:[\s/][^<>]*)?>.*?(?:</script[^<>]*>|\z)|<style(?:[\s/][^<>]*)?>.*?(?:</style[^<>]*>|\z)|<!--.*?(?:-->|\z)"
+BLOCKS = r"(?i)</?(p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|nav|header|footer|article|section|aside|main|table|tr|td|th|title|head|body|html|form|blockquote|pre|hr)([\s/][^<>]*)?>"
+TAGS = r"<[^<>]*>"
+#: Where lines end; the white space around a line belongs to none.
 BREAKS = r"[ \t\r]*\n[ \t\r\n]*"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)"
 
@@ -34,7 +39,8 @@ def host_of(url: Column) -> Column:
 
 def text_lines(text: Column) -> Column:
     """The non-empty lines, without white space at their ends."""
-    lines = F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\r\n")), BREAKS)
+    # The same as a split at BREAKS, but a long run of spaces is passed once.
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(" \t\r")))
     return F.filter(lines, lambda x: x != "")
 
 

@@ -67,3 +67,29 @@ def test_carries_all_columns_but_the_page(spark):
 def test_no_python_in_the_plan(spark):
     plan = L.drop_site_lines_of_html(pages_of(spark, [(1, "http://h/", "<p>x")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def lines_of(spark, *pages):
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, h string")
+    return [r[1] for r in rows.select("i", L.text_lines(L.html_text(F.col("h")))).orderBy("i").collect()]
+
+
+def test_unclosed_parts_hide_the_rest(spark):
+    got = lines_of(spark, "a<script>b<p>c", "a<p>b<!-- c <p>d", "a<style x>b</style>c<style>d", "1 < 2<p>3 <b", "<scripty>x<p>y", "a <x y='<p>'> b")
+    assert got == [["a"], ["a", "b"], ["a", "c"], ["1 < 2", "3 <b"], ["x", "y"], ["a <x y='", "'> b"]]
+
+
+def test_broken_pages_take_linear_time(spark):
+    import time
+
+    n = 1 << 20
+    pages = ["<" * n, "<script>" * (n // 8), "<!--" * (n // 4), "<p " * (n // 3), " " * n + "x", "\t " * (n // 2) + "\n" + " " * n, "</script" * (n // 8)]
+    start = time.time()
+    got = lines_of(spark, *pages, "fine")
+    assert time.time() - start < 20
+    assert [len(x) for x in got] == [1, 0, 0, 1, 1, 0, 1, 1] and got[4] == ["x"]
+
+
+def test_a_line_of_a_lone_page_stays(spark):
+    rows = [(1, "http://a/", "<p>x<p>y"), (2, "http://b/1", "<p>x<p>y"), (3, "http://b/2", "<p>x<p>z")]
+    assert got(pages_of(spark, rows)) == Counter({(1, "a", 2, 0, "x\ny"): 1, (2, "b", 2, 1, "y"): 1, (3, "b", 2, 1, "z"): 1})
