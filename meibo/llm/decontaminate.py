@@ -35,6 +35,10 @@ SEED = 5
 COVERAGE = 0.8
 #: Characters of benchmark text in one broadcast block, about.
 BLOCK_CHARS = 4_000_000
+#: Words compared at once where a text and an item share many seeds, and the share of their pairs of places
+#: from which that is cheaper than the pairs.
+DENSE_CELLS = 4_000_000
+DENSE_SHARE = 0.02
 
 
 @dataclass
@@ -59,43 +63,88 @@ def block_of(rows: list[tuple]) -> Block:
     return Block([r[0] for r in rows], items, seeds[order], owner[order], place[order])
 
 
-def tiles(doc: np.ndarray, item: np.ndarray, at_doc: np.ndarray, at_item: np.ndarray) -> list[tuple[int, int, int]]:
-    """Greedy tiles (place in the item, place in the document, length) from seed places.
+def runs_of_seeds(at_doc: np.ndarray, at_item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Common runs (place in the item, place in the document, length) from the places of shared seeds.
 
-    Seeds that follow each other on a diagonal are one common run. Runs are taken longest first;
-    a run that has lost words to a longer one is cut into what is left and waits its turn again.
+    Seeds that follow each other on a diagonal are one run.
     """
     diagonal = at_doc - at_item
     order = np.lexsort((at_item, diagonal))
     d, i = diagonal[order], at_item[order]
     first = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (i[1:] != i[:-1] + 1))))
     length = np.diff(np.concatenate((first, [len(i)]))) + SEED - 1
-    waiting: dict[int, list[tuple[int, int]]] = {}
-    for a, b, n in zip(i[first].tolist(), (i[first] + d[first]).tolist(), length.tolist(), strict=True):
-        waiting.setdefault(n, []).append((a, b))
-    used_item, used_doc = np.zeros(len(item), dtype=bool), np.zeros(len(doc), dtype=bool)
+    return i[first], i[first] + d[first], length
+
+
+def runs_of_diagonals(doc: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same runs from all diagonals, some at a time, for texts that share more seeds than they have places.
+
+    Memory is bounded; a text that repeats itself costs a comparison of words and not a pair of seeds.
+    """
+    size = len(item)
+    # No word has the hash of the padding on purpose; if one should, the tiles compare the words again.
+    pad = np.full(size, np.uint64(0x9E3779B97F4A7C15))
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate((pad, doc, pad)), size)
+    real = np.concatenate((np.zeros(size, bool), np.ones(len(doc), bool), np.zeros(size, bool)))
+    inside = np.lib.stride_tricks.sliding_window_view(real, size)
+    step = max(1, DENSE_CELLS // size)
+    found = []
+    for start in range(0, len(windows), step):
+        same = np.zeros((min(step, len(windows) - start), size + 2), dtype=np.int8)
+        same[:, 1:-1] = (windows[start : start + step] == item) & inside[start : start + step]
+        edge = np.diff(same, axis=1)
+        row, begin = np.nonzero(edge == 1)
+        end = np.nonzero(edge == -1)[1]
+        long = end - begin >= SEED
+        found.append((begin[long], row[long] + start + begin[long] - size, end[long] - begin[long]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _cut(runs: tuple, x: int, y: int, n: int) -> tuple:
+    """What is left of the runs when ``n`` words from ``x`` in the item and ``y`` in the document are gone."""
+    a, b, size = runs
+    low1, high1 = (np.clip(x + e - a, 0, size) for e in (0, n))
+    low2, high2 = (np.clip(y + e - b, 0, size) for e in (0, n))
+    first = np.where(low1 <= low2, low1, low2)
+    first_end, second = np.where(low1 <= low2, high1, high2), np.where(low1 <= low2, low2, low1)
+    start = np.concatenate((np.zeros_like(a), first_end, np.maximum(high1, high2)))
+    end = np.concatenate((first, second, size))
+    a, b, kept = np.tile(a, 3) + start, np.tile(b, 3) + start, end - start >= SEED
+    return a[kept], b[kept], (end - start)[kept]
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, runs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[int, int, int]]:
+    """Greedy tiles (place in the item, place in the document, length) from the common runs.
+
+    The longest run is taken; all runs lose the words that it has marked, and the longest of what is left
+    is the next. Each tile is a step over all runs at once, and an item has few tiles.
+    """
     done = []
-    while waiting:
-        n = max(waiting)
-        for a, b in sorted(waiting.pop(n)):
-            taken = used_item[a : a + n] | used_doc[b : b + n]
-            if not taken.any():
-                # The hashes said so already; compare the words themselves.
-                if np.array_equal(item[a : a + n], doc[b : b + n]):
-                    used_item[a : a + n] = used_doc[b : b + n] = True
-                    done.append((a, b, n))
-                continue
-            edges = np.flatnonzero(np.diff(np.concatenate(([True], taken, [True])).astype(np.int8)))
-            for start, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                if end - start >= SEED:
-                    waiting.setdefault(end - start, []).append((a + start, b + start))
-        if used_item.all():
-            break
+    while len(runs[0]):
+        a, b, size = runs
+        n = int(size.max())
+        longest = np.flatnonzero(size == n)
+        best = longest[np.lexsort((b[longest], a[longest]))[0]]
+        x, y = int(a[best]), int(b[best])
+        # The hashes said so already; compare the words themselves.
+        if np.array_equal(item[x : x + n], doc[y : y + n]):
+            done.append((x, y, n))
+            runs = _cut(runs, x, y, n)
+        else:
+            runs = tuple(np.delete(r, best) for r in runs)
     return done
 
 
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers ``first`` to ``first + size`` of every pair, one after another."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+
+
 def matches(block: Block, text: str | None, coverage: float) -> list[tuple]:
-    """(item id, coverage, spans) of the items that a text contains; spans in code points."""
+    """(item id, coverage, spans) of the items that a text contains; spans in code points.
+
+    A seed that a text repeats counts once until an item is known to be in reach.
+    """
     hashes, starts, ends = words(text)
     found = grams(hashes, SEED)
     if not len(found) or not len(block.seeds):
@@ -104,21 +153,27 @@ def matches(block: Block, text: str | None, coverage: float) -> list[tuple]:
     hit = np.flatnonzero(block.seeds[np.minimum(low, len(block.seeds) - 1)] == found)
     if not len(hit):
         return []
-    low = low[hit]
-    size = np.searchsorted(block.seeds, found[hit], "right") - low
-    at_doc = np.repeat(hit, size)
-    entry = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
-    owner, at_item = block.owner[entry], block.place[entry]
+    # Places in the text by seed, and the block's entries of each different seed.
+    order = hit[np.argsort(low[hit], kind="stable")]
+    low, first, times = np.unique(low[order], return_index=True, return_counts=True)
+    size = np.searchsorted(block.seeds, block.seeds[low], "right") - low
+    entry, seed = _spread(low, size), np.repeat(np.arange(len(low)), size)
+    owner = block.owner[entry]
     out = []
     for k in np.unique(owner).tolist():
-        item, mine = block.items[k], owner == k
+        item, mine = block.items[k], np.flatnonzero(owner == k)
         # Words in reach of a seed bound the coverage from above.
         reach = np.zeros(len(item), dtype=bool)
         for shift in range(SEED):
-            reach[at_item[mine] + shift] = True
+            reach[block.place[entry[mine]] + shift] = True
         if reach.sum() < coverage * len(item):
             continue
-        done = tiles(hashes, item, at_doc[mine], at_item[mine])
+        n = times[seed[mine]]
+        if n.sum() > max(len(hashes), DENSE_SHARE * len(hashes) * len(item)) or n.sum() > DENSE_CELLS:
+            runs = runs_of_diagonals(hashes, item)
+        else:
+            runs = runs_of_seeds(order[_spread(first[seed[mine]], n)], np.repeat(block.place[entry[mine]], n))
+        done = tiles(hashes, item, runs)
         share = sum(n for _, _, n in done) / len(item)
         if share >= coverage:
             spans = sorted((int(starts[b]), int(ends[b + n - 1])) for _, b, n in done)

@@ -45,8 +45,39 @@ def test_tiles_match_plain_search():
         doc = "".join(pick.choice("abc") for _ in range(pick.randrange(5, 40)))
         hashed = [words(" ".join(x))[0] for x in (doc, item)]
         at = [(j, i) for j in range(len(doc) - 4) for i in range(len(item) - 4) if doc[j : j + 5] == item[i : i + 5]]
-        got = D.tiles(*hashed, np.array([a for a, _ in at], int), np.array([b for _, b in at], int)) if at else []
+        runs = D.runs_of_seeds(np.array([a for a, _ in at], int), np.array([b for _, b in at], int)) if at else None
+        got = D.tiles(*hashed, runs) if at else []
         assert got == plain_tiles(doc, item)
+        # All diagonals give the same runs as the shared seeds.
+        dense = D.runs_of_diagonals(*hashed)
+        assert sorted(zip(*(x.tolist() for x in dense), strict=True)) == sorted(zip(*(x.tolist() for x in runs), strict=True) if at else [])
+
+
+def test_both_ways_find_the_same(monkeypatch):
+    """Texts of few different words, whose seeds repeat, with and without the search of all diagonals."""
+    for seed in range(60):
+        pick = random.Random(seed)
+        body = " ".join(pick.choice("ab") for _ in range(200))
+        block = D.block_of([(i, " ".join(pick.choice("ab") for _ in range(pick.randrange(5, 30)))) for i in range(8)])
+        with monkeypatch.context() as patch:
+            patch.setattr(D, "DENSE_SHARE", 2.0)
+            sparse = D.matches(block, body, 0.8)
+        with monkeypatch.context() as patch:
+            patch.setattr(D, "DENSE_CELLS", 100)
+            assert D.matches(block, body, 0.8) == sparse
+
+
+def test_repeated_words_take_bounded_time_and_memory():
+    import time
+    import tracemalloc
+
+    block = D.block_of([(i, "same " * (200 + i) + "end") for i in range(20)] + [(90, "a b " * 100)])
+    tracemalloc.start()
+    start = time.time()
+    found = D.matches(block, "same " * 20_000 + "a b " * 5_000, 0.9)
+    took, (_, peak) = time.time() - start, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert [k for k, _, _ in found] == [*range(20), 90] and took < 60 and peak < 300e6
 
 
 def found(docs, bench, **options):
