@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+# Of each thread the paths given out in its open blocks, the innermost block last.
+_given = threading.local()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``.
@@ -29,7 +35,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """An unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if blocks := getattr(_given, "blocks", None):
+        blocks[-1].append(path)
+    return path
+
+
+@contextmanager
+def discarding(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end of the block, what was staged in it; also when the block fails.
+
+    Nothing that is read later may hang on a table staged inside: a job belongs into the block together
+    with the writing of its result to a path that was named outside.
+    """
+    blocks = _given.__dict__.setdefault("blocks", [])
+    blocks.append([])
+    try:
+        yield
+    finally:
+        for path in blocks.pop():
+            discard(spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a staged table, if it is there."""
+    files, at = _files(spark, path)
+    files.delete(at, True)
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:

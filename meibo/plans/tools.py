@@ -1,4 +1,7 @@
-"""The smaller jobs, from CSV folder to CSV folder. Output rows stay grouped by input file."""
+"""The smaller jobs, from CSV folder to CSV folder. Output rows stay grouped by input file.
+
+What a job stages on its way is deleted when its output is written.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meibo.operators.exclude import exclude_names, exclude_suffix, first_reason, split
 from meibo.operators.fill import AS_NAME, AS_PHONE, build_index, fill_by_key, fill_by_prefix
-from meibo.operators.staging import stage
+from meibo.operators.lookup import OWN
+from meibo.operators.staging import discarding, stage
 from meibo.plans.folder import process_folder, write_by_file
 from meibo.sources.csv import read_csv, read_csv_set, write_csv
 
@@ -30,7 +34,8 @@ def fill_postal_codes(
     def op(rows: DataFrame) -> DataFrame:
         return fill_by_prefix(rows, postal, address, ref).drop("fill_status")
 
-    write_by_file(process_folder(spark, in_dir, op, encoding, multi_line, bad_rows), out_dir, encoding)
+    with discarding(spark):
+        write_by_file(process_folder(spark, in_dir, op, encoding, multi_line, bad_rows), out_dir, encoding)
 
 
 def fill_recruiters(
@@ -57,7 +62,8 @@ def fill_recruiters(
     def op(rows: DataFrame) -> DataFrame:
         return fill_by_key(rows, contact, tiers, index).drop("fill_status")
 
-    write_by_file(process_folder(spark, in_dir, op, encoding, multi_line, bad_rows), out_dir, encoding)
+    with discarding(spark):
+        write_by_file(process_folder(spark, in_dir, op, encoding, multi_line, bad_rows), out_dir, encoding)
 
 
 def exclude_chains(
@@ -75,13 +81,14 @@ def exclude_chains(
     """Write the rows of all files to ``kept`` and ``excluded`` below ``out_dir``."""
 
     def op(rows: DataFrame) -> DataFrame:
-        rows = exclude_names(rows, name, chains, match, reason_col="_chain")
-        return first_reason(exclude_suffix(rows, name, suffix, "_branch"), ["_chain", "_branch"])
-
-    rows = process_folder(spark, in_dir, op, encoding, multi_line, bad_rows)
-    kept, excluded = split(stage(rows, "chains"))
-    write_by_file(kept, f"{out_dir}/kept", encoding)
-    write_by_file(excluded, f"{out_dir}/excluded", encoding)
+        rows = exclude_names(rows, name, chains, match, reason_col=OWN + "chain")
+        return first_reason(exclude_suffix(rows, name, suffix, OWN + "branch"), [OWN + "chain", OWN + "branch"])
+
+    with discarding(spark):
+        rows = process_folder(spark, in_dir, op, encoding, multi_line, bad_rows)
+        kept, excluded = split(stage(rows, "chains"))
+        write_by_file(kept, f"{out_dir}/kept", encoding)
+        write_by_file(excluded, f"{out_dir}/excluded", encoding)
 
 
 def merge_files(

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from meibo.functions.names import cols
+from meibo.operators.staging import discarding
 from meibo.sources.csv import read_csv, writer_options
 
 # New files that one step of a run takes at most; a run takes as many steps as it needs.
@@ -37,13 +38,14 @@ def process_new_files(
         paths = [r["path"] for r in batch.select("path").distinct().collect()]
         if not paths:
             return
-        rows = read_csv(batch.sparkSession, sorted(paths), encoding, multi_line, bad_rows=bad_rows)
-        odd = set(rows.columns) ^ {*columns, *filter(None, [bad_rows])}
-        if odd:
-            raise ValueError(f"the files have other columns: {', '.join(sorted(odd))}")
-        done = op(rows.select(*cols([*columns, *filter(None, [bad_rows])])))
-        writer = done.write.mode("overwrite").options(**writer_options(encoding))
-        writer.csv(f"{out_dir}/step={number}")
+        with discarding(batch.sparkSession):
+            rows = read_csv(batch.sparkSession, sorted(paths), encoding, multi_line, bad_rows=bad_rows)
+            odd = set(rows.columns) ^ {*columns, *filter(None, [bad_rows])}
+            if odd:
+                raise ValueError(f"the files have other columns: {', '.join(sorted(odd))}")
+            done = op(rows.select(*cols([*columns, *filter(None, [bad_rows])])))
+            writer = done.write.mode("overwrite").options(**writer_options(encoding))
+            writer.csv(f"{out_dir}/step={number}")
 
     # Of the files only the paths are asked for, so their content is not read here.
     found = "path string, modificationTime timestamp, length long, content binary"

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from meibo.operators.area import check_area_code, corroborate
 from meibo.operators.exclude import any_of_pattern, exclude_names, exclude_suffix, first_reason, split
@@ -137,3 +138,31 @@ def test_very_long_and_many_names(table):
     names = table("name", [(long,), *[(f"n{i}",) for i in range(1, 1002, 4)]])
     got = {r["id"]: r["reason"] for r in exclude_names(rows, "name", names).collect()}
     assert got == {"1": "chain", "2": None, "3": "chain"}
+
+
+def test_long_lists_match_brute_force(spark, table, max_bytes):
+    """Names and listed names of few letters, so that pieces are shared by many, and some listed names are short."""
+    import random
+
+    dice = random.Random(11)
+    names = ["".join(dice.choice("abc ") for _ in range(dice.randrange(0, 14))) for _ in range(300)] + [None, "店", "東京店舗"]
+    listed = ["".join(dice.choice("abc") for _ in range(dice.randrange(1, 9))) for _ in range(60)]
+    listed = [x for x in listed if len(x) > 2] + ["店舗", "cc", " ", "", "abcabcabcabcabc"]
+    rows = table("n", [(n,) for n in names])
+    done = exclude_names(rows, "n", table("name", [(x,) for x in listed]), max_in_pattern=0, max_bytes=max_bytes)
+    held = [" ".join(x.split()) for x in listed if x.strip()]
+    for r in done.collect():
+        plain = " ".join((r["n"] or "").split())
+        assert (r["reason"] == "chain") == any(x in plain for x in held), r["n"]
+
+
+def test_the_rarest_piece_of_a_listed_name(spark, table):
+    from meibo.operators import exclude as E
+    from meibo.operators.lookup import sized
+
+    names = table("n", [(f"xxxx{i}",) for i in range(50)] + [("zxxxxq",), ("short",)])
+    distinct = names.select(F.col("n").alias(E.NAME))
+    listed = sized(table("l", [("xxxxq",), ("or",), ("absent",), ("xxxx",)]).select(F.col("l").alias(E.LISTED)))
+    tries = E.name_pieces(distinct, [2, 4])
+    got = {r[E.LISTED]: r[E.PART] for r in E.rare_pieces(tries, listed).collect()}
+    assert got == {"xxxxq": "xxxq", "or": "or", "xxxx": "xxxx"}

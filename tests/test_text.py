@@ -70,3 +70,18 @@ def test_phones(table):
     cells = [("+81-3-1234-5678", "0312345678"), ("＋８１ (0)3 1234", "031234"), ("03-1/06-2", "031"), ("tel. 03-1、06-2", "031"), ("なし", None)]
     rows = table("c want", cells)
     assert all(r[0] == r[1] for r in rows.select(X.digits(F.col("c")), "want").collect())
+
+
+def test_a_spelling_names_its_cell_a_few_times(spark):
+    """The plan of one match_text stays small, so chains of it do not multiply."""
+    import re
+
+    plan = spark.range(1).select(X.match_text(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    found = {f: len(re.findall(rf"\b{f}\(", plan)) for f in ("replace", "translate", "regexp_replace", "lower")}
+    assert found["replace"] <= 1 and found["translate"] <= 4 and found["regexp_replace"] <= 1 and found["lower"] <= 2
+
+
+def test_decomposed_katakana_are_composed(spark):
+    texts = ["バス", "ﾊﾞｽ", "バス", "ﾊ゙ｽ", "ポスト", "ン゙"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "c string").select(X.match_text(F.col("c"))).collect()]
+    assert got == ["バス"] * 4 + ["ポスト", "ン゙"]
