@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All stages but
 the last return the columns of ``documents``. A stage's rows are written and read again before
-the next one starts, so that a lost executor never costs more than a stage.
+the next one starts, so that a lost executor never costs more than a stage. What a stage has staged
+for itself, and the rows of the stage before it, are deleted once its rows are written.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meibo.llm import decontaminate, exact_dedup, ngram_join, sentencepiece_viterbi, toxicity
 from meibo.llm.ship import ship
-from meibo.operators.staging import stage
+from meibo.operators.staging import discard, discarding, new_path
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +60,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = new_path(spark, name.replace(" ", "-"))
+        with discarding(spark):
+            step(spark, docs, sf_dir).write.parquet(path)
+        # What the stage before wrote has been read.
+        if before:
+            discard(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
