@@ -37,7 +37,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 SHARD_IDS = 1 << 20
 #: Pairs replaced in a round, and how often a pair must occur in a shard to be replaced.
-PAIRS = 1024
+PAIRS = 4096
 MIN_COUNT = 16
 #: Words that a worker remembers.
 REMEMBERED = 800_000
@@ -137,6 +137,14 @@ def compress(ids: np.ndarray, offsets: np.ndarray, pairs: int = PAIRS, min_count
     return first, rules, symbols, np.concatenate(([0], np.maximum.accumulate(ends)))
 
 
+def rule_lengths(first: int, rules: np.ndarray) -> np.ndarray:
+    """How many ids each rule stands for. A rule uses earlier ones only."""
+    sizes: list[int] = []
+    for a, b in rules.tolist():
+        sizes.append((1 if a < first else sizes[a - first]) + (1 if b < first else sizes[b - first]))
+    return np.array(sizes, dtype=np.int64)
+
+
 def expansions(first: int, rules: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All rules written out one after another, and where each begins. A rule uses earlier ones only."""
     parts: list[np.ndarray] = []
@@ -166,10 +174,9 @@ def make_shard(documents: list[np.ndarray], doc_ids: list[int | None]) -> Shard:
     counts = np.array([len(d) for d in documents], dtype=np.int64)
     ids = np.concatenate(documents) if documents else np.zeros(0, np.uint32)
     first, rules, symbols, offsets = compress(ids, np.concatenate(([0], np.cumsum(counts))))
-    _, starts = expansions(first, rules)
     nulls = np.array([d is None for d in doc_ids], dtype=bool)
     numbers = np.array([0 if d is None else d for d in doc_ids], dtype=np.int64)
-    return Shard(first, rules, np.diff(starts), symbols, offsets, counts, numbers, nulls)
+    return Shard(first, rules, rule_lengths(first, rules), symbols, offsets, counts, numbers, nulls)
 
 
 def write_shard(shard: Shard) -> bytes:

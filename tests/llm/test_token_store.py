@@ -37,6 +37,7 @@ def test_grammar_round_trip(documents, pairs):
     ids, offsets = cut(documents)
     first, rules, symbols, at = S.compress(ids, offsets, pairs=pairs, min_count=2)
     flat, starts = S.expansions(first, rules)
+    assert S.rule_lengths(first, rules).tolist() == np.diff(starts).tolist()
     for i, d in enumerate(documents):
         assert S.expand(symbols[at[i] : at[i + 1]], first, flat, starts).tolist() == d.tolist()
 
