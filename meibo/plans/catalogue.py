@@ -459,6 +459,21 @@ def customer_rules_many(spark, sf_dir):
     return marked.select("c_custkey", F.coalesce("reason", F.lit("pass")).alias("outcome"))
 
 
+@query
+def customer_rules_many_texts(spark, sf_dir):
+    """Thousands of texts that a name may begin with, end in or contain, each kind for one customer."""
+    orders = table(spark, sf_dir, "orders")
+    priority, key = F.col("o_orderpriority"), _number("o_custkey", 9)
+    op = F.when(priority == "1-URGENT", "exclude_contains").when(priority == "2-HIGH", "exclude_prefix").when(priority == "3-MEDIUM", "exclude_suffix")
+    arg = F.when(priority == "1-URGENT", key).when(priority == "2-HIGH", F.concat(F.lit("customer#"), key)).otherwise(F.right(key, F.lit(5)))
+    customer = F.when(priority == "1-URGENT", "HOUSEHOLD").when(priority == "2-HIGH", "MACHINERY").otherwise("FURNITURE")
+    rules = orders.where((priority <= "3-MEDIUM") & (F.col("o_totalprice") > 300000)).select(
+        customer.alias("customer"), F.lit("c_name").alias("column"), op.alias("op"), arg.alias("arg")
+    )
+    marked = apply_rules(table(spark, sf_dir, "customer"), "c_mktsegment", rules)
+    return marked.select("c_custkey", F.coalesce("reason", F.lit("pass")).alias("outcome"))
+
+
 @query
 def matching_spelling(spark, sf_dir):
     """Names are found in whatever width, case and spacing they are written."""

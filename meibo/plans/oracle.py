@@ -500,3 +500,18 @@ from rows_ r left join answer a on a.name = r.name""",
     "recruiter_near_fill",
     "recruiter_near_fill_shuffled",
 )
+
+sql(
+    """
+with dear as (select * from orders where o_totalprice > 300000)
+select c_custkey,
+       case when c_mktsegment = 'HOUSEHOLD' and exists (
+              select 1 from dear where o_orderpriority = '1-URGENT' and o_custkey = c_custkey) then 'exclude_contains'
+            when c_mktsegment = 'MACHINERY' and exists (
+              select 1 from dear where o_orderpriority = '2-HIGH' and o_custkey = c_custkey) then 'exclude_prefix'
+            when c_mktsegment = 'FURNITURE' and exists (
+              select 1 from dear where o_orderpriority = '3-MEDIUM' and o_custkey % 100000 = c_custkey % 100000) then 'exclude_suffix'
+            else 'pass' end as outcome
+from customer""",
+    "customer_rules_many_texts",
+)
