@@ -48,7 +48,7 @@ def trim_spaces(c: Column) -> Column:
 
 def is_blank(c: Column) -> Column:
     """True for null and for a cell that holds nothing but space; never null."""
-    return F.coalesce(trim_spaces(c) == "", F.lit(True))
+    return ~F.coalesce(c.rlike(f"[^{SPACES}]"), F.lit(False))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -78,7 +78,7 @@ def unify_hyphens(c: Column) -> Column:
 
 def squeeze_spaces(c: Column) -> Column:
     """Runs of ASCII and full-width space to one space, none at the ends."""
-    return trim_spaces(F.regexp_replace(c, f"[{SPACES}]+", " "))
+    return F.trim(F.regexp_replace(c, f"[{SPACES}]+", " "))
 
 
 def strip_controls(c: Column) -> Column:
@@ -100,7 +100,7 @@ def digits(c: Column) -> Column:
     home = F.regexp_replace(first, r"^\+\s*81[\s().-]*(\(0\)|0)?", "0")
     # A plainly written number needs none of that.
     plain = c.rlike(r"\A[0-9 ().-]*\z")
-    found = F.when(plain, F.translate(c, " ().-", "")).otherwise(F.regexp_replace(home, "[^0-9]", ""))
+    found = F.when(c.rlike(r"\A[0-9]+\z"), c).when(plain, F.translate(c, " ().-", "")).otherwise(F.regexp_replace(home, "[^0-9]", ""))
     return F.nullif(found, F.lit(""))
 
 
@@ -117,12 +117,13 @@ def spelling(c: Column) -> Column:
     plain = F.translate(c, old + gone, new)
     joined = F.when(c.rlike(f"[\uff9e\uff9f{SOUND_MARKS}]"), join_marks(plain)).otherwise(plain)
     tidy = F.regexp_replace(F.lower(joined), "[ \u00a0]+", " ")
-    return F.when(c.rlike("[^ -~]|  "), tidy).otherwise(F.lower(c))
+    return F.when(c.rlike("[^ -~]") | c.contains("  "), tidy).otherwise(F.lower(c))
 
 
 def match_text(c: Column) -> Column:
     """The spelling used to compare names and addresses; null for a blank cell."""
-    return blank_to_null(spelling(c))
+    # No other kind of space is left.
+    return F.nullif(F.trim(spelling(c)), F.lit(""))
 
 
 def company_text(c: Column) -> Column:

@@ -27,7 +27,7 @@ def exclude_suffix(
 ) -> DataFrame:
     """Mark names that end in ``suffix`` with something before it."""
     c = trim_spaces(col(name))
-    hit = c.endswith(suffix) & (F.length(c) > len(suffix))
+    hit = col(name).contains(suffix) & c.endswith(suffix) & (F.length(c) > len(suffix))
     return rows.withColumn(reason_col, F.when(hit, reason))
 
 
@@ -72,13 +72,14 @@ def exclude_names(
     reason: str = "chain",
     max_in_pattern: int = MAX_IN_PATTERN,
     max_bytes: int = BROADCAST_MAX_BYTES,
+    texts: dict[str, str] | None = None,
 ) -> DataFrame:
     """Mark rows whose name is, or contains, a name on the list ``names`` (column ``name``).
 
-    Both sides are compared in their normalised spelling.
+    Both sides are compared in their normalised spelling. ``texts`` is as in :func:`~meibo.operators.rules.apply_rules`.
     """
     table = names if isinstance(names, NameList) else name_table(names, match, max_in_pattern, max_bytes)
-    keyed = rows.withColumn(NAME, match_text(col(name)))
+    keyed = rows.withColumn(NAME, col(texts[name]) if name in (texts or {}) else match_text(col(name)))
     if table.match == "exact":
         hits = lookup_join(keyed, [NAME], table.listed, "left", max_bytes)
     elif table.needles is not None:

@@ -15,7 +15,17 @@ from pyspark.sql import functions as F
 from meibo.functions.address import BLOCK_END, LOT_END, address_text
 from meibo.functions.names import col
 from meibo.functions.text import blank_to_null, company_text, digits, is_blank, match_text
-from meibo.operators.lookup import BROADCAST_MAX_BYTES, OWN, Sized, first_match, lookup_join, sized
+from meibo.operators.lookup import (
+    BROADCAST_MAX_BYTES,
+    OWN,
+    PrefixSearch,
+    Sized,
+    first_match,
+    longest_prefix,
+    lookup_join,
+    prefix_search,
+    sized,
+)
 from meibo.operators.staging import stage
 
 # Between the parts of a composite key; no cell holds it after ``strip_controls``.
@@ -56,11 +66,6 @@ def _own(table: DataFrame) -> DataFrame:
     return table.select("key", F.col("n_values").alias(N), F.col("value").alias(VALUE))
 
 
-def prefixes(text: Column, lengths: list[int]) -> list[Column]:
-    """The beginnings of ``text`` that have one of ``lengths``; null where ``text`` is shorter."""
-    return [F.when(F.length(text) >= n, F.substring(text, 1, n)) for n in lengths]
-
-
 def _filled(rows: DataFrame, blank_col: str, status_col: str, columns: list[str]) -> DataFrame:
     blank = is_blank(col(blank_col))
     n = col(N)
@@ -77,11 +82,12 @@ def _filled(rows: DataFrame, blank_col: str, status_col: str, columns: list[str]
 
 class PrefixTable(NamedTuple):
     """``towns``: one row per prefix. ``ranges``: one row per piece of a range, or None. ``levels``: the
-    sizes of pieces that occur, by kind."""
+    sizes of pieces that occur, by kind. ``search``: the prefixes as they are searched, or None."""
 
     towns: Sized
     ranges: Sized | None
     levels: dict[str, list[int]]
+    search: PrefixSearch | None = None
 
     @property
     def small(self) -> bool:
@@ -96,8 +102,8 @@ def prefix_table(ref: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> Prefix
     """
     key, code = address_text(F.col("prefix")).alias("key"), blank_to_null(F.col("code")).alias("value")
     if "kind" not in ref.columns:
-        towns = distinct_values(ref.select(key, code))
-        return PrefixTable(sized(_own(towns), max_bytes, "key"), None, {})
+        towns = sized(_own(distinct_values(ref.select(key, code))), max_bytes, "key")
+        return PrefixTable(towns, None, {}, prefix_search(towns, max_bytes))
     pairs = stage(ref.select(key, code, "kind", "low", "high").where("key is not null and value is not null").distinct(), "prefix-parts")
     ranged = F.coalesce(F.col("kind").isin(BY_BLOCK, BY_LOT), F.lit(False))
     rest = F.when(F.col("kind").isNull() | (F.col("kind") == REST), F.col("value"))
@@ -117,7 +123,9 @@ def prefix_table(ref: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> Prefix
     for row in ranges.select("kind", "level").distinct().collect():  # at most two kinds of RANGE_BITS levels
         levels.setdefault(row["kind"], []).append(row["level"])
     ranges = ranges.select("key", F.col("n_values").alias(OWN + "n_ranged"), F.col("value").alias(OWN + "ranged_value"))
-    return PrefixTable(sized(towns, max_bytes, "key"), sized(ranges, max_bytes), {k: sorted(v) for k, v in levels.items()})
+    towns = sized(towns, max_bytes, "key")
+    by_kind = {k: sorted(v) for k, v in levels.items()}
+    return PrefixTable(towns, sized(ranges, max_bytes), by_kind, prefix_search(towns, max_bytes))
 
 
 def _piece_key(town: Column, kind: Column, level: Column, start: Column) -> Column:
@@ -197,6 +205,7 @@ def fill_by_prefix(
     status_col: str = "fill_status",
     only: Column | None = None,
     max_bytes: int = BROADCAST_MAX_BYTES,
+    spelled: str | None = None,
 ) -> DataFrame:
     """Fill ``blank_col`` with the code of the longest prefix of ``text_col``.
 
@@ -204,18 +213,17 @@ def fill_by_prefix(
     ones are not tried then. With ranges in ``ref`` (see :func:`prefix_table`) the number behind the
     prefix may decide; a number outside all ranges has the code of the rest, if there is one. Both
     sides are compared in the spelling of :func:`~meibo.functions.address.address_text`. Rows outside
-    ``only`` are not looked up.
+    ``only`` are not looked up. ``spelled`` names a column that has that spelling already.
     """
     table = ref if isinstance(ref, PrefixTable) else prefix_table(ref, max_bytes)
     wanted = is_blank(col(blank_col))
     if only is not None:
         wanted = wanted & only
-    spelled = rows.withColumn(TEXT, address_text(F.when(wanted, col(text_col))))
+    text = F.when(wanted, col(spelled)) if spelled else address_text(F.when(wanted, col(text_col)))
+    keyed = rows.withColumn(TEXT, text)
     # A number at the end of an address may be that of a block.
     ended = F.when(col(TEXT).rlike("[0-9]\\z"), F.concat(col(TEXT), F.lit(BLOCK_END))).otherwise(col(TEXT))
-    found = first_match(
-        spelled.withColumn(TEXT, ended), [TEXT], prefixes(col(TEXT), table.towns.lengths), table.towns, max_bytes
-    )
+    found = longest_prefix(keyed.withColumn(TEXT, ended), TEXT, table.towns, table.search, max_bytes)
     if table.ranges is not None and table.levels:
         found = _by_range(found, table, max_bytes)
     return _filled(found, blank_col, status_col, rows.columns)

@@ -1,11 +1,12 @@
 """Left joins against a table with one row per key, safe for hot keys and for any table size.
 
-Two joins cover every lookup in this package:
+Three joins cover every lookup in this package:
 
 * :func:`lookup_join` matches one key per row.
 * :func:`first_match` tries several keys per row, best first.
+* :func:`longest_prefix` finds the longest key that a text begins with.
 
-Both broadcast the table only after measuring it. A larger table is joined by shuffle, with the rows
+All broadcast the table only after measuring it. A larger table is joined by shuffle, with the rows
 of keys that hold more than one task's share salted. Columns that a step adds for itself
 begin with ``OWN``, so that they meet no column of the rows.
 """
@@ -36,6 +37,9 @@ OWN = "meibo:"
 # Longest chain of broadcast probes; with more candidates per row the shuffle form is used.
 MAX_PROBES = 48
 
+# Prefixes of fewer different lengths are probed one length after another.
+FEW_LENGTHS = 6
+
 
 class Sized(NamedTuple):
     """A staged table, whether it may be broadcast, and the different lengths of its key texts,
@@ -167,6 +171,69 @@ def _probe(rows, candidates, table, payload):
     return out.select(*cols(rows.columns), *[col(OWN + "hit")[c].alias(c) for c in payload])
 
 
+def prefixes(text: Column, lengths: list[int]) -> list[Column]:
+    """The beginnings of ``text`` that have one of ``lengths``; null where ``text`` is shorter."""
+    return [F.when(F.length(text) >= n, F.substring(text, 1, n)) for n in lengths]
+
+
+class PrefixSearch(NamedTuple):
+    """Prefixes that are searched by halving their lengths.
+
+    ``rows`` (``key``, ``hit``) has the prefixes and their signposts: the beginnings of a prefix at which the
+    search for it turns to greater lengths. ``lengths`` are those of the prefixes, shortest first.
+    """
+
+    rows: DataFrame
+    lengths: list[int]
+
+
+def _turns(i: int) -> list[int]:
+    """Where the search for length number ``i`` turns to greater lengths: the beginnings of its binary number."""
+    bits = [1 << b for b in reversed(range(i.bit_length())) if i >> b & 1]
+    return [sum(bits[:n]) for n in range(1, len(bits))]
+
+
+def prefix_search(table: Sized, max_bytes: int = BROADCAST_MAX_BYTES) -> PrefixSearch | None:
+    """The search table of the prefixes ``key``, or None for few lengths and for a table too large to broadcast."""
+    lengths = sorted(table.lengths)
+    if not table.small or len(lengths) < FEW_LENGTHS:
+        return None
+    packed = table.rows.select("key", F.struct(*cols(c for c in table.rows.columns if c != "key")).alias("hit"))
+    turns = [F.array(*[F.lit(lengths[at - 1]) for at in _turns(i + 1)]).cast("array<int>") for i in range(len(lengths))]
+    number = F.array_position(F.array(*[F.lit(n) for n in lengths]), F.length("key")).cast("int")
+    posts = packed.select("key", F.explode(F.element_at(F.array(*turns), number)).alias("n"))
+    posts = posts.select(F.substr("key", F.lit(1), "n").alias(OWN + "post")).distinct()
+    posts = stage(posts.join(packed, F.col("key") == col(OWN + "post"), "left_anti"), "prefix-posts")
+    # A signpost has the answer of the longest prefix that it begins with, if there is one.
+    told = first_match(posts, [OWN + "post"], prefixes(col(OWN + "post"), table.lengths), table._replace(rows=packed), max_bytes)
+    both = sized(packed.unionByName(told.withColumnRenamed(OWN + "post", "key")), max_bytes)
+    return PrefixSearch(both.rows, lengths) if both.small else None
+
+
+def longest_prefix(
+    rows: DataFrame, text: str, table: Sized, search: PrefixSearch | None = None, max_bytes: int = BROADCAST_MAX_BYTES
+) -> DataFrame:
+    """Add the columns of ``table`` for the longest of its prefixes ``key`` that the column ``text`` begins with.
+
+    ``search`` is that of :func:`prefix_search`. With it n lengths take as many probes of one broadcast as
+    n has binary digits: where the table holds the beginning, only greater lengths are left, else only smaller ones.
+    """
+    if search is None:
+        return first_match(rows, [text], prefixes(col(text), table.lengths), table, max_bytes)
+    payload = [c for c in table.rows.columns if c != "key"]
+    lengths = F.array(*[F.lit(n) for n in search.lengths])
+    side = F.broadcast(search.rows.select(F.col("key").alias(OWN + "key"), F.col("hit").alias(OWN + "new")))
+    at, hit, out = F.lit(0), F.lit(None).cast(search.rows.schema["hit"].dataType), rows
+    for bit in reversed(range(len(search.lengths).bit_length())):
+        turn = at + (1 << bit)
+        size = F.get(lengths, turn - 1)
+        out = out.join(side, F.when(F.length(col(text)) >= size, F.substr(col(text), F.lit(1), size)) == col(OWN + "key"), "left")
+        at = F.when(col(OWN + "key").isNotNull(), turn).otherwise(at)
+        out = out.select(*cols(rows.columns), at.alias(OWN + "at"), F.coalesce(col(OWN + "new"), hit).alias(OWN + "hit"))
+        at, hit = col(OWN + "at"), col(OWN + "hit")
+    return out.select(*cols(rows.columns), *[hit[c].alias(c) for c in payload])
+
+
 def _explode(rows, subject, candidates, table, payload, max_bytes):
     """Candidates of every distinct subject, joined by equality; the best one is joined back."""
     if not table.small:

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from meibo.functions.names import col, cols
@@ -34,11 +34,17 @@ TEXT_OPS = ["exclude_value", "exclude_prefix", "exclude_suffix", "exclude_contai
 NUMBER_OPS = ["min", "max", "max_length"]
 OPS = ["required", *TEXT_OPS, *NUMBER_OPS]
 
+# The tests of a text that are not for equality, as methods of a column.
+TESTS = {"exclude_prefix": "startswith", "exclude_suffix": "endswith", "exclude_contains": "contains"}
+
 CUSTOMER = OWN + "customer"
 
 # A customer's row holds at most so many texts of one (op, column), and so many bytes of texts in
 # all; the texts of every other (op, column) are joined by equality.
 FEW_TEXTS = 64
+
+# So many rules in all are compared where the rows lie, without a join.
+RULES_IN_PLAN = 32
 HELD_BYTES = 64 * 1024
 
 
@@ -85,7 +91,7 @@ def _held(kind: tuple[str, str], name: str) -> Column:
     return held.alias(name)
 
 
-def _broken(kind: tuple[str, str], held: Column) -> Column:
+def _broken(kind: tuple[str, str], held: Column, texts: dict[str, str]) -> Column:
     """Whether the row breaks a rule of the kind; false or null when it does not."""
     op, column = kind
     cell = col(column).cast("string")
@@ -97,11 +103,10 @@ def _broken(kind: tuple[str, str], held: Column) -> Column:
         number = _number(cell)
         out = (number < held) if op == "min" else (number > held)
         return held.isNotNull() & ~is_blank(cell) & F.coalesce(out, F.lit(True))
-    text = match_text(cell)
+    text = col(texts[column]) if column in texts else match_text(cell)
     if op == "exclude_value":
         return F.array_contains(held, text)
-    test = {"exclude_prefix": "startswith", "exclude_suffix": "endswith", "exclude_contains": "contains"}[op]
-    return F.exists(held, lambda arg: getattr(text, test)(arg))
+    return F.exists(held, lambda arg: getattr(text, TESTS[op])(arg))
 
 
 def _kinds(rules: DataFrame, columns: list[str]) -> tuple[list[tuple[str, str]], set[tuple[str, str]]]:
@@ -163,12 +168,13 @@ def _joined(rows: DataFrame, text: str, kind: tuple[str, str], rules: DataFrame,
 
 class RuleTable(NamedTuple):
     """Rules as they are applied: the kinds that occur, one row per customer for the kinds with few
-    texts, and the rules of the kinds with many."""
+    texts, and the rules of the kinds with many. ``given``: the rules themselves where they are few."""
 
     kinds: list[tuple[str, str]]
     held: Sized | None
     many: set[tuple[str, str]]
     rules: DataFrame
+    given: list[Row] | None = None
 
     @property
     def small(self) -> bool:
@@ -181,11 +187,33 @@ def rule_table(rules: DataFrame, columns: list[str], max_bytes: int = BROADCAST_
     rules = stage(rules.select("customer", "column", "op", "arg").distinct(), "rules")
     kinds, many = _kinds(rules, columns)
     few = [(kind, _name(i)) for i, kind in enumerate(kinds) if kind not in many]
-    held = None
+    held = given = None
     if few:
         by_customer = checked(rules).groupBy(F.col("customer").alias(CUSTOMER))
         held = sized(by_customer.agg(*[_held(kind, name) for kind, name in few]), max_bytes)
-    return RuleTable(kinds, held, many, rules)
+        if held.small and not many:
+            needle = F.coalesce(*[F.when(F.col("op") == op, _needle(op, F.col("arg"))) for op in TEXT_OPS])
+            number = F.when(F.col("op").isin(NUMBER_OPS), _number(F.col("arg")))
+            each = checked(rules).where("customer is not null")
+            each = each.select("customer", "column", "op", needle.alias("text"), number.alias("number"))
+            given = each.limit(RULES_IN_PLAN + 1).collect()
+    return RuleTable(kinds, held, many, rules, given if given and len(given) <= RULES_IN_PLAN else None)
+
+
+def _broken_given(kind: tuple[str, str], customer: str, given: list[Row], texts: dict[str, str]) -> Column:
+    """Whether the row breaks one of the ``given`` rules of the kind; false or null when it does not."""
+    op, column = kind
+    broken = F.lit(False)
+    for rule in given:
+        if (rule["op"], rule["column"]) != kind:
+            continue
+        if op in TEXT_OPS:
+            text = col(texts[column]) if column in texts else match_text(col(column).cast("string"))
+            out = text == rule["text"] if op == "exclude_value" else getattr(text, TESTS[op])(rule["text"])
+        else:
+            out = _broken(kind, F.lit(True if op == "required" else rule["number"]), texts)
+        broken = broken | F.coalesce((col(customer) == rule["customer"]) & out, F.lit(False))
+    return broken
 
 
 def _name(i: int) -> str:
@@ -199,10 +227,12 @@ def apply_rules(
     columns: list[str] | None = None,
     reason_col: str = "reason",
     max_bytes: int = BROADCAST_MAX_BYTES,
+    texts: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add the op of the first rule a row breaks, in the order of (op, column), else null.
 
-    ``columns`` are those that rules may name; all columns by default. All rules of a customer
+    ``columns`` are those that rules may name; all columns by default. ``texts`` names, of a column, the one that has its
+    :func:`~meibo.functions.text.match_text` already. All rules of a customer
     become one row before the one join, so their number neither multiplies rows nor joins. Only an
     (op, column) with more texts than that row may hold has a join of its own; the rows are staged once
     for all of these.
@@ -210,6 +240,9 @@ def apply_rules(
     table = rules if isinstance(rules, RuleTable) else rule_table(rules, columns or rows.columns, max_bytes)
     if not table.kinds:
         return rows.withColumn(reason_col, F.lit(None).cast("string"))
+    if table.given:
+        reasons = [F.when(_broken_given(kind, customer, table.given, texts or {}), kind[0]) for kind in table.kinds]
+        return rows.withColumn(reason_col, F.coalesce(*reasons))
     met = rows.withColumn(CUSTOMER, col(customer))
     if table.held:
         met = lookup_join(met, [CUSTOMER], table.held, "left", max_bytes)
@@ -220,7 +253,7 @@ def apply_rules(
         for kind, name in many:
             met = _joined(met, texts[kind[1]], kind, table.rules, name, max_bytes)
     reasons = [
-        F.when(col(_name(i)) if kind in table.many else _broken(kind, col(_name(i))), kind[0])
+        F.when(col(_name(i)) if kind in table.many else _broken(kind, col(_name(i)), texts or {}), kind[0])
         for i, kind in enumerate(table.kinds)
     ]
     return met.select(*cols(rows.columns), F.coalesce(*reasons).alias(reason_col))

@@ -113,3 +113,22 @@ def test_large_tables_are_joined_by_shuffle(spark):
         assert out.count() == 1000 and out.where("v is null").count() == 400
     finally:
         spark.conf.unset(key)
+
+
+def test_prefixes_of_many_lengths_take_few_probes(spark, table):
+    """As many probes as the number of lengths has binary digits, and the longest prefix of all."""
+    import random
+
+    from meibo.operators.fill import fill_by_prefix, prefix_table
+
+    dice = random.Random(5)
+    listed = {"".join(dice.choices("ab", k=dice.choice([1, 2, 3, 5, 7, 8, 11, 12, 13, 20]))) for _ in range(60)}
+    listed |= {"c", "cab" * 5, "d" * 9}
+    texts = {"".join(dice.choices("abcd", weights=[9, 9, 1, 1], k=dice.randrange(1, 25))) for _ in range(400)}
+    texts |= {x + y for x in listed for y in ("", "a", "bc")} | {"cab" * 4, "d" * 8, "d" * 10}
+    ref = prefix_table(table("prefix code", [(x, x.upper()) for x in listed]))
+    out = fill_by_prefix(table("text postal", [(t, None) for t in texts]), "postal", "text", ref)
+    want = {t: max((x for x in listed if t.startswith(x)), key=len, default="").upper() or None for t in texts}
+    assert {r["text"]: r["postal"] for r in out.collect()} == want
+    joins = out._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin")
+    assert joins == len({len(x) for x in listed}).bit_length() < len({len(x) for x in listed})
