@@ -93,6 +93,13 @@ def children(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(found.getPath().getName() for found in files.globStatus(at) or [])
 
 
+def sizes(spark: SparkSession, folder: str) -> dict[str, int]:
+    """The bytes of the data files in a folder, by name."""
+    files, at = _files(spark, folder)
+    found = {each.getPath().getName(): each.getLen() for each in files.listStatus(at)}
+    return {name: size for name, size in found.items() if name[0] not in "._"}
+
+
 def move(spark: SparkSession, source: str, target: str) -> None:
     """Rename a folder. The target must not be there."""
     files, at = _files(spark, source)

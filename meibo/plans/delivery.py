@@ -21,7 +21,7 @@ from meibo.operators.exclude import exclude_names, exclude_suffix, first_reason,
 from meibo.operators.fill import fill_by_prefix, prefix_table
 from meibo.operators.lookup import BROADCAST_MAX_BYTES, OWN
 from meibo.operators.rules import TEXT_OPS, apply_rules, rule_table
-from meibo.operators.staging import exists, move, stage
+from meibo.operators.staging import exists, move, sizes, stage
 from meibo.sources.csv import read_csv, write_csv, write_delivery, write_logs
 
 @dataclass
@@ -222,13 +222,14 @@ def run_delivery(cfg: DeliveryConfig) -> Delivery:
 
 OUTPUTS = ["result", "log/fixes", "log/excluded", "log/findings"]
 MANIFEST = "manifest"
+MANIFEST_SCHEMA = "output string, rows long, files map<string, long>"
 
 
 def export(delivery: Delivery, root: str, day: str, encoding: str = "UTF-8") -> None:
     """Write the result and the logs below ``<root>/<day>``, all of them or none.
 
     The outputs are written to a folder of this run, and last its manifest, which has the number of rows
-    of every output. Then the folder becomes ``<root>/<day>`` by one rename. An export that breaks
+    of every output, and its files with their bytes. Then the folder becomes ``<root>/<day>`` by one rename. An export that breaks
     off leaves nothing there and is simply repeated; a finished one is never written over. Where a
     store renames file by file, ``<root>/<day>`` is whole once :func:`exported` finds all it lists.
     """
@@ -245,17 +246,25 @@ def export(delivery: Delivery, root: str, day: str, encoding: str = "UTF-8") ->
     write_delivery(result, runs, run, encoding)
     write_logs(log, excluded, runs, run, encoding)
     write_csv(findings, f"{runs}/{run}/log/findings", encoding)
-    counts = [(name, count.get["rows"]) for name, count in zip(OUTPUTS, seen, strict=True)]
-    spark.createDataFrame(counts, "output string, rows long").coalesce(1).write.json(f"{runs}/{run}/{MANIFEST}")
+    counts = [(name, count.get["rows"], sizes(spark, f"{runs}/{run}/{name}")) for name, count in zip(OUTPUTS, seen, strict=True)]
+    spark.createDataFrame(counts, MANIFEST_SCHEMA).coalesce(1).write.json(f"{runs}/{run}/{MANIFEST}")
     move(spark, f"{runs}/{run}", target)
 
 
 def exported(spark: SparkSession, root: str, day: str, encoding: str = "UTF-8") -> dict[str, DataFrame]:
-    """The outputs of a finished export, by name. One whose rows are not all there is an error."""
+    """The outputs of a finished export, by name. One whose rows are not all there is an error.
+
+    The files that the export wrote must be there in their full length, and no others; so no row is read for it.
+    The rows are counted where a manifest names no files.
+    """
     target = f"{root.rstrip('/')}/{day}"
     found = {}
-    for row in spark.read.schema("output string, rows long").json(f"{target}/{MANIFEST}").collect():
-        found[row["output"]] = read_csv(spark, f"{target}/{row['output']}", encoding, multi_line=True)
-        if found[row["output"]].count() != row["rows"]:
-            raise ValueError(f"{target}/{row['output']} has not the {row['rows']} rows of its manifest")
+    for row in spark.read.schema(MANIFEST_SCHEMA).json(f"{target}/{MANIFEST}").collect():
+        path = f"{target}/{row['output']}"
+        whole = row["files"] is None or sizes(spark, path) == row["files"]
+        if whole:
+            found[row["output"]] = read_csv(spark, path, encoding, multi_line=True)
+            whole = row["files"] is not None or found[row["output"]].count() == row["rows"]
+        if not whole:
+            raise ValueError(f"{path} has not the {row['rows']} rows of its manifest")
     return found

@@ -333,9 +333,25 @@ def test_a_broken_export_is_repeated(spark, table, tmp_path, monkeypatch):
 
 
 def test_small_tables_cost_a_join_each(spark, table):
-    """Few rules are compared where the rows lie, and a text is spelled once for all steps."""
+    """Few rules are compared where the rows lie, without a join."""
     cfg = wide_config(table)
     plan = judge(cfg)._jdf.queryExecution().sparkPlan().toString()
     assert "exists(" not in plan
-    names = [line for line in plan.splitlines() if "regexp_replace(lower(" in line]
-    assert len(names) <= 1
+    # Two lengths of prefixes, the codes, their areas, the phones.
+    assert plan.count("BroadcastHashJoin") == 5
+
+
+def test_an_export_is_checked_by_its_files(spark, table, tmp_path, monkeypatch):
+    """Its rows are not read for that, and a file that lost its end is found."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from meibo.plans import delivery as D
+
+    export(run_delivery(wide_config(table, key=["key"])), str(tmp_path), "2026-01-31")
+    with monkeypatch.context() as patch:
+        patch.setattr(DataFrame, "count", lambda self: pytest.fail("rows are counted"))
+        D.exported(spark, str(tmp_path), "2026-01-31")
+    part = max((tmp_path / "2026-01-31" / "result").glob("part-*"), key=lambda p: p.stat().st_size)
+    part.write_bytes(part.read_bytes()[:-3])
+    with pytest.raises(ValueError, match="rows of its manifest"):
+        D.exported(spark, str(tmp_path), "2026-01-31")
