@@ -891,15 +891,17 @@ def delivery_export_replay(spark, sf_dir):
     source = _folder_of(spark, cfg.rows)
     cfg.rows = read_csv(spark, source)
     out, key = _exported(spark, cfg), cfg.key
-    cell = F.struct("column_name", "after_value")
-    changes = out["log/fixes"].groupBy(*key).agg(F.map_from_entries(F.collect_list(cell)).alias("changes"))
+    columns = ["name", "postal", "tel"]
+    after = {c: F.max(F.when(F.col("column_name") == c, F.struct("after_value"))).alias(f"new_{c}") for c in columns}
+    # Dealt by key before they are grouped, the cells are sorted once, for the grouping and the join.
+    changes = out["log/fixes"].repartition(*key).groupBy(*key).agg(*after.values())
     rows = cfg.rows.join(out["log/excluded"].select(*key), key, "left_anti").join(changes, key, "left")
 
     def replayed(column):
-        changed = F.coalesce(F.map_contains_key("changes", column), F.lit(False))
-        return F.when(changed, F.col("changes")[column]).otherwise(F.col(column)).alias(column)
+        new = F.col(f"new_{column}")
+        return F.when(new.isNotNull(), new["after_value"]).otherwise(F.col(column)).alias(column)
 
-    return rows.select("order_no", "line_no", *[replayed(c) for c in ("name", "postal", "tel")])
+    return rows.select("order_no", "line_no", *[replayed(c) for c in columns])
 
 
 @query
