@@ -78,7 +78,9 @@ def unify_hyphens(c: Column) -> Column:
 
 def squeeze_spaces(c: Column) -> Column:
     """Runs of ASCII and full-width space to one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, f"[{SPACES}]+", " "))
+    for space in SPACES[1:]:
+        c = F.replace(c, F.lit(space), F.lit(" "))
+    return F.trim(F.when(c.contains("  "), F.regexp_replace(c, " +", " ")).otherwise(c))
 
 
 def strip_controls(c: Column) -> Column:

@@ -206,6 +206,7 @@ def fill_by_prefix(
     only: Column | None = None,
     max_bytes: int = BROADCAST_MAX_BYTES,
     spelled: str | None = None,
+    staged: bool = False,
 ) -> DataFrame:
     """Fill ``blank_col`` with the code of the longest prefix of ``text_col``.
 
@@ -213,7 +214,8 @@ def fill_by_prefix(
     ones are not tried then. With ranges in ``ref`` (see :func:`prefix_table`) the number behind the
     prefix may decide; a number outside all ranges has the code of the rest, if there is one. Both
     sides are compared in the spelling of :func:`~meibo.functions.address.address_text`. Rows outside
-    ``only`` are not looked up. ``spelled`` names a column that has that spelling already.
+    ``only`` are not looked up. ``spelled`` names a column that has that spelling already. ``staged`` says that
+    ``rows`` are cheap to read more than once.
     """
     table = ref if isinstance(ref, PrefixTable) else prefix_table(ref, max_bytes)
     wanted = is_blank(col(blank_col))
@@ -223,7 +225,7 @@ def fill_by_prefix(
     keyed = rows.withColumn(TEXT, text)
     # A number at the end of an address may be that of a block.
     ended = F.when(col(TEXT).rlike("[0-9]\\z"), F.concat(col(TEXT), F.lit(BLOCK_END))).otherwise(col(TEXT))
-    found = longest_prefix(keyed.withColumn(TEXT, ended), TEXT, table.towns, table.search, max_bytes)
+    found = longest_prefix(keyed.withColumn(TEXT, ended), TEXT, table.towns, table.search, max_bytes, staged)
     if table.ranges is not None and table.levels:
         found = _by_range(found, table, max_bytes)
     return _filled(found, blank_col, status_col, rows.columns)

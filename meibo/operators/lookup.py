@@ -70,6 +70,14 @@ def sized(table: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES, key: str | Non
     return Sized(copy, small, sorted(seen.get["lengths"], reverse=True))
 
 
+class Base(NamedTuple):
+    """Where the keys of rows may be read ahead of a join: ``rows`` are cheap to read again and hold them, and
+    the columns ``by`` tell the rows that are joined apart."""
+
+    rows: DataFrame
+    by: list[str]
+
+
 def _all_present(columns: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [c.isNotNull() for c in cols(columns)])
 
@@ -81,31 +89,42 @@ def lookup_join(
     how: str = "left",
     max_bytes: int = BROADCAST_MAX_BYTES,
     staged: bool = False,
+    base: Base | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``table`` on the columns ``on``, which are unique in ``table``.
 
     ``how`` is ``left`` or ``inner``. Rows with a null in ``on`` match nothing. ``staged`` says
-    that ``rows`` are cheap to read more than once.
+    that ``rows`` are cheap to read more than once. With a ``base`` the hot keys are taken from there, so
+    the rows are read once, wherever they come from, and are not staged.
     """
     table, small, _ = table if isinstance(table, Sized) else sized(table, max_bytes)
     if small:
         return rows.join(F.broadcast(table), on, how)
 
-    if not staged:  # the rows are read twice below
+    if not staged and base is None:  # the rows are read twice below
         rows = stage(rows, "lookup-rows")
-    hot = stage(hot_keys(rows, on), "lookup-hot")
+    seen = Observation()
+    hot = stage(hot_keys(base.rows if base else rows, on).observe(seen, F.count(F.lit(1)).alias("n")), "lookup-hot")
     salt = OWN + "salt"
+    # The same salts in every attempt of a task: they come from the place of the row in its files, or from its key.
+    dice = F.xxhash64(*cols(base.by)) if base else F.xxhash64(F.monotonically_increasing_id())
+    if not seen.get["n"]:  # only the rows without a key are spread
+        spread = F.when(_all_present(on), F.lit(0).cast("long")).otherwise(F.pmod(dice, F.lit(NO_KEY_SALTS)))
+        return _joined(rows.withColumn(salt, spread), on, table.withColumn(salt, F.lit(0).cast("long")), how)
     salted = _with_salts(rows, on, hot)
     salts = F.coalesce(col(OWN + "salts"), F.lit(1).cast("long"))
-    # The same salts in every attempt of a task: they come from the place of the row in its files.
-    dice = F.xxhash64(F.monotonically_increasing_id())
     spread = F.when(_all_present(on), F.pmod(dice, salts)).otherwise(F.pmod(dice, F.lit(NO_KEY_SALTS)))
     left = salted.select(*cols(rows.columns), spread.alias(salt))
     copies = F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias(salt)
     right = _with_salts(table, on, hot).select(*cols(table.columns), copies)
-    return left.join(right, [*on, salt], how).select(
-        *cols(rows.columns), *cols(c for c in table.columns if c not in on)
-    )
+    return _joined(left, on, right, how)
+
+
+def _joined(rows: DataFrame, on: list[str], table: DataFrame, how: str) -> DataFrame:
+    """Join on ``on`` and the salt, and drop the salt."""
+    salt = OWN + "salt"
+    both = rows.join(table, [*on, salt], how)
+    return both.select(*cols(c for c in rows.columns if c != salt), *cols(c for c in table.columns if c not in [*on, salt]))
 
 
 def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame:
@@ -138,12 +157,13 @@ def first_match(
     candidates: list[Column],
     table: Sized,
     max_bytes: int = BROADCAST_MAX_BYTES,
+    staged: bool = False,
 ) -> DataFrame:
     """Add the columns of ``table`` for the first candidate key that ``table`` holds.
 
     ``candidates`` are string expressions over the ``subject`` columns, best first; a null
     candidate is skipped. ``table`` has a unique column ``key`` and at least one more column. A row
-    with a null subject column gets nulls.
+    with a null subject column gets nulls. ``staged`` is as in :func:`lookup_join`.
     """
     schema = table.rows.schema
     payload = [c for c in schema.names if c != "key"]
@@ -151,7 +171,7 @@ def first_match(
         return rows.withColumns({c: F.lit(None).cast(schema[c].dataType) for c in payload})
     if table.small and len(candidates) <= MAX_PROBES:
         return _probe(rows, candidates, table.rows, payload)
-    return _explode(rows, subject, candidates, table, payload, max_bytes)
+    return _explode(rows, subject, candidates, table, payload, max_bytes, staged)
 
 
 def _probe(rows, candidates, table, payload):
@@ -211,7 +231,12 @@ def prefix_search(table: Sized, max_bytes: int = BROADCAST_MAX_BYTES) -> PrefixS
 
 
 def longest_prefix(
-    rows: DataFrame, text: str, table: Sized, search: PrefixSearch | None = None, max_bytes: int = BROADCAST_MAX_BYTES
+    rows: DataFrame,
+    text: str,
+    table: Sized,
+    search: PrefixSearch | None = None,
+    max_bytes: int = BROADCAST_MAX_BYTES,
+    staged: bool = False,
 ) -> DataFrame:
     """Add the columns of ``table`` for the longest of its prefixes ``key`` that the column ``text`` begins with.
 
@@ -219,7 +244,7 @@ def longest_prefix(
     n has binary digits: where the table holds the beginning, only greater lengths are left, else only smaller ones.
     """
     if search is None:
-        return first_match(rows, [text], prefixes(col(text), table.lengths), table, max_bytes)
+        return first_match(rows, [text], prefixes(col(text), table.lengths), table, max_bytes, staged)
     payload = [c for c in table.rows.columns if c != "key"]
     lengths = F.array(*[F.lit(n) for n in search.lengths])
     side = F.broadcast(search.rows.select(F.col("key").alias(OWN + "key"), F.col("hit").alias(OWN + "new")))
@@ -234,9 +259,9 @@ def longest_prefix(
     return out.select(*cols(rows.columns), *[hit[c].alias(c) for c in payload])
 
 
-def _explode(rows, subject, candidates, table, payload, max_bytes):
+def _explode(rows, subject, candidates, table, payload, max_bytes, staged):
     """Candidates of every distinct subject, joined by equality; the best one is joined back."""
-    if not table.small:
+    if not table.small and not staged:
         rows = stage(rows, "lookup-rows")
     wanted = rows.select(*cols(subject)).where(_all_present(subject)).distinct()
     if not table.small:
@@ -246,4 +271,4 @@ def _explode(rows, subject, candidates, table, payload, max_bytes):
     found = lookup_join(tries, ["key"], table, "inner", staged=True)
     best = found.groupBy(*cols(subject)).agg(F.min(F.struct(OWN + "rank", *payload)).alias(OWN + "best"))
     best = best.select(*cols(subject), *[col(OWN + "best")[c].alias(c) for c in payload])
-    return lookup_join(rows, subject, best, "left", max_bytes, staged=not table.small)
+    return lookup_join(rows, subject, best, "left", max_bytes, staged=staged or not table.small)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from meibo.functions.names import col, cols
 from meibo.functions.text import is_blank, match_text, narrow_ascii, spelling, trim_spaces
 from meibo.operators.exclude import pieces
-from meibo.operators.lookup import BROADCAST_MAX_BYTES, OWN, Sized, lookup_join, sized
+from meibo.operators.lookup import BROADCAST_MAX_BYTES, OWN, Base, Sized, lookup_join, sized
 from meibo.operators.staging import stage
 
 TEXT_OPS = ["exclude_value", "exclude_prefix", "exclude_suffix", "exclude_contains"]
@@ -228,6 +228,7 @@ def apply_rules(
     reason_col: str = "reason",
     max_bytes: int = BROADCAST_MAX_BYTES,
     texts: dict[str, str] | None = None,
+    base: Base | None = None,
 ) -> DataFrame:
     """Add the op of the first rule a row breaks, in the order of (op, column), else null.
 
@@ -235,7 +236,7 @@ def apply_rules(
     :func:`~meibo.functions.text.match_text` already. All rules of a customer
     become one row before the one join, so their number neither multiplies rows nor joins. Only an
     (op, column) with more texts than that row may hold has a join of its own; the rows are staged once
-    for all of these.
+    for all of these. ``base`` is as in :func:`~meibo.operators.lookup.lookup_join`.
     """
     table = rules if isinstance(rules, RuleTable) else rule_table(rules, columns or rows.columns, max_bytes)
     if not table.kinds:
@@ -245,7 +246,8 @@ def apply_rules(
         return rows.withColumn(reason_col, F.coalesce(*reasons))
     met = rows.withColumn(CUSTOMER, col(customer))
     if table.held:
-        met = lookup_join(met, [CUSTOMER], table.held, "left", max_bytes)
+        keys = base and base._replace(rows=base.rows.withColumn(CUSTOMER, col(customer)))
+        met = lookup_join(met, [CUSTOMER], table.held, "left", max_bytes, base=keys)
     many = [(kind, _name(i)) for i, kind in enumerate(table.kinds) if kind in table.many]
     if many:
         texts = {column: f"{OWN}text{i}" for i, column in enumerate(sorted({column for (_, column), _ in many}))}

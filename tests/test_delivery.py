@@ -355,3 +355,42 @@ def test_an_export_is_checked_by_its_files(spark, table, tmp_path, monkeypatch):
     part.write_bytes(part.read_bytes()[:-3])
     with pytest.raises(ValueError, match="rows of its manifest"):
         D.exported(spark, str(tmp_path), "2026-01-31")
+
+
+@pytest.mark.parametrize("wide", [0, 30])
+@pytest.mark.parametrize("long_list", [False, True])
+def test_large_tables_leave_the_rows_staged_once(table, monkeypatch, wide, long_list):
+    """No lookup writes the rows anew: it takes its keys from their one copy. Both for rows that take the answers
+    as they are and for wide ones, with copies of a key and with a list of names too long for a pattern."""
+    from meibo.operators import exclude, lookup, rules
+    from meibo.plans import delivery as D
+
+    def made(max_bytes):
+        cfg = wide_config(table, max_bytes=max_bytes)
+        cells = [(*r, "e", "f", str(i % 3)) for i, r in enumerate(ROWS * 3)]
+        cfg.rows = table(f"{COLUMNS} extra1 extra2 key", cells)
+        cfg.rows = cfg.rows.select("*", *[F.lit("w").alias(f"w{i}") for i in range(wide)])
+        if long_list:
+            cfg.chains = table("name", [("すきや",), *[(f"x{i}",) for i in range(1001)]])
+        return cfg
+
+    small = [rows_of(x) for x in run_delivery(made(2**26))]
+    staged = []
+    for module in (D, lookup, exclude, rules):
+        real = module.stage
+
+        def spy(df, label="stage", real=real):
+            if "row_id" in df.columns:
+                staged.append(label)
+            return real(df, label)
+
+        monkeypatch.setattr(module, "stage", spy)
+    large = [rows_of(x) for x in run_delivery(made(0))]
+    assert staged == ["delivery-rows", "delivery"]
+    assert small == large and len(small[0]) == 12
+
+
+def test_rows_that_the_steps_mostly_read_are_not_joined_to_themselves(table):
+    cfg = wide_config(table, max_bytes=0)
+    plan = judge(cfg)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("delivery-rows") <= 1 and "meibo:row_id" not in plan

@@ -132,3 +132,21 @@ def test_prefixes_of_many_lengths_take_few_probes(spark, table):
     assert {r["text"]: r["postal"] for r in out.collect()} == want
     joins = out._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin")
     assert joins == len({len(x) for x in listed}).bit_length() < len({len(x) for x in listed})
+
+
+def test_keys_from_a_base_and_no_salts_without_hot_keys(spark, monkeypatch):
+    """The rows are neither staged nor read for their keys, and a key that is not hot costs one join."""
+    base = spark.range(500).selectExpr("id", "if(id % 5 = 0, null, id % 100) as k")
+    rows = base.selectExpr("id", "k", "concat('r', id) as r")
+    monkeypatch.setattr(lookup, "stage", lambda df, label="stage", real=lookup.stage: pytest.fail("rows are staged") if "r" in df.columns else real(df, label))
+    table = spark.range(50).selectExpr("id as k", "id * 2 as v")
+    for how, kept in (("left", 500), ("inner", 200)):
+        out = lookup_join(rows, ["k"], table, how, max_bytes=0, base=lookup.Base(base, ["id"]))
+        got = out.collect()
+        assert out.columns == ["id", "k", "r", "v"] and len(got) == len({r["id"] for r in got}) == kept
+        assert all(r["v"] == (2 * r["k"] if r["k"] is not None and r["k"] < 50 else None) for r in got)
+        assert out._jdf.queryExecution().analyzed().toString().count("Join") == 1
+    hot = base.selectExpr("id", "1L as k").join(spark.range(40).selectExpr("id as n")).selectExpr("id * 40 + n as id", "k")
+    many = hot.selectExpr("id", "k", "'r' as r")
+    out = lookup_join(many, ["k"], table, max_bytes=0, base=lookup.Base(hot, ["id"]))
+    assert out.count() == out.where("v = 2").count() == 20_000
