@@ -852,7 +852,7 @@ def delivery_job(spark, sf_dir):
 
 @query
 def delivery_job_shuffled(spark, sf_dir):
-    """No reference table is broadcast: the lookups work on narrow rows."""
+    """The form for reference tables too large to broadcast: the lookups answer different values."""
     return _delivery_job(run_delivery(line_config(spark, sf_dir, max_bytes=0)))
 
 
