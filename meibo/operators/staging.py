@@ -12,6 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+# Labels of tables with all columns of a delivery's rows.
+WHOLE = {"delivery", "delivery-rows"}
+
+# Of Spark: whether the shuffle files of a query go when it has ended, or some time after.
+SHUFFLES_END = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 # Of each thread the paths given out in its open blocks, the innermost block last.
 _given = threading.local()
 
@@ -57,6 +63,23 @@ def discarding(spark: SparkSession) -> Iterator[None]:
             discard(spark, path)
 
 
+@contextmanager
+def ending_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within the block Spark deletes the shuffle files of each query when the query has ended.
+
+    Otherwise they lie on the executors' disks until the driver collects garbage.
+    """
+    before = spark.conf.get(SHUFFLES_END, None)
+    spark.conf.set(SHUFFLES_END, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLES_END)
+        else:
+            spark.conf.set(SHUFFLES_END, before)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a staged table, if it is there."""
     files, at = _files(spark, path)
@@ -67,11 +90,13 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once as Parquet and read it back.
 
     Lineage ends at the written files, so later steps read columns instead of computing the
-    rows again, and a lost executor costs nothing that was already written.
+    rows again, and a lost executor costs nothing that was already written. What :data:`WHOLE` names
+    is packed more densely than the session would.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    writer = df.write.option("compression", "zstd") if label in WHOLE else df.write
+    writer.parquet(path)
     # The schema is known; giving it saves the footer job of schema inference.
     return spark.read.schema(df.schema).parquet(path)
 

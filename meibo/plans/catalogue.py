@@ -29,7 +29,7 @@ from meibo.operators.kept_index import KeptIndex
 from meibo.operators.lookup import BROADCAST_MAX_BYTES
 from meibo.operators.merge import merge
 from meibo.operators.rules import apply_rules
-from meibo.operators.staging import new_path
+from meibo.operators.staging import discarding, ending_shuffles, new_path
 from meibo.plans.delivery import Delivery, DeliveryConfig, export, exported, run_delivery
 from meibo.plans.folder import process_folder, write_by_file
 from meibo.plans.tools import exclude_chains, fill_postal_codes, fill_recruiters, merge_files
@@ -871,9 +871,10 @@ def delivery_job_findings(spark, sf_dir):
 
 
 def _exported(spark, cfg: DeliveryConfig) -> dict[str, DataFrame]:
-    """The written outputs, read back."""
+    """The written outputs, read back. What the job has staged goes when they are written."""
     root = new_path(spark, "export")
-    export(run_delivery(cfg), root, "2026-01-01")
+    with discarding(spark), ending_shuffles(spark):
+        export(run_delivery(cfg), root, "2026-01-01", packed=True)
     return exported(spark, root, "2026-01-01")
 
 

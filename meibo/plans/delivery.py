@@ -304,13 +304,14 @@ MANIFEST = "manifest"
 MANIFEST_SCHEMA = "output string, rows long, files map<string, long>"
 
 
-def export(delivery: Delivery, root: str, day: str, encoding: str = "UTF-8") -> None:
+def export(delivery: Delivery, root: str, day: str, encoding: str = "UTF-8", packed: bool = False) -> None:
     """Write the result and the logs below ``<root>/<day>``, all of them or none.
 
     The outputs are written to a folder of this run, and last its manifest, which has the number of rows
     of every output, and its files with their bytes. Then the folder becomes ``<root>/<day>`` by one rename. An export that breaks
     off leaves nothing there and is simply repeated; a finished one is never written over. Where a
     store renames file by file, ``<root>/<day>`` is whole once :func:`exported` finds all it lists.
+    ``packed`` is as in :func:`write_csv`.
     """
     spark = delivery.delivered.sparkSession
     target = f"{root.rstrip('/')}/{day}"
@@ -322,9 +323,9 @@ def export(delivery: Delivery, root: str, day: str, encoding: str = "UTF-8") ->
     result, log, excluded, findings = (
         part.observe(count, F.count(F.lit(1)).alias("rows")) for part, count in zip(parts, seen, strict=True)
     )
-    write_delivery(result, runs, run, encoding)
-    write_logs(log, excluded, runs, run, encoding)
-    write_csv(findings, f"{runs}/{run}/log/findings", encoding)
+    write_delivery(result, runs, run, encoding, packed)
+    write_logs(log, excluded, runs, run, encoding, packed)
+    write_csv(findings, f"{runs}/{run}/log/findings", encoding, None, packed)
     counts = [(name, count.get["rows"], sizes(spark, f"{runs}/{run}/{name}")) for name, count in zip(OUTPUTS, seen, strict=True)]
     spark.createDataFrame(counts, MANIFEST_SCHEMA).coalesce(1).write.json(f"{runs}/{run}/{MANIFEST}")
     move(spark, f"{runs}/{run}", target)
