@@ -747,10 +747,11 @@ def csv_odd_rows(spark, sf_dir):
     return rows.select(F.when(good, F.col("key")).alias("key"), F.when(good, F.col("status")).alias("status"), "raw")
 
 
-def _folder_of(spark, rows: DataFrame) -> str:
+def _folder_of(spark, rows: DataFrame, packed: bool = False) -> str:
     """``rows`` as CSV files in a new folder."""
     path = new_path(spark, "in")
-    write_csv(rows, path)
+    with ending_shuffles(spark):
+        write_csv(rows, path, packed=packed)
     return path
 
 
@@ -889,13 +890,13 @@ def delivery_export(spark, sf_dir):
 def delivery_export_replay(spark, sf_dir):
     """The input file, changed as the written log says, without the written excluded rows."""
     cfg = line_config(spark, sf_dir)
-    source = _folder_of(spark, cfg.rows)
+    source = _folder_of(spark, cfg.rows, packed=True)
     cfg.rows = read_csv(spark, source)
     out, key = _exported(spark, cfg), cfg.key
     columns = ["name", "postal", "tel"]
     after = {c: F.max(F.when(F.col("column_name") == c, F.struct("after_value"))).alias(f"new_{c}") for c in columns}
-    # Dealt by key before they are grouped, the cells are sorted once, for the grouping and the join.
-    changes = out["log/fixes"].repartition(*key).groupBy(*key).agg(*after.values())
+    # Cells of a row lie together in the log, so most become one row before they are dealt by key.
+    changes = out["log/fixes"].groupBy(*key).agg(*after.values())
     rows = cfg.rows.join(out["log/excluded"].select(*key), key, "left_anti").join(changes, key, "left")
 
     def replayed(column):

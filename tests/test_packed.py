@@ -111,3 +111,31 @@ def test_shuffle_files_go_when_their_query_ends(spark):
     while files() - before and time.time() < until:
         time.sleep(0.2)
     assert not files() - before
+
+
+def test_lines_of_a_file_are_not_sent_through_python(spark, table, tmp_path, monkeypatch):
+    """Spark goes on sending a file to a task that wants its first line only."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    for i, packed in enumerate([False, True]):
+        S.write_csv(table("x y", [("1", "2")] * 5000).repartition(3), str(tmp_path / f"in{i}"), packed=packed)
+    (tmp_path / "in0" / "empty.csv").write_bytes(b"")
+    (tmp_path / "in1" / "other.csv").write_bytes('﻿y,"a ""b"""\n1,2\n'.encode())
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda *_: pytest.fail("lines go through Python"))
+    found = S.headers(spark, [str(tmp_path / "in0"), str(tmp_path / "in1")])
+    assert sorted(map(tuple, found.values())) == [("x", "y")] * 6 + [("y", 'a "b"')]
+    assert not any(path.endswith("empty.csv") for path in found)
+
+
+def test_the_replay_deals_a_row_of_changes_and_packs_its_input(spark, tables):
+    """The cells of a row are put together before they are dealt by key, not after."""
+    before = folders(spark)
+    replayed = Q.QUERIES["delivery_export_replay"](spark, tables)
+    left = {name.split("-")[0]: name for name in folders(spark) - before}
+    assert set(left) == {"export", "in"}
+    source = os.path.join(shared_dir(spark).removeprefix("file:"), left["in"])
+    assert all(f.endswith(".csv.gz") for f in os.listdir(source) if f.startswith("part-"))
+    plan = replayed._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("partial_max") == 3 and "REPARTITION" not in plan
+    kept = Q.QUERIES["delivery_job"](spark, tables).where("reason = 'delivered'")
+    assert rows_of(replayed) == rows_of(kept.select(replayed.columns)) and replayed.count()
